@@ -5,29 +5,86 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanegraph.llm import quality_rules, simhash
+from lanegraph.llm import chat, crf, minhash, mixing, packing, pseudo_likelihood, quality_classifier, quality_rules, simhash, warc
+from lanegraph.llm.common import crc_mod
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crf.identify(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.group_documents(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compare_edited(_table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+#: A conversation of control strings, added to all others.
+PROBE_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-1).cast(talks.schema["conv_id"].dataType).alias("conv_id"),
+        F.col("id").cast(talks.schema["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(PROBE_TEXT).alias("text"),
+    )
+    return chat.digest(chat.format_conversations(talks.unionByName(probe)))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_classifier.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    predicted = F.when(F.col("score") >= quality_classifier.THRESHOLD, 1).otherwise(0)
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
+        "op1_crf_language": op1_crf_language,
         "op2_simhash": op2_simhash,
+        "op3_minhash": op3_minhash,
+        "op4_warc": op4_warc,
+        "op5_packing": op5_packing,
+        "op6_chat": op6_chat,
+        "op7_quality": op7_quality,
+        "op8_mixing": op8_mixing,
         "op9_quality_rules": op9_quality_rules,
+        "op10_pseudo_likelihood": op10_pseudo_likelihood,
     }
 
 
+#: Which page revisits which follows from the pages alone, so SQL can say what must come back from the
+#: archives, except for the base32 form of the digest, which DuckDB does not offer.
 def oracle_sql() -> dict[str, str]:
     return {}
