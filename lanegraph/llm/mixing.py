@@ -12,8 +12,9 @@ projected gradient step (with momentum) of a document depends on the others only
 per domain, so an iteration is one distributed sum; a document's rate is replayed from the numbers
 of the iterations before. A document is then taken floor(rate + u) times, u a hash of its id in [0, 1).
 
-Classifier: presence of the FEATURES units (word cores and marks) whose document frequencies differ
-most between domains, in a softmax regression; fitted on at most about MAX_LABELLED labelled rows.
+Classifier: log(1 + count) of the FEATURES units (word cores, marks, and the first PREFIXES bytes of longer
+cores) that differ most between domains, in a softmax regression; fitted on at most about MAX_LABELLED
+labelled rows.
 
 Edge cases: null and empty texts have no tokens, weigh nothing, and keep rate and copies 1. Null
 labels and labels other than 0 and 1 are ignored; without labels there is one domain and all rates
@@ -23,17 +24,21 @@ Other columns are only carried. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanegraph.llm.common import map_texts
-from lanegraph.llm.features import bounded_sample, map_rows, unit_ids
+from lanegraph.llm.features import MARKS, Memo, bounded_sample, map_rows, word_units
 from lanegraph.shared import materialize
 
 BUCKETS = 1 << 16
 FEATURES = 384
+PREFIXES = (4, 6)
 MAX_LABELLED = 8_000
 RIDGE = 0.005
 ROUNDS = 24
@@ -42,8 +47,34 @@ TARGETS = {"good": 0.97, "good_toxic": 0.02, "poor": 0.01, "poor_toxic": 0.0}
 NAMES = {(1, 0): "good", (1, 1): "good_toxic", (0, 0): "poor", (0, 1): "poor_toxic"}
 
 
+def domain_units(word: bytes) -> tuple[int, ...]:
+    core = word.strip(MARKS).lower()
+    units = word_units(word, BUCKETS)
+    return (*units, *(zlib.crc32(b"\x01" + core[:n]) % BUCKETS for n in PREFIXES if len(core) > n))
+
+
+_MEMO = Memo(domain_units)
+
+
+def unit_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, unit and count of every unit of every text, and each text's number of words."""
+    flat: list[int] = []
+    sizes = np.empty(len(texts), np.int64)
+    words = np.empty(len(texts), np.int64)
+    before = 0
+    for i, t in enumerate(texts):
+        ws = t.split()
+        words[i] = len(ws)
+        flat.extend(chain.from_iterable(map(_MEMO.__getitem__, ws)))
+        sizes[i] = len(flat) - before
+        before = len(flat)
+    key = np.repeat(np.arange(len(texts)), sizes) * BUCKETS + np.fromiter(flat, np.int64, before)
+    found, count = np.unique(key, return_counts=True)
+    return found // BUCKETS, found % BUCKETS, count, words
+
+
 class DomainClassifier:
-    """Softmax regression on the presence of chosen units."""
+    """Softmax regression on log counts of chosen units."""
 
     def __init__(self, domains: list[str]):
         self.domains = domains
@@ -51,35 +82,38 @@ class DomainClassifier:
         self.w = np.zeros((0, len(domains)))
         self.b = np.zeros(len(domains))
 
-    def fit(self, units: list[np.ndarray], y: np.ndarray, epochs: int = 250, rate: float = 0.05, decay: float = 3e-4) -> "DomainClassifier":
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 300, rate: float = 0.05, decay: float = 1e-3) -> "DomainClassifier":
+        """``rows``: units and counts of each labelled text."""
         k, n = len(self.domains), len(y)
         if k < 2 or not n:
             return self
-        df = np.zeros((k, BUCKETS))
-        for u, c in zip(units, y):
-            df[c, u] += 1
+        one, two, df = np.zeros((k, BUCKETS)), np.zeros((k, BUCKETS)), np.zeros(BUCKETS)
+        for (u, c), d in zip(rows, y):
+            v = np.log1p(c)
+            one[d, u] += v
+            two[d, u] += v * v
+            df[u] += 1
         per = np.maximum(np.bincount(y, minlength=k), 1)[:, None]
-        rest = (df.sum(0) - df) / np.maximum(n - per, 1)
-        own = df / per
-        spread = np.sqrt(np.maximum(own * (1 - own) / per + rest * (1 - rest) / np.maximum(n - per, 1), 1e-12) + 1.0 / n**2)
-        z = np.abs(own - rest) / spread
-        z[:, df.sum(0) < 3] = 0
-        chosen: list[int] = []
+        other = np.maximum(n - per, 1)
+        mean, rest = one / per, (one.sum(0) - one) / other
+        var, rest_var = two / per - mean**2, (two.sum(0) - two) / other - rest**2
+        z = np.abs(mean - rest) / np.sqrt(np.maximum(var, 0) / per + np.maximum(rest_var, 0) / other + 1.0 / n**2)
+        z[:, df < 3] = 0
+        chosen: set[int] = set()
         for c in range(k):  # the strongest units of each domain
-            chosen.extend(np.argsort(-z[c], kind="stable")[: FEATURES // k].tolist())
-        chosen = sorted(set(chosen))
-        self.slot[chosen] = np.arange(len(chosen))
-        x = np.zeros((n, len(chosen)), np.float32)
-        for i, u in enumerate(units):
+            chosen.update(np.argsort(-z[c], kind="stable")[: FEATURES // k].tolist())
+        self.slot[sorted(chosen)] = np.arange(len(chosen))
+        x = np.zeros((n, len(chosen)))
+        for i, (u, c) in enumerate(rows):
             s = self.slot[u]
-            x[i, s[s >= 0]] = 1
+            x[i, s[s >= 0]] = np.log1p(c[s >= 0])
         self.w = np.zeros((len(chosen), k))
         m = [np.zeros_like(self.w), np.zeros(k)]
         v = [np.zeros_like(self.w), np.zeros(k)]
         gold = np.eye(k)[y]
         for step in range(1, epochs + 1):
             d = (self._softmax(x @ self.w + self.b) - gold) / n
-            for j, (p, g) in enumerate(((self.w, x.T @ d + decay * self.w), (self.b, d.sum(0)))):
+            for j, (p, g) in enumerate(((self.w, x.T @ d + decay / n * self.w), (self.b, d.sum(0)))):
                 m[j] = 0.9 * m[j] + 0.1 * g
                 v[j] = 0.99 * v[j] + 0.01 * g * g
                 p -= rate * (m[j] / (1 - 0.9**step)) / (np.sqrt(v[j] / (1 - 0.99**step)) + 1e-8)
@@ -92,17 +126,13 @@ class DomainClassifier:
 
     def posteriors(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, domains) probabilities, and each text's number of words."""
-        ids, sizes = unit_ids(texts, BUCKETS)
+        doc, unit, count, words = unit_counts(texts)
         z = np.tile(self.b, (len(texts), 1))
         if len(self.w):
-            slot = self.slot[ids]
-            doc = np.repeat(np.arange(len(texts)), sizes)
-            hit = slot >= 0
-            present = np.unique(doc[hit] * len(self.w) + slot[hit])
-            d, f = present // len(self.w), present % len(self.w)
+            hit = self.slot[unit] >= 0
+            f, d, v = self.slot[unit[hit]], doc[hit], np.log1p(count[hit])
             for c in range(len(self.domains)):
-                z[:, c] += np.bincount(d, self.w[f, c], len(texts))
-        words = np.fromiter((len(t.split()) for t in texts), np.int64, len(texts))
+                z[:, c] += np.bincount(d, self.w[f, c] * v, len(texts))
         return self._softmax(z), words
 
 
@@ -117,15 +147,16 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def units(texts: list[bytes]):
-        ids, sizes = unit_ids(texts, BUCKETS)
-        ends = np.cumsum(sizes)
-        return [pa.array([np.unique(ids[e - s : e]).astype(np.int32) for s, e in zip(sizes, ends)], pa.list_(pa.int32()))]
+        doc, unit, count, _ = unit_counts(texts)
+        cut = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))])
+        lists = lambda a: pa.array([a[x:y].astype(np.int32) for x, y in zip(cut, cut[1:])], pa.list_(pa.int32()))
+        return [lists(unit), lists(count)]
 
-    rows = map_texts(chosen, "text", ["doc_id", "domain"], "units array<int>", units).toArrow()
-    found = sorted(zip(rows["doc_id"].to_pylist(), rows["domain"].to_pylist(), rows["units"].to_pylist()), key=lambda r: (str(r[0]), r[1]))
+    rows = map_texts(chosen, "text", ["doc_id", "domain"], "units array<int>, counts array<int>", units).toArrow()
+    found = sorted(zip(*(rows[c].to_pylist() for c in ("doc_id", "domain", "units", "counts"))), key=lambda r: (str(r[0]), r[1]))
     domains = [d for d in NAMES.values() if any(r[1] == d for r in found)] or ["good"]
     y = np.array([domains.index(r[1]) for r in found], np.int64)
-    return DomainClassifier(domains).fit([np.array(r[2], np.int64) for r in found], y)
+    return DomainClassifier(domains).fit([(np.array(r[2], np.int64), np.array(r[3], np.int64)) for r in found], y)
 
 
 def replay(p: np.ndarray, history: list[np.ndarray], ridge: float, eta: float) -> tuple[np.ndarray, np.ndarray]:
