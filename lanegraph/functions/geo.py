@@ -22,11 +22,11 @@ def _d(c: Column) -> Column:
 
 
 def haversine_nm(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in nautical miles; the argument of asin is cut at 1."""
+    """Great-circle distance in nautical miles, null if a coordinate is; the argument of asin is cut at 1."""
     lat1, lon1, lat2, lon2 = map(_d, (lat1, lon1, lat2, lon2))
     dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     a = F.sin(dlat / 2) * F.sin(dlat / 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlon / 2) * F.sin(dlon / 2)
-    return F.lit(2 * EARTH_RADIUS_NM) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return F.lit(2 * EARTH_RADIUS_NM) * F.asin(F.sqrt(F.when(a > 1.0, F.lit(1.0)).otherwise(a)))
 
 
 def haversine_py(lat1: float, lon1: float, lat2: float, lon2: float) -> float:

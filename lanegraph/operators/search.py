@@ -116,11 +116,9 @@ def lower_bound(csr: Csr, s: int, t: int) -> float:
     """A bound on the cost from s to t: landmarks, else the cheapest rate along the great circle."""
     best = 0.0
     for near, far in zip(csr.from_landmark, csr.to_landmark):
-        a, b = near[t] - near[s], far[s] - far[t]
-        if a > best and np.isfinite(near[t]) and np.isfinite(near[s]):
-            best = float(a)
-        if b > best and np.isfinite(far[s]) and np.isfinite(far[t]):
-            best = float(b)
+        for x, y in ((near[s], near[t]), (far[t], far[s])):
+            if x < INF and y < INF:
+                best = max(best, float(y - x))
     if best <= 0 and csr.rate > 0 and csr.lat is not None:
         best = csr.rate * haversine_py(csr.lat[s], csr.lon[s], csr.lat[t], csr.lon[t])
     return best * (1 - 1e-12)

@@ -498,7 +498,7 @@ def landmark_lower_bound(d: Derived) -> DataFrame:
 # --- paths and geometry -----------------------------------------------------------------------
 
 
-@query(with_ctes("legs nodes", "SELECT path_id, round(sum(nm), 4) AS distance_nm FROM (SELECT l.path_id, coalesce(HAVERSINE(a.lat, a.lon, b.lat, b.lon), 0.0) AS nm FROM legs l JOIN nodes a ON a.node_id = l.node_id LEFT JOIN nodes b ON b.node_id = l.next_id) GROUP BY path_id"))
+@query(with_ctes("legs nodes", "SELECT path_id, round(sum(nm), 4) AS distance_nm FROM (SELECT l.path_id, CASE WHEN b.node_id IS NULL THEN 0.0 ELSE HAVERSINE(a.lat, a.lon, b.lat, b.lon) END AS nm FROM legs l JOIN nodes a ON a.node_id = l.node_id LEFT JOIN nodes b ON b.node_id = l.next_id) GROUP BY path_id"))
 def path_distance(d: Derived) -> DataFrame:
     return search.path_length(d.paths, d.nodes).select("path_id", _r("distance_nm", 4).alias("distance_nm"))
 

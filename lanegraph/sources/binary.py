@@ -24,7 +24,7 @@ PORTAL_MAGIC = b"OCNPRTL1"
 MASK_MAGIC = b"OCNLMSK1"
 HINT_MAGIC = b"OCNAISH1"
 GRAPH_HEADER_BYTES = 96
-PORTAL_HEADER_BYTES = 44
+PORTAL_HEADER_BYTES = 52
 DELTA_OVERFLOW = -32768
 ROWS = 100_000
 
@@ -168,14 +168,15 @@ def decode_portals(data: bytes, edge_count: int | None = None) -> tuple[np.ndarr
     _need(version == 1 and index_size == 4 and record_size == 16, "portal layout is unknown")
     _need(edge_count is None or edges == edge_count, "portals are for another graph")
     need = -(-edges // 8)
-    _need(has_bytes == need and explicit_bytes == need, "portal bitsets have the wrong length")
+    _need(has_bytes >= need and explicit_bytes >= need, "portal bitsets are too short")
     at = PORTAL_HEADER_BYTES
-    _need(len(data) == at + 2 * need + 4 * explicit + 16 * unique, "portal file has the wrong length")
+    body = at + has_bytes + explicit_bytes
+    _need(len(data) == body + 4 * explicit + 16 * unique, "portal file has the wrong length")
     bits = lambda lo: np.unpackbits(np.frombuffer(data, np.uint8, need, lo), bitorder="little")[:edges].astype(bool)
-    has, own = bits(at), bits(at + need)
+    has, own = bits(at), bits(at + has_bytes)
     _need(int(own.sum()) == explicit, "explicit portals do not match their bitset")
-    index = np.frombuffer(data, "<u4", explicit, at + 2 * need)
-    payload = np.frombuffer(data, "<f4", 4 * unique, at + 2 * need + 4 * explicit).reshape(-1, 4)
+    index = np.frombuffer(data, "<u4", explicit, body)
+    payload = np.frombuffer(data, "<f4", 4 * unique, body + 4 * explicit).reshape(-1, 4)
     _need(bool((index < max(unique, 1)).all()) if explicit else True, "a portal index is out of range")
     ends = np.full((edges, 4), np.nan)
     ends[own] = payload[index]
