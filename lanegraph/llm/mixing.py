@@ -37,7 +37,7 @@ from lanegraph.llm.features import MARKS, Memo, bounded_sample, map_rows, word_u
 from lanegraph.shared import materialize
 
 BUCKETS = 1 << 16
-FEATURES = 384
+FEATURES = 1024
 PREFIXES = (4, 6)
 MAX_LABELLED = 8_000
 RIDGE = 0.005
@@ -82,7 +82,7 @@ class DomainClassifier:
         self.w = np.zeros((0, len(domains)))
         self.b = np.zeros(len(domains))
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 300, rate: float = 0.05, decay: float = 1e-3) -> "DomainClassifier":
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 200, rate: float = 0.05, decay: float = 1e-3) -> "DomainClassifier":
         """``rows``: units and counts of each labelled text."""
         k, n = len(self.domains), len(y)
         if k < 2 or not n:
@@ -103,16 +103,16 @@ class DomainClassifier:
         for c in range(k):  # the strongest units of each domain
             chosen.update(np.argsort(-z[c], kind="stable")[: FEATURES // k].tolist())
         self.slot[sorted(chosen)] = np.arange(len(chosen))
-        x = np.zeros((n, len(chosen)))
+        x = np.zeros((n, len(chosen)), np.float32)
         for i, (u, c) in enumerate(rows):
             s = self.slot[u]
             x[i, s[s >= 0]] = np.log1p(c[s >= 0])
         self.w = np.zeros((len(chosen), k))
         m = [np.zeros_like(self.w), np.zeros(k)]
         v = [np.zeros_like(self.w), np.zeros(k)]
-        gold = np.eye(k)[y]
+        gold = np.eye(k, dtype=np.float32)[y]
         for step in range(1, epochs + 1):
-            d = (self._softmax(x @ self.w + self.b) - gold) / n
+            d = ((self._softmax(x @ self.w.astype(np.float32) + self.b) - gold) / n).astype(np.float32)
             for j, (p, g) in enumerate(((self.w, x.T @ d + decay / n * self.w), (self.b, d.sum(0)))):
                 m[j] = 0.9 * m[j] + 0.1 * g
                 v[j] = 0.99 * v[j] + 0.01 * g * g
