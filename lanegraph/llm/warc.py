@@ -147,14 +147,25 @@ def normalise(chunks: Iterable[bytes]) -> Iterator[tuple[int, int, dict[str, str
 # --- tables -------------------------------------------------------------------------------
 
 
+def _deflated(rows: DataFrame) -> DataFrame:
+    """The payload column deflated, so that the shuffle that brings pages and leaders together carries less."""
+
+    def run(batches):
+        for b in batches:
+            small = [zlib.compress(p, 1) for p in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(small, pa.binary()), b.column(3), b.column(4)], names=b.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, refers_to of every page: who is a revisit of whom."""
+    """page_id, url, payload (deflated), refers_to of every page: who is a revisit of whom."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("size", F.length("payload"))
     equal = rows.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("leader"), F.count("*").alias("n"))
     equal = equal.where("n > 1").select("sha", "leader")
-    joined = rows.join(equal, "sha", "left")
+    joined = _deflated(rows).join(equal, "sha", "left")
     revisit = F.when((F.col("size") >= min_bytes) & ~F.col("leader").eqNullSafe(F.col("page_id")), F.col("leader"))
     return joined.select("page_id", "url", "payload", revisit.alias("refers_to"))
 
@@ -171,7 +182,8 @@ def write_archives(planned: DataFrame) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                page, url, payload, to = (batch.column(j)[i].as_py() for j in range(4))
+                page, url, small, to = (batch.column(j)[i].as_py() for j in range(4))
+                payload = zlib.decompress(small)
                 if z is None:
                     z, filled, seq, held = zlib.compressobj(6, zlib.DEFLATED, 31), 0, 0, bytearray()
                 held += z.compress(record_bytes(page, url, payload, to))
