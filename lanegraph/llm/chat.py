@@ -43,7 +43,7 @@ ERROR = "error"
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, "([<\\[\\\\])", "$1\\\\\\\\")
+    return F.regexp_replace(text, "([<\\[\\\\])", "$1\\\\")
 
 
 def unescape(text: Column) -> Column:
