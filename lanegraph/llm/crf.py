@@ -125,12 +125,13 @@ class Crf:
         m = len(start)
         norm = lambda a: a / np.maximum(a.sum(axis=-1, keepdims=True), 1e-30)
         # Transfer matrix of each segment: row i is the forward vector after it, from label i before it.
+        opening = (nth == 0)[:, None, None]  # nothing precedes a text's first word
         move = np.broadcast_to(np.eye(k, dtype=np.float32), (m, k, k)).copy()
         for s in range(SEG):
             a = active[s]
             if not a:
                 break
-            x = (move[:a] @ t) * pot[start[:a] + s][:, None, :]
+            x = (move[:a] @ t if s else np.where(opening, move, move @ t)[:a]) * pot[start[:a] + s][:, None, :]
             move[:a] = x / np.maximum(x.sum(axis=(1, 2), keepdims=True), 1e-30)
         at = np.empty((len(docs), int(count.max())), np.int64)
         at[doc, nth] = np.arange(m)
@@ -156,7 +157,7 @@ class Crf:
             a = active[s]
             if not a:
                 break
-            cur = norm((cur[:a] @ t) * pot[start[:a] + s])
+            cur = norm((cur[:a] @ t if s else np.where(opening[:, 0], cur, cur @ t)) * pot[start[:a] + s])
             alpha[start[:a] + s] = cur
         beta = back.copy()
         for s in reversed(range(SEG)):
