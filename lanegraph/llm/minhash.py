@@ -4,7 +4,8 @@ Words are the lower-cased runs without ASCII white space; shingles are five word
 all its words). Each shingle is hashed once; the top 8 bits choose one of 256 bins and the smallest
 hash of a bin stands for it. A bin without shingles takes the value of the first filled bin in its own
 probe sequence (optimal densification: start and odd stride are hashes of the bin, so the sequence
-visits all bins). The low 4 bits of each bin are packed into a hex digit: 256 digits, 128 bytes.
+visits all bins). A bin's value is hashed with the bin's number, so that one value copied into many bins
+gives independent digits, and the low 4 bits are packed into a hex digit: 256 digits, 128 bytes.
 
 Two fingerprints that agree in m of 256 digits have likeness ((m / 256) - c) / (1 - c) with
 c = 1/16 the share of digits that agree by chance, cut to [0, 1]; its standard error is at most 0.034.
@@ -91,7 +92,7 @@ def densified(minima: Column) -> Column:
 
 def digits(text: Column) -> Column:
     """256 digits 0..15 as array<tinyint>; an empty array for a text without words."""
-    low = lambda h: F.transform(densified(bin_minima(h)), lambda x: x.bitwiseAND(F.lit(15)).cast("tinyint"))
+    low = lambda h: F.transform(densified(bin_minima(h)), lambda x, j: F.xxhash64(x, j).bitwiseAND(F.lit(15)).cast("tinyint"))
     return let(shingle_hashes(text), lambda h: F.when(F.size(h) > 0, low(h)).otherwise(F.array().cast("array<tinyint>")))
 
 
