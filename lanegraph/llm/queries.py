@@ -84,7 +84,26 @@ def queries() -> dict:
     }
 
 
-#: Which page revisits which follows from the pages alone, so SQL can say what must come back from the
-#: archives, except for the base32 form of the digest, which DuckDB does not offer.
+#: Base32 of the SHA-1: every five hex digits are four letters.
+_DIGIT = "(instr('0123456789abcdef', substr(h, i * 5 + {}, 1)) - 1)"
+_TWENTY = " + ".join(f"{_DIGIT.format(k + 1)} * {16 ** (4 - k)}" for k in range(5))
+_LETTERS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({_TWENTY}) // {32 ** k}) % 32 + 1, 1)" for k in (3, 2, 1, 0))
+
+OP4_SQL = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+ lead AS (SELECT t, max(page_id) AS leader FROM p GROUP BY t HAVING count(*) > 1),
+ d AS (SELECT page_id, octet_length(encode(p.t)) AS n, sha1(p.t) AS h, CASE WHEN leader <> page_id THEN leader END AS refers_to FROM p LEFT JOIN lead USING (t))
+ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 8), lambda i: {_LETTERS}), '') AS payload_digest,
+ CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM d"""
+
+#: Lengths follow from the template: opening and closing strings, and a backslash after each control character of a text.
+OP6_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '{PROBE_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE_TEXT}'),
+ f AS (SELECT *, length(text) + length(text) - length(replace(replace(replace(text, '<', ''), '[', ''), '\', '')) + CASE role {" ".join(f"WHEN '{r}' THEN {len(x['open']) + len(x['close'])}" for r, x in chat.TEMPLATE["roles"].items())}
+ ELSE {len(chat.TEMPLATE["other"]["open"]) - len("{role}") + len(chat.TEMPLATE["other"]["close"])} + length(role) + length(role) - length(replace(replace(replace(role, '<', ''), '[', ''), '\', '')) END AS n FROM t)
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(n) AS BIGINT) AS formatted_chars, regexp_full_match(string_agg(role, ' ' ORDER BY turn, role, text), '(system )?user assistant( user assistant)*') AS valid FROM f GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only what SQL can express: the others use XXH64, trained models, sub-word merges or packing; tests compare those with brute force."""
+    return {"op4_warc": OP4_SQL, "op6_chat": OP6_SQL}
