@@ -10,11 +10,13 @@ from lanegraph.functions.geo import haversine_nm
 DELTA_OVERFLOW = -32768
 
 
-def row_offsets(degrees: DataFrame, blocks: int = 64) -> DataFrame:
+def row_offsets(degrees: DataFrame, blocks: int | None = None) -> DataFrame:
     """node_id, degree to node_id, row_start, row_end: the running sum of degrees by node.
 
-    Dense ids are cut into blocks; blocks are summed first and prefixed, so the running sums inside them are parallel.
+    Dense ids are cut into blocks (four per shuffle partition unless said otherwise); blocks are summed first and
+    prefixed, so the running sums inside them are parallel.
     """
+    blocks = blocks or 4 * int(degrees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = F.greatest(F.lit(1), F.ceil((F.lit(_bound(degrees, "node_id")) + 1) / blocks)).cast("long")
     cut = degrees.withColumn("block", F.floor(F.col("node_id") / size).cast("int"))
     sums = cut.groupBy("block").agg(F.sum("degree").alias("total"))

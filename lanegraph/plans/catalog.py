@@ -246,6 +246,18 @@ def port_connectors(d: Derived) -> DataFrame:
     return made.select("role", "locode", "segment", F.size("points").alias("n_points"))
 
 
+@query(with_ctes("ports", "SELECT locode, name, port_lat, snapped_lat, component_id, CAST(NULL AS DOUBLE) AS marine_access_lat FROM ports"))
+def ports_compact(d: Derived) -> DataFrame:
+    """Positional rows of JSON text back to named, typed columns; a field that is not named is null."""
+    from lanegraph.sources.json_files import compact_ports
+
+    text = lambda c: F.coalesce(F.concat(F.lit('"'), F.col(c), F.lit('"')), F.lit("null"))
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    rows = d.ports.select(F.array(text("locode"), number("component_id"), text("name"), number("port_lat"), number("snapped_lat")).alias("row"))
+    made = compact_ports(rows, ["locode", "component_id", "name", "port_lat", "snapped_lat"])
+    return made.select("locode", "name", "port_lat", "snapped_lat", "component_id", "marine_access_lat")
+
+
 # --- scalars ----------------------------------------------------------------------------------
 
 
