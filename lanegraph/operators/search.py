@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanegraph.functions.geo import haversine_py
+from lanegraph.functions.geo import EARTH_RADIUS_NM, haversine_py
 from lanegraph.operators.network import landmarks
 from lanegraph.shared import materialize
 
@@ -105,34 +105,39 @@ def add_landmarks(csr: Csr, ids: list[int], rate: float) -> Csr:
     csr.landmark_ids, csr.rate = ids, rate
     for v in ids:
         for reverse, tables in ((False, csr.from_landmark), (True, csr.to_landmark)):
-            out = np.full(csr.n, INF)
+            out = np.full(csr.n, np.nan)  # no path: drops out of every maximum
             dist = tree(csr, v, reverse)[0]
             out[list(dist)] = list(dist.values())
             tables.append(out)
     return csr
 
 
-def lower_bound(csr: Csr, s: int, t: int) -> float:
-    """A bound on the cost from s to t: landmarks, else the cheapest rate along the great circle."""
-    best = 0.0
+def bounds(csr: Csr, v: int, into: bool) -> np.ndarray:
+    """Bounds on the costs from every node to v (``into``), or from v to every node: landmarks, else the cheapest rate along the great circle."""
+    best = np.zeros(csr.n)
     for near, far in zip(csr.from_landmark, csr.to_landmark):
-        for x, y in ((near[s], near[t]), (far[t], far[s])):
-            if x < INF and y < INF:
-                best = max(best, float(y - x))
-    if best <= 0 and csr.rate > 0 and csr.lat is not None:
-        best = csr.rate * haversine_py(csr.lat[s], csr.lon[s], csr.lat[t], csr.lon[t])
+        best = np.fmax(best, near[v] - near if into else near - near[v])
+        best = np.fmax(best, far - far[v] if into else far[v] - far)
+    bare = np.flatnonzero(best <= 0) if csr.rate > 0 and csr.lat is not None else ()
+    if len(bare):
+        lat, lon, lat0, lon0 = np.radians(csr.lat[bare]), np.radians(csr.lon[bare]), np.radians(csr.lat[v]), np.radians(csr.lon[v])
+        a = np.sin((lat - lat0) / 2) ** 2 + np.cos(lat) * np.cos(lat0) * np.sin((lon - lon0) / 2) ** 2
+        best[bare] = csr.rate * 2 * EARTH_RADIUS_NM * np.arcsin(np.sqrt(np.minimum(1.0, a)))
     return best * (1 - 1e-12)
 
 
+def lower_bound(csr: Csr, s: int, t: int) -> float:
+    return float(bounds(csr, t, True)[s])
+
+
 def two_sided(csr: Csr, s: int, t: int) -> tuple[float, list[int], list[int], int, int] | None:
     """Bidirectional A* with balanced potentials: cost, nodes, edges, nodes settled on either side; None without a path."""
-    total = lower_bound(csr, s, t)
-    potential: dict[int, float] = {}
+    left = bounds(csr, t, True)
+    total = float(left[s])
+    potential = 0.5 * (left - bounds(csr, s, False) + total)
 
     def ahead(v: int) -> float:
-        if v not in potential:
-            potential[v] = 0.5 * (lower_bound(csr, v, t) - lower_bound(csr, s, v) + total)
-        return potential[v]
+        return float(potential[v])
 
     sides = []
     for root, sign, reverse in ((s, 1.0, False), (t, -1.0, True)):
