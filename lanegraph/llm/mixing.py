@@ -153,10 +153,14 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
         return [lists(unit), lists(count)]
 
     rows = map_texts(chosen, "text", ["doc_id", "domain"], "units array<int>, counts array<int>", units).toArrow()
-    found = sorted(zip(*(rows[c].to_pylist() for c in ("doc_id", "domain", "units", "counts"))), key=lambda r: (str(r[0]), r[1]))
-    domains = [d for d in NAMES.values() if any(r[1] == d for r in found)] or ["good"]
-    y = np.array([domains.index(r[1]) for r in found], np.int64)
-    return DomainClassifier(domains).fit([(np.array(r[2], np.int64), np.array(r[3], np.int64)) for r in found], y)
+    ids, names = rows["doc_id"].to_pylist(), rows["domain"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (str(ids[i]), names[i]))
+    domains = [d for d in NAMES.values() if d in set(names)] or ["good"]
+    y = np.array([domains.index(names[i]) for i in order], np.int64)
+    # Views of the Arrow buffers: lists of Python numbers would take many times the memory.
+    lists = [rows[c].combine_chunks() for c in ("units", "counts")] if len(ids) else []
+    cuts, flat = ([x.offsets.to_numpy() for x in lists], [x.values.to_numpy() for x in lists]) if lists else ([], [])
+    return DomainClassifier(domains).fit([tuple(f[c[i] : c[i + 1]] for c, f in zip(cuts, flat)) for i in order], y)
 
 
 def replay(p: np.ndarray, history: list[np.ndarray], ridge: float, eta: float) -> tuple[np.ndarray, np.ndarray]:
