@@ -90,6 +90,39 @@ def tree(csr: Csr, source: int, reverse: bool = False, target: int = -1) -> tupl
     return dist, last, len(done)
 
 
+def all_distances(csr: Csr, source: int, reverse: bool = False) -> np.ndarray:
+    """Distances from ``source`` to every node (infinite where there is no path), relaxed in whole arrays.
+
+    Nodes whose distance is below a moving limit are relaxed together; the limit grows by a few mean edge costs.
+    """
+    start, to, cost, _ = csr.backward if reverse else csr.forward
+    dist = np.full(csr.n, INF)
+    dist[source] = 0.0
+    step = 4.0 * float(cost.mean()) + 1e-9 if len(cost) else 1.0
+    waiting = np.array([source])
+    limit = step
+    while len(waiting):
+        ready = dist[waiting] < limit
+        now, waiting = waiting[ready], waiting[~ready]
+        while len(now):
+            count = start[now + 1] - start[now]
+            at = np.repeat(start[now] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            there, far = to[at], np.repeat(dist[now], count) + cost[at]
+            better = far < dist[there]
+            there, far = there[better], far[better]
+            np.minimum.at(dist, there, far)
+            moved = np.unique(there)
+            soon = dist[moved] < limit
+            now, later = moved[soon], moved[~soon]
+            if len(later):
+                waiting = np.concatenate([waiting, later])
+        if len(waiting):
+            waiting = np.unique(waiting)
+            waiting = waiting[dist[waiting] >= limit]
+            limit = float(dist[waiting].min()) + step if len(waiting) else limit
+    return dist
+
+
 def trail(last: dict[int, tuple[int, int]], source: int, node: int) -> tuple[list[int], list[int]]:
     """Nodes from source to node and the edges between them."""
     nodes, edges = [node], []
@@ -105,10 +138,8 @@ def add_landmarks(csr: Csr, ids: list[int], rate: float) -> Csr:
     csr.landmark_ids, csr.rate = ids, rate
     for v in ids:
         for reverse, tables in ((False, csr.from_landmark), (True, csr.to_landmark)):
-            out = np.full(csr.n, np.nan)  # no path: drops out of every maximum
-            dist = tree(csr, v, reverse)[0]
-            out[list(dist)] = list(dist.values())
-            tables.append(out)
+            out = all_distances(csr, v, reverse)
+            tables.append(np.where(out < INF, out, np.nan))  # no path: drops out of every maximum
     return csr
 
 
@@ -253,8 +284,9 @@ def distances(sources: DataFrame, nodes: DataFrame, edges: DataFrame, reverse: b
             for v in b.column(0).to_pylist():
                 if v is None or not 0 <= v < sent.value.n:
                     continue
-                dist = tree(sent.value, v, reverse)[0]
-                yield pa.RecordBatch.from_arrays([pa.array([v] * len(dist), pa.int32()), pa.array(list(dist), pa.int32()), pa.array(list(dist.values()), pa.float64())], names=["source", "node_id", "distance"])
+                dist = all_distances(sent.value, v, reverse)
+                found = np.flatnonzero(dist < INF)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), v, np.int32)), pa.array(found.astype(np.int32)), pa.array(dist[found])], names=["source", "node_id", "distance"])
 
     return sources.select(F.col("source").cast("int")).distinct().mapInArrow(run, "source int, node_id int, distance double")
 

@@ -76,6 +76,17 @@ def test_two_sided_equals_heap_equals_relaxation(seed):
                     assert sum(float(cost[e]) for e in edges) == pytest.approx(want[t], abs=1e-6)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_array_relaxation_equals_heap(seed):
+    csr, *_ = random_csr(seed, whole=seed % 2 == 0)
+    for s in range(0, 60, 9):
+        for reverse in (False, True):
+            want = np.full(60, math.inf)
+            dist = search.tree(csr, s, reverse)[0]
+            want[list(dist)] = list(dist.values())
+            assert (search.all_distances(csr, s, reverse) == want).all()
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_landmark_bounds_never_exceed_distances(seed):
     csr, src, dst, cost = random_csr(seed)
