@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanegraph.llm.common import map_texts
-from lanegraph.llm.features import MARKS, Memo, bounded_sample, map_rows, word_units
+from lanegraph.llm.features import MARKS, Memo, bounded_sample, live, map_rows, word_units
 from lanegraph.shared import materialize
 
 BUCKETS = 1 << 16
@@ -42,6 +42,8 @@ PREFIXES = (4, 6)
 MAX_LABELLED = 8_000
 RIDGE = 0.005
 ROUNDS = 24
+#: No domain's target exceeds this many times its present tokens: scarce text is not repeated without bound.
+MAX_REPEAT = 1.0
 #: Target share of each domain (quality, toxic) relative to the others; see ``targets_for``.
 TARGETS = {"good": 0.97, "good_toxic": 0.02, "poor": 0.01, "poor_toxic": 0.0}
 NAMES = {(1, 0): "good", (1, 1): "good_toxic", (0, 0): "poor", (0, 1): "poor_toxic"}
@@ -53,11 +55,9 @@ def domain_units(word: bytes) -> tuple[int, ...]:
     return (*units, *(zlib.crc32(b"\x01" + core[:n]) % BUCKETS for n in PREFIXES if len(core) > n))
 
 
-_MEMO = Memo(domain_units)
-
-
 def unit_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, unit and count of every unit of every text, and each text's number of words."""
+    memo = live(("domain units",), lambda: Memo(domain_units))
     flat: list[int] = []
     sizes = np.empty(len(texts), np.int64)
     words = np.empty(len(texts), np.int64)
@@ -65,7 +65,7 @@ def unit_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     for i, t in enumerate(texts):
         ws = t.split()
         words[i] = len(ws)
-        flat.extend(chain.from_iterable(map(_MEMO.__getitem__, ws)))
+        flat.extend(chain.from_iterable(map(memo.__getitem__, ws)))
         sizes[i] = len(flat) - before
         before = len(flat)
     key = np.repeat(np.arange(len(texts)), sizes) * BUCKETS + np.fromiter(flat, np.int64, before)
@@ -211,13 +211,13 @@ def solve_rates(members: DataFrame, k: int, target: dict[int, float], anchor: in
     return history, eta, final
 
 
-def targets_for(q: np.ndarray, target: dict[int, float], anchor: int) -> np.ndarray:
-    """Token shares to aim for: the anchor domain keeps its tokens, the others get theirs in the given proportion."""
+def targets_for(q: np.ndarray, target: dict[int, float], anchor: int, max_repeat: float = MAX_REPEAT) -> np.ndarray:
+    """Token shares to aim for: the anchor domain keeps its tokens, the others get theirs in the given proportion, but at most ``max_repeat`` times what they have."""
     weight = np.array([target.get(j, 0.0) for j in range(len(q))])
     if weight[anchor] <= 0 or q[anchor] <= 0:
         weight = weight / max(weight.sum(), 1e-12)
-        return np.where(q > 0, weight, 0.0)
-    return np.where(q > 0, weight * q[anchor] / weight[anchor], 0.0)
+        return np.minimum(weight, max_repeat * q)
+    return np.minimum(weight * q[anchor] / weight[anchor], max_repeat * q)
 
 
 def _copies(rate, doc_id):
