@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanegraph.llm.common import crc_mod, map_texts
-from lanegraph.llm.features import MARKS
+from lanegraph.llm.features import MARKS, live
 
 D = 1 << 16
 WIDTH = 28
@@ -250,17 +250,13 @@ class Crf:
         return post / post.sum(2, keepdims=True), pairs
 
 
-_CACHE: dict = {}
-
-
 def _encode(crf: Crf, key: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Emissions of the letter words of all texts end to end, and how many each has."""
-    if _CACHE.get("key") != key:
-        _CACHE.clear()
-        _CACHE.update(key=key, index={}, rows=[np.zeros((0, len(crf.labels)), np.float32)])
-    if len(_CACHE["index"]) > 700_000:
-        _CACHE.update(index={}, rows=[np.zeros((0, len(crf.labels)), np.float32)])
-    index = _CACHE["index"]
+    """Emissions of the letter words of all texts end to end, and how many each has. Words met before are looked up."""
+    fresh_start = lambda: {"index": {}, "rows": [np.zeros((0, len(crf.labels)), np.float32)]}
+    kept = live(("crf", key), fresh_start)
+    if len(kept["index"]) > 400_000:
+        kept.update(fresh_start())
+    index = kept["index"]
     words = [t.split() for t in texts]
     fresh: dict[bytes, None] = {}
     for ws in words:
@@ -269,17 +265,17 @@ def _encode(crf: Crf, key: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndar
         new = list(fresh)
         cores = [core_of(w) for w in new]
         lettered = [c for c in cores if c]
-        base = sum(map(len, _CACHE["rows"]))
+        base = sum(map(len, kept["rows"]))
         nth = 0
         for w, c in zip(new, cores):
             index[w] = base + nth if c else -1
             nth += bool(c)
         if lettered:
-            _CACHE["rows"].append(crf.emissions(lettered))
-            if len(_CACHE["rows"]) > 16:
-                _CACHE["rows"] = [np.concatenate(_CACHE["rows"])]
-    table = np.concatenate(_CACHE["rows"]) if len(_CACHE["rows"]) > 1 else _CACHE["rows"][0]
-    _CACHE["rows"] = [table]
+            kept["rows"].append(crf.emissions(lettered))
+            if len(kept["rows"]) > 16:
+                kept["rows"] = [np.concatenate(kept["rows"])]
+    table = np.concatenate(kept["rows"]) if len(kept["rows"]) > 1 else kept["rows"][0]
+    kept["rows"] = [table]
     raw = np.fromiter(map(len, words), np.int64, len(words))
     ids = np.fromiter((index[w] for ws in words for w in ws), np.int64, int(raw.sum()))
     doc = np.repeat(np.arange(len(words)), raw)

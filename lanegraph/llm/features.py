@@ -8,6 +8,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 class Memo(dict):
     """word -> make(word), with two generations of at most ``limit`` words each; values never depend on what is kept."""
 
-    def __init__(self, make: Callable[[bytes], object], limit: int = 400_000):
+    def __init__(self, make: Callable[[bytes], object], limit: int = 200_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
@@ -49,12 +50,20 @@ def word_units(word: bytes, buckets: int) -> tuple[int, ...]:
     return (zlib.crc32(low) % buckets, zlib.crc32(marks) % buckets) if core else (zlib.crc32(marks) % buckets,)
 
 
-_MEMOS: dict[tuple, Memo] = {}
+_LIVE: dict = {}
+
+
+def live(key: tuple, make: Callable[[], object]):
+    """What this worker keeps from batch to batch: one thing only. Spark reuses workers, so that of another operator is dropped first."""
+    if key not in _LIVE:
+        _LIVE.clear()
+        _LIVE[key] = make()
+    return _LIVE[key]
 
 
 def unit_ids(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the units of all texts end to end, and how many each text has."""
-    memo = _MEMOS.setdefault(("units", buckets), Memo(lambda w: word_units(w, buckets)))
+    memo = live(("units", buckets), lambda: Memo(lambda w: word_units(w, buckets)))
     flat: list[int] = []
     sizes = np.empty(len(texts), np.int64)
     before = 0
@@ -67,7 +76,7 @@ def unit_ids(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def core_ids(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """One id per word (its lower-cased core), and the number of words of each text."""
-    memo = _MEMOS.setdefault(("cores", buckets), Memo(lambda w: zlib.crc32(w.strip(MARKS).lower()) % buckets))
+    memo = live(("cores", buckets), lambda: Memo(lambda w: zlib.crc32(w.strip(MARKS).lower()) % buckets))
     flat: list[int] = []
     sizes = np.empty(len(texts), np.int64)
     before = 0
@@ -80,11 +89,15 @@ def core_ids(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def map_rows(df: DataFrame, text: str, schema: str, fn: Callable[[list[bytes]], Iterable]) -> DataFrame:
     """Every row as a struct ``__row`` beside what ``fn`` makes of its whole text, so no column name can clash."""
-    rows = df.select(F.struct("*").alias("__row"), F.col(text).cast("string").alias("__text"))
+    rows = df.select(F.struct("*").alias("__row"))
     names = [part.split()[0] for part in schema.split(", ")]
 
+    def with_text(batches):
+        for b in batches:  # a view of the struct's own field
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.struct_field(b.column(0), text).cast(pa.string())], names=["__row", "__text"])
+
     def run(batches):
-        for part, texts in groups(batches, "__text"):
+        for part, texts in groups(with_text(batches), "__text"):
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in fn(texts))], names=["__row", *names])
 
     return rows.mapInArrow(run, f"__row {rows.schema['__row'].dataType.simpleString()}, {schema}")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanegraph.llm.common import groups
-from lanegraph.llm.features import Memo
+from lanegraph.llm.features import Memo, live
 from lanegraph.shared import materialize
 
 CAPACITY = 4096
@@ -77,7 +77,7 @@ class WordIds:
             if all(c in to_byte for c in chars) and not piece.startswith("<|"):
                 ranks[bytes(to_byte[c] for c in chars) + (self.END if last else b"")] = i
         self.fast = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.memo = Memo(self.word, 400_000)
+        self.memo = Memo(self.word)
 
     @staticmethod
     def _byte_of_char() -> dict[str, int]:
@@ -100,13 +100,8 @@ class WordIds:
         return b"".join(map(self.memo.__getitem__, text.split()))
 
 
-_LOADED: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
+    return live(("word ids", path), lambda: WordIds(path))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

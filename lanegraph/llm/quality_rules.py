@@ -22,11 +22,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanegraph.llm.common import groups, map_texts
+from lanegraph.llm.common import map_texts
+from lanegraph.llm.features import map_rows
 from lanegraph.shared import materialize
 
 WHITE = b" \t\n\x0b\x0c\r"
@@ -37,6 +37,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 COUNTS_SCHEMA = ", ".join(f"{c} long" for c in COUNTS)
 #: Levels of a cutoff: level L rejects a ratio of at least L / LEVELS.
 LEVELS = 64
+NO_STRATUM = "(none)"
 
 
 def _repeated_words(words: list[list[bytes]]) -> np.ndarray:
@@ -196,7 +197,7 @@ def rejected_by_rules(cutoffs: dict[str, dict[str, int]], stratum: Column) -> Co
 
 
 def _stratum(column: str) -> Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit("(none)"))
+    return F.coalesce(F.col(column).cast("string"), F.lit(NO_STRATUM))
 
 
 def fit_from_tables(counts: DataFrame, labels: DataFrame, **params) -> dict[str, dict[str, int]]:
@@ -217,12 +218,6 @@ def filter_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
     source = docs.withColumn("__stratum", _stratum(stratum))
     counts = materialize(text_counts(source, ["doc_id", "__stratum"]), "rules")
     cutoffs = fit_from_tables(counts, labels, **params)
-    rows = docs.select(F.struct("*").alias("__row"), _stratum(stratum).alias("__stratum"), F.col("text").cast("string").alias("__text"))
-    schema = f"__row {rows.schema['__row'].dataType.simpleString()}, __stratum string, {COUNTS_SCHEMA}"
-
-    def run(batches):
-        for part, texts in groups(batches, "__text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, count_texts(texts))], names=["__row", "__stratum", *COUNTS])
-
-    kept = rows.mapInArrow(run, schema).where(~base_failed() & ~rejected_by_rules(cutoffs, F.col("__stratum")))
+    counted = map_rows(docs, "text", COUNTS_SCHEMA, count_texts).withColumn("__stratum", F.coalesce(F.col("__row")[stratum].cast("string"), F.lit(NO_STRATUM)))
+    kept = counted.where(~base_failed() & ~rejected_by_rules(cutoffs, F.col("__stratum")))
     return kept.select("__row.*")
