@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanegraph.operators.network import row_offsets, with_ends
+from lanegraph.shared import materialize
 
 H3_BASE, H3_STEP = 600000000000000000, 1000003
 SNAP_RADIUS_NM = 1500.0
@@ -50,7 +51,7 @@ LAND_TEST = "(row * 7 + col * 13) % 97 = 0"
 
 
 class Derived:
-    """Tables of the derived network as DataFrames; each is a plan, nothing is cached."""
+    """Tables of the derived network as DataFrames. The edges, which most queries read several times, are written once; the others are plans."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -99,10 +100,11 @@ class Derived:
     @cached_property
     def edges(self) -> DataFrame:
         kept = self.legs.where(f"next_id is not null and {EDGE_TEST}").groupBy(F.col("node_id").alias("src"), F.col("next_id").alias("dst"))
-        kept = kept.agg(F.min("l_quantity").cast("float").alias("cost"))
+        kept = materialize(kept.agg(F.min("l_quantity").cast("float").alias("cost")), "pairs")
         starts = row_offsets(kept.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("degree"))).select(F.col("node_id").alias("src"), "row_start")
         nth = F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1
-        return kept.withColumn("nth", nth).join(starts, "src").select((F.col("row_start") + F.col("nth")).cast("int").alias("edge_id"), "src", "dst", "cost")
+        made = kept.withColumn("nth", nth).join(starts, "src").select((F.col("row_start") + F.col("nth")).cast("int").alias("edge_id"), "src", "dst", "cost")
+        return materialize(made, "edges")
 
     @cached_property
     def ports(self) -> DataFrame:
