@@ -119,7 +119,10 @@ def rule_level(rule: str) -> Column:
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X ~ Binomial(n, p), exact up to rounding; only the terms that can matter are added."""
+    """P(X <= k) for X ~ Binomial(n, p), exact up to rounding, from the tail on k's side of the mean.
+
+    That tail's terms fall from its first one on, and those more than 40 standard deviations away are lost in rounding.
+    """
     if k >= n:
         return 1.0
     if p <= 0:
@@ -127,12 +130,17 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     if p >= 1:
         return 0.0
     log_p, log_q = math.log(p), math.log1p(-p)
-    top = math.lgamma(n + 1)
-    i = np.arange(max(0, k - 20_000), k + 1)
-    lg = np.array([math.lgamma(x + 1) + math.lgamma(n - x + 1) for x in i])
-    logs = top - lg + i * log_p + (n - i) * log_q
-    peak = logs.max()
-    return min(1.0, math.exp(peak) * float(np.exp(logs - peak).sum()))
+    below = k < n * p
+    first = k if below else k + 1
+    most = min(first if below else n - first, int(40 * math.sqrt(n * p * (1 - p))) + 1000)
+    i = np.arange(most, dtype=np.float64)
+    if below:  # P(X = first - i - 1) / P(X = first - i), and upwards likewise
+        steps = np.log(first - i) - np.log(n - first + i + 1) + log_q - log_p
+    else:
+        steps = np.log(n - first - i) - np.log(first + i + 1) + log_p - log_q
+    at = math.lgamma(n + 1) - math.lgamma(first + 1) - math.lgamma(n - first + 1) + first * log_p + (n - first) * log_q
+    tail = math.exp(at) * (1.0 + float(np.exp(np.cumsum(steps)).sum()))
+    return min(1.0, tail) if below else max(0.0, 1.0 - tail)
 
 
 def certified_levels(good: np.ndarray, alpha: float, level: float) -> int:

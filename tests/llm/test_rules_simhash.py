@@ -52,6 +52,23 @@ def test_binomial_and_certificates():
     assert qr.certified_levels(good // 100, 0.01, 0.001) == qr.LEVELS + 1
 
 
+def test_binomial_of_many_rows():
+    """k far above and on both sides of n * p, where the mode is more terms away than the lower sum used to reach."""
+    import numpy as np
+
+    n = 1_000_000
+    for k, p in ((9_900, 0.01), (9_999, 0.01), (10_000, 0.01), (10_100, 0.01)):
+        z = (k + 0.5 - n * p) / math.sqrt(n * p * (1 - p))
+        assert qr.binomial_cdf(k, n, p) == pytest.approx(0.5 * math.erfc(-z / math.sqrt(2)), abs=2e-3)
+        assert qr.binomial_cdf(k, n, p) == pytest.approx(1 - qr.binomial_cdf(n - k - 1, n, 1 - p), abs=1e-7)
+    for k, n in ((40_000, 1_000_000), (60_000, 3_000_000), (29_600, 400_000), (30_000, 60_000)):
+        assert qr.binomial_cdf(k, n, 0.01) == pytest.approx(1.0)
+    assert qr.binomial_cdf(5_000, 1_000_000, 0.01) < 1e-100
+    good = np.zeros(qr.LEVELS + 1, np.int64)
+    good[0], good[10], good[20] = 370_000, 29_000, 1_000  # cutoff 20 rejects 0.25 %, cutoff 10 rejects 7.5 %
+    assert qr.certified_levels(good, 0.01, 0.001) == 11
+
+
 def test_false_rejections_stay_below_alpha():
     """Over many draws the share of runs whose cutoff rejects more than alpha stays below delta."""
     import numpy as np
