@@ -42,8 +42,6 @@ PREFIXES = (4, 6)
 MAX_LABELLED = 8_000
 RIDGE = 0.005
 ROUNDS = 24
-#: No domain's target exceeds this many times its present tokens: scarce text is not repeated without bound.
-MAX_REPEAT = 1.0
 #: Target share of each domain (quality, toxic) relative to the others; see ``targets_for``.
 TARGETS = {"good": 0.97, "good_toxic": 0.02, "poor": 0.01, "poor_toxic": 0.0}
 NAMES = {(1, 0): "good", (1, 1): "good_toxic", (0, 0): "poor", (0, 1): "poor_toxic"}
@@ -211,13 +209,16 @@ def solve_rates(members: DataFrame, k: int, target: dict[int, float], anchor: in
     return history, eta, final
 
 
-def targets_for(q: np.ndarray, target: dict[int, float], anchor: int, max_repeat: float = MAX_REPEAT) -> np.ndarray:
-    """Token shares to aim for: the anchor domain keeps its tokens, the others get theirs in the given proportion, but at most ``max_repeat`` times what they have."""
+def targets_for(q: np.ndarray, target: dict[int, float], anchor: int) -> np.ndarray:
+    """Token shares to aim for: the anchor domain keeps its tokens, the others get theirs in the given proportion, scarce ones by repetition.
+
+    Only a domain without any expected tokens gets none, as no rate can raise it.
+    """
     weight = np.array([target.get(j, 0.0) for j in range(len(q))])
     if weight[anchor] <= 0 or q[anchor] <= 0:
         weight = weight / max(weight.sum(), 1e-12)
-        return np.minimum(weight, max_repeat * q)
-    return np.minimum(weight * q[anchor] / weight[anchor], max_repeat * q)
+        return np.where(q > 0, weight, 0.0)
+    return np.where(q > 0, weight * q[anchor] / weight[anchor], 0.0)
 
 
 def _copies(rate, doc_id):
@@ -262,6 +263,16 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     return rated.select("doc_id", "n_tokens", *shown, "rate", _copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
+def domain_totals(mixed: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = "good") -> dict[str, dict[str, float]]:
+    """From ``mix``'s rows, each domain's expected tokens as they are (present), as asked for (target), and as the rates make them (reached)."""
+    domains = [d for d in NAMES.values() if f"p_{d}" in mixed.columns]
+    sums = [F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p_{d}") * r), F.lit(0.0)) for r in (F.lit(1.0), F.col("rate")) for d in domains]
+    present, reached = np.array(mixed.agg(*sums).first(), float).reshape(2, -1)
+    total = max(present.sum(), 1e-9)
+    goal = targets_for(present / total, {j: targets.get(d, 0.0) for j, d in enumerate(domains)}, domains.index(anchor) if anchor in domains else 0)
+    return {d: {"present": a, "target": b * total, "reached": c} for d, a, b, c in zip(domains, present, goal, reached)}
+
+
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = "good") -> DataFrame:
     """The documents, each taken as often as its rate says, every column as it was."""
     model, _, history, eta = _solve(docs, labels, targets, anchor)

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -173,6 +174,21 @@ def test_mixing(spark):
     assert {x["copies"] for x in mixing.mix(docs, marks.limit(0)).collect()} == {1}
 
 
+def test_scarce_domain_reaches_its_weight(spark):
+    """4 poor documents of 400 against a weight of 20 to 80: they are repeated until the weights hold."""
+    r = random.Random(3)
+    poor = lambda i: i % 100 == 0
+    rows = [(i, " ".join(w + ("###" if poor(i) else "") for w in sentence(r, "en", 40).split()), "en", "s", 0) for i in range(400)]
+    docs, marks = frame(spark, rows), spark.createDataFrame([(i, int(not poor(i)), 0) for i in range(400)], LABELS)
+    weights = {"good": 0.8, "poor": 0.2}
+    got = mixing.domain_totals(mixing.mix(docs, marks, weights), weights)
+    assert got["poor"]["present"] < 0.05 * got["good"]["present"]
+    assert got["poor"]["reached"] / got["good"]["reached"] == pytest.approx(0.25, rel=0.1)
+    assert all(x["reached"] == pytest.approx(x["target"], rel=0.1) for x in got.values())
+    copies = Counter(x["doc_id"] % 100 == 0 for x in mixing.mixed_documents(docs, marks, weights).collect())
+    assert copies[True] / copies[False] == pytest.approx(0.25, rel=0.25)
+
+
 def test_pseudo_likelihood_equals_brute_force(spark):
     rows = documents(11)
     docs = clashing(frame(spark, rows))
