@@ -7,7 +7,9 @@ added up in two levels of blocks; the result has BUCKETS x DIM floats at every c
 can be broadcast. A document is the mean over its units of [unit-length context vector, index vector].
 
 The network (numpy, one hidden layer) learns from at most about ``MAX_LABELLED`` labelled rows,
-chosen by a hash of the id. A fifth of them only fits the temperature that divides the logit.
+chosen by a hash of the id: of the rarer label all rows up to half of that, the rest of the other. The
+logit is then moved from the sample's odds to those of all labelled rows. A fifth of the sample only
+fits the temperature that divides the logit, each row weighing as many labelled rows as it stands for.
 
 Edge cases: null and empty texts have the zero vector and get that vector's score. Labels other
 than 0 and 1 or null are ignored; of repeated labels of an id the largest counts; without both
@@ -25,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanegraph.llm.common import BLOCK_SCHEMA, blocks_of, crc_mod, groups, map_texts, segment_sum, sum_blocks
-from lanegraph.llm.features import bounded_sample, map_rows, unit_ids
+from lanegraph.llm.features import map_rows, unit_ids
+from lanegraph.shared import materialize
 
 BUCKETS = 1 << 14
 DIM = 32
@@ -106,8 +109,9 @@ class Network:
             return np.full(len(x), self.constant)
         return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature, -60, 60)))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, hold: np.ndarray, epochs: int = 60, rate: float = 0.01, decay: float = 1e-4) -> "Network":
-        """``hold`` marks the rows that only set the temperature."""
+    def fit(self, x: np.ndarray, y: np.ndarray, hold: np.ndarray, epochs: int = 60, rate: float = 0.01, decay: float = 1e-4, weight: dict[float, float] | None = None) -> "Network":
+        """``hold`` marks the rows that only set the temperature; ``weight`` is how many labelled rows one of each label stands for."""
+        weight = weight or {0.0: 1.0, 1.0: 1.0}
         if len(y) == 0 or len(set(y.tolist())) < 2:
             self.constant = float(y.mean()) if len(y) else 1.0
             return self
@@ -133,10 +137,12 @@ class Network:
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     self.p[k] = self.p[k] - r * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+        self.p[3] = self.p[3] + np.log(weight[1.0] / weight[0.0])
         xh, yh = (x[hold], y[hold]) if hold.any() else (xs, ys)
+        wh = np.where(yh > 0.5, weight[1.0], weight[0.0])
         t = np.geomspace(0.25, 8, 121)
         logits = self.logit(xh)
-        loss = [np.logaddexp(0, np.where(yh > 0.5, -1, 1) * logits / k).mean() for k in t]
+        loss = [np.average(np.logaddexp(0, np.where(yh > 0.5, -1, 1) * logits / k), weights=wh) for k in t]
         self.temperature = float(t[int(np.argmin(loss))])
         return self
 
@@ -149,11 +155,29 @@ def training_labels(labels: DataFrame, mod: int | None) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
 
 
+def label_sample(rows: DataFrame, bound: int) -> tuple[DataFrame, dict[float, float]]:
+    """About ``bound`` of ``rows`` (doc_id, y) at most, and how many rows one of each label stands for.
+
+    Of the rarer label all rows up to half the bound, of the other what is left; chosen by a hash of the id.
+    """
+    sizes = {0.0: 0, 1.0: 0} | {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    if sum(sizes.values()) <= bound:
+        return rows, {0.0: 1.0, 1.0: 1.0}
+    rare = min(sizes, key=sizes.get)
+    take = {rare: min(sizes[rare], bound // 2)}
+    take[1 - rare] = min(sizes[1 - rare], bound - take[rare])
+    upto = {y: max(1, int(take[y] / max(n, 1) * (1 << 20))) if n else 1 << 20 for y, n in sizes.items()}
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality")), F.lit(1 << 20))
+    chosen = rows.where(part < F.when(F.col("y") == 1, F.lit(upto[1.0])).otherwise(F.lit(upto[0.0])))
+    return chosen, {y: (1 << 20) / u for y, u in upto.items()}
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out_mod: int | None = 5, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, Network]:
     table = word_table(docs)
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(table)
-    sample = bounded_sample(training_labels(labels, held_out_mod), "doc_id", max_labelled, "quality")
+    present = training_labels(labels, held_out_mod).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    sample, weight = label_sample(materialize(present, "labelled"), max_labelled)
     # The sample has a bounded number of narrow rows, so it may be broadcast; texts stay where they are.
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     rows = map_texts(chosen, "text", ["doc_id", "y"], "x binary", lambda texts: [_packed(pooled(texts, sent.value))]).toArrow()
@@ -162,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_mod: int | None = 5, max_la
     y = np.asarray(rows["y"], np.float64)[order]
     ids = [str(i).encode() for i in np.asarray(rows["doc_id"])[order].tolist()]
     hold = np.array([zlib.crc32(b"t" + i) % 5 == 0 for i in ids], bool)
-    return table, Network(table.shape[1]).fit(x, y, hold)
+    return table, Network(table.shape[1]).fit(x, y, hold, weight=weight)
 
 
 def _packed(x: np.ndarray):

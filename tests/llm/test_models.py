@@ -135,6 +135,22 @@ def test_quality_scores(spark):
     assert {x["score"] for x in qc.score_documents(docs, marks.limit(0)).collect()} == {1.0}
 
 
+def test_rare_label_is_sampled_whole(spark):
+    """40 of 4,000 rows are poor: a sample of 400 holds them all, and scores keep to the odds of all rows."""
+    rows = spark.createDataFrame([(i, float(i % 100 != 0)) for i in range(4000)], "doc_id long, y double")
+    chosen, weight = qc.label_sample(rows, 400)
+    got = Counter(r["y"] for r in chosen.collect())
+    assert got[0.0] == 40 and 280 <= got[1.0] <= 440 and weight[0.0] == 1 and weight[1.0] == pytest.approx(11, rel=0.01)
+    assert qc.label_sample(rows, 4000)[0].count() == 4000
+    even, _ = qc.label_sample(rows.withColumn("y", (rows.doc_id % 2).cast("double")), 400)
+    assert all(140 <= n <= 260 for n in Counter(r["y"] for r in even.collect()).values())
+    rng = np.random.default_rng(0)
+    y = np.r_[np.zeros(400), np.ones(3600)]
+    x = rng.normal(0, 1, (4000, 2))
+    net = qc.Network(2).fit(x, y, np.arange(4000) % 5 == 0, weight={0.0: 1.0, 1.0: 11.0})
+    assert 0.97 < net.score(x).mean() < 1  # 39,600 of 40,000
+
+
 def test_projected_gradient_meets_targets(spark):
     rng = np.random.default_rng(0)
     n = 3000
