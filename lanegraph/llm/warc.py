@@ -1,17 +1,21 @@
 """WARC archives: records from a table of pages, and a normaliser for archives compressed as one stream.
 
-Writing: each task turns its pages into archives of at most about ARCHIVE_BYTES of payload, each one
-gzip stream over all its records (what careless tools produce), stored as numbered chunks of a table
-in the shared folder, because that is the only storage all executors share.
+Writing: each task turns its pages into archives of about ARCHIVE_BYTES of payload, each one gzip
+stream over all its records (what careless tools produce), stored as one row of a table in the shared
+folder, because that is the only storage all executors share. A row is a whole file, so reading the
+archives back needs no shuffle.
 
-Normalising: a task reads an archive's chunks in order, inflates the stream once, finds the records by
-their Content-Length, and writes every record as a gzip member of its own, so that a reader can start
-at any record. The sidecar index holds archive, offset, length, record id, type and target of each
-member. Memory holds one record and one chunk, never an archive. ``normalise`` does the same for any
-iterable of bytes, such as an open file.
+Normalising: a task inflates an archive's stream once, chunk by chunk, finds the records by their
+Content-Length, and writes every record as a gzip member of its own, so that a reader can start at any
+record. The sidecar index holds archive, offset, length, record id, type and target of each member.
+Memory holds the compressed archives of one input split, one record and one chunk. ``normalise`` does
+the same for any iterable of bytes, such as an open file.
 
 Payloads: of the records with equal payloads of at least ``min_bytes`` the one with the largest page
-id is a response, the others are revisits that refer to it; smaller ones are all responses.
+id is a response, the others are revisits that refer to it; smaller ones are all responses. Leaders are
+found on narrow rows (digest, page id). Payloads that more than one page in HEAVY has are at most HEAVY
+in number, so their leaders are broadcast and their pages stay where they are; the others meet their
+leader in a shuffle by digest, in which no key has more than one row in HEAVY.
 
 Edge cases: null html is an empty payload. Rows without a page id never lead a group that has an id;
 a group without any id has responses only. Rows that repeat the leader's id are responses too. A null
@@ -34,7 +38,11 @@ from pyspark.sql import functions as F
 from lanegraph.shared import materialize
 
 ARCHIVE_BYTES = 32 << 20
+#: What a record's own header counts for.
+HEAD_BYTES = 512
 CHUNK_BYTES = 1 << 20
+#: A payload is heavy if more than one page in so many has it.
+HEAVY = 1024
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 WARC_VERSION = b"WARC/1.1\r\n"
@@ -147,15 +155,16 @@ def normalise(chunks: Iterable[bytes]) -> Iterator[tuple[int, int, dict[str, str
 # --- tables -------------------------------------------------------------------------------
 
 
-def _deflated(rows: DataFrame) -> DataFrame:
-    """The payload column deflated, so that the shuffle that brings pages and leaders together carries less."""
+def _deflated(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` with the payload (the third) deflated, so that what moves to other tasks is smaller."""
+    narrow = rows.select(*columns)
 
     def run(batches):
         for b in batches:
-            small = [zlib.compress(p, 1) for p in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(small, pa.binary()), b.column(3), b.column(4)], names=b.schema.names)
+            small = pa.array([zlib.compress(p.as_buffer(), 1) for p in b.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), small, b.column(3)], names=columns)
 
-    return rows.mapInArrow(run, rows.schema)
+    return narrow.mapInArrow(run, narrow.schema)
 
 
 def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -163,44 +172,47 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("size", F.length("payload"))
-    equal = rows.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("leader"), F.count("*").alias("n"))
-    equal = equal.where("n > 1").select("sha", "leader")
-    joined = _deflated(rows).join(equal, "sha", "left")
-    revisit = F.when((F.col("size") >= min_bytes) & ~F.col("leader").eqNullSafe(F.col("page_id")), F.col("leader"))
-    return joined.select("page_id", "url", "payload", revisit.alias("refers_to"))
+    counted = rows.groupBy("sha").agg(F.max("page_id").alias("leader"), F.count("*").alias("n"), F.max("size").alias("bytes"))
+    equal = materialize(counted.where("n > 1").where(F.col("bytes") >= min_bytes).select("sha", "leader", "n"), "equal_payloads")
+    heavy = F.broadcast(equal.where(F.col("n") > max(1, pages.count() // HEAVY)).select("sha", "leader"))  # HEAVY rows at most
+    near = _deflated(rows.join(heavy, "sha"), ["page_id", "url", "payload", "leader"])
+    light = _deflated(rows.join(heavy, "sha", "left_anti"), ["page_id", "url", "payload", "sha"])
+    far = light.join(equal.select("sha", "leader"), "sha", "left").select(near.columns)
+    revisit = F.when(~F.col("leader").eqNullSafe(F.col("page_id")), F.col("leader"))
+    return near.unionByName(far).select("page_id", "url", "payload", revisit.alias("refers_to"))
 
 
 def write_archives(planned: DataFrame) -> DataFrame:
-    """archive, seq, data: monolithic gzip streams in chunks, written to the shared folder."""
+    """archive, data: monolithic gzip files, one a row, written to the shared folder."""
 
     def run(batches):
         task = TaskContext.get().partitionId()
-        number, z, filled, seq, held = 0, None, 0, 0, bytearray()
+        number, z, filled, held = 0, None, 0, []
 
-        def row(data: bytes):
-            return pa.RecordBatch.from_arrays([pa.array([(task << 20) + number], pa.int64()), pa.array([seq], pa.int32()), pa.array([data], pa.binary())], names=["archive", "seq", "data"])
+        def row():
+            data = b"".join(held) + z.flush()
+            return pa.RecordBatch.from_arrays([pa.array([(task << 24) + number], pa.int64()), pa.array([data], pa.binary())], names=["archive", "data"])
 
         for batch in batches:
             for i in range(batch.num_rows):
                 page, url, small, to = (batch.column(j)[i].as_py() for j in range(4))
                 payload = zlib.decompress(small)
                 if z is None:
-                    z, filled, seq, held = zlib.compressobj(6, zlib.DEFLATED, 31), 0, 0, bytearray()
-                held += z.compress(record_bytes(page, url, payload, to))
-                filled += len(payload)
-                while len(held) >= CHUNK_BYTES:
-                    yield row(bytes(held[:CHUNK_BYTES]))
-                    del held[:CHUNK_BYTES]
-                    seq += 1
+                    z, filled, held = zlib.compressobj(6, zlib.DEFLATED, 31), 0, []
+                held.append(z.compress(record_bytes(page, url, payload, to)))
+                filled += HEAD_BYTES + (len(payload) if to is None else 0)
                 if filled >= ARCHIVE_BYTES:
-                    held += z.flush()
-                    yield row(bytes(held))
+                    yield row()
                     z, number = None, number + 1
         if z is not None:
-            held += z.flush()
-            yield row(bytes(held))
+            yield row()
 
-    return materialize(planned.mapInArrow(run, "archive long, seq int, data binary"), "archives")
+    return materialize(planned.mapInArrow(run, "archive long, data binary"), "archives")
+
+
+def chunks_of(data: bytes | memoryview) -> Iterator[bytes]:
+    view = memoryview(data)
+    return (bytes(view[at : at + CHUNK_BYTES]) for at in range(0, len(view), CHUNK_BYTES))
 
 
 def normalise_archives(archives: DataFrame) -> DataFrame:
@@ -212,33 +224,20 @@ def normalise_archives(archives: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
 
     def run(batches):
-        state: dict = {"archive": None, "next": None}
-
-        def chunks():
-            """Chunks of one archive; stops, with the next archive's first chunk kept, where it ends."""
-            while state["next"] is not None:
-                archive, data = state["next"]
-                if archive != state["archive"]:
-                    return
-                state["next"] = next(source, None)
-                yield data
-
-        source = ((b.column(0)[i].as_py(), b.column(2)[i].as_py()) for b in batches for i in range(b.num_rows))
-        state["next"] = next(source, None)
-        while state["next"] is not None:
-            state["archive"] = state["next"][0]
-            rows, size = [], 0
-            for offset, length, head, data in normalise(chunks()):
-                rows.append((state["archive"], offset, length, head["warc-record-id"], head["warc-type"], head.get("warc-target-uri", ""), data))
-                size += length
-                if size >= 4 * CHUNK_BYTES:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                archive = batch.column(0)[i].as_py()
+                rows, size = [], 0
+                for offset, length, head, data in normalise(chunks_of(batch.column(1)[i].as_buffer())):
+                    rows.append((archive, offset, length, head["warc-record-id"], head["warc-type"], head.get("warc-target-uri", ""), data))
+                    size += length + HEAD_BYTES
+                    if size >= 4 * CHUNK_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                        rows, size = [], 0
+                if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    ordered = archives.repartition("archive").sortWithinPartitions("archive", "seq")
-    made = ordered.mapInArrow(run, "archive long, offset long, length long, record_id string, warc_type string, target_uri string, member binary")
+    made = archives.select("archive", "data").mapInArrow(run, "archive long, offset long, length long, record_id string, warc_type string, target_uri string, member binary")
     return materialize(made, "members")
 
 

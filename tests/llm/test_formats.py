@@ -92,9 +92,12 @@ def test_normaliser_on_monolithic_stream():
 PAGES = "page_id long, url string, html string"
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("heavy", [1024, 3, 1])  # all groups broadcast, the larger ones, none
+def test_round_trip(spark, monkeypatch, heavy):
+    monkeypatch.setattr(warc, "HEAVY", heavy)
     r = random.Random(0)
     rows = [(i, f"http://h/{i}", "é" * r.randrange(5) + str(r.randrange(40))) for i in range(200)]
+    rows += [(1000 + i, "u", "error page") for i in range(150)]
     rows += [(500, None, None), (501, "u\r\nX: y", ""), (502, "u", "z" * 3_000_000), (None, "u", "alone"), (None, "u", "é1"), rows[5]]
     pages = clashing(spark.createDataFrame(rows, PAGES)).repartition(3)
     lead, n = {}, {}
