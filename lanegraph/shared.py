@@ -2,13 +2,15 @@
 
 Loops and multi-pass operators cut their lineage by writing a Parquet table below the folder
 named by ``spark.checkpoint.dir`` and reading it back, so a lost executor costs at most the
-tasks it was running. Only where that setting is missing (tests, local mode) a folder is made.
+tasks it was running. Only in local mode, where driver and executors share a disk, a folder is made
+if that setting is missing; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -23,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="lanegraph-")
         root = f"{base.rstrip('/')}/lanegraph-{app}-{uuid.uuid4().hex[:8]}"
         _ROOTS[app] = root
