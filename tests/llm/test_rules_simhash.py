@@ -44,12 +44,13 @@ def test_binomial_and_certificates():
         assert qr.binomial_cdf(k, n, p) == pytest.approx(exact(k, n, p), rel=1e-9)
     import numpy as np
 
-    good = np.zeros(qr.LEVELS + 1, np.int64)
-    good[0] = 2000
-    assert qr.certified_levels(good, 0.01, 0.001) == 1
-    good[10] = 300
-    assert qr.certified_levels(good, 0.01, 0.001) == 11
-    assert qr.certified_levels(good // 100, 0.01, 0.001) == qr.LEVELS + 1
+    assert qr.certified_steps([0, 0, 300], 2000, 0.01, 0.001) == 2
+    assert qr.certified_steps([0], 20, 0.01, 0.001) == 0 and qr.certified_steps([], 20, 0.01, 0.001) == 0
+    good, bad = np.zeros((2, 2, qr.LEVELS + 1), np.int64)
+    good[:, 0], bad[:, 0] = 1000, 50
+    bad[0, 30], bad[1, 40], good[1, 35], bad[1, 35] = 50, 30, 1000, 20
+    assert [x[:2] for x in qr.nested_steps(good, bad, 5.0)] == [(0, 30), (1, 40)]
+    assert [x[:2] for x in qr.nested_steps(good, bad, 0.5)] == [(0, 30), (1, 40)]
 
 
 def test_binomial_of_many_rows():
@@ -64,21 +65,27 @@ def test_binomial_of_many_rows():
     for k, n in ((40_000, 1_000_000), (60_000, 3_000_000), (29_600, 400_000), (30_000, 60_000)):
         assert qr.binomial_cdf(k, n, 0.01) == pytest.approx(1.0)
     assert qr.binomial_cdf(5_000, 1_000_000, 0.01) < 1e-100
-    good = np.zeros(qr.LEVELS + 1, np.int64)
-    good[0], good[10], good[20] = 370_000, 29_000, 1_000  # cutoff 20 rejects 0.25 %, cutoff 10 rejects 7.5 %
-    assert qr.certified_levels(good, 0.01, 0.001) == 11
+    assert qr.certified_steps([1_000, 30_000], 400_000, 0.01, 0.001) == 1  # 0.25 % and 7.5 %
+    for n, sd in ((10**10, 3), (10**12, 3)):
+        assert qr.binomial_cdf(int(n * 0.01 + sd * math.sqrt(n * 0.01 * 0.99)), n, 0.01) == pytest.approx(0.99865, abs=1e-3)
 
 
-def test_false_rejections_stay_below_alpha():
-    """Over many draws the share of runs whose cutoff rejects more than alpha stays below delta."""
+def test_joint_false_rejections_stay_below_alpha():
+    """Over many draws the share of runs whose joint rule rejects more than alpha of all good documents stays below delta."""
     import numpy as np
 
-    rng, bad = np.random.default_rng(1), 0
-    for _ in range(200):
-        levels = np.minimum((rng.exponential(3, 1500)).astype(int), qr.LEVELS)
-        cut = qr.certified_levels(np.bincount(levels, minlength=qr.LEVELS + 1), 0.02, 0.05)
-        bad += cut <= qr.LEVELS and math.exp(-cut / 3) > 0.02
-    assert bad <= 200 * 0.05 + 12
+    rng, above, alpha = np.random.default_rng(1), 0, 0.05
+    draw = lambda n, scale: np.minimum(rng.exponential(scale, (len(qr.RULES), n)).astype(int), qr.LEVELS)
+    hist = lambda x: np.stack([np.bincount(row, minlength=qr.LEVELS + 1) for row in x])
+    truth, inforce = draw(100_000, 4), 0
+    for _ in range(150):
+        steps = qr.nested_steps(hist(draw(150, 4)), hist(draw(150, 6)), 1.0)
+        held = draw(300, 4)
+        at = [np.any([held[r] >= c for r, c, _ in steps[: i + 1]], axis=0).sum() for i in range(len(steps))]
+        passed = steps[: qr.certified_steps([int(x) for x in at], 300, alpha, 0.05)]
+        inforce += bool(passed)
+        above += bool(passed) and np.any([truth[r] >= c for r, c, _ in passed], axis=0).mean() > alpha
+    assert inforce > 50 and above <= 150 * 0.05 + 6
 
 
 def test_judge_and_filter(spark):
@@ -100,6 +107,20 @@ def test_judge_and_filter(spark):
     assert qr.judge_documents(docs, marks.limit(0)).where("kept").count() == 3000
 
 
+def test_repeated_labels_count_once(spark):
+    """One document labelled a thousand times certifies nothing; strata with too few labels have no rule and say so."""
+    words = lambda i, mark: " ".join(f"w{i}x{k}{mark}" for k in range(30))
+    rows = [(i, words(i, "###" if i % 5 == 0 else ""), "en" if i < 400 else "de", "s", 0) for i in range(440)]
+    marks = [(i, int(i % 5 != 0), 0) for i in range(440)]
+    few = spark.createDataFrame([marks[1]] * 1000 + [marks[0]] * 1000, "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows + rows[:3])
+    counts = qr.text_counts(docs.withColumn("__stratum", F.col("lang")), ["doc_id", "__stratum"])
+    assert qr.fit_from_tables(counts, few) == []
+    found = qr.fit_from_tables(counts, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    assert [x.name for x in found] == ["en"] and found[0].passed and found[0].rejected == 0
+    assert "symbols" in qr.certificates(spark, found).first()["cutoffs"]
+
+
 def brute_print(text):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in (text or "")))
     if not words:
