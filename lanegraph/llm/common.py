@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Texts are handled in groups of about this many words, which bounds a worker's memory.
+#: Texts are handled in groups of about this many bytes, which bounds a worker's memory.
 GROUP_BYTES = 3_000_000
 
 
@@ -21,18 +21,16 @@ def crc_mod(doc_id: str | Column, m: int) -> Column:
 
 
 def groups(batches: Iterable[pa.RecordBatch], text: str, limit: int = GROUP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with their texts as UTF-8 bytes (null: empty), each of about ``limit`` bytes."""
+    """Slices of the batches with their texts as UTF-8 bytes (null: empty), each of about ``limit`` bytes or one longer text."""
     for batch in batches:
-        col = batch.column(batch.schema.get_field_index(text))
-        texts = [t if t is not None else b"" for t in col.cast(pa.binary()).to_pylist()]
-        start, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= limit:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, size = i + 1, 0
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        col = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(start, stop - start), [t if t is not None else b"" for t in col.slice(start, stop - start).to_pylist()]
+            start = stop
 
 
 def map_texts(
@@ -57,17 +55,6 @@ def map_texts(
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], *out_names)
 
 
-def split_ids(texts: list[bytes], lookup: Callable[[bytes], list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts end to end (int32), and how many each text has."""
-    flat: list[int] = []
-    lengths = np.empty(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        ids = lookup(t)
-        flat.extend(ids)
-        lengths[i] = len(ids)
-    return np.fromiter(flat, np.int32, len(flat)), lengths
-
-
 def segment_sum(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of rows; a run of length 0 sums to 0."""
     out = np.zeros((len(lengths), *values.shape[1:]), np.float64 if values.dtype.kind == "f" else np.int64)
@@ -78,24 +65,6 @@ def segment_sum(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-class WordCache(dict):
-    """A dict that fills itself by ``make(word)`` and starts afresh at ``limit`` entries (values never depend on that)."""
-
-    def __init__(self, make: Callable[[bytes], object], limit: int = 600_000):
-        super().__init__()
-        self.make, self.limit = make, limit
-
-    def __missing__(self, word: bytes):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = self.make(word)
-        return value
-
-
-def bucket(word: bytes, buckets: int, seed: int = 0) -> int:
-    return zlib.crc32(word, seed) & (buckets - 1)
-
-
 # --- sums of large arrays over all partitions ---------------------------------------------
 
 BLOCK_SCHEMA = "salt int, block int, data binary"

@@ -11,7 +11,8 @@ gives the same marginals as one pass over the document.
 
 Document: the language with the largest mean marginal over its words, which is also the score.
 
-Learning reads at most about PER_LANGUAGE documents of each language (chosen by a hash of the id).
+Learning reads at most about PER_LANGUAGE documents of each language (chosen by a hash of the id), and knows the
+MAX_LANGUAGES most frequent languages.
 Edge cases: words without a letter are left out; a text without letters, a null one, or any text if
 nothing could be learned, is ``und`` with score 0. Ties go to the first language in alphabetical
 order. Null languages are not learned. Repeated rows are decoded row by row. Only ``doc_id`` and
@@ -30,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanegraph.llm.common import crc_mod, map_texts
-from lanegraph.llm.features import MARKS, live
+from lanegraph.llm.features import MARKS, hash_below, live
 
 D = 1 << 16
 WIDTH = 28
+STRIDE = WIDTH - 3
 SEG = 64
 PER_LANGUAGE = 120
+MAX_LANGUAGES = 200
 SPAN = (3, 40)
 TRAIN_LEN = 40
 UND = "und"
@@ -51,12 +54,22 @@ def core_of(word: bytes) -> bytes:
     return text.lower().encode() if _LETTER.search(text) else b""
 
 
-def feature_ids(cores: list[bytes]) -> np.ndarray:
-    """(cores, features) ids below D; D itself stands for none. Very long words show their first and last bytes."""
-    n = len(cores)
-    short = [c if len(c) <= WIDTH - 2 else c[: WIDTH - 8] + c[-6:] for c in cores]
-    raw = np.frombuffer(b"".join((b"<" + c + b">").ljust(WIDTH, b"\0") for c in short), np.uint8).reshape(n, WIDTH).astype(np.uint32)
-    size = np.fromiter((len(c) + 2 for c in short), np.int64, n)
+def feature_ids(cores: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, features) ids below D (D itself stands for none), and the first piece of each core.
+
+    A core is one piece; one of more than WIDTH - 2 bytes is cut into pieces that overlap by three bytes. Each n-gram
+    is counted in the piece where it starts, heads in the first and tails in the last, so the whole core is read.
+    """
+    marked = [b"<" + c + b">" for c in cores]
+    pieces = [-(-max(len(m) - WIDTH, 0) // STRIDE) + 1 for m in marked]
+    first = np.concatenate([[0], np.cumsum(pieces)[:-1]]).astype(np.int64)
+    cut = [m[j * STRIDE : j * STRIDE + WIDTH] for m, k in zip(marked, pieces) for j in range(k)]
+    n = len(cut)
+    opens, ends = np.zeros(n, bool), np.zeros(n, bool)
+    opens[first] = True
+    ends[first + np.array(pieces) - 1] = True
+    raw = np.frombuffer(b"".join(c.ljust(WIDTH, b"\0") for c in cut), np.uint8).reshape(n, WIDTH).astype(np.uint32)
+    size = np.fromiter(map(len, cut), np.int64, n)
     out = []
 
     def mix(h, kind):
@@ -70,19 +83,21 @@ def feature_ids(cores: list[bytes]) -> np.ndarray:
     for k in range(2, 5):
         gram = gram[:, :-1] * np.uint32(0x01000193) + raw[:, k - 1 :]
         ids = mix(gram, k)
-        ids[place[: ids.shape[1]] + k > size[:, None]] = D
+        at = place[: ids.shape[1]]
+        ids[(at + k > size[:, None]) | ((at >= STRIDE) & ~ends[:, None])] = D
         out.append(ids)
     row = np.arange(n)
+    letters = size - 1 - opens  # bytes of the core in a piece that has its end
     for k in range(1, 4):
         head = np.zeros(n, np.uint32)
         tail = np.zeros(n, np.uint32)
         for j in range(k):
             head = head * np.uint32(0x01000193) + raw[:, 1 + j]
             tail = tail * np.uint32(0x01000193) + raw[row, np.maximum(size - 2 - j, 0)]
-        for ids in (mix(head, 8 + k), mix(tail, 16 + k)):
-            ids[size - 2 < k] = D
+        for ids, has in ((mix(head, 8 + k), opens), (mix(tail, 16 + k), ends)):
+            ids[~has | (letters < k)] = D
             out.append(ids[:, None])
-    return np.hstack(out)
+    return np.hstack(out), first
 
 
 class Crf:
@@ -100,7 +115,8 @@ class Crf:
         e = np.empty((len(cores), len(self.labels)), np.float32)
         for lo in range(0, len(cores), 20_000):
             part = cores[lo : lo + 20_000]
-            e[lo : lo + len(part)] = self.w[feature_ids(part)].sum(axis=1)
+            ids, first = feature_ids(part)
+            e[lo : lo + len(part)] = np.add.reduceat(self.w[ids].sum(axis=1), first, axis=0)
         e += self.lex[np.fromiter((self.lexicon.get(c, len(self.labels)) for c in cores), np.int64, len(cores))]
         return e
 
@@ -187,16 +203,18 @@ class Crf:
         rng.shuffle(spans)
         words = np.fromiter((i for s, _ in spans for i in s), np.int64)
         gold = np.fromiter((y for s, y in spans for _ in s), np.int64)
-        rows = len(words) // TRAIN_LEN
-        if not rows:
+        if not len(words):
+            self.__init__([])
             return self
-        words, gold = words[: rows * TRAIN_LEN].reshape(rows, -1), gold[: rows * TRAIN_LEN].reshape(rows, -1)
+        rows = -(-len(words) // TRAIN_LEN)  # the last one is filled up from the first
+        words, gold = np.resize(words, (rows, TRAIN_LEN)), np.resize(gold, (rows, TRAIN_LEN))
         cores = list(vocab)
         for word, i in vocab.items():
             seen = [c[i] for c in counts]
             if sum(seen) >= 4 and max(seen) >= 0.8 * sum(seen):
                 self.lexicon[word] = int(np.argmax(seen))
-        feats = feature_ids(cores)
+        feats, first = feature_ids(cores)
+        pieces = np.diff(np.append(first, len(feats)))
         lex = np.fromiter((self.lexicon.get(c, k) for c in cores), np.int64, len(cores))
         params = [self.w, self.lex, self.trans]
         sums = [np.full_like(p, 1e-6) for p in params]
@@ -207,15 +225,18 @@ class Crf:
                 r = order[lo : lo + batch]
                 used, inv = np.unique(words[r], return_inverse=True)
                 inv = inv.reshape(len(r), TRAIN_LEN)
-                e_used = self.w[feats[used]].sum(axis=1) + self.lex[lex[used]]
+                owner = np.repeat(np.arange(len(used)), pieces[used])
+                start = np.cumsum(pieces[used]) - pieces[used]
+                own = feats[first[used][owner] + np.arange(len(owner)) - start[owner]]
+                e_used = np.add.reduceat(self.w[own].sum(axis=1), start, axis=0) + self.lex[lex[used]]
                 e = e_used[inv]
                 post, pairs = self._expected(e)
                 y = gold[r]
                 d = -post
                 d[np.arange(len(r))[:, None], np.arange(TRAIN_LEN), y] += 1
                 g_word = np.stack([np.bincount(inv.ravel(), d[:, :, j].ravel(), len(used)) for j in range(k)], 1)
-                f = feats[used].ravel()
-                spread = np.repeat(g_word, feats.shape[1], axis=0)
+                f = own.ravel()
+                spread = np.repeat(g_word[owner], feats.shape[1], axis=0)
                 g_w = np.stack([np.bincount(f, spread[:, j], D + 1) for j in range(k)], 1)
                 g_w[D] = 0
                 g_lex = np.stack([np.bincount(lex[used], g_word[:, j], k + 1) for j in range(k)], 1)
@@ -306,17 +327,15 @@ def label_text(crf: Crf, text: str) -> list[tuple[str, str, float]]:
     return [(w.decode(), crf.labels[int(p.argmax())], float(p.max())) for w, p in zip(words, post)]
 
 
-def fit(docs: DataFrame, held_out_mod: int = 4, held_out: int = 2, per_language: int = PER_LANGUAGE) -> Crf:
-    """Learn from text and non-null lang of the documents that are not held out."""
+def fit(docs: DataFrame, held_out_mod: int = 4, held_out: int = 2, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Crf:
+    """Learn from text and non-null lang of the documents that are not held out; of more languages the most frequent ``max_languages``."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(crc_mod("doc_id", held_out_mod), F.lit(-1)) != held_out))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("lang")), F.lit(1 << 20))
-    limit = F.lit(0)
-    for lang, n in sorted(sizes.items()):
-        limit = F.when(F.col("lang") == F.lit(lang), F.lit(min(1 << 20, int(per_language / n * (1 << 20))))).otherwise(limit)
-    sample = rows.where(part < limit).select("doc_id", "lang", F.col("text").cast("string").alias("text")).toArrow()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_languages)
+    share = sizes.select("lang", (F.lit(float(per_language)) / F.col("n")).alias("__share"))
+    chosen = rows.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(share), "lang")
+    sample = chosen.where(hash_below("doc_id", "lang", F.col("__share"))).select("doc_id", "lang", "text").toArrow()
     texts = sorted((str(i), lang, t) for i, lang, t in zip(*(sample[c].to_pylist() for c in ("doc_id", "lang", "text"))))
-    return Crf(sorted(sizes)).fit([(t.encode(), lang) for _, lang, t in texts])
+    return Crf(sorted({lang for _, lang, _ in texts})).fit([(t.encode(), lang) for _, lang, t in texts])
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanegraph.llm.common import groups
@@ -103,10 +103,14 @@ def map_rows(df: DataFrame, text: str, schema: str, fn: Callable[[list[bytes]],
     return rows.mapInArrow(run, f"__row {rows.schema['__row'].dataType.simpleString()}, {schema}")
 
 
+def hash_below(key: str | Column, salt: str, share: float | Column) -> Column:
+    """True for about ``share`` of the keys, by a hash of 63 bits, so that no table is too large for any share."""
+    c = F.col(key) if isinstance(key, str) else key
+    part = F.xxhash64(c.cast("string"), F.lit(salt)).bitwiseAND(F.lit((1 << 63) - 1))
+    return part.cast("double") < (share if isinstance(share, Column) else F.lit(float(share))) * F.lit(float(1 << 63))
+
+
 def bounded_sample(rows: DataFrame, key: str, bound: int, salt: str) -> DataFrame:
     """About ``bound`` rows at most, chosen by a hash of the key alone (all of them if there are fewer)."""
     n = rows.count()
-    if n <= bound:
-        return rows
-    part = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(salt)), F.lit(1 << 20))
-    return rows.where(part < F.lit(int(bound / n * (1 << 20))))
+    return rows if n <= bound else rows.where(hash_below(key, salt, bound / n))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanegraph.llm.common import BLOCK_SCHEMA, blocks_of, crc_mod, groups, map_texts, segment_sum, sum_blocks
-from lanegraph.llm.features import map_rows, unit_ids
+from lanegraph.llm.features import hash_below, map_rows, unit_ids
 from lanegraph.shared import materialize
 
 BUCKETS = 1 << 14
@@ -166,10 +166,9 @@ def label_sample(rows: DataFrame, bound: int) -> tuple[DataFrame, dict[float, fl
     rare = min(sizes, key=sizes.get)
     take = {rare: min(sizes[rare], bound // 2)}
     take[1 - rare] = min(sizes[1 - rare], bound - take[rare])
-    upto = {y: max(1, int(take[y] / max(n, 1) * (1 << 20))) if n else 1 << 20 for y, n in sizes.items()}
-    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("quality")), F.lit(1 << 20))
-    chosen = rows.where(part < F.when(F.col("y") == 1, F.lit(upto[1.0])).otherwise(F.lit(upto[0.0])))
-    return chosen, {y: (1 << 20) / u for y, u in upto.items()}
+    share = {y: take[y] / n if n else 1.0 for y, n in sizes.items()}
+    chosen = rows.where(hash_below("doc_id", "quality", F.when(F.col("y") == 1, F.lit(share[1.0])).otherwise(F.lit(share[0.0]))))
+    return chosen, {y: 1 / x if x else 1.0 for y, x in share.items()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out_mod: int | None = 5, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, Network]:

@@ -267,3 +267,36 @@ def test_model_prefers_real_order(spark):
     rows.append((9999, " ".join(shuffled), "en", "s", 0))
     got = {x["doc_id"]: x["log_prob"] for x in pl.score_documents(frame(spark, rows)).collect()}
     assert got[0] > got[9999]
+
+
+def test_long_cores_show_all_their_bytes(spark):
+    """Pieces of a long core hold each of its n-grams once; a word in the middle changes the features."""
+    def units(core):
+        ids, first = crf.feature_ids([core])
+        return sorted(x for x in ids[first[0] :].ravel().tolist() if x != crf.D)
+
+    r = np.random.default_rng(4)
+    for n in (1, 2, 3, 25, 26, 27, 50, 51, 52, 53, 76, 200, 1001):
+        core = bytes(r.integers(97, 123, n).astype(np.uint8))
+        marked = b"<" + core + b">"
+        grams = sum(max(len(marked) - k + 1, 0) for k in (2, 3, 4))
+        assert len(units(core)) == grams + 2 * min(n, 3)
+    a = b"x" * 20 + b"abcdefghij" + b"y" * 20
+    assert units(a) != units(a.replace(b"e", b"z"))
+    both = crf.feature_ids([b"ab", a, b"c"])
+    assert both[1].tolist() == [0, 1, 3] and len(both[0]) == 4
+
+
+def test_small_and_huge_training_tables(spark):
+    """Ten words teach something; no words at all teach nothing; shares of huge tables are not rounded to none."""
+    rows = [(1, "alpha beta gamma", "en", "s", 0), (3, "eins zwei drei vier", "de", "s", 0)]
+    model = crf.fit(frame(spark, rows), held_out=99)
+    assert model.labels == ["de", "en"] and model.lex.shape == (3, 2)
+    assert crf.predict(model, "t1", [b"alpha gamma", b"zwei drei"])[0].to_pylist() == ["en", "de"]
+    nothing = crf.fit(frame(spark, [(1, "123 !!!", "en", "s", 0)]), held_out=99)
+    assert crf.predict(nothing, "t2", [b"alpha"])[0].to_pylist() == [crf.UND]
+    from lanegraph.llm.features import hash_below
+
+    n = spark.range(2_000_000).where(hash_below("id", "x", 120 / 2e8 * 1000)).count()
+    assert 800 < n < 1600
+    assert spark.range(1).select(hash_below("id", "x", 1.0).alias("b")).first()["b"]
