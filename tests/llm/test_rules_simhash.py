@@ -195,14 +195,83 @@ def test_embedding_bounds_distance(spark):
         assert m == sum(abs(p - q) for p, q in zip(count(a & (2**64 - 1)), count(b & (2**64 - 1)))) <= bin((a ^ b) & (2**64 - 1)).count("1")
 
 
-def test_keep_one(spark):
-    docs = clashing(frame(spark, documents(7)))
-    groups = sh.group_documents(docs).collect()
+def brute_near(rows):
+    """Component (smallest id) of each row: single linkage of 5-word shingle sets with Jaccard of at least 0.8, equal texts, equal ids."""
+    words = [tuple((t or "").lower().split()) for _, t in rows]
+    sets = [{w[i : i + 5] for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for k in range(i):
+            both = len(sets[i] & sets[k])
+            if words[i] == words[k] or (both and both >= 0.8 * (len(sets[i]) + len(sets[k]) - both)) or (rows[i][0] is not None and rows[i][0] == rows[k][0]):
+                parent[find(i)] = find(k)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [least.get(find(i)) for i in range(len(rows))]
+
+
+def near_copies(r, words, share, step=1):
+    """The words with single ones replaced until the 5-word sets are about as similar as asked for."""
+    w = list(words)
+    sets = lambda x: {tuple(x[i : i + 5]) for i in range(len(x) - 4)}
+    base = sets(w)
+    while True:
+        trial = list(w)
+        trial[r.randrange(len(w))] = f"new{r.randrange(10**9)}"
+        now = sets(trial)
+        if len(base & now) < share * len(base | now):
+            return w
+        w = trial
+
+
+def test_near_copies_are_grouped(spark):
+    """Pairs planted at 0.8 to 0.95, and a crowd of variants of one text that overfills its cells: components as by brute force."""
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(5000)}"
+    rows, pairs = [(d, t) for d, t, *_ in documents(5, 25)], []
+    for k in range(60):
+        base = [word() for _ in range(r.randrange(80, 250))]
+        rows += [(1000 + 2 * k, " ".join(base)), (1001 + 2 * k, " ".join(near_copies(r, base, (0.8, 0.85, 0.9, 0.95)[k % 4])))]
+    crowd = [word() for _ in range(150)]
+    rows += [(5000 + k, " ".join(near_copies(r, crowd, 0.88))) for k in range(90)]
+    r.shuffle(rows)
+    docs = clashing(frame(spark, [(d, t, "en", "s", 0) for d, t in rows]))
+    want = brute_near(rows)
+    got = sh.near_documents(docs).collect()
+    least, seen = dict(zip([d for d, _ in rows], want)), Counter()
+    assert len(got) == len(rows)
+    for g in got:
+        if g["doc_id"] is not None:
+            seen[g["component_id"] == least[g["doc_id"]]] += 1
+    assert seen[False] == 0, seen
     kept = sh.keep_one(docs)
     assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    named = [i for i in ids if i is not None]
-    assert sorted(named) == sorted({g["component_id"] for g in groups if g["doc_id"] is not None}) and ids.count(None) == 2
+    assert sorted(x for x in (k["doc_id"] for k in kept.collect()) if x is not None) == sorted({c for (d, _), c in zip(rows, want) if d is not None})
+    assert kept.where("doc_id is null").count() == sum(d is None for d, _ in rows)
+    assert sh.keep_one(frame(spark, [], DOCS)).count() == 0 and sh.near_documents(frame(spark, [], DOCS)).count() == 0
+    none = frame(spark, [(None, "a b", "en", "s", 0), (None, None, None, None, None)])
+    assert sh.keep_one(none).count() == 2
+
+
+def test_samples_are_min_wise():
+    """The chance that two texts agree in a sample is about the fourth power of their similarity."""
+    r = random.Random(3)
+    same = []
+    for _ in range(150):
+        base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+        a, b = (sh.sketch_texts([" ".join(x).encode()])[2].to_pylist()[0] for x in (base, near_copies(r, base, 0.8)))
+        same += [x == y for x, y in zip(a, b)]
+    assert 0.33 < sum(same) / len(same) < 0.52
+    assert sh.sketch_texts([b"", b"one two"])[2].to_pylist()[0] is None
 
 
 def test_long_chain_components(spark):
