@@ -1,16 +1,29 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token from both sides.
 
-Tokens are words, hashed by their lower-cased core to ``BUCKETS`` ids. The network reads the two ids
-before and the two after a masked place (a text's ends read as padding): their embeddings go through
-a matrix per place, tanh, and a softmax over CLASSES classes of ids; within its class an id has its
-share of the counts. The score of a text is the sum over its words of log p(class | context) +
-log p(id | class).
-
-What is gathered from the corpus covers all of it: the counts of all words give classes of equal mass
-and the shares; the weights come from local gradient descent on every partition's own texts, started
-from common weights and averaged by tokens. The first round trains on one text in WARM to break the
-symmetry, the second on all. Counts and weights are added up in two levels of blocks; both have a
-fixed size, so they may be broadcast.
+A token is a word, known by a 32-bit hash of its lower-cased core. Its probability given both sides is
+
+    p(w | sides) = (c(l, w, r) - 1 + k * q(w | sides)) / (c(l, r) - 1 + k)
+
+where l and r are the words next to it, c counts in the whole corpus (less the occurrence itself, so
+a text is no evidence for itself), and q is the network's: q = p(class | sides) * p(bucket | class,
+sides) * c(w) / c(bucket). The network reads the buckets (BUCKETS hashed ids) of the two words before
+and the two after the masked place (a text's ends read as padding): their embeddings go through a
+matrix per place, tanh, a softmax over CLASSES classes and one over the buckets of the word's class,
+so both levels see the context. Classes are made of buckets with similar neighbours (the corpus's
+random-indexed left and right neighbours, split along principal directions into equal parts). Of the
+weights k in PRIORS the one with the largest likelihood of the corpus is used. A text's score is the
+sum over its words of log p.
+
+What is gathered covers the whole corpus and grows with it: exact counts of words, of pairs (l, r) and
+of triples (l, w, r) are kept as a table cut by ranges of hashed keys, whose number and length follow
+the number of tokens (a key is shared by chance about once in 5,000 times at any size). Only the
+network has a fixed size (3 MB) and is broadcast; its weights come from local descent on all texts of
+every partition, started from common weights and averaged by tokens: a first round on one slice in WARM,
+a second on all. So the weights depend a little on how the table is partitioned.
+
+Slices of about SLICE_BYTES of text are the unit: a task sorts a slice's keys once, sends each range
+one block of distinct keys with their counts, and the range's task adds up all slices' blocks and
+returns the totals to each slice. Frequent keys arrive once a slice, so none is hot.
 
 Edge cases: null and empty texts have n_tokens 0, log-probability 0 and mean 0. A text of one word is
 predicted from padding alone. Repeated rows count and are scored row by row. Only ``doc_id`` and
@@ -19,28 +32,39 @@ predicted from padding alone. Repeated rows count and are scored row by row. Onl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanegraph.llm.common import BLOCK_SCHEMA, blocks_of, map_texts, segment_sum, sum_blocks
+from lanegraph.llm.common import BLOCK_SCHEMA, blocks_of, groups, segment_sum, sum_blocks
 from lanegraph.llm.features import core_ids
 from lanegraph.shared import materialize
 
 BUCKETS = 1 << 14
-CLASSES = 64
+CLASSES = 128
+MEMBERS = BUCKETS // CLASSES
 DIM = 16
 OFFSETS = (-2, -1, 1, 2)
 HIDDEN = 24
+SIDE = 16
 BLOCKS = 64
-STEP = 8_192
+STEP = 16_384
 WARM = 8
-SHAPES = [(BUCKETS + 1, DIM), (len(OFFSETS) * DIM, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
+PRIORS = (0.5, 2.0, 8.0, 32.0)
+SLICE_BYTES = 6_000_000
+RANGE_TOKENS = 1_000_000
+PADDING = 1 << 33
+SHAPES = [(BUCKETS + 1, DIM), (len(OFFSETS) * DIM, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, MEMBERS, HIDDEN), (CLASSES, MEMBERS)]
 SIZE = sum(int(np.prod(s)) for s in SHAPES)
 
 
+# --- the network ----------------------------------------------------------------------------
+
+
 def pack(params: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([p.ravel() for p in params])
 
@@ -54,31 +78,45 @@ def unpack(flat: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def initial(seed: int = 5) -> list[np.ndarray]:
+def classes_of(sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class and place within it of each bucket, from its neighbours' sums: halved again and again along the main direction."""
+    v = np.sign(sides) * np.sqrt(np.abs(sides))
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    parts = [np.arange(len(v))]
+    while len(parts) < CLASSES:
+        halves = []
+        for ids in parts:
+            x = v[ids] - v[ids].mean(0)
+            along = np.round(x @ np.linalg.eigh(x.T @ x)[1][:, -1], 9)
+            order = ids[np.lexsort((ids, along))]
+            halves += [order[: len(ids) // 2], order[len(ids) // 2 :]]
+        parts = halves
+    cls, slot = np.empty(len(v), np.int64), np.empty(len(v), np.int64)
+    for k, ids in enumerate(parts):
+        cls[ids], slot[ids] = k, np.arange(len(ids))
+    return cls, slot
+
+
+def initial(counts: np.ndarray, cls: np.ndarray, slot: np.ndarray, seed: int = 5) -> list[np.ndarray]:
+    """Small random weights; the biases give every bucket its share of the counts."""
     rng = np.random.default_rng(seed)
-    params = [rng.normal(0, 0.1 if i == 0 else 1 / np.sqrt(s[0]), s).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for i, s in enumerate(SHAPES)]
+    params = [np.zeros(s, np.float32) for s in SHAPES]
+    for i, sd in ((0, 0.1), (1, 1 / np.sqrt(SHAPES[1][0])), (3, 0.1), (5, 0.1)):
+        params[i] = rng.normal(0, sd, SHAPES[i]).astype(np.float32)
     params[0][BUCKETS] = 0
-    return params
-
-
-def classes_of(counts: np.ndarray, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each id (ids by falling count, cut into classes of about equal mass) and its log share of the class."""
     smooth = counts + 0.5
-    order = np.argsort(-smooth, kind="stable")
-    mass = np.cumsum(smooth[order])
-    label = np.minimum(((mass - smooth[order] / 2) / mass[-1] * classes).astype(np.int64), classes - 1)
-    cls = np.empty(len(counts), np.int64)
-    cls[order] = label
-    total = np.bincount(cls, smooth, classes)
-    return cls, np.log(smooth / total[cls])
+    mass = np.bincount(cls, smooth, CLASSES)
+    params[4] = np.log(mass / mass.sum()).astype(np.float32)
+    params[6][cls, slot] = np.log(smooth / mass[cls])
+    return params
 
 
-def contexts(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(words, offsets) neighbouring ids within the same text; BUCKETS beyond its ends."""
+def contexts(ids: np.ndarray, sizes: np.ndarray, offsets=OFFSETS, padding: int = BUCKETS) -> np.ndarray:
+    """(words, offsets) neighbouring ids within the same text; ``padding`` beyond its ends."""
     n = len(ids)
-    out = np.full((n, len(OFFSETS)), BUCKETS, np.int64)
+    out = np.full((n, len(offsets)), padding, ids.dtype)
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    for j, o in enumerate(OFFSETS):
+    for j, o in enumerate(offsets):
         a = abs(o)
         if n <= a:
             continue
@@ -88,9 +126,9 @@ def contexts(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward(params: list[np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hidden(params: list[np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Input rows, hidden rows and log-probabilities of the classes."""
-    e, p, b, u, c = params
+    e, p, b, u, c = params[:5]
     x = e[ctx].reshape(len(ctx), -1)
     h = np.tanh(x @ p + b)
     z = h @ u + c
@@ -98,120 +136,281 @@ def forward(params: list[np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.n
     return x, h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def log_probs(params: list[np.ndarray], cls: np.ndarray, share: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """log p(word | both sides) of every word."""
+def by_class(k: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(k, kind="stable")
+    cuts = np.searchsorted(k[order], np.arange(CLASSES + 1))
+    for c in np.flatnonzero(np.diff(cuts)).tolist():
+        yield c, order[cuts[c] : cuts[c + 1]]
+
+
+def log_probs(params: list[np.ndarray], cls: np.ndarray, slot: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log p(bucket | both sides) of every word."""
     ctx = contexts(ids, sizes)
     out = np.empty(len(ids))
-    for lo in range(0, len(ids), 32_768):
-        hi = lo + 32_768
-        own = ids[lo:hi]
-        out[lo:hi] = forward(params, ctx[lo:hi])[2][np.arange(len(own)), cls[own]] + share[own]
+    for lo in range(0, len(ids), STEP):
+        y = ids[lo : lo + STEP]
+        _, h, lp = hidden(params, ctx[lo : lo + STEP])
+        k = cls[y]
+        own = lp[np.arange(len(y)), k].astype(np.float64)
+        for c, rows in by_class(k):
+            z = h[rows] @ params[5][c].T + params[6][c]
+            z -= z.max(axis=1, keepdims=True)
+            own[rows] += z[np.arange(len(rows)), slot[y[rows]]] - np.log(np.exp(z).sum(axis=1))
+        out[lo : lo + STEP] = own
     return out
 
 
-def train_step(params: list[np.ndarray], sums: list[np.ndarray], ctx: np.ndarray, y: np.ndarray, rate: float) -> None:
-    """One Adagrad step on the mean log-loss of the classes."""
-    e, p, b, u, c = params
-    x, h, lp = forward(params, ctx)
+def train_step(params: list[np.ndarray], sums: list[np.ndarray], ctx: np.ndarray, y: np.ndarray, cls: np.ndarray, slot: np.ndarray, rate: float) -> None:
+    """One Adagrad step on the mean log-loss of the buckets."""
+    e, p, b, u, c, v, g = params
+    n = len(y)
+    x, h, lp = hidden(params, ctx)
+    k = cls[y]
     d = np.exp(lp)
-    d[np.arange(len(y)), y] -= 1
-    d /= len(y)
-    dh = (d @ u.T) * (1 - h * h)
-    dx = (dh @ p.T).reshape(len(y) * len(OFFSETS), DIM)
-    flat = ctx.ravel()
-    used, inv = np.unique(flat, return_inverse=True)
-    ge = np.stack([np.bincount(inv, dx[:, k], len(used)) for k in range(DIM)], 1).astype(np.float32)
-    for k, g in ((1, x.T @ dh), (2, dh.sum(0)), (3, h.T @ d), (4, d.sum(0))):
-        sums[k] += g * g
-        params[k] -= rate * g / np.sqrt(sums[k])
+    d[np.arange(n), k] -= 1
+    d /= n
+    dh = d @ u.T
+    for j, rows in by_class(k):
+        hk = h[rows]
+        z = hk @ v[j].T + g[j]
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        z[np.arange(len(rows)), slot[y[rows]]] -= 1
+        z /= n
+        dh[rows] += z @ v[j]
+        for q, grad in ((5, z.T @ hk), (6, z.sum(0))):
+            sums[q][j] += grad * grad
+            params[q][j] -= rate * grad / np.sqrt(sums[q][j])
+    dh *= 1 - h * h
+    dx = (dh @ p.T).reshape(n * len(OFFSETS), DIM)
+    used, inv = np.unique(ctx.ravel(), return_inverse=True)
+    ge = np.stack([np.bincount(inv, dx[:, i], len(used)) for i in range(DIM)], 1).astype(np.float32)
+    for q, grad in ((1, x.T @ dh), (2, dh.sum(0)), (3, h.T @ d), (4, d.sum(0))):
+        sums[q] += grad * grad
+        params[q] -= rate * grad / np.sqrt(sums[q])
     sums[0][used] += ge * ge
     e[used] -= rate * ge / np.sqrt(sums[0][used])
     e[BUCKETS] = 0
 
 
-def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    raw = [r or b"" for r in batch.column(0).to_pylist()]
-    sizes = np.fromiter((len(r) // 2 for r in raw), np.int64, len(raw))
-    return np.frombuffer(b"".join(raw), np.uint16).astype(np.int64), sizes
+# --- slices of the corpus -------------------------------------------------------------------
 
 
-def _slices(batches, words: int = 400_000):
-    """Batches cut to about ``words`` words."""
-    for batch in batches:
-        size = np.fromiter((len(r.as_py() or b"") // 2 for r in batch.column(0)), np.int64, batch.num_rows)
-        part = np.cumsum(size) // words
-        for k in np.unique(part):
-            i = np.flatnonzero(part == k)
-            yield batch.slice(int(i[0]), len(i))
+def token_table(docs: DataFrame) -> DataFrame:
+    """One row per slice: its number, the ids of its documents, their numbers of words, and all word hashes; written once."""
+    narrow = docs.select("doc_id", F.col("text").cast("string").alias("__text"))
+    kind = narrow.schema["doc_id"].dataType.simpleString()
 
+    def run(batches):
+        task, n = TaskContext.get().partitionId(), 0
+        for rows, texts in groups(batches, "__text", SLICE_BYTES):
+            ids, sizes = core_ids(texts, 1 << 32)
+            doc = rows.column(0)
+            docs = pa.ListArray.from_arrays(pa.array([0, len(doc)], pa.int32()), doc)
+            cols = [pa.array([(task << 24) + n], pa.int64()), docs, pa.array([len(ids)], pa.int64()), pa.array([sizes.astype(np.uint32).tobytes()], pa.binary()), pa.array([ids.astype(np.uint32).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["slice", "docs", "n", "sizes", "ids"])
+            n += 1
+
+    return materialize(narrow.mapInArrow(run, f"slice long, docs array<{kind}>, n long, sizes binary, ids binary"), "tokens", compression="zstd")
 
-def token_table(docs: DataFrame) -> DataFrame:
-    """doc_id and its word ids (two bytes each), written once."""
 
-    def of(texts: list[bytes]):
-        ids, sizes = core_ids(texts, BUCKETS)
-        raw, ends = ids.astype(np.uint16).tobytes(), np.cumsum(sizes) * 2
-        return [pa.array([raw[e - 2 * s : e] for s, e in zip(sizes.tolist(), ends.tolist())], pa.binary())]
+def _slices(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes and sizes of each row (sizes, ids)."""
+    for b in batches:
+        for s, i in zip(b.column(0), b.column(1)):
+            yield np.frombuffer(i.as_buffer(), np.uint32).astype(np.int64), np.frombuffer(s.as_buffer(), np.uint32).astype(np.int64)
 
-    return materialize(map_texts(docs, "text", ["doc_id"], "ids binary", of), "tokens")
 
+def gather(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the buckets, and sums of their left and right neighbours' random index vectors (one signed one each)."""
+    rng = np.random.default_rng(20240409)
+    place, sign = rng.integers(0, SIDE, BUCKETS), rng.choice([-1.0, 1.0], BUCKETS)
+    width = 2 * SIDE + 1
 
-def count_words(tokens: DataFrame) -> np.ndarray:
     def run(batches):
-        total = np.zeros(BUCKETS)
-        for b in _slices(batches):
-            total += np.bincount(_arrays(b)[0], minlength=BUCKETS)
-        yield blocks_of(total, 8, TaskContext.get().partitionId() % 16)
+        total = np.zeros(BUCKETS * width)
+        for hashes, sizes in _slices(batches):
+            ids = hashes % BUCKETS
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            same = doc[1:] == doc[:-1]
+            a, b = ids[:-1][same], ids[1:][same]
+            for at, by in ((ids * width, None), (a * width + 1 + place[b], sign[b]), (b * width + 1 + SIDE + place[a], sign[a])):
+                total += np.bincount(at, by, len(total))
+        yield blocks_of(total, BLOCKS, TaskContext.get().partitionId() % 16)
 
-    return sum_blocks(tokens.select("ids").mapInArrow(run, BLOCK_SCHEMA), BUCKETS, 8)
+    total = sum_blocks(tokens.select("sizes", "ids").mapInArrow(run, BLOCK_SCHEMA), BUCKETS * width, BLOCKS).reshape(BUCKETS, width)
+    return total[:, 0], total[:, 1:]
 
 
-def train_round(tokens: DataFrame, flat: np.ndarray, cls: np.ndarray, rate: float) -> np.ndarray:
+def train_round(tokens: DataFrame, flat: np.ndarray, cls: np.ndarray, slot: np.ndarray, rate: float) -> np.ndarray:
     """Local descent on every partition from common weights; the average by tokens."""
-    sent = tokens.sparkSession.sparkContext.broadcast((flat.astype(np.float32), cls))
+    sent = tokens.sparkSession.sparkContext.broadcast((flat.astype(np.float32), cls, slot))
 
     def run(batches):
-        start, label = sent.value
+        start, label, place = sent.value
         params = unpack(start)
         sums = [np.full(s, 1e-6, np.float32) for s in SHAPES]
         seen = 0
-        for b in _slices(batches):
-            ids, sizes = _arrays(b)
+        for hashes, sizes in _slices(batches):
+            ids = hashes % BUCKETS
             ctx = contexts(ids, sizes)
             order = np.random.default_rng(len(ids)).permutation(len(ids))
-            for lo in range(0, len(ids), STEP):
-                i = order[lo : lo + STEP]
-                if len(i) > 64 or not seen:
-                    train_step(params, sums, ctx[i], label[ids[i]], rate)
+            steps = max(1, round(len(ids) / STEP))  # of about equal size, so that no short one counts as much as a long one
+            for i in np.array_split(order, steps):
+                if len(i):
+                    train_step(params, sums, ctx[i], ids[i], label, place, rate * min(1.0, len(i) / STEP * 2))
             seen += len(ids)
         if seen:
             yield blocks_of(np.append(pack(params) * seen, seen), BLOCKS, TaskContext.get().partitionId() % 16)
 
-    total = sum_blocks(tokens.select("ids").mapInArrow(run, BLOCK_SCHEMA), SIZE + 1, BLOCKS)
+    total = sum_blocks(tokens.select("sizes", "ids").mapInArrow(run, BLOCK_SCHEMA), SIZE + 1, BLOCKS)
     return total[:-1] / total[-1] if total[-1] else flat
 
 
-def fit(tokens: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    cls, share = classes_of(count_words(tokens))
-    flat = pack(initial())
-    warm = tokens.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(WARM)) == 0)
+def fit(tokens: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Network, class and place of each bucket, and the buckets' counts."""
+    counts, sides = gather(tokens)
+    cls, slot = classes_of(sides)
+    flat = pack(initial(counts, cls, slot))
+    warm = tokens.where(F.pmod(F.xxhash64("slice"), F.lit(WARM)) == 0)
     for rows, rate in ((warm, 0.1), (tokens, 0.05)):
-        flat = train_round(rows, flat, cls, rate)
-    return unpack(flat), cls, share
+        flat = train_round(rows, flat, cls, slot, rate)
+    return unpack(flat), cls, slot, counts
+
+
+# --- counts that grow with the corpus ---------------------------------------------------------
+
+
+def pack_ints(a: np.ndarray) -> bytes:
+    """Unsigned integers as planes of bytes, the low ones first, so that what is small compresses well."""
+    width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    return bytes([width]) + np.ascontiguousarray(a.astype(np.uint64).view(np.uint8).reshape(-1, 8).T[:width]).tobytes()
+
+
+def unpack_ints(data: bytes) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view(np.uint64)
+
+
+def key_bits(tokens: int) -> int:
+    """So many that a key of ``tokens`` places is shared by chance about once in 5,000 times."""
+    return min(64, max(32, tokens.bit_length() + 13))
+
+
+def keys_of(hashes: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
+    """Keys of each word, of its neighbours (l, r), and of the triple (l, w, r), end to end."""
+    near = contexts(hashes, sizes, (-1, 1), PADDING).astype(np.uint64)
+    w = hashes.astype(np.uint64)
+
+    def mix(h: np.ndarray) -> np.ndarray:
+        h = h ^ (h >> np.uint64(31))
+        h = h * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h = h * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
+
+    sides = mix(near[:, 0] * np.uint64(0x100000001B3) + mix(near[:, 1] + np.uint64(7)))
+    all_keys = np.concatenate([mix(w + np.uint64(1 << 40)), sides, mix(sides + mix(w + np.uint64(1 << 41)))])
+    return all_keys >> np.uint64(64 - bits)
+
+
+def range_edges(ranges: int, bits: int) -> np.ndarray:
+    return np.array([((k << bits) // ranges) for k in range(1, ranges)], np.uint64)
+
+
+def send_keys(tokens: DataFrame, bits: int, ranges: int) -> DataFrame:
+    """range, slice, keys, counts: each slice's distinct keys by range."""
+
+    def run(batches):
+        edges = range_edges(ranges, bits)
+        for b in batches:
+            rows = []
+            for number, (hashes, sizes) in zip(b.column(2).to_pylist(), _slices([b])):
+                found, count = np.unique(keys_of(hashes, sizes, bits), return_counts=True)
+                cuts = np.concatenate([[0], np.searchsorted(found, edges), [len(found)]])
+                for k in np.flatnonzero(np.diff(cuts)).tolist():
+                    own = found[cuts[k] : cuts[k + 1]]
+                    rows.append((k, number, pack_ints(np.diff(own, prepend=np.uint64(0))), pack_ints(count[cuts[k] : cuts[k + 1]])))
+            cols = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["range", "slice", "keys", "counts"])
+
+    return tokens.select("sizes", "ids", "slice").mapInArrow(run, "range int, slice long, keys binary, counts binary")
+
+
+def add_up(messages: DataFrame) -> DataFrame:
+    """slice, range, totals: the corpus's counts of each slice's keys."""
+
+    def totals(rows: list[tuple]) -> pa.RecordBatch:
+        keys = [np.cumsum(unpack_ints(k), dtype=np.uint64) for _, _, k, _ in rows]
+        count = np.concatenate([unpack_ints(c) for _, _, _, c in rows])
+        _, inv = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(inv, count)[inv].astype(np.uint64)
+        ends = np.cumsum([len(k) for k in keys])
+        data = [pack_ints(total[e - len(k) : e]) for k, e in zip(keys, ends)]
+        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array(data, pa.binary())], names=["slice", "range", "totals"])
+
+    def run(batches):
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and held[0][0] != row[0]:
+                    yield totals(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield totals(held)
+
+    ordered = messages.repartition("range").sortWithinPartitions("range", "slice")
+    return ordered.mapInArrow(run, "slice long, range int, totals binary")
+
+
+def score_slices(tokens: DataFrame, totals: DataFrame, model, bits: int) -> DataFrame:
+    """doc_id, n_tokens and the log-probability under each of PRIORS."""
+    sent = tokens.sparkSession.sparkContext.broadcast(model)
+    item = tokens.schema["docs"].dataType
+    none = lambda name: F.lit(None).cast(tokens.schema[name].dataType).alias(name)
+    texts = tokens.select("slice", F.lit(-1).alias("range"), F.lit(None).cast("binary").alias("totals"), "docs", "sizes", "ids")
+    sums = totals.select("slice", "range", "totals", none("docs"), none("sizes"), none("ids"))
+    both = sums.unionByName(texts).withColumn("last", F.col("ids").isNotNull())
+    both = both.repartition("slice").sortWithinPartitions("slice", "last", "range")
+    names = ["doc_id", "n_tokens", *(f"s{k}" for k in range(len(PRIORS)))]
+
+    def scored(docs: pa.Array, sizes: np.ndarray, hashes: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+        params, cls, slot, counts = sent.value
+        n = len(hashes)
+        ids = hashes % BUCKETS
+        _, inv = np.unique(keys_of(hashes, sizes, bits), return_inverse=True)
+        word, sides, triple = total[inv].reshape(3, n)
+        q = np.exp(log_probs(params, cls, slot, ids, sizes)) * np.minimum(1.0, word / np.maximum(counts[ids], 1.0))
+        out = [segment_sum(np.log((triple - 1 + k * q) / (sides - 1 + k)), sizes) for k in PRIORS]
+        return pa.RecordBatch.from_arrays([docs, pa.array(sizes), *(pa.array(x) for x in out)], names=names)
+
+    def run(batches):
+        held: list[np.ndarray] = []
+        for b in batches:
+            for i in range(b.num_rows):
+                if b.column(5)[i].is_valid:
+                    (hashes, sizes), = _slices([b.slice(i, 1).select(["sizes", "ids"])])
+                    yield scored(b.column(3)[i].values, sizes, hashes, np.concatenate([*held, np.zeros(0)]))
+                    held = []
+                else:
+                    held.append(unpack_ints(b.column(2)[i].as_py()).astype(np.float64))
+
+    made = ", ".join(f"{c} double" for c in names[2:])
+    return both.drop("last").mapInArrow(run, f"doc_id {item.elementType.simpleString()}, n_tokens long, {made}")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_prob (summed conditional log-probabilities) and mean_log_prob of every whole text."""
     tokens = token_table(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(fit(tokens))
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        params, cls, share = sent.value
-        for b in _slices(b.select(["ids", "doc_id"]) for b in batches):
-            ids, sizes = _arrays(b)
-            total = segment_sum(log_probs(params, cls, share, ids, sizes), sizes)
-            mean = total / np.maximum(sizes, 1)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sizes), pa.array(total), pa.array(mean)], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    return tokens.mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double")
+    total = int(tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    bits, ranges = key_bits(total), -(-total // RANGE_TOKENS) or 1
+    totals = add_up(send_keys(tokens, bits, ranges))
+    by_prior = materialize(score_slices(tokens, totals, fit(tokens), bits), "scores")
+    sums = by_prior.agg(*[F.sum(f"s{k}") for k in range(len(PRIORS))]).first()
+    best = max(range(len(PRIORS)), key=lambda k: (sums[k] or 0.0, -k))
+    return by_prior.select("doc_id", "n_tokens", F.col(f"s{best}").alias("log_prob"), (F.col(f"s{best}") / F.greatest(F.col("n_tokens"), F.lit(1))).alias("mean_log_prob"))
