@@ -1,22 +1,28 @@
 """From node paths to drawn routes.
 
-Column functions (dedupe, anti-meridian split, endpoints, port access, GeoJSON) stay in the JVM. Line
-of sight, string pulling and hint splicing walk a raster and depend on the step before, so they run in
-Arrow batches over a broadcast ``Shaper``.
+Column functions (dedupe, anti-meridian split, endpoints, port access, GeoJSON) stay in the JVM, and joins
+bring each path its points, portals and corridor hints. Line of sight, string pulling and splicing depend
+on the step before, so they run in Arrow batches; all segments that a batch asks about are walked over the
+raster together.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import time
+from collections.abc import Generator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanegraph.functions.geo import ANTIMERIDIAN_DEGREES, POINT_TOLERANCE
 from lanegraph.operators.raster import Raster
+from lanegraph.shared import spread
 
 LOOKAHEAD = 128
+#: So many of the points ahead are asked about at a time.
+ASKED = 16
 Point = tuple[float, float]
 POINTS = "array<array<double>>"
 
@@ -32,8 +38,15 @@ def _same(a: Column, b: Column) -> Column:
 
 
 def dedupe_points(points: Column) -> Column:
-    """Points without those that repeat the last kept one."""
-    return F.aggregate(points, _no_points(), lambda kept, p: F.when((F.size(kept) > 0) & _same(F.element_at(kept, F.greatest(F.size(kept), F.lit(1))), p), kept).otherwise(F.concat(kept, F.array(p))))
+    """Points without those that repeat the last kept one.
+
+    That is the point before, unless some step is within the tolerance and yet not zero; only then is the array folded.
+    """
+    before = F.transform(points, lambda p, i: F.struct(p.alias("p"), F.get(points, i - 1).alias("q")))
+    drift = F.exists(before, lambda z: F.coalesce(_same(z["p"], z["q"]) & (z["p"] != z["q"]), F.lit(False)))
+    plain = F.transform(F.filter(before, lambda z: z["q"].isNull() | ~_same(z["p"], z["q"])), lambda z: z["p"])
+    fold = F.aggregate(points, _no_points(), lambda kept, p: F.when((F.size(kept) > 0) & _same(F.element_at(kept, F.greatest(F.size(kept), F.lit(1))), p), kept).otherwise(F.concat(kept, F.array(p))))
+    return F.when(drift, fold).otherwise(plain)
 
 
 def split_segments(points: Column) -> Column:
@@ -76,11 +89,15 @@ def raw_points(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     return at.groupBy("path_id").agg(F.transform(F.sort_array(F.collect_list(point)), lambda s: s["p"]).alias("points"))
 
 
+def path_legs(paths: DataFrame) -> DataFrame:
+    """path_id, pos, src, dst of consecutive nodes."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size("path_nodes") - 1), lambda i: F.struct(F.get("path_nodes", i - 1).alias("src"), F.get("path_nodes", i).alias("dst")))
+    return paths.where(F.size("path_nodes") > 1).select("path_id", F.posexplode(pairs).alias("pos", "leg")).select("path_id", "pos", "leg.*")
+
+
 def path_edges(paths: DataFrame, first: DataFrame) -> DataFrame:
     """path_id, pos, src, dst, edge_id (null if there is no such edge) of consecutive nodes; ``first`` maps (src, dst) to the first edge."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size("path_nodes") - 1), lambda i: F.struct(F.get("path_nodes", i - 1).alias("src"), F.get("path_nodes", i).alias("dst")))
-    legs = paths.where(F.size("path_nodes") > 1).select("path_id", F.posexplode(pairs).alias("pos", "leg")).select("path_id", "pos", "leg.*")
-    return legs.join(first, ["src", "dst"], "left")
+    return path_legs(paths).join(first, ["src", "dst"], "left")
 
 
 def point_runs(points: DataFrame, by: str = "track_id", order: list[str] | None = None) -> DataFrame:
@@ -146,204 +163,224 @@ def string_pull(portals: list[tuple[Point, Point]]) -> list[Point]:
     return path
 
 
-@dataclass
-class Hint:
-    """A corridor: the edges it follows as (src, dst), and the line to draw instead."""
+PORT_APPROACH, ROUTE_WINDOW, BIDIRECTIONAL = 1, 2, 1
 
-    corridor_id: int
-    locode: str
-    kind: int
-    flags: int
-    confidence: float
-    coords: list[Point]
-    spans: list[tuple[int, int]]
+#: The shapes below are generators: they yield the segments whose safety they need next and are sent the answers, so
+#: that a batch of paths asks for all its segments together (``shape_all``).
+Asking = Generator[list[tuple[Point, Point]], list[bool], object]
+#: (edge, ax, ay, bx, by) of a leg; no edge, or no ax, where there is none.
+Gate = tuple[int | None, float | None, float | None, float | None, float | None]
+#: (kind, edges, confidence, start, end, line) of a corridor hint found on a path.
+Found = tuple[int, int, float, int, int, list[Point]]
+
+
+def smooth_run(points: list[Point]) -> Asking:
+    """From each point on to the farthest one in sight, at most LOOKAHEAD ahead, else to the next."""
+    if len(points) < 3:
+        return without_repeats(points)
+    out, at, end = [points[0]], 0, len(points) - 1
+    while at < end:
+        step, top = at + 1, min(end, at + LOOKAHEAD)
+        while top > at + 1:
+            tried = range(top, max(at + 1, top - ASKED), -1)
+            seen = yield [(points[at], points[j]) for j in tried]
+            step = next((j for j, ok in zip(tried, seen) if ok), at + 1)
+            if step > at + 1:
+                break
+            top = tried[-1] - 1
+        at = step
+        out.append(points[at])
+    return out
 
 
-PORT_APPROACH, ROUTE_WINDOW, BIDIRECTIONAL = 1, 2, 1
+def smooth(points: list[Point]) -> Asking:
+    if len(points) < 3:
+        return without_repeats(points)
+    out: list[Point] = []
+    for a, b in runs_of(points):
+        out += yield from smooth_run(points[a:b])
+    return without_repeats(out)
+
+
+def all_safe(points: list[Point]) -> Asking:
+    return all((yield list(zip(points, points[1:])))) if len(points) > 1 else True
+
+
+def pull_run(points: list[Point], gates: list[Gate]) -> Asking:
+    """(pulled line, None), or (None, why there is none)."""
+    if len(points) < 3:
+        return without_repeats(points), None
+    ends = [(points[0], points[0])]
+    for k, (edge, ax, ay, bx, by) in enumerate(gates):
+        if edge is None:
+            return None, "edge_not_found"
+        if ax is None:
+            return None, "missing_portal"
+        ends.append(((ax, ay), (bx, by)) if area2(points[k], points[k + 1], (ax, ay)) >= 0 else ((bx, by), (ax, ay)))
+    line = string_pull([*ends, (points[-1], points[-1])])
+    if len(line) < 2:
+        return None, "degenerate_funnel"
+    if not (yield from all_safe(line)):
+        return None, "unsafe_funnel_segment"
+    return without_repeats(line), None
+
+
+def pull(points: list[Point], gates: list[Gate]) -> Asking:
+    """Final points, number of points before the clean-up, and a record of each run that fell back to line of sight."""
+    pulled, final, fallbacks = [], [], []
+    for a, b in runs_of(points):
+        line, why = yield from pull_run(points[a:b], gates[a : b - 1])
+        if why is None:
+            pulled += line
+            final += yield from smooth(line)
+        else:
+            line = yield from smooth(points[a:b])
+            pulled += line
+            final += line
+            fallbacks.append({"start": a, "end": b - 1, "base_mode": "funnel", "final_mode": "shortcut", "reason": why})
+    return without_repeats(final), len(without_repeats(pulled)), fallbacks
 
 
-@dataclass
-class HintSet:
-    """Per port code (upper case) the most confident approach, the first of equals; windows by confidence, then length, falling."""
-
-    hints: list[Hint] = field(default_factory=list)
-
-    def __post_init__(self):
-        self.ports: dict[str, Hint] = {}
-        for h in self.hints:
-            code = h.locode.strip().upper() if h.locode else ""
-            if h.kind == PORT_APPROACH and code and (h.locode.upper() not in self.ports or h.confidence > self.ports[h.locode.upper()].confidence):
-                self.ports[h.locode.upper()] = h
-        windows = [h for h in self.hints if h.kind == ROUTE_WINDOW and h.spans and len(h.coords) >= 2]
-        self.windows = sorted(windows, key=lambda h: (-h.confidence, -len(h.spans)))
-
-
-@dataclass
-class Shaper:
-    """All that shaping needs, broadcast once. ``portals`` and ``first_edge`` are as large as the network, whose bound is checked."""
-
-    coords: dict[int, Point] | list[Point]
-    raster: Raster | None = None
-    first_edge: dict[tuple[int, int], int] | None = None
-    portals: dict[int, tuple[float, float, float, float]] | None = None
-    hints: HintSet | None = None
-
-    def line(self, nodes: list[int]) -> list[Point]:
-        return [self.coords[v] for v in nodes]
-
-    # line of sight
-
-    def smooth_run(self, points: list[Point]) -> list[Point]:
-        if len(points) < 3:
-            return without_repeats(points)
-        out, at, end = [points[0]], 0, len(points) - 1
-        while at < end:
-            far = range(min(end, at + LOOKAHEAD), at + 1, -1)
-            at = next((j for j in far if self.raster.safe(points[at], points[j])), at + 1)
-            out.append(points[at])
-        return out
-
-    def smooth(self, points: list[Point]) -> list[Point]:
-        if self.raster is None or len(points) < 3:
-            return without_repeats(points)
-        return without_repeats([p for a, b in runs_of(points) for p in self.smooth_run(points[a:b])])
-
-    def all_safe(self, points: list[Point]) -> bool:
-        return all(self.raster.safe(a, b) for a, b in zip(points, points[1:]))
-
-    # string pulling
-
-    def pull_run(self, nodes: list[int], points: list[Point]) -> tuple[list[Point] | None, str | None]:
-        """The pulled line, or why there is none."""
-        if len(points) < 3:
-            return without_repeats(points), None
-        gates = [(points[0], points[0])]
-        for k, leg in enumerate(zip(nodes, nodes[1:])):
-            edge = self.first_edge.get(leg)
-            if edge is None:
-                return None, "edge_not_found"
-            portal = self.portals.get(edge)
-            if portal is None:
-                return None, "missing_portal"
-            a, b = (portal[0], portal[1]), (portal[2], portal[3])
-            gates.append((a, b) if area2(points[k], points[k + 1], a) >= 0 else (b, a))
-        gates.append((points[-1], points[-1]))
-        line = string_pull(gates)
-        if len(line) < 2:
-            return None, "degenerate_funnel"
-        if not self.all_safe(line):
-            return None, "unsafe_funnel_segment"
-        return without_repeats(line), None
-
-    def pull(self, nodes: list[int]) -> tuple[list[Point], int, list[dict]]:
-        """Final points, number of points before the clean-up, and a record of each run that fell back to line of sight."""
-        points = self.line(nodes)
-        pulled, final, fallbacks = [], [], []
-        for a, b in runs_of(points):
-            line, why = self.pull_run(nodes[a:b], points[a:b])
-            if why is None:
-                pulled += line
-                final += self.smooth(line)
-            else:
-                line = self.smooth(points[a:b])
-                pulled += line
-                final += line
-                fallbacks.append({"start": a, "end": b - 1, "base_mode": "funnel", "final_mode": "shortcut", "reason": why})
-        return without_repeats(final), len(without_repeats(pulled)), fallbacks
-
-    # corridor hints
-
-    def hint_line(self, coords: list[Point]) -> list[Point] | None:
-        if len(coords) < 2 or not self.all_safe(coords):
-            return None
-        line = self.smooth(coords)
-        return line if len(line) >= 2 and self.all_safe(line) else None
-
-    def match(self, nodes: list[int], hint: Hint, at: int, backwards: bool) -> tuple | None:
-        """Window (priority kind, edges, confidence, start, end, line) if the hint's edges are the path's from ``at`` on."""
-        n = len(hint.spans)
-        if at < 0 or at + n >= len(nodes):
-            return None
-        spans = [(b, a) for a, b in reversed(hint.spans)] if backwards else hint.spans
-        if any((nodes[at + i], nodes[at + i + 1]) != span for i, span in enumerate(spans)):
-            return None
-        line = self.hint_line(hint.coords[::-1] if backwards else hint.coords)
-        return None if line is None else (2 if hint.kind == PORT_APPROACH else 1, n, hint.confidence, at, at + n, line)
-
-    def windows(self, nodes: list[int], start_code: str | None, end_code: str | None) -> list[tuple]:
-        found = []
-        for code, at_start in ((start_code, True), (end_code, False)):
-            hint = self.hints.ports.get(code.upper()) if code and code.strip() else None
-            if hint is not None and hint.spans and len(hint.coords) >= 2:
-                found.append(self.match(nodes, hint, 0 if at_start else len(nodes) - len(hint.spans) - 1, not at_start))
-        for hint in self.hints.windows:
-            for at in range(len(nodes) - len(hint.spans)):
-                w = self.match(nodes, hint, at, False)
-                if w is None and hint.flags & BIDIRECTIONAL:
-                    w = self.match(nodes, hint, at, True)
-                found.append(w)
-        return [w for w in found if w is not None]
-
-    def splice(self, nodes: list[int], start_code: str | None, end_code: str | None) -> tuple[list[Point], int]:
-        """The route with the chosen windows' lines in place of theirs, and how many were chosen."""
-        chosen = choose_windows(self.windows(nodes, start_code, end_code))
-        if not chosen:
-            return [], 0
-        out: list[Point] = []
-        at = 0
-        for w in chosen:
-            if w[3] > at:
-                out += self.pull(nodes[at : w[3] + 1])[0]
-            out += w[5]
-            at = w[4]
-        if at < len(nodes) - 1:
-            out += self.pull(nodes[at:])[0]
-        return without_repeats(out), len(chosen)
-
-    # all modes
-
-    def build(self, nodes: list[int], mode: str, start_code: str | None = None, end_code: str | None = None) -> dict:
-        raw = self.line(nodes)
-        out = {"requested": mode, "used": "raw", "raw_count": len(raw), "funnel_count": None, "fallback_count": 0, "shaped_count": 0, "sections": [], "points": raw}
-        if mode == "raw" or self.raster is None:
-            pass
-        elif mode == "shortcut" or self.portals is None:
-            out |= {"used": "shortcut", "points": self.smooth(raw)}
-        else:
-            points, funnel_count, sections = self.pull(nodes)
-            out |= {"used": "funnel", "points": points, "funnel_count": funnel_count, "fallback_count": len(sections), "sections": sections}
-            if self.hints is not None and len(nodes) >= 2:
-                shaped, n = self.splice(nodes, start_code, end_code)
-                if n:
-                    out |= {"points": shaped, "shaped_count": n}
-        return out | {"final_count": len(out["points"])}
+def corridor_line(coords: list[Point]) -> Asking:
+    """What is drawn for a corridor: its points where it is safe throughout, cleaned up; else None."""
+    if len(coords) < 2 or not (yield from all_safe(coords)):
+        return None
+    line = yield from smooth(coords)
+    return line if len(line) >= 2 and (yield from all_safe(line)) else None
 
 
-def choose_windows(found: list[tuple]) -> list[tuple]:
+def choose_windows(found: list[Found]) -> list[Found]:
     """Windows that do not overlap (touching ends may meet): by kind, edges, confidence, then earliest first; back in route order."""
-    chosen: list[tuple] = []
+    chosen: list[Found] = []
     for w in sorted(found, key=lambda w: (-w[0], -w[1], -w[2], w[3])):
         if all(w[4] <= c[3] or w[3] >= c[4] for c in chosen):
             chosen.append(w)
     return sorted(chosen, key=lambda w: (w[3], w[4]))
 
 
-SECTIONS = "array<struct<start:int,end:int,base_mode:string,final_mode:string,reason:string>>"
-GEOMETRY = f"path_id long, points {POINTS}, requested string, used string, raw_count int, funnel_count int, final_count int, fallback_count int, shaped_count int, sections {SECTIONS}"
+def splice(points: list[Point], gates: list[Gate], found: list[Found]) -> Asking:
+    """The route with the chosen windows' lines in place of theirs, and how many were chosen."""
+    chosen = choose_windows(found)
+    out: list[Point] = []
+    at = 0
+    for w in chosen:
+        if w[3] > at:
+            out += (yield from pull(points[at : w[3] + 1], gates[at : w[3]]))[0]
+        out += w[5]
+        at = w[4]
+    if chosen and at < len(points) - 1:
+        out += (yield from pull(points[at:], gates[at:]))[0]
+    return without_repeats(out), len(chosen)
+
+
+def shape(mode: str, points: list[Point], gates: list[Gate] | None, found: list[Found], masked: bool) -> Asking:
+    """The path's line in the mode that the requested one comes down to, with what led to it."""
+    out = {"requested": mode, "used": "raw", "raw_count": len(points), "funnel_count": None, "fallback_count": 0, "shaped_count": 0, "sections": [], "points": points}
+    if mode == "raw" or not masked:
+        pass
+    elif mode == "shortcut" or gates is None:
+        out |= {"used": "shortcut", "points": (yield from smooth(points))}
+    else:
+        line, funnel_count, sections = yield from pull(points, gates)
+        out |= {"used": "funnel", "points": line, "funnel_count": funnel_count, "fallback_count": len(sections), "sections": sections}
+        if found and len(points) >= 2:
+            line, n = yield from splice(points, gates, found)
+            if n:
+                out |= {"points": line, "shaped_count": n}
+    return out | {"final_count": len(out["points"])}
+
+
+def shape_all(shapes: list[Asking], raster: Raster | None) -> list:
+    """Runs all shapes side by side: a round answers the questions of all that still ask in one pass over the mask."""
+    out: list = [None] * len(shapes)
+    waiting: dict[int, list[bool] | None] = dict.fromkeys(range(len(shapes)))
+    while waiting:
+        asked: dict[int, list[tuple[Point, Point]]] = {}
+        for i, seen in waiting.items():
+            try:
+                asked[i] = shapes[i].send(seen)
+            except StopIteration as done:
+                out[i] = done.value
+        flat = np.array([pair for pairs in asked.values() for pair in pairs], float).reshape(-1, 2, 2)
+        seen = raster.safe_many(flat[:, 0], flat[:, 1]).tolist() if len(flat) else []
+        ends = np.cumsum([len(p) for p in asked.values()]).tolist()
+        waiting = {i: seen[e - len(p) : e] for (i, p), e in zip(asked.items(), ends)}
+    return out
+
+
+# --- shapes of tables ------------------------------------------------------------------------
+
+LINE = pa.list_(pa.list_(pa.float64()))
+
+
+def leg_gates(first: DataFrame, portals: DataFrame) -> DataFrame:
+    """src, dst, edge_id and the portal's ends (null without a portal) of each pair of neighbouring nodes."""
+    return first.join(portals.select("edge_id", "ax", "ay", "bx", "by"), "edge_id", "left").select("src", "dst", "edge_id", *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")])
+
 
+def hint_lines(hints: DataFrame, raster: Raster) -> DataFrame:
+    """corridor_id, backwards, line of each hint and direction that is safe throughout. They depend on the mask only, so they are drawn once."""
+    sent = hints.sparkSession.sparkContext.broadcast(raster)
 
-def build_geometry(paths: DataFrame, shaper: Shaper) -> DataFrame:
-    """GEOMETRY of every path (path_id, path_nodes, mode, from_locode, to_locode)."""
-    sent = paths.sparkSession.sparkContext.broadcast(shaper)
+    def run(batches):
+        for b in batches:
+            coords = [[(c["lon"], c["lat"]) for c in cs or []] for cs in b.column(1).to_pylist()]
+            both = [x for c in coords for x in (c, c[::-1])]
+            lines = shape_all([corridor_line(c) for c in both], sent.value)
+            ids = np.repeat(b.column(0).to_numpy(), 2)
+            keep = [i for i, x in enumerate(lines) if x is not None]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array([i % 2 == 1 for i in keep], pa.bool_()), pa.array([[list(p) for p in lines[i]] for i in keep], LINE)], names=["corridor_id", "backwards", "line"])
+
+    narrow = hints.select(F.col("corridor_id").cast("long"), "coords").repartition(spread(hints.sparkSession), "corridor_id")
+    return narrow.mapInArrow(run, f"corridor_id long, backwards boolean, line {POINTS}")
+
+
+SECTIONS = "array<struct<start:int,end:int,base_mode:string,final_mode:string,reason:string>>"
+GEOMETRY = f"path_id long, points {POINTS}, requested string, used string, raw_count int, funnel_count int, final_count int, fallback_count int, shaped_count int, sections {SECTIONS}, shape_ms double"
+
+
+def build_geometry(paths: DataFrame, nodes: DataFrame, raster: Raster | None = None, gates: DataFrame | None = None, windows: DataFrame | None = None, timed: bool = False) -> DataFrame:
+    """GEOMETRY of every path (path_id, path_nodes, mode).
+
+    ``gates``: what ``leg_gates`` gives; ``windows``: path_id, kind, n, confidence, start, end, line. Each path meets its points,
+    gates and windows in joins; only the mask, of fixed size, is broadcast. Paths are dealt over ``spread`` tasks, since
+    their rows are small and their work is not. ``timed`` shapes them one by one and fills ``shape_ms``.
+    """
+    spark = paths.sparkSession
+    rows = paths.select(F.col("path_id").cast("long").alias("path_id"), F.col("path_nodes").cast("array<int>").alias("path_nodes"), "mode")
+    ready = rows.select("path_id", "mode").join(raw_points(rows, nodes), "path_id", "left")
+    gate = "array<struct<pos:int,edge_id:int,ax:double,ay:double,bx:double,by:double>>"
+    found = "array<struct<kind:int,n:int,confidence:double,start:int,end:int,line:array<array<double>>>>"
+    if gates is not None and raster is not None:
+        legs = path_edges(rows, gates).groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("pos", "edge_id", "ax", "ay", "bx", "by"))).cast(gate).alias("gates"))
+        ready = ready.join(legs, "path_id", "left").withColumn("gates", F.coalesce("gates", F.array().cast(gate)))
+    else:
+        ready = ready.withColumn("gates", F.lit(None).cast(gate))
+    if windows is not None:
+        per = windows.groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("kind", "n", "confidence", "start", "end", "line"))).cast(found).alias("windows"))
+        ready = ready.join(per, "path_id", "left")
+    else:
+        ready = ready.withColumn("windows", F.lit(None).cast(found))
+    sent = spark.sparkContext.broadcast(raster)
     section = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("base_mode", pa.string()), ("final_mode", pa.string()), ("reason", pa.string())])
-    kinds = {"points": pa.list_(pa.list_(pa.float64())), "requested": pa.string(), "used": pa.string(), "raw_count": pa.int32(), "funnel_count": pa.int32(), "final_count": pa.int32(), "fallback_count": pa.int32(), "shaped_count": pa.int32(), "sections": pa.list_(section)}
+    kinds = {"points": LINE, "requested": pa.string(), "used": pa.string(), "raw_count": pa.int32(), "funnel_count": pa.int32(), "final_count": pa.int32(), "fallback_count": pa.int32(), "shaped_count": pa.int32(), "sections": pa.list_(section), "shape_ms": pa.float64()}
 
     def run(batches):
         for b in batches:
-            rows = [sent.value.build(*r) for r in zip(*(b.column(i).to_pylist() for i in range(1, 5)))]
-            for r in rows:
-                r["points"] = [list(p) for p in r["points"]]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], t) for k, t in kinds.items())], names=["path_id", *kinds])
+            shapes = []
+            for mode, points, gates, windows in zip(*(b.column(i).to_pylist() for i in range(1, 5))):
+                legs = None if gates is None else [(g["edge_id"], g["ax"], g["ay"], g["bx"], g["by"]) for g in gates]
+                hits = [(w["kind"], w["n"], w["confidence"], w["start"], w["end"], [tuple(p) for p in w["line"]]) for w in windows or []]
+                shapes.append(shape(mode, [tuple(p) for p in points or []], legs, hits, sent.value is not None))
+            if timed:
+                made, took = [], []
+                for one in shapes:
+                    start = time.perf_counter()
+                    made += shape_all([one], sent.value)
+                    took.append((time.perf_counter() - start) * 1000)
+            else:
+                made, took = shape_all(shapes, sent.value), [None] * len(shapes)
+            made = [m | {"points": [list(p) for p in m["points"]], "shape_ms": t} for m, t in zip(made, took)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([m[k] for m in made], t) for k, t in kinds.items())], names=["path_id", *kinds])
 
-    narrow = paths.select(F.col("path_id").cast("long"), F.col("path_nodes").cast("array<int>"), "mode", F.col("from_locode").cast("string"), F.col("to_locode").cast("string"))
-    return narrow.mapInArrow(run, GEOMETRY)
+    return ready.select("path_id", "mode", "points", "gates", "windows").repartition(spread(spark), "path_id").mapInArrow(run, GEOMETRY)

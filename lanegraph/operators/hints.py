@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanegraph.operators.geometry import BIDIRECTIONAL, PORT_APPROACH, ROUTE_WINDOW, Hint, HintSet
+from lanegraph.operators.geometry import BIDIRECTIONAL, PORT_APPROACH, ROUTE_WINDOW
+from lanegraph.operators.network import places
 
 
 def is_bidirectional(flags: Column) -> Column:
@@ -19,11 +20,13 @@ def port_approaches(hints: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
+def usable_windows(hints: DataFrame) -> DataFrame:
+    return hints.where((F.col("kind") == ROUTE_WINDOW) & (F.size("spans") > 0) & (F.size("coords") >= 2))
+
+
 def route_windows(hints: DataFrame) -> DataFrame:
-    """Usable generic windows with ``place`` by falling confidence, then edges."""
-    rows = hints.where((F.col("kind") == ROUTE_WINDOW) & (F.size("spans") > 0) & (F.size("coords") >= 2))
-    order = Window.orderBy(F.col("confidence").desc(), F.size("spans").desc(), "corridor_id")
-    return rows.withColumn("place", F.row_number().over(order))  # a few dozen hints
+    """Usable generic windows with ``place`` (from 1) by falling confidence, then edges."""
+    return places(usable_windows(hints), [(F.col("confidence"), True), (F.size("spans"), True), (F.col("corridor_id"), False)], "place")
 
 
 def _steps(hints: DataFrame) -> DataFrame:
@@ -42,7 +45,7 @@ def _matches(legs: DataFrame, hints: DataFrame) -> DataFrame:
 
 def generic_windows(legs: DataFrame, hints: DataFrame) -> DataFrame:
     """path_id, corridor_id, start, end, backwards: every offset; backwards only if the hint allows it and does not match forwards there."""
-    found = _matches(legs, route_windows(hints)).where(~F.col("backwards") | is_bidirectional(F.col("flags")))
+    found = _matches(legs, usable_windows(hints)).where(~F.col("backwards") | is_bidirectional(F.col("flags")))
     once = found.groupBy("path_id", "corridor_id", "start").agg(F.min("backwards").alias("backwards"), F.first("n").alias("n"))
     return once.select("path_id", "corridor_id", "start", (F.col("start") + F.col("n")).alias("end"), "backwards")
 
@@ -67,12 +70,19 @@ def select_windows(candidates: DataFrame) -> DataFrame:
     )
     ordered = candidates.groupBy("path_id").agg(F.sort_array(F.collect_list(key)).alias("all"))
     slim = F.transform("all", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["corridor_id"].alias("corridor_id")))
-    kind = "array<struct<start:int,end:int,corridor_id:int>>"
+    kind = "array<struct<start:int,end:int,corridor_id:long>>"
     fold = F.aggregate(slim.cast(kind), F.array().cast(kind), lambda taken, w: F.when(F.exists(taken, lambda t: (w["end"] > t["start"]) & (w["start"] < t["end"])), taken).otherwise(F.concat(taken, F.array(w))))
     return ordered.select("path_id", F.sort_array(fold).alias("chosen"))
 
 
-def hint_set(hints: DataFrame) -> HintSet:
-    """The hints for broadcasting; a region has a few dozen."""
-    rows = hints.orderBy("corridor_id").collect()
-    return HintSet([Hint(r["corridor_id"], r["locode"] or "", r["kind"], r["flags"], r["confidence"], [(c["lon"], c["lat"]) for c in r["coords"]], [(s["src"], s["dst"]) for s in r["spans"]]) for r in rows])
+def path_windows(legs: DataFrame, ends: DataFrame, hints: DataFrame, lines: DataFrame) -> DataFrame:
+    """path_id, kind, n, confidence, start, end, line of the hints that may shape each path: ``kind`` 2 for port approaches, 1 for others.
+
+    ``lines``: what ``geometry.hint_lines`` gives; a hint without a line shapes nothing. Of hints of one kind on the same legs
+    of a path only the most confident can be chosen (of equals the one of the lowest position), so the others are left out.
+    """
+    generic = generic_windows(legs, hints).select("path_id", "corridor_id", "start", "end", "backwards", F.lit(1).alias("kind"))
+    port = port_windows(legs, ends, hints).select("path_id", "corridor_id", "start", "end", (F.col("side") == "end").alias("backwards"), F.lit(2).alias("kind"))
+    drawn = generic.unionByName(port).join(lines, ["corridor_id", "backwards"]).join(hints.select("corridor_id", F.col("confidence").cast("double").alias("confidence")), "corridor_id")
+    best = drawn.groupBy("path_id", "kind", "start", "end").agg(F.min_by(F.struct("confidence", "line"), F.struct(-F.col("confidence"), F.col("corridor_id"))).alias("b"))
+    return best.select("path_id", "kind", (F.col("end") - F.col("start")).alias("n"), "b.confidence", "start", "end", "b.line")

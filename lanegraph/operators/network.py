@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanegraph.functions.geo import haversine_nm
+from lanegraph.shared import materialize, spread
 
 DELTA_OVERFLOW = -32768
 
@@ -26,6 +27,19 @@ def row_offsets(degrees: DataFrame, blocks: int | None = None) -> DataFrame:
     return cut.withColumn("within", within).join(starts, "block").select("node_id", (F.col("before") + F.col("within") - F.col("degree")).alias("row_start"), (F.col("before") + F.col("within")).alias("row_end"))
 
 
+def places(rows: DataFrame, order: list[tuple[Column, bool]], name: str) -> DataFrame:
+    """Rows with their place (from 1) in a total order of (column, falling): sorted by ranges, counted within each, and the ranges' counts summed up."""
+    keys = {f"__o{i}": c for i, (c, _) in enumerate(order)}
+    by = [F.col(k).desc() if falling else F.col(k) for k, (_, falling) in zip(keys, order)]
+    dealt = rows.withColumns(keys).repartitionByRange(spread(rows.sparkSession), *by)
+    cut = materialize(dealt.withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy("__range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per range
+    nth = F.row_number().over(Window.partitionBy("__range").orderBy(*by))
+    found = cut.withColumn("__nth", nth).join(F.broadcast(sizes.select("__range", before.alias("__before"))), "__range")
+    return found.select(*rows.columns, (F.col("__before") + F.col("__nth")).cast("int").alias(name))
+
+
 def _bound(df: DataFrame, column: str) -> int:
     return int(df.agg(F.max(column)).first()[0] or 0)
 

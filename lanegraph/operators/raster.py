@@ -37,27 +37,43 @@ class Raster:
     def __getstate__(self):
         return {**self.__dict__, "open": {}}
 
+    def land_many(self, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        """``land`` of many cells at once."""
+        out = np.ones(len(row), bool)
+        inside = np.flatnonzero((row >= 0) & (row < self.height) & (col >= 0) & (col < self.width))
+        r, c = row[inside], col[inside]
+        if self.bits is not None:
+            at = r * self.width + c
+            out[inside] = np.frombuffer(self.bits, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+        else:
+            tw, th = self.tile
+            across = -(-self.width // tw)
+            index = r // th * across + c // tw
+            for k in np.unique(index).tolist():
+                i = np.flatnonzero(index == k)
+                data = self._tile(k)
+                if data:
+                    tr, tc = divmod(k, across)
+                    at = (r[i] - tr * th) * min(tw, self.width - tc * tw) + c[i] - tc * tw
+                    out[inside[i]] = np.frombuffer(data, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+                else:  # an empty tile is water
+                    out[inside[i]] = False
+        return out
+
+    def _tile(self, index: int) -> bytes:
+        data = self.open.get(index)
+        if data is None:
+            raw = self.tiles.get(index, b"")
+            data = self.open[index] = zlib.decompress(raw) if raw and self.codec == 1 else raw
+        return data
+
     def land(self, row: int, col: int) -> bool:
         """Land, or outside the grid."""
-        if not (0 <= row < self.height and 0 <= col < self.width):
-            return True
-        data, at = self.bits, row * self.width + col
-        if data is None:
-            tw, th = self.tile
-            tc, tr = col // tw, row // th
-            index = tr * -(-self.width // tw) + tc
-            data = self.open.get(index)
-            if data is None:
-                raw = self.tiles.get(index, b"")
-                data = self.open[index] = zlib.decompress(raw) if raw and self.codec == 1 else raw
-            if not data:  # an empty tile is water
-                return False
-            at = (row - tr * th) * min(tw, self.width - tc * tw) + col - tc * tw
-        return bool(data[at >> 3] >> (7 - (at & 7)) & 1)
-
-    def project(self, lon: float, lat: float) -> tuple[float, float]:
-        lat = min(max(lat, -MAX_MERCATOR_LAT), MAX_MERCATOR_LAT)
-        return EARTH_RADIUS_M * lon * math.pi / 180.0, EARTH_RADIUS_M * math.log(math.tan(math.pi / 4 + lat * math.pi / 360.0))
+        return bool(self.land_many(np.array([row]), np.array([col]))[0])
+
+    def project(self, lon, lat):
+        lat = np.clip(lat, -MAX_MERCATOR_LAT, MAX_MERCATOR_LAT)
+        return EARTH_RADIUS_M * lon * math.pi / 180.0, EARTH_RADIUS_M * np.log(np.tan(math.pi / 4 + lat * math.pi / 360.0))
 
     def cell(self, x: float, y: float) -> tuple[int, int] | None:
         """(row, col) of a projected point; None outside."""
@@ -68,7 +84,7 @@ class Raster:
 
     def touched(self, start: tuple[float, float], end: tuple[float, float]):
         """Cells from start to end (lon, lat) in order. Through a corner both cells beside it come before the diagonal one. None: outside."""
-        (x0, y0), (x1, y1) = self.project(*start), self.project(*end)
+        (x0, y0), (x1, y1) = (tuple(map(float, self.project(*p))) for p in (start, end))
         a, b = self.cell(x0, y0), self.cell(x1, y1)
         if a is None or b is None:
             yield None
@@ -97,13 +113,44 @@ class Raster:
             yield row, col
 
     def safe(self, start: tuple[float, float], end: tuple[float, float]) -> bool:
-        """No land on the way; segments over the anti-meridian or out of the grid are not safe."""
-        if abs(end[0] - start[0]) > 180.0:
-            return False
-        for cell in self.touched(start, end):
-            if cell is None or self.land(*cell):
-                return False
-        return True
+        return bool(self.safe_many(np.array([start], float), np.array([end], float))[0])
+
+    def safe_many(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """No land on the way from each (lon, lat) to the other; segments over the anti-meridian or out of the grid are not safe.
+
+        All segments walk side by side, one cell a step, until they arrive or meet land; the cells are those of ``touched``.
+        """
+        (x0, y0), (x1, y1) = self.project(start[:, 0], start[:, 1]), self.project(end[:, 0], end[:, 1])
+        within = lambda x, y: (x >= self.min_x) & (x < self.max_x) & (y >= self.min_y) & (y < self.max_y)
+        out = (np.abs(end[:, 0] - start[:, 0]) <= 180.0) & within(x0, y0) & within(x1, y1)
+        who = np.flatnonzero(out)
+        x0, y0, x1, y1 = x0[who], y0[who], x1[who], y1[who]
+        at = lambda v, low, n: np.clip(((v - low) / self.pixel).astype(np.int64), 0, n - 1)
+        row, col, row1, col1 = at(self.max_y, y0, self.height), at(x0, self.min_x, self.width), at(self.max_y, y1, self.height), at(x1, self.min_x, self.width)
+        dx, dy = x1 - x0, y1 - y0
+        right, down = np.sign(dx).astype(np.int64), -np.sign(dy).astype(np.int64)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            every_x, every_y = np.where(right, self.pixel / np.abs(dx), np.inf), np.where(down, self.pixel / np.abs(dy), np.inf)
+            at_x = np.where(right, (self.min_x + (col + (right > 0)) * self.pixel - x0) / dx, np.inf)
+            at_y = np.where(down, (self.max_y - (row + (down > 0)) * self.pixel - y0) / dy, np.inf)
+        land = self.land_many(row, col)
+        while True:
+            out[who[land]] = False
+            go = np.flatnonzero(~land & ((row != row1) | (col != col1)))
+            if not len(go):
+                return out
+            if len(go) < len(who):
+                who, row, col, row1, col1, right, down, every_x, every_y, at_x, at_y = (v[go] for v in (who, row, col, row1, col1, right, down, every_x, every_y, at_x, at_y))
+            with np.errstate(invalid="ignore"):
+                corner = np.abs(at_x - at_y) <= CORNER_TOLERANCE
+            land = np.zeros(len(who), bool)
+            for beside, r, c in ((corner & (right != 0), row, col + right), (corner & (down != 0), row + down, col)):
+                if beside.any():
+                    land[beside] |= self.land_many(r[beside], c[beside])
+            go_x, go_y = corner | (at_x < at_y), corner | (at_x >= at_y)
+            col, row = col + right * go_x, row + down * go_y
+            at_x, at_y = np.where(go_x, at_x + every_x, at_x), np.where(go_y, at_y + every_y, at_y)
+            land |= self.land_many(row, col)
 
 
 def located(points: DataFrame, meta: dict) -> DataFrame:
@@ -129,9 +176,9 @@ def segments_safe(segments: DataFrame, raster: Raster) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ends = [b.column(i).to_pylist() for i in range(1, 5)]
-            found = [sent.value.safe((a, c), (d, e)) for a, c, d, e in zip(*ends)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.bool_())], names=["segment_id", "safe"])
+            lon1, lat1, lon2, lat2 = (b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
+            found = sent.value.safe_many(np.stack([lon1, lat1], 1), np.stack([lon2, lat2], 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], names=["segment_id", "safe"])
 
     cols = [F.col(c).cast("double") for c in ("lon1", "lat1", "lon2", "lat2")]
     return segments.select(F.col("segment_id").cast("long"), *cols).mapInArrow(run, "segment_id long, safe boolean")

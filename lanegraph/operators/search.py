@@ -1,9 +1,12 @@
 """Least-cost search: batches of requests over a broadcast network, or frontier joins beyond its bound.
 
-The network is broadcast as offset arrays while it has at most ``MAX_BROADCAST_EDGES`` edges (about
-16 bytes each); requests are dealt over the cluster and each is searched with a heap. A larger network
-stays a table, and all requests advance together, one join of the frontier with the edges per round.
-Both give the same costs; of equal paths the one with the smaller last edge id is kept.
+The network is broadcast as offset arrays while it has at most ``MAX_BROADCAST_EDGES`` edges (24 bytes
+each, and about 100 more in each worker that searches with a heap, which reads lists); requests are dealt
+over ``spread`` tasks, those of one source next to each other, so that a task searches from it once. A
+larger network stays a table, and all requests advance together, one join of the frontier with the edges
+per round. Both give the same costs, and Dijkstra's count of settled nodes; of equal paths the one with
+the smaller last edge id is kept. The rounds have one search for both algorithms: a request for
+bidirectional A* gets the same route there, and no counts by side.
 """
 
 from __future__ import annotations
@@ -13,12 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanegraph.functions.geo import EARTH_RADIUS_NM, haversine_py
+from lanegraph.functions.geo import EARTH_RADIUS_NM, haversine_nm, haversine_py
 from lanegraph.operators.network import landmarks
-from lanegraph.shared import materialize
+from lanegraph.shared import materialize, remove_table, spread
 
 MAX_BROADCAST_EDGES = 20_000_000
 INF = float("inf")
@@ -65,18 +68,18 @@ def build_csr(nodes: DataFrame, edges: DataFrame) -> Csr:
     return Csr(*(e[c].to_numpy() for c in ("src", "dst", "cost", "edge_id")), n, lat, lon)
 
 
-def tree(csr: Csr, source: int, reverse: bool = False, target: int = -1) -> tuple[dict[int, float], dict[int, tuple[int, int]], int]:
-    """Heap search from ``source``: settled distances, last step (node before, edge) by node, nodes settled."""
+def tree(csr: Csr, source: int, reverse: bool = False, target: int = -1) -> tuple[dict[int, float], dict[int, tuple[int, int]], dict[int, int]]:
+    """Heap search from ``source``: distances, last step (node before, edge) by node, and the rank at which each node was settled."""
     start, to, cost, edge = csr.lists(reverse)
     dist = {source: 0.0}
     last: dict[int, tuple[int, int]] = {}
-    done: set[int] = set()
+    done: dict[int, int] = {}
     heap = [(0.0, source)]
     while heap:
         d, v = heapq.heappop(heap)
         if v in done:
             continue
-        done.add(v)
+        done[v] = len(done) + 1
         if v == target:
             break
         for i in range(start[v], start[v + 1]):
@@ -87,7 +90,7 @@ def tree(csr: Csr, source: int, reverse: bool = False, target: int = -1) -> tupl
                 heapq.heappush(heap, (nd, w))
             elif nd == old and w != source and w not in done and edge[i] < last[w][1]:
                 last[w] = (v, edge[i])
-    return dist, last, len(done)
+    return dist, last, done
 
 
 def all_distances(csr: Csr, source: int, reverse: bool = False) -> np.ndarray:
@@ -143,37 +146,49 @@ def add_landmarks(csr: Csr, ids: list[int], rate: float) -> Csr:
     return csr
 
 
-def bounds(csr: Csr, v: int, into: bool) -> np.ndarray:
-    """Bounds on the costs from every node to v (``into``), or from v to every node: landmarks, else the cheapest rate along the great circle."""
-    best = np.zeros(csr.n)
+def bounds(csr: Csr, v: int, into: bool, at: np.ndarray | None = None) -> np.ndarray:
+    """Bounds on the costs from the nodes ``at`` (all of them) to v (``into``), or from v to them: landmarks, else the cheapest rate along the great circle."""
+    at = np.arange(csr.n) if at is None else at
+    best = np.zeros(len(at))
     for near, far in zip(csr.from_landmark, csr.to_landmark):
-        best = np.fmax(best, near[v] - near if into else near - near[v])
-        best = np.fmax(best, far - far[v] if into else far[v] - far)
+        a, b = near[at], far[at]
+        best = np.fmax(best, near[v] - a if into else a - near[v])
+        best = np.fmax(best, b - far[v] if into else far[v] - b)
     bare = np.flatnonzero(best <= 0) if csr.rate > 0 and csr.lat is not None else ()
     if len(bare):
-        lat, lon, lat0, lon0 = np.radians(csr.lat[bare]), np.radians(csr.lon[bare]), np.radians(csr.lat[v]), np.radians(csr.lon[v])
+        lat, lon, lat0, lon0 = np.radians(csr.lat[at[bare]]), np.radians(csr.lon[at[bare]]), np.radians(csr.lat[v]), np.radians(csr.lon[v])
         a = np.sin((lat - lat0) / 2) ** 2 + np.cos(lat) * np.cos(lat0) * np.sin((lon - lon0) / 2) ** 2
         best[bare] = csr.rate * 2 * EARTH_RADIUS_NM * np.arcsin(np.sqrt(np.minimum(1.0, a)))
     return best * (1 - 1e-12)
 
 
 def lower_bound(csr: Csr, s: int, t: int) -> float:
-    return float(bounds(csr, t, True)[s])
+    return float(bounds(csr, t, True, np.array([s]))[0])
 
 
-def two_sided(csr: Csr, s: int, t: int) -> tuple[float, list[int], list[int], int, int] | None:
-    """Bidirectional A* with balanced potentials: cost, nodes, edges, nodes settled on either side; None without a path."""
-    left = bounds(csr, t, True)
-    total = float(left[s])
-    potential = 0.5 * (left - bounds(csr, s, False) + total)
+class Potential(dict):
+    """Balanced potentials of a pair (s, t) by node. Where a node's is missing, those of its neighbours on either side are found with it."""
+
+    def __init__(self, csr: Csr, s: int, t: int):
+        super().__init__()
+        self.csr, self.s, self.t = csr, s, t
+        self.total = lower_bound(csr, s, t)
 
-    def ahead(v: int) -> float:
-        return float(potential[v])
+    def __missing__(self, v: int) -> float:
+        near = [to[start[v] : start[v + 1]] for start, to, _, _ in (self.csr.forward, self.csr.backward)]
+        at = np.unique(np.concatenate([np.array([v]), *near]))
+        self.update(zip(at.tolist(), (0.5 * (bounds(self.csr, self.t, True, at) - bounds(self.csr, self.s, False, at) + self.total)).tolist()))
+        return self[v]
 
+
+def two_sided(csr: Csr, s: int, t: int) -> tuple[float, list[int], list[int], int, int] | None:
+    """Bidirectional A* with balanced potentials: cost, nodes, edges, nodes settled on either side; None without a path."""
+    potential = Potential(csr, s, t)
+    total = potential.total
     sides = []
-    for root, sign, reverse in ((s, 1.0, False), (t, -1.0, True)):
-        h = ahead(root) if sign > 0 else total - ahead(root)
-        sides.append({"dist": {root: 0.0}, "last": {}, "heap": [(h, root)], "done": set(), "adj": csr.lists(reverse), "forward": sign > 0})
+    for root, forward in ((s, True), (t, False)):
+        h = potential[root] if forward else total - potential[root]
+        sides.append({"dist": {root: 0.0}, "last": {}, "heap": [(h, root)], "done": set(), "adj": csr.lists(not forward), "forward": forward})
     best, meet = INF, -1
     while sides[0]["heap"] and sides[1]["heap"]:
         keys = [side["heap"][0][0] for side in sides]
@@ -186,18 +201,19 @@ def two_sided(csr: Csr, s: int, t: int) -> tuple[float, list[int], list[int], in
         if v in side["done"]:
             continue
         side["done"].add(v)
-        dv = side["dist"][v]
-        if v in other["dist"] and dv + other["dist"][v] < best:
-            best, meet = dv + other["dist"][v], v
+        dist, last, forward, far = side["dist"], side["last"], side["forward"], other["dist"]
+        dv = dist[v]
+        if v in far and dv + far[v] < best:
+            best, meet = dv + far[v], v
         start, to, cost, edge = side["adj"]
         for i in range(start[v], start[v + 1]):
             w, nd = to[i], dv + cost[i]
-            if nd < side["dist"].get(w, INF):
-                side["dist"][w], side["last"][w] = nd, (v, edge[i])
+            if nd < dist.get(w, INF):
+                dist[w], last[w] = nd, (v, edge[i])
                 side["done"].discard(w)  # bounds that differ by node may need a node again
-                heapq.heappush(side["heap"], (nd + (ahead(w) if side["forward"] else total - ahead(w)), w))
-                if w in other["dist"] and nd + other["dist"][w] < best:
-                    best, meet = nd + other["dist"][w], w
+                heapq.heappush(side["heap"], (nd + (potential[w] if forward else total - potential[w]), w))
+                if w in far and nd + far[w] < best:
+                    best, meet = nd + far[w], w
     if meet < 0:
         return None
     n1, e1 = trail(sides[0]["last"], s, meet)
@@ -211,8 +227,8 @@ RESULT = (
 )
 
 
-def solve(csr: Csr, s: int, t: int, algorithm: str) -> tuple:
-    """One request's result, in the order of RESULT without the id."""
+def solve(csr: Csr, s: int, t: int, algorithm: str, known: dict | None = None) -> tuple:
+    """One request's result, in the order of RESULT without the id. ``known`` keeps the last source's whole tree for requests that share it."""
     fail = lambda status, why, visited=0: (status, why, None, None, None, None, visited, None, None)
     for name, v in (("from", s), ("to", t)):
         if v is None or not 0 <= v < csr.n:
@@ -226,16 +242,23 @@ def solve(csr: Csr, s: int, t: int, algorithm: str) -> tuple:
         cost, nodes, edges, a, b = found
         counts = (a + b, a, b)
     else:
-        dist, last, settled = tree(csr, s, target=t)
+        if known is None:
+            dist, last, done = tree(csr, s, target=t)
+        else:
+            if s not in known:
+                known.clear()
+                known[s] = tree(csr, s)
+            dist, last, done = known[s]
         if t not in dist:
-            return fail("NoPath", "no path between the nodes", settled)
+            return fail("NoPath", "no path between the nodes", len(done))
         nodes, edges = trail(last, s, t)
-        cost, counts = dist[t], (settled, None, None)
+        cost, counts = dist[t], (done[t], None, None)
     nm = sum(haversine_py(csr.lat[a], csr.lon[a], csr.lat[b], csr.lon[b]) for a, b in zip(nodes, nodes[1:]))
     return ("Success", None, nodes, edges, cost, nm, *counts)
 
 
 def fits(edges: DataFrame, limit: int = MAX_BROADCAST_EDGES) -> bool:
+    """Whether the network is small enough to be broadcast."""
     return edges.count() <= limit
 
 
@@ -258,16 +281,21 @@ def route_requests(requests: DataFrame, nodes: DataFrame, edges: DataFrame, limi
         csr = load_network(nodes, edges, wants)
     sent = requests.sparkSession.sparkContext.broadcast(csr)
     dealt = requests.select(F.col("request_id").cast("long"), F.col("from_node").cast("int"), F.col("to_node").cast("int"), "algorithm")
-    dealt = dealt.repartition("request_id", "from_node")
+    salt = F.pmod(F.xxhash64("request_id"), F.lit(8))  # a source that all requests share is searched by eight tasks at most
+    dealt = dealt.repartition(spread(requests.sparkSession), F.when(F.col("algorithm") == "dijkstra", F.col("from_node")), F.when(F.col("algorithm") == "dijkstra", salt).otherwise(F.xxhash64("request_id")))
+    dealt = dealt.sortWithinPartitions("from_node", "request_id")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
         names = [p.split()[0] for p in RESULT.split(", ")]
+        known: dict = {}
         for b in batches:
             ids, s, t, how = (b.column(i).to_pylist() for i in range(4))
+            shared = [x == y for x, y in zip(s, s[1:])]
+            several = [x or y for x, y in zip([False, *shared], [*shared, False])]
             for lo in range(0, len(ids), 512):
                 hi = lo + 512
-                rows = [(i, *solve(sent.value, x, y, a)) for i, x, y, a in zip(ids[lo:hi], s[lo:hi], t[lo:hi], how[lo:hi])]
+                rows = [(i, *solve(sent.value, x, y, a, known if m else None)) for i, x, y, a, m in zip(ids[lo:hi], s[lo:hi], t[lo:hi], how[lo:hi], several[lo:hi])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return dealt.mapInArrow(run, RESULT)
@@ -288,71 +316,92 @@ def distances(sources: DataFrame, nodes: DataFrame, edges: DataFrame, reverse: b
                 found = np.flatnonzero(dist < INF)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), v, np.int32)), pa.array(found.astype(np.int32)), pa.array(dist[found])], names=["source", "node_id", "distance"])
 
-    return sources.select(F.col("source").cast("int")).distinct().mapInArrow(run, "source int, node_id int, distance double")
+    dealt = sources.select(F.col("source").cast("int")).distinct().repartition(spread(sources.sparkSession), "source")
+    return dealt.mapInArrow(run, "source int, node_id int, distance double")
+
+
+def expand(front: DataFrame, edges: DataFrame, reverse: bool = False) -> DataFrame:
+    """source, node_id and the best step (distance, last_edge, before) over one edge from the nodes of ``front`` (source, at, so_far)."""
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    step = edges.select(F.col(a).cast("int").alias("at"), F.col(b).cast("int").alias("node_id"), F.col("cost").cast("double").alias("cost"), F.col("edge_id").cast("int").alias("edge_id"))
+    best = F.min(F.struct((F.col("so_far") + F.col("cost")).alias("distance"), F.col("edge_id").alias("last_edge"), F.col("at").alias("before")))
+    return front.join(step, "at").groupBy("source", "node_id").agg(best.alias("new"))
 
 
 def frontier_distances(sources: DataFrame, edges: DataFrame, reverse: bool = False) -> DataFrame:
     """The same by rounds of joins, with last_edge and before (the previous node): nothing is broadcast by this code.
 
     A round relaxes the edges of the nodes that improved in the last one. Tables go to the shared folder,
-    so lineage stays short and a lost executor repeats one round's tasks.
+    so lineage stays short and a lost executor repeats one round's tasks; a round's table is dropped once the next is written.
     """
-    a, b = ("dst", "src") if reverse else ("src", "dst")
-    step = edges.select(F.col(a).cast("int").alias("at"), F.col(b).cast("int").alias("node_id"), F.col("cost").cast("double").alias("cost"), F.col("edge_id").cast("int").alias("edge_id"))
     best = sources.select(F.col("source").cast("int").alias("source")).distinct()
     best = best.select("source", F.col("source").alias("node_id"), F.lit(0.0).alias("distance"), F.lit(-1).alias("last_edge"), F.lit(-1).alias("before"), F.lit(True).alias("fresh"))
     best = materialize(best, "frontier")
     while True:
         front = best.where("fresh").select("source", F.col("node_id").alias("at"), F.col("distance").alias("so_far"))
-        reached = front.join(step, "at").groupBy("source", "node_id").agg(F.min(F.struct((F.col("so_far") + F.col("cost")).alias("distance"), F.col("edge_id").alias("last_edge"), F.col("at").alias("before"))).alias("new"))
-        both = best.join(reached, ["source", "node_id"], "full_outer")
+        both = best.join(expand(front, edges, reverse), ["source", "node_id"], "full_outer")
         better = F.coalesce(F.col("new.distance") < F.col("distance"), F.col("distance").isNull())
         tie = F.coalesce((F.col("new.distance") == F.col("distance")) & (F.col("new.last_edge") < F.col("last_edge")) & (F.col("last_edge") >= 0), F.lit(False))
         take = lambda c: F.when(better | tie, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c)
-        best = materialize(both.select("source", "node_id", take("distance"), take("last_edge"), take("before"), better.alias("fresh")), "frontier")
+        before, best = best, materialize(both.select("source", "node_id", take("distance"), take("last_edge"), take("before"), better.alias("fresh")), "frontier")
+        remove_table(before)
         if not best.where("fresh").limit(1).count():
             return best.drop("fresh")
 
 
+def trails(ends: DataFrame, reach: DataFrame) -> DataFrame:
+    """request_id, nodes, edges of the paths to ``ends`` (request_id, source, node_id) in the trees ``reach``.
+
+    By doubling: every node learns the one 1, 2, 4, ... steps before it, and a path's set of known nodes is carried on by
+    each of these jumps in turn, so a path of n nodes takes about 2 log2(n) joins.
+    """
+    jump = materialize(reach.where("before >= 0").select("source", "node_id", F.col("before").alias("to")), "jump")
+    jumps = [jump]
+    while jump.limit(1).count():
+        further = jump.toDF("source", "mid", "far")
+        jump = materialize(jump.join(further, (jump["source"] == further["source"]) & (jump["to"] == further["mid"])).select(jump["source"], "node_id", F.col("far").alias("to")), "jump")
+        jumps.append(jump)
+    on = ends.select("request_id", "source", "node_id", F.lit(0).cast("long").alias("back"))
+    for k, step in enumerate(jumps):
+        moved = on.join(step, ["source", "node_id"]).select("request_id", "source", F.col("to").alias("node_id"), (F.col("back") + (1 << k)).alias("back"))
+        before, on = on, materialize(on.unionByName(moved), "trail")
+        if k:
+            remove_table(before)
+    for step in jumps:
+        remove_table(step)
+    at = on.join(reach.select("source", "node_id", "last_edge"), ["source", "node_id"])
+    row = F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("o"), "node_id", "last_edge")))
+    rows = at.groupBy("request_id").agg(row.alias("r"))
+    return rows.select("request_id", F.transform("r", lambda x: x["node_id"]).alias("nodes"), F.transform(F.filter("r", lambda x: x["last_edge"] >= 0), lambda x: x["last_edge"]).alias("edges"))
+
+
 def route_by_frontier(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """RESULT of every request by frontier rounds; paths are walked back by joins, all requests at once."""
+    """RESULT of every request by frontier rounds, all at once. ``visited`` is the count of nodes that Dijkstra would settle."""
     known = nodes.select(F.col("node_id").alias("n"))
     r = requests.select(F.col("request_id").cast("long"), F.col("from_node").cast("int"), F.col("to_node").cast("int"))
     r = r.join(known.select(F.col("n").alias("from_node"), F.lit(True).alias("has_from")), "from_node", "left")
     r = materialize(r.join(known.select(F.col("n").alias("to_node"), F.lit(True).alias("has_to")), "to_node", "left"), "requests")
     ok = r.where("has_from and has_to")
     reach = frontier_distances(ok.select(F.col("from_node").alias("source")), edges)
-    end = ok.join(reach, (F.col("source") == F.col("from_node")) & (F.col("node_id") == F.col("to_node")), "left")
-    walk = end.where("distance is not null").select("request_id", "from_node", F.col("to_node").alias("at"), F.array("to_node").alias("nodes"), F.array().cast("array<int>").alias("edges"), F.col("distance").alias("cost"))
-    back = reach.select(F.col("source").alias("from_node"), F.col("node_id").alias("at"), "last_edge", "before")
-    walk = materialize(walk, "walk")
-    while walk.where("at <> from_node").limit(1).count():
-        stepped = walk.join(back, ["from_node", "at"])
-        move = F.col("at") != F.col("from_node")
-        walk = materialize(
-            stepped.select(
-                "request_id", "from_node", F.when(move, F.col("before")).otherwise(F.col("at")).alias("at"),
-                F.when(move, F.concat(F.array("before"), "nodes")).otherwise(F.col("nodes")).alias("nodes"),
-                F.when(move, F.concat(F.array("last_edge"), "edges")).otherwise(F.col("edges")).alias("edges"), "cost",
-            ),
-            "walk",
-        )
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("distance", "node_id"))
+    ranked = materialize(reach.withColumn("rank", rank), "ranked")
+    sizes = ranked.groupBy("source").agg(F.max("rank").alias("all")).withColumnRenamed("source", "from_node")
+    end = ok.join(ranked, (F.col("source") == F.col("from_node")) & (F.col("node_id") == F.col("to_node")))
+    end = materialize(end.select("request_id", "source", "node_id", "distance", "rank"), "ends")
+    walk = trails(end, ranked)
     nm = path_length(walk.select(F.col("request_id").alias("path_id"), F.col("nodes").alias("path_nodes")), nodes).select(F.col("path_id").alias("request_id"), "distance_nm")
-    done = walk.join(nm, "request_id")
-    out = r.join(done.drop("from_node", "at"), "request_id", "left")
+    done = walk.join(nm, "request_id").join(end.select("request_id", "distance", "rank"), "request_id")
+    out = r.join(done, "request_id", "left").join(sizes, "from_node", "left")
     bad = F.col("has_from").isNull() | F.col("has_to").isNull()
     status = F.when(bad, "InvalidNode").when(F.col("nodes").isNull(), "NoPath").otherwise("Success")
     why = F.when(F.col("has_from").isNull(), "from node is not in the network").when(bad, "to node is not in the network").when(F.col("nodes").isNull(), "no path between the nodes")
+    seen = F.when(bad | (F.col("from_node") == F.col("to_node")), 0).otherwise(F.coalesce("rank", "all"))
     none = F.lit(None).cast("int")
-    return out.select("request_id", status.alias("status"), why.alias("failure_reason"), F.col("nodes").alias("path_nodes"), F.col("edges").alias("path_edges"), F.col("cost").alias("total_cost"), F.col("distance_nm").alias("total_distance_nm"), F.lit(0).alias("visited"), none.alias("fwd_visited"), none.alias("rev_visited"))
+    return out.select("request_id", status.alias("status"), why.alias("failure_reason"), F.col("nodes").alias("path_nodes"), F.col("edges").alias("path_edges"), F.col("distance").alias("total_cost"), F.col("distance_nm").alias("total_distance_nm"), seen.cast("int").alias("visited"), none.alias("fwd_visited"), none.alias("rev_visited"))
 
 
 def path_length(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """path_id, distance_nm: sum of the great-circle distances between consecutive nodes of path_nodes."""
-    from pyspark.sql import Window
-
-    from lanegraph.functions.geo import haversine_nm
-
     at = paths.select("path_id", F.posexplode("path_nodes").alias("pos", "node_id")).join(nodes.select("node_id", "lat", "lon"), "node_id")
     w = Window.partitionBy("path_id").orderBy("pos")
     legs = at.withColumns({"plat": F.lag("lat").over(w), "plon": F.lag("lon").over(w)})

@@ -122,10 +122,10 @@ def component_of_node(d: Derived) -> DataFrame:
     return d.steps.join(d.nodes.select(F.col("node_id").alias("src"), "component_id"), "src").select("path_id", "pos", "component_id")
 
 
-@query(with_ctes("edges", "SELECT f.src AS at, e.dst AS node_id, min(CAST(e.cost AS DOUBLE) + f.cost) AS distance FROM edges f JOIN edges e ON e.src = f.dst WHERE f.src < 20 GROUP BY f.src, e.dst"))
+@query(with_ctes("edges", "SELECT f.src AS source, e.dst AS node_id, min(CAST(e.cost AS DOUBLE) + f.cost) AS distance FROM edges f JOIN edges e ON e.src = f.dst GROUP BY f.src, e.dst"))
 def frontier_expand(d: Derived) -> DataFrame:
-    front = d.edges.where("src < 20").select(F.col("src").alias("at"), F.col("dst").alias("mid"), F.col("cost").alias("so_far"))
-    return front.join(d.edges.select(F.col("src").alias("mid"), F.col("dst").alias("node_id"), "cost"), "mid").groupBy("at", "node_id").agg(F.min(F.col("cost").cast("double") + F.col("so_far")).alias("distance"))
+    front = d.edges.select(F.col("src").alias("source"), F.col("dst").alias("at"), F.col("cost").cast("double").alias("so_far"))
+    return search.expand(front, d.edges).select("source", "node_id", F.col("new.distance").alias("distance"))
 
 
 @query(with_ctes("edges", "SELECT edge_id, src FROM edges"))
@@ -437,15 +437,14 @@ def sssp_frontier(d: Derived) -> DataFrame:
     return search.frontier_distances(d.spark.range(1).select(F.col("id").alias("source")), d.edges).select("source", "node_id", "distance")
 
 
-_PAIRS = "pairs AS (SELECT CAST(c_custkey AS BIGINT) AS request_id, CAST(c_custkey % 7 AS INT) AS s, CAST((c_custkey * 31) % (SELECT count(*) + 1 FROM supplier) AS INT) AS t FROM customer WHERE c_custkey < 400)"
+_PAIRS = "pairs AS (SELECT CAST(c_custkey AS BIGINT) AS request_id, CAST(c_custkey % 7 AS INT) AS s, CAST((c_custkey * 31) % (SELECT count(*) + 1 FROM supplier) AS INT) AS t FROM customer)"
 _SEVEN = "SELECT range AS s FROM range(7)"
 _COSTS = "best AS (SELECT s, node, min(d) AS d FROM bf GROUP BY s, node)"
 
 
 def _requests(d: Derived, algorithm: str) -> DataFrame:
     n = d.table("supplier").count() + 1
-    c = d.table("customer").where("c_custkey < 400")
-    return c.select(F.col("c_custkey").alias("request_id"), (F.col("c_custkey") % 7).cast("int").alias("from_node"), ((F.col("c_custkey") * 31) % n).cast("int").alias("to_node"), F.lit(algorithm).alias("algorithm"))
+    return d.table("customer").select(F.col("c_custkey").alias("request_id"), (F.col("c_custkey") % 7).cast("int").alias("from_node"), ((F.col("c_custkey") * 31) % n).cast("int").alias("to_node"), F.lit(algorithm).alias("algorithm"))
 
 
 _ROUTED = with_ctes("edges nodes", f"+{_PAIRS}, {_sssp('src', 'dst', _SEVEN)}, {_COSTS} SELECT request_id, CASE WHEN s >= n OR t >= n THEN 'InvalidNode' WHEN d IS NULL THEN 'NoPath' ELSE 'Success' END AS status, CASE WHEN t < n THEN d END AS total_cost FROM (SELECT p.*, b.d, (SELECT max(node_id) + 1 FROM nodes) AS n FROM pairs p LEFT JOIN best b ON b.s = p.s AND b.node = p.t)", recursive=True)
@@ -500,10 +499,10 @@ def landmark_table(d: Derived) -> DataFrame:
     return search.landmark_table(d.nodes, d.edges)
 
 
-@query(with_ctes("nodes edges", _TABLE + """, prs AS (SELECT DISTINCT src AS s, dst AS t FROM edges WHERE edge_id % 10 = 0), bnd AS (SELECT p.s, p.t, max(greatest(b.from_landmark - a.from_landmark, a.to_landmark - b.to_landmark)) AS b FROM prs p JOIN tab a ON a.node_id = p.s JOIN tab b ON b.node_id = p.t AND b.landmark = a.landmark GROUP BY p.s, p.t)
+@query(with_ctes("nodes edges", _TABLE + """, prs AS (SELECT DISTINCT src AS s, dst AS t FROM edges), bnd AS (SELECT p.s, p.t, max(greatest(b.from_landmark - a.from_landmark, a.to_landmark - b.to_landmark)) AS b FROM prs p JOIN tab a ON a.node_id = p.s JOIN tab b ON b.node_id = p.t AND b.landmark = a.landmark GROUP BY p.s, p.t)
  SELECT p.s, p.t, greatest(coalesce(b, 0.0), 0.0) AS bound FROM prs p LEFT JOIN bnd USING (s, t)""", recursive=True))
 def landmark_lower_bound(d: Derived) -> DataFrame:
-    pairs = d.edges.where("edge_id % 10 = 0").select(F.col("src").alias("s"), F.col("dst").alias("t")).distinct()
+    pairs = d.edges.select(F.col("src").alias("s"), F.col("dst").alias("t")).distinct()
     return search.landmark_bounds(pairs, search.landmark_table(d.nodes, d.edges))
 
 
@@ -599,30 +598,45 @@ def geometry_mode_used(d: Derived) -> DataFrame:
     return d.sql(f"SELECT {_MODE_ROWS}").select("c_custkey", geometry.mode_used(F.col("requested"), F.col("has_mask"), F.col("has_portals")).alias("mode_used"))
 
 
-def _shaper(d: Derived) -> geometry.Shaper:
-    return service(d).shaper
+def _drawn(d: Derived, mode: str) -> DataFrame:
+    """Geometry of all paths; those of even ids begin and end at a port."""
+    code = F.when(F.col("path_id") % 2 == 0, F.concat(F.lit("n"), F.lpad((F.col("path_id") % 25).cast("string"), 4, "0")))
+    paths = d.paths.select("path_id", "path_nodes", F.lit(mode).alias("mode"), code.alias("from_locode"), code.alias("to_locode"))
+    return service(d).draw(paths)
 
 
-def _drawn(d: Derived, mode: str) -> DataFrame:
-    paths = d.paths.where("path_id % 10 = 0").select("path_id", "path_nodes", F.lit(mode).alias("mode"), F.lit(None).alias("from_locode"), F.lit(None).alias("to_locode"))
-    return geometry.build_geometry(paths, _shaper(d)).select("path_id", "used", "raw_count", "funnel_count", "final_count", "fallback_count", "shaped_count")
+_COUNTS = ["path_id", "used", "raw_count", "funnel_count", "final_count", "fallback_count", "shaped_count"]
 
 
 @query()
 def shortcut_geometry(d: Derived) -> DataFrame:
-    return _drawn(d, "shortcut")
+    return _drawn(d, "shortcut").select(_COUNTS)
 
 
 @query()
 def funnel_geometry(d: Derived) -> DataFrame:
-    return _drawn(d, "funnel")
+    return _drawn(d, "funnel").select(_COUNTS)
 
 
 @query()
 def geometry_sections(d: Derived) -> DataFrame:
     """Each run that fell back from string pulling, with its reason."""
-    paths = d.paths.where("path_id % 10 = 0").select("path_id", "path_nodes", F.lit("funnel").alias("mode"), F.lit(None).alias("from_locode"), F.lit(None).alias("to_locode"))
-    return geometry.build_geometry(paths, _shaper(d)).select("path_id", F.explode("sections").alias("s")).select("path_id", "s.*")
+    return _drawn(d, "funnel").select("path_id", F.explode("sections").alias("s")).select("path_id", "s.*")
+
+
+@query(with_ctes("legs portals edges nodes", """+pts AS (SELECT path_id, pos, node_id, next_id, lon FROM legs JOIN nodes USING (node_id)), jumps AS (SELECT *, CASE WHEN abs(lon - lag(lon) OVER w) > 180 THEN 1 ELSE 0 END AS jump, lead(lon) OVER w AS next_lon FROM pts WINDOW w AS (PARTITION BY path_id ORDER BY pos)),
+ rn AS (SELECT *, sum(jump) OVER (PARTITION BY path_id ORDER BY pos) AS run FROM jumps), sized AS (SELECT *, count(*) OVER (PARTITION BY path_id, run) AS n FROM rn),
+ why AS (SELECT s.path_id, s.run, s.pos, CASE WHEN e.edge_id IS NULL THEN 'edge_not_found' WHEN p.edge_id IS NULL THEN 'missing_portal' END AS reason FROM sized s LEFT JOIN edges e ON e.src = s.node_id AND e.dst = s.next_id LEFT JOIN portals p ON p.edge_id = e.edge_id WHERE s.n > 2 AND s.next_id IS NOT NULL AND abs(s.next_lon - s.lon) <= 180)
+ SELECT path_id, CAST((SELECT min(pos) FROM rn WHERE rn.path_id = f.path_id AND rn.run = f.run) AS INT) AS start, reason FROM (SELECT path_id, run, arg_min(reason, pos) AS reason FROM why WHERE reason IS NOT NULL GROUP BY path_id, run) f"""))
+def portal_fallbacks(d: Derived) -> DataFrame:
+    """Runs that could not be pulled for want of an edge or a portal: the first leg without one decides."""
+    found = _drawn(d, "funnel").select("path_id", F.explode("sections").alias("s")).select("path_id", "s.start", "s.reason")
+    return found.where(F.col("reason").isin("edge_not_found", "missing_portal"))
+
+
+@query(with_ctes("legs", "SELECT path_id, 'funnel' AS used, CAST(count(*) AS INT) AS raw_count FROM legs GROUP BY path_id"))
+def geometry_used(d: Derived) -> DataFrame:
+    return _drawn(d, "funnel").select("path_id", "used", "raw_count")
 
 
 # --- hints ------------------------------------------------------------------------------------
@@ -661,7 +675,11 @@ def port_hint_window(d: Derived) -> DataFrame:
     return hints.port_windows(d.steps, ends, d.hints)
 
 
-@query()
+@query(with_ctes("hints hint_spans steps", f"""+{_SPAN2}, {_GENERIC}, ranked AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY confidence DESC, start, corridor_id) AS place FROM gen),
+ pick AS (SELECT path_id, 0 AS place, CAST([] AS STRUCT(start INT, "end" INT, corridor_id BIGINT)[]) AS taken FROM (SELECT DISTINCT path_id FROM gen)
+ UNION ALL SELECT p.path_id, r.place, CASE WHEN len(list_filter(p.taken, lambda t: r."end" > t.start AND r.start < t."end")) = 0 THEN list_append(p.taken, {{'start': CAST(r.start AS INT), 'end': CAST(r."end" AS INT), 'corridor_id': CAST(r.corridor_id AS BIGINT)}}) ELSE p.taken END FROM pick p JOIN ranked r ON r.path_id = p.path_id AND r.place = p.place + 1),
+ fin AS (SELECT path_id, arg_max(taken, place) AS taken FROM pick GROUP BY path_id), flat AS (SELECT path_id, unnest(taken) AS w FROM fin)
+ SELECT path_id, CAST(row_number() OVER (PARTITION BY path_id ORDER BY w.start) - 1 AS INT) AS place, w.start AS start, w."end" AS "end", w.corridor_id AS corridor_id FROM flat""", recursive=True))
 def select_windows(d: Derived) -> DataFrame:
     found = hints.generic_windows(d.steps, d.hints).join(d.hints.select("corridor_id", "kind", "confidence"), "corridor_id")
     return hints.select_windows(found).select("path_id", F.posexplode("chosen").alias("place", "w")).select("path_id", "place", "w.*")
@@ -722,8 +740,7 @@ def route_by_locode(d: Derived) -> DataFrame:
 
 @query()
 def route_by_coordinate(d: Derived) -> DataFrame:
-    q = d.queries.where("query_id < 200")
-    requests = q.select(F.col("query_id").alias("request_id"), F.col("lat").alias("from_lat"), F.col("lon").alias("from_lon"), (-F.col("lat")).alias("to_lat"), (-F.col("lon")).alias("to_lon"))
+    requests = d.queries.select(F.col("query_id").alias("request_id"), F.col("lat").alias("from_lat"), F.col("lon").alias("from_lon"), (-F.col("lat")).alias("to_lat"), (-F.col("lon")).alias("to_lon"))
     return service(d).route_by_coordinate(requests).select("request_id", "success", "error_code", "total_cost", "node_count", "mode_used", "geometry")
 
 

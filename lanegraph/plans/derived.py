@@ -1,7 +1,8 @@
 """A routing network made from relational tables, so that every operator can be tried on tables of any size.
 
-Suppliers are cells, consecutive suppliers of an order are edges, customers ask for snaps, nations are
-ports, events are tracks, orders are paths. The same formulas are given as DuckDB SQL in ``CTES``.
+Suppliers are cells, consecutive suppliers of an order are edges, customers ask for snaps and routes, nations
+are ports, events are tracks, orders are paths, and the first two legs of every order are a corridor hint. All
+rows of the tables are used. The same formulas are given as DuckDB SQL in ``CTES``.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ QUERIES = f"SELECT c_custkey AS query_id, {_lat('c_custkey', 53)} AS lat, {_lon(
 TRACKS = f"SELECT user_id AS track_id, event_id, ts, {_lat('event_id', 53)} AS lat, {_lon('event_id', 91, 3600, 180)} AS lon FROM events"
 ITEM_ORDER = "l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice"
 LEGS = f"SELECT l_orderkey AS path_id, CAST(row_number() OVER w - 1 AS INT) AS pos, CAST(l_suppkey AS INT) AS node_id, CAST(lead(l_suppkey) OVER w AS INT) AS next_id, l_quantity FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {ITEM_ORDER})"
-EDGE_TEST = "node_id <> next_id AND (abs(node_id - next_id) <= 7 OR abs(node_id - next_id) % 50 = 0)"
+EDGE_TEST = "node_id <> next_id"
 _PORT_LAT, _PORT_LON = _lat("n_nationkey * 5", 37), _lon("n_nationkey * 5", 73)
 PORTS = f"""SELECT concat('N', lpad(CAST(n_nationkey AS STRING), 4, '0')) AS locode, CASE WHEN n_nationkey % 6 = 5 THEN NULL ELSE n_name END AS name,
  CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE {_PORT_LAT} + 0.5 END AS port_lat, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE {_PORT_LON} + 0.25 END AS port_lon,
@@ -43,10 +44,9 @@ PORTS = f"""SELECT concat('N', lpad(CAST(n_nationkey AS STRING), 4, '0')) AS loc
  CASE WHEN n_nationkey % 3 = 0 THEN {_PORT_LAT} + 1.0 ELSE NULL END AS marine_access_lat, CASE WHEN n_nationkey % 3 = 0 THEN {_PORT_LON} + 1.0 ELSE NULL END AS marine_access_lon,
  CASE WHEN n_nationkey % 5 = 0 THEN {_PORT_LAT} + 2.0 ELSE NULL END AS marine_access_display_lat, CASE WHEN n_nationkey % 5 = 0 THEN {_PORT_LON} + 2.0 ELSE NULL END AS marine_access_display_lon,
  CASE WHEN n_nationkey % 8 = 7 THEN NULL ELSE CAST(n_nationkey % 5 - 1 AS INT) END AS component_id FROM nation"""
-HINT_EVERY = 50
-#: Hints: the first two legs of every HINT_EVERY-th order's path with three nodes or more.
-HINT_ROWS = f"""SELECT path_id AS corridor_id, concat('n', lpad(CAST(path_id % 25 AS STRING), 4, '0')) AS locode, CAST(1 + (path_id / {HINT_EVERY}) % 2 AS SMALLINT) AS kind,
- CAST((path_id / {HINT_EVERY}) % 3 AS SMALLINT) AS flags, CAST((path_id * 7) % 100 AS DOUBLE) / 100 AS confidence"""
+#: Hints: the first two legs of every order's path with three nodes or more.
+HINT_ROWS = """SELECT path_id AS corridor_id, concat('n', lpad(CAST(path_id % 25 AS STRING), 4, '0')) AS locode, CAST(1 + path_id % 2 AS SMALLINT) AS kind,
+ CAST(path_id % 3 AS SMALLINT) AS flags, CAST((path_id * 7) % 100 AS DOUBLE) / 100 AS confidence"""
 LAND_TEST = "(row * 7 + col * 13) % 97 = 0"
 
 
@@ -120,13 +120,13 @@ class Derived:
 
     @cached_property
     def hints(self) -> DataFrame:
-        spans = self.steps.where(f"path_id % {HINT_EVERY} = 0 and pos < 2")
+        spans = self.steps.where("pos < 2")
         step = F.struct("pos", "src", "dst")
         rows = spans.groupBy("path_id").agg(F.sort_array(F.collect_list(step)).alias("s")).where("size(s) = 2")
         rows = rows.select("path_id", F.transform("s", lambda x: F.struct(x["src"].alias("src"), x["dst"].alias("dst"))).alias("spans"))
         point = lambda v: F.struct((F.pmod(v * 73, F.lit(3400)).cast("double") / 10 - 170).alias("lon"), (F.pmod(v * 37, F.lit(1201)).cast("double") / 10 - 60).alias("lat"))
         coords = F.array(point(F.get("spans", F.lit(0))["src"]), point(F.get("spans", F.lit(0))["dst"]), point(F.get("spans", F.lit(1))["dst"]))
-        head = self.sql(HINT_ROWS.replace(f"(path_id / {HINT_EVERY})", f"(path_id DIV {HINT_EVERY})") + ", spans FROM rows", rows=rows)
+        head = self.sql(HINT_ROWS + ", spans FROM rows", rows=rows)
         return head.withColumn("coords", coords)
 
     @cached_property
@@ -138,8 +138,8 @@ class Derived:
 
 
 def duck(text: str) -> str:
-    """The same formula in DuckDB: STRING is VARCHAR there, hex of a number is to_hex, whole division is //."""
-    return text.replace("AS STRING", "AS VARCHAR").replace("lower(hex(", "lower(to_hex(").replace(f"(path_id / {HINT_EVERY})", f"(path_id // {HINT_EVERY})")
+    """The same formula in DuckDB: STRING is VARCHAR there, hex of a number is to_hex."""
+    return text.replace("AS STRING", "AS VARCHAR").replace("lower(hex(", "lower(to_hex(")
 
 
 CTES = {
@@ -152,7 +152,7 @@ CTES = {
     "ports": duck(PORTS),
     "ends": "SELECT e.*, a.lat AS src_lat, a.lon AS src_lon, b.lat AS dst_lat, b.lon AS dst_lon FROM edges e JOIN nodes a ON a.node_id = e.src JOIN nodes b ON b.node_id = e.dst",
     "portals": 'SELECT edge_id, edge_id % 2 = 0 AS is_explicit, (src_lon + dst_lon) / 2 + 0.5 AS ax, (src_lat + dst_lat) / 2 - 0.5 AS ay, (src_lon + dst_lon) / 2 - 0.5 AS bx, (src_lat + dst_lat) / 2 + 0.5 AS "by" FROM ends WHERE edge_id % 5 <> 0',
-    "hint_spans": f"SELECT path_id, pos, src, dst FROM steps WHERE path_id % {HINT_EVERY} = 0 AND pos < 2 AND path_id IN (SELECT path_id FROM steps WHERE pos = 1)",
+    "hint_spans": "SELECT path_id, pos, src, dst FROM steps WHERE pos < 2 AND path_id IN (SELECT path_id FROM steps WHERE pos = 1)",
     "hints": duck(HINT_ROWS) + " FROM (SELECT DISTINCT path_id FROM hint_spans)",
     "mask_cells": f"SELECT CAST(r.range AS INT) AS row, CAST(c.range AS INT) AS col FROM range({MASK['height']}) r, range({MASK['width']}) c WHERE (r.range * 7 + c.range * 13) % 97 = 0",
     "hit": """SELECT query_id, node_id, component_id, distance_nm FROM (SELECT q.query_id, n.node_id, n.component_id, HAVERSINE(q.lat, q.lon, n.lat, n.lon) AS distance_nm FROM queries q, nodes n) WHERE distance_nm <= 1500.0""",

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from lanegraph.functions.geo import clamp_iterations, resolve_algorithm, resolve_mode
 from lanegraph.operators import geometry, network, search
-from lanegraph.operators.hints import hint_set
+from lanegraph.operators.hints import path_windows
 from lanegraph.operators.ports import list_ports, port_by_locode, port_warnings, snap_ports, unique_locodes
 from lanegraph.operators.raster import Raster
 from lanegraph.operators.snap import nearest, snap_coordinates
-from lanegraph.shared import materialize
+from lanegraph.shared import materialize, spread
 
 # The preset benchmark's scenarios.
 PRESETS = [
@@ -57,20 +57,27 @@ class RouteService:
         return self._timed("network", lambda: search.load_network(self.nodes, self.edges, True) if search.fits(self.edges) else None)
 
     @cached_property
-    def shaper(self) -> geometry.Shaper:
-        """Geometry inputs; portals and first edges are bounded like the network that ``csr`` broadcasts."""
+    def gates(self) -> DataFrame | None:
+        """First edges of neighbouring nodes with their portals, written once."""
+        if self.portals is None:
+            return None
+        return self._timed("geometry", lambda: materialize(geometry.leg_gates(network.first_edges(self.edges), self.portals), "gates"))
 
-        def make():
-            coords = {r["node_id"]: (float(r["lon"]), float(r["lat"])) for r in self.nodes.select("node_id", "lat", "lon").toLocalIterator()}
-            first = portals = None
-            if self.portals is not None:
-                e = network.first_edges(self.edges).toArrow()
-                first = dict(zip(zip(e["src"].to_pylist(), e["dst"].to_pylist()), e["edge_id"].to_pylist()))
-                p = self.portals.select("edge_id", "ax", "ay", "bx", "by").toArrow()
-                portals = dict(zip(p["edge_id"].to_pylist(), zip(*(p[c].to_pylist() for c in ("ax", "ay", "bx", "by")))))
-            return geometry.Shaper(coords, self.raster, first, portals, hint_set(self.hints) if self.hints is not None else None)
-
-        return self._timed("geometry", make)
+    @cached_property
+    def lines(self) -> DataFrame | None:
+        """Lines of the corridor hints, drawn once."""
+        if self.hints is None or self.raster is None:
+            return None
+        return self._timed("hints", lambda: materialize(geometry.hint_lines(self.hints, self.raster), "lines"))
+
+    def draw(self, paths: DataFrame, timed: bool = False) -> DataFrame:
+        """Geometry of paths (path_id, path_nodes, mode, from_locode, to_locode)."""
+        windows = None
+        if self.lines is not None and self.gates is not None:
+            pulled = paths.where(F.col("mode") == "funnel")
+            ends = pulled.select("path_id", F.size("path_nodes").alias("n_nodes"), F.col("from_locode").cast("string"), F.col("to_locode").cast("string"))
+            windows = path_windows(geometry.path_legs(pulled), ends, self.hints, self.lines)
+        return geometry.build_geometry(paths, self.nodes, self.raster, self.gates, windows, timed)
 
     def _options(self, requests: DataFrame) -> DataFrame:
         text = lambda c: F.col(c).cast("string") if c in requests.columns else F.lit(None).cast("string")
@@ -86,7 +93,7 @@ class RouteService:
         routed = materialize(search.route_requests(ready, self.nodes, self.edges, csr=self.csr), "routed")
         good = routed.where("status = 'Success'").join(ready.select("request_id", "mode", "from_locode", "to_locode"), "request_id")
         paths = good.select(F.col("request_id").alias("path_id"), "path_nodes", "mode", "from_locode", "to_locode")
-        drawn = geometry.build_geometry(paths, self.shaper).withColumnRenamed("path_id", "request_id")
+        drawn = self.draw(paths).withColumnRenamed("path_id", "request_id")
         raw = geometry.raw_points(paths.select("path_id", "path_nodes"), self.nodes).select(F.col("path_id").alias("request_id"), F.col("points").alias("raw_points"))
         full = asked.join(routed, "request_id", "left").join(drawn, "request_id", "left").join(raw, "request_id", "left")
         ok = F.coalesce(F.col("status") == "Success", F.lit(False))
@@ -156,38 +163,38 @@ class RouteService:
 
     def profile(self) -> DataFrame:
         """Times of the loading phases so far, with the counts of ``stats``."""
-        _ = self.csr, self.shaper
+        _ = self.csr, self.gates, self.lines
         stats = self.stats()
-        times = [F.lit(round(self.timings.get(n, 0.0), 3)).alias(f"{n}_ms") for n in ("network", "geometry")]
+        times = [F.lit(round(self.timings.get(n, 0.0), 3)).alias(f"{n}_ms") for n in ("network", "geometry", "hints")]
         return stats.select(F.lit(round(sum(self.timings.values()), 3)).alias("startup_ms"), *times, "node_count", "edge_count", "port_count", "component_count", F.lit(self.raster is not None).alias("smoothing"))
 
     def benchmark_runs(self, pairs: DataFrame, iterations: int | None = None, default_iterations: int = 5) -> DataFrame:
-        """One row per run of every pair (name, from_locode, to_locode): times measured in the workers, results, failures."""
+        """One row per run of every pair (name, from_locode, to_locode): times of search and shaping measured in the workers, results, failures."""
         n = clamp_iterations(F.lit(iterations).cast("int"), default_iterations)
-        sent = pairs.sparkSession.sparkContext.broadcast((self.csr, self.shaper))
+        sent = pairs.sparkSession.sparkContext.broadcast(self.csr)
         at = snap_ports(self.ports.select("locode"), self.ports, self.nodes).select(F.upper("locode").alias("code"), "node_id")
         p = self._options(pairs).join(at.toDF("fc", "from_node"), F.upper("from_locode") == F.col("fc"), "left").join(at.toDF("tc", "to_node"), F.upper("to_locode") == F.col("tc"), "left")
         runs = p.select("name", "from_locode", "to_locode", "mode", "algorithm", F.coalesce("from_node", F.lit(-1)).alias("s"), F.coalesce("to_node", F.lit(-1)).alias("t"), F.explode(F.sequence(F.lit(1), n)).alias("iteration"))
-        runs = runs.repartition("name", "from_locode", "to_locode")
+        runs = runs.repartition(spread(pairs.sparkSession), "name", "from_locode", "to_locode", "iteration")
 
         def run(frames):
             import pandas as pd
 
-            csr, shaper = sent.value
             for f in frames:
                 out = []
                 for r in f.itertuples(index=False):
                     start = time.perf_counter()
-                    status, why, nodes, _, _, nm, visited, fwd, rev = search.solve(csr, r.s, r.t, r.algorithm)
-                    searched = time.perf_counter()
-                    good = status == "Success"
-                    if good:
-                        shaper.build(nodes, r.mode, r.from_locode, r.to_locode)
+                    status, why, nodes, _, _, nm, visited, fwd, rev = search.solve(sent.value, r.s, r.t, r.algorithm)
                     took = (time.perf_counter() - start) * 1000
-                    out.append((r.name, r.algorithm, r.mode, r.from_locode, r.to_locode, r.iteration, good, (searched - start) * 1000, took, visited, fwd, rev, len(nodes) if good else None, nm, why))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in RUNS.split(", ")])
+                    out.append((r.name, r.algorithm, r.mode, r.from_locode, r.to_locode, r.iteration, status == "Success", took, visited, fwd, rev, nodes, nm, why))
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in SEARCHED.split(", ")])
 
-        return runs.mapInPandas(run, RUNS)
+        found = materialize(runs.mapInPandas(run, SEARCHED).withColumn("path_id", F.xxhash64("name", "algorithm", "mode", "from_locode", "to_locode", "iteration")), "searched")
+        drawn = self.draw(found.where("success"), timed=True).select("path_id", "shape_ms")
+        total = F.when(F.col("success"), F.col("search_ms") + F.coalesce("shape_ms", F.lit(0.0))).otherwise(F.col("search_ms"))
+        count = F.when(F.col("success"), F.size("path_nodes").cast("double"))
+        made = found.join(drawn, "path_id", "left").withColumns({"total_ms": total, "node_count": count})
+        return made.select(*[c.split()[0] for c in RUNS.split(", ")])
 
     def benchmark(self, pairs: DataFrame, iterations: int | None = None, default_iterations: int = 5) -> DataFrame:
         return rollup(materialize(self.benchmark_runs(pairs, iterations, default_iterations), "runs"))
@@ -197,6 +204,10 @@ class RouteService:
         return self.benchmark(pairs, iterations, 1)
 
 
+SEARCHED = (
+    "name string, algorithm string, mode string, from_locode string, to_locode string, iteration int, success boolean, search_ms double, "
+    "visited double, fwd_visited double, rev_visited double, path_nodes array<int>, distance_nm double, failure string"
+)
 RUNS = (
     "name string, algorithm string, mode string, from_locode string, to_locode string, iteration int, success boolean, search_ms double, "
     "total_ms double, visited double, fwd_visited double, rev_visited double, node_count double, distance_nm double, failure string"

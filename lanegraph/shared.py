@@ -46,9 +46,20 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def remove_table(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``, once nothing will read it again."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, folder)
+
+
 def materialize(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as read back from there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(spark: SparkSession) -> int:
+    """A number of tasks for small rows with much work each, which adaptive execution would put into one task."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)

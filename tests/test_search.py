@@ -107,6 +107,49 @@ def test_frontier_equals_heap_on_table(spark):
         assert a == b
 
 
+def test_ways_agree_on_table(spark):
+    """Shared trees, single searches and frontier rounds give the same costs, and the first and last the same count of settled nodes."""
+    csr, src, dst, cost = random_csr(8, whole=False)
+    nodes = spark.createDataFrame([(i, i, float(a), float(b), 0, 0) for i, (a, b) in enumerate(zip(csr.lat, csr.lon))], NODE_DDL)
+    edges = spark.createDataFrame([(i, int(a), int(b), float(c)) for i, (a, b, c) in enumerate(zip(src, dst, cost))], EDGE_DDL)
+    pairs = [(s, t) for s in (0, 5, 11) for t in range(0, 60, 4)] + [(59, 2), (3, 3), (70, 1)]
+    batch = {r["request_id"]: r for r in search.route_requests(ask(spark, pairs, "dijkstra"), nodes, edges).collect()}
+    rounds = {r["request_id"]: r for r in search.route_by_frontier(ask(spark, pairs, "dijkstra"), nodes, edges).collect()}
+    for i, (s, t) in enumerate(pairs):
+        one = search.solve(csr, s, t, "dijkstra")
+        for found in (batch[i], rounds[i]):
+            assert found["status"] == one[0] and found["visited"] == one[6]
+            assert (found["path_nodes"], found["path_edges"]) == (one[2], one[3])
+            assert one[4] is None or found["total_cost"] == pytest.approx(one[4])
+
+
+def test_long_chain_by_doubling(spark):
+    n = 70
+    nodes = spark.createDataFrame([(i, i, 0.0, i / 10, 0, 0) for i in range(n)], NODE_DDL)
+    edges = spark.createDataFrame([(i, i, i + 1, 1.0) for i in range(n - 1)], EDGE_DDL)
+    reach = spark.createDataFrame([(0, i, float(i), i - 1, i - 1) for i in range(n)], "source int, node_id int, distance double, last_edge int, before int")
+    got = {r["request_id"]: r for r in search.trails(spark.createDataFrame([(1, 0, 69), (2, 0, 0), (3, 0, 33)], "request_id long, source int, node_id int"), reach).collect()}
+    assert got[1]["nodes"] == list(range(70)) and got[1]["edges"] == list(range(69))
+    assert got[2]["nodes"] == [0] and got[2]["edges"] == [] and got[3]["nodes"] == list(range(34))
+
+
+def test_two_sided_visits_less():
+    """On a wide grid with landmarks far fewer nodes are settled than by Dijkstra."""
+    side = 40
+    at = lambda x, y: x * side + y
+    legs = [(at(x, y), at(x + a, y + b)) for x in range(side) for y in range(side) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)) if 0 <= x + a < side and 0 <= y + b < side]
+    r = random.Random(1)
+    src, dst = np.array([a for a, _ in legs]), np.array([b for _, b in legs])
+    cost = np.array([1 + r.random() / 4 for _ in legs], np.float32)
+    csr = search.Csr(src, dst, cost, np.arange(len(legs)), side * side, np.zeros(side * side), np.zeros(side * side))
+    search.add_landmarks(csr, [at(0, 0), at(0, side - 1), at(side - 1, 0), at(side - 1, side - 1)], 0.0)
+    pairs = [(at(3, 3), at(36, 30)), (at(20, 5), at(22, 35)), (at(39, 0), at(1, 38))]
+    one, two = ([search.solve(csr, s, t, how) for s, t in pairs] for how in ("dijkstra", "bidirectional-a-star"))
+    assert [x[4] for x in one] == pytest.approx([x[4] for x in two])
+    assert sum(x[6] for x in two) < 0.5 * sum(x[6] for x in one)
+    assert all(x[6] == x[7] + x[8] for x in two)
+
+
 def test_landmarks_and_components(spark):
     rows = [(0, 1, 5.0, 3.0, 0, 0), (1, 2, 1.0, -9.0, 1, 0), (2, 3, 9.0, 9.0, 1, 0), (3, 4, -2.0, 0.0, 0, 0), (4, 5, 50.0, 50.0, -1, 0)]
     nodes = spark.createDataFrame(rows, NODE_DDL)
