@@ -135,6 +135,27 @@ def h3_lookup(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("h3_int").agg(F.max("node_id").alias("node_id"))
 
 
+def with_cell(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows whose h3_int is a cell of the network."""
+    return asked.join(nodes.select("h3_int"), "h3_int", "left_semi")
+
+
+def component_of(rows: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
+    """Rows with the component_id of their ``node``; a node that is not in the network drops out."""
+    return rows.join(nodes.select(F.col("node_id").alias(node), "component_id"), node)
+
+
+def edge_portals(edges: DataFrame, portals: DataFrame) -> DataFrame:
+    """edge_id with its portal; nulls where it has none."""
+    return edges.select("edge_id").join(portals, "edge_id", "left")
+
+
+def in_offsets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_id, row_start, row_end: where each node's incoming edges lie if edges are ordered by target."""
+    counted = nodes.select("node_id").join(in_degrees(edges), "node_id", "left")
+    return row_offsets(counted.select("node_id", F.coalesce("in_degree", F.lit(0)).alias("degree")))
+
+
 def first_edges(edges: DataFrame) -> DataFrame:
     """(src, dst) to the first of its parallel edges."""
     return edges.groupBy("src", "dst").agg(F.min("edge_id").alias("edge_id"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lanegraph.functions import geo
 from lanegraph.operators import geometry, hints, network, ports, raster, search, snap
 from lanegraph.plans.derived import MASK, SNAP_RADIUS_NM, Derived, with_ctes
+from lanegraph.plans.service import RouteService, average, p95, rollup
+from lanegraph.sources import json_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -114,12 +116,12 @@ def h3_lookup(d: Derived) -> DataFrame:
 @query(with_ctes("nodes queries", "SELECT query_id FROM queries WHERE 600000000000000000 + query_id * 1000003 IN (SELECT h3_int FROM nodes)"))
 def h3_membership(d: Derived) -> DataFrame:
     asked = d.queries.select("query_id", (F.lit(600000000000000000) + F.col("query_id") * 1000003).alias("h3_int"))
-    return asked.join(d.nodes, "h3_int", "left_semi").select("query_id")
+    return network.with_cell(asked, d.nodes).select("query_id")
 
 
 @query(with_ctes("nodes steps", "SELECT s.path_id, s.pos, n.component_id FROM steps s JOIN nodes n ON n.node_id = s.src"))
 def component_of_node(d: Derived) -> DataFrame:
-    return d.steps.join(d.nodes.select(F.col("node_id").alias("src"), "component_id"), "src").select("path_id", "pos", "component_id")
+    return network.component_of(d.steps, d.nodes, "src").select("path_id", "pos", "component_id")
 
 
 @query(with_ctes("edges", "SELECT f.src AS source, e.dst AS node_id, min(CAST(e.cost AS DOUBLE) + f.cost) AS distance FROM edges f JOIN edges e ON e.src = f.dst GROUP BY f.src, e.dst"))
@@ -128,6 +130,12 @@ def frontier_expand(d: Derived) -> DataFrame:
     return search.expand(front, d.edges).select("source", "node_id", F.col("new.distance").alias("distance"))
 
 
+@query(with_ctes("nodes edges", """+deg AS (SELECT node_id, count(e.dst) AS degree FROM nodes LEFT JOIN edges e ON e.dst = node_id GROUP BY node_id)
+SELECT node_id, CAST(sum(degree) OVER (ORDER BY node_id) - degree AS BIGINT) AS row_start, CAST(sum(degree) OVER (ORDER BY node_id) AS BIGINT) AS row_end FROM deg"""))
+def in_degree_offsets(d: Derived) -> DataFrame:
+    return network.in_offsets(d.nodes, d.edges)
+
+
 @query(with_ctes("edges", "SELECT edge_id, src FROM edges"))
 def edge_source_range(d: Derived) -> DataFrame:
     return network.source_by_range(d.edges.select("edge_id"), network.row_offsets(network.out_degrees(d.nodes, d.edges)))
@@ -135,7 +143,7 @@ def edge_source_range(d: Derived) -> DataFrame:
 
 @query(with_ctes("edges portals", """SELECT e.edge_id, p.is_explicit, round(ax, 6) AS ax, round(ay, 6) AS ay, round(bx, 6) AS bx, round("by", 6) AS "by" FROM edges e LEFT JOIN portals p USING (edge_id)"""))
 def edge_portal(d: Derived) -> DataFrame:
-    return d.edges.select("edge_id").join(d.portals, "edge_id", "left").select("edge_id", "is_explicit", *[_r(c).alias(c) for c in ("ax", "ay", "bx", "by")])
+    return network.edge_portals(d.edges, d.portals).select("edge_id", "is_explicit", *[_r(c).alias(c) for c in ("ax", "ay", "bx", "by")])
 
 
 @query(with_ctes("portals", """SELECT edge_id, row_number() OVER (ORDER BY edge_id) - 1 AS explicit_rank FROM portals WHERE is_explicit"""))
@@ -158,8 +166,7 @@ def bit_test(d: Derived) -> DataFrame:
 def manifest_check(d: Derived) -> DataFrame:
     """Claims that differ from the facts in some fields: one row per customer, checked field by field."""
     both = d.table("customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, 4).otherwise(5).alias("m_resolution"), F.lit(5).alias("resolution"), F.when(F.col("c_custkey") % 5 == 0, "AB").otherwise("ab").alias("m_sha256"), F.when(F.col("c_custkey") % 5 == 0, "cd").otherwise("AB").alias("sha256"))
-    errors = F.array_compact(F.array(F.when(F.col("m_resolution") != F.col("resolution"), F.lit("resolution")), F.when(F.lower("m_sha256") != F.lower("sha256"), F.lit("sha256"))))
-    return both.select("c_custkey", F.size(errors).alias("n_errors"))
+    return both.select("c_custkey", F.size(json_files.claim_errors(fields=("resolution", "sha256"))).alias("n_errors"))
 
 
 # --- snapping ---------------------------------------------------------------------------------
@@ -411,7 +418,8 @@ def json_getters(d: Derived) -> DataFrame:
     """Typed values of positional rows; a field beyond the row is null."""
     row = F.array(F.to_json(F.struct("event_id")), (F.col("event_id") % 100).cast("string"), F.lit("null"))
     e = d.table("events").select("event_id", "props", row.alias("row"))
-    return e.select("event_id", F.col("props").isNotNull().alias("has_props"), F.get("row", F.lit(9)).try_cast("double").alias("missing"), F.get("row", F.lit(1)).try_cast("long").alias("number"))
+    value = lambda at, kind: json_files.json_value(F.get("row", F.lit(at)), kind)
+    return e.select("event_id", F.col("props").isNotNull().alias("has_props"), value(9, "double").alias("missing"), value(1, "long").alias("number"))
 
 
 # --- search -----------------------------------------------------------------------------------
@@ -481,12 +489,12 @@ def shortest_path_nodes(d: Derived) -> DataFrame:
     return checked.join(routed.select("request_id", "ends_meet"), "request_id")
 
 
-@query(with_ctes("nodes", f"+{_PAIRS} SELECT request_id, CASE WHEN s >= n THEN 'from' WHEN t >= n THEN 'to' WHEN s = t THEN 'same' ELSE 'search' END AS kind FROM (SELECT *, (SELECT max(node_id) + 1 FROM nodes) AS n FROM pairs)"))
+@query(with_ctes("edges nodes", f"+{_PAIRS} SELECT request_id, CASE WHEN s >= n THEN 'from' WHEN t >= n THEN 'to' WHEN s = t THEN 'same' ELSE 'search' END AS kind FROM (SELECT *, (SELECT max(node_id) + 1 FROM nodes) AS n FROM pairs)"))
 def route_status(d: Derived) -> DataFrame:
-    n = d.nodes.agg((F.max("node_id") + 1).alias("n"))
-    asked = _requests(d, "dijkstra").crossJoin(F.broadcast(n))  # one row
-    kind = F.when(F.col("from_node") >= F.col("n"), "from").when(F.col("to_node") >= F.col("n"), "to").when(F.col("from_node") == F.col("to_node"), "same").otherwise("search")
-    return asked.select("request_id", kind.alias("kind"))
+    """What becomes of each request: refused for an end that is not in the network, the same cell, or a search."""
+    found = _route(d, "dijkstra")
+    refused = F.when(F.col("status") == "InvalidNode", F.substring_index("failure_reason", " ", 1))
+    return found.select("request_id", F.coalesce(refused, F.when(F.size("path_nodes") == 1, "same"), F.lit("search")).alias("kind"))
 
 
 _TABLE = f"""{_LANDMARKS}, {_sssp('src', 'dst', 'SELECT node_id AS s FROM marks')}, {_sssp('dst', 'src', 'SELECT node_id AS s FROM marks').replace('bf', 'br')},
@@ -690,19 +698,17 @@ def select_windows(d: Derived) -> DataFrame:
 
 @query("SELECT event_type, round(coalesce(avg(value), 0.0), 6) AS avg_value FROM events GROUP BY event_type")
 def latency_avg(d: Derived) -> DataFrame:
-    return d.table("events").groupBy("event_type").agg(_r(F.coalesce(F.avg("value"), F.lit(0.0))).alias("avg_value"))
+    return d.table("events").groupBy("event_type").agg(_r(average(F.col("value"))).alias("avg_value"))
 
 
 @query("SELECT event_type, coalesce(quantile_disc(value, 0.95), 0.0) AS p95 FROM events GROUP BY event_type")
 def latency_p95(d: Derived) -> DataFrame:
-    return d.table("events").groupBy("event_type").agg(F.coalesce(F.expr("percentile_disc(0.95) within group (order by value)"), F.lit(0.0)).alias("p95"))
+    return d.table("events").groupBy("event_type").agg(p95("value").alias("p95"))
 
 
 @query("""SELECT name, count(*) AS iterations, count(*) FILTER (success) AS success_count, count(*) FILTER (NOT success) AS failure_count, round(coalesce(avg(v) FILTER (success), 0.0), 6) AS avg_total_ms,
  coalesce(quantile_disc(CASE WHEN success THEN v END, 0.95), 0.0) AS p95_total_ms, arg_max(v, CASE WHEN success THEN i END) AS last_distance_nm FROM (SELECT event_type AS name, event_id AS i, value AS v, event_id % 4 <> 0 AS success FROM events) GROUP BY name""")
 def benchmark_rollup(d: Derived) -> DataFrame:
-    from lanegraph.plans.service import rollup
-
     none = F.lit(None).cast("double")
     runs = d.table("events").select(
         F.col("event_type").alias("name"), F.lit("dijkstra").alias("algorithm"), F.lit("raw").alias("mode"), F.lit("A").alias("from_locode"), F.lit("B").alias("to_locode"), F.col("event_id").alias("iteration"),
@@ -716,8 +722,6 @@ def benchmark_rollup(d: Derived) -> DataFrame:
 
 
 def service(d: Derived):
-    from lanegraph.plans.service import RouteService
-
     return RouteService(d.nodes, d.edges, ports.valid_ports(d.ports), mask_of(d), d.portals, d.hints, max_snap_nm=SNAP_RADIUS_NM)
 
 

@@ -214,18 +214,27 @@ RUNS = (
 )
 
 
+def average(value: Column) -> Column:
+    """Average of an aggregate's rows, 0 of nothing."""
+    return F.coalesce(F.avg(value), F.lit(0.0))
+
+
+def p95(expression: str) -> Column:
+    """Nearest-rank 95th percentile of an aggregate's rows, 0 of nothing."""
+    return F.coalesce(F.expr(f"percentile_disc(0.95) within group (order by {expression})"), F.lit(0.0))
+
+
 def rollup(runs: DataFrame) -> DataFrame:
-    """Counts, averages (0 of nothing), nearest-rank 95th percentiles and last values by scenario."""
-    good = lambda c: F.when(F.col("success"), F.col(c))
-    avg = lambda c, name: F.coalesce(F.avg(good(c)), F.lit(0.0)).alias(f"avg_{name}")
-    p95 = lambda c, name: F.coalesce(F.expr(f"percentile_disc(0.95) within group (order by case when success then {c} end)"), F.lit(0.0)).alias(f"p95_{name}")
+    """Counts, averages, 95th percentiles and last values by scenario."""
+    avg = lambda c, name: average(F.when(F.col("success"), F.col(c))).alias(f"avg_{name}")
+    top = lambda c, name: p95(f"case when success then {c} end").alias(f"p95_{name}")
     last = lambda c, name: F.max_by(F.col(c), F.when(F.col("success"), F.col("iteration"))).alias(f"last_{name}")
     return runs.groupBy("name", "algorithm", "mode", "from_locode", "to_locode").agg(
         F.count("*").alias("iterations"),
         F.count(F.when(F.col("success"), 1)).alias("success_count"),
         F.count(F.when(~F.col("success"), 1)).alias("failure_count"),
-        avg("search_ms", "search_ms"), p95("search_ms", "search_ms"), avg("total_ms", "total_ms"), p95("total_ms", "total_ms"),
-        avg("visited", "visited"), p95("visited", "visited"), avg("fwd_visited", "fwd_visited"), avg("rev_visited", "rev_visited"),
+        avg("search_ms", "search_ms"), top("search_ms", "search_ms"), avg("total_ms", "total_ms"), top("total_ms", "total_ms"),
+        avg("visited", "visited"), top("visited", "visited"), avg("fwd_visited", "fwd_visited"), avg("rev_visited", "rev_visited"),
         last("node_count", "node_count"), last("distance_nm", "distance_nm"), last("visited", "visited"),
         F.max_by("failure", F.when(~F.col("success"), F.col("iteration"))).alias("last_failure"),
     )

@@ -1,22 +1,29 @@
-"""Readers of the binary artifacts. Spark fetches the bytes (``binaryFile``), so any store works; layouts are decoded in Arrow batches.
+"""Readers of the binary artifacts.
 
+A graph file is read in slices: each task opens the file (a local path, or any URI that ``pyarrow.fs``
+knows) and reads its own range of every array, so neither its size nor the driver's memory limits it. The
+others are small; Spark fetches them whole (``binaryFile``) and they are decoded in Arrow batches.
 Integers and floats are little-endian. A file that breaks a rule of its layout raises ``ArtifactError``.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanegraph import schemas
 from lanegraph.operators.raster import Raster
+from lanegraph.shared import spread
 
 # Fixed values of the layouts.
 GRAPH_MAGIC = b"OCNCSR1\0"
@@ -62,37 +69,63 @@ def check_hash(data: bytes, expected: str | None) -> None:
 # --- graph ----------------------------------------------------------------------------------
 
 
-def decode_graph(data: bytes) -> dict[str, np.ndarray | int]:
-    """Arrays h3, component, node_class, degree, row_start, src, dst, cost and the resolution of a graph file."""
-    _need(len(data) >= GRAPH_HEADER_BYTES, "graph file is cut short")
-    _need(data[:8] == GRAPH_MAGIC, "not a graph file")
-    version, resolution, n, e, *offsets = _unpack("<IIqq8q", data, 8)
+ARRAYS = {"h3": "<i8", "component": "<i4", "node_class": "u1", "degree": "u1", "delta": "<i2", "cost": "<f4", "position": "<u4", "target": "<u4"}
+
+
+def graph_layout(head: bytes, size: int) -> dict:
+    """Counts, resolution and the offset and length of every array, from the first bytes of a graph file of ``size`` bytes."""
+    _need(size >= GRAPH_HEADER_BYTES and len(head) >= GRAPH_HEADER_BYTES, "graph file is cut short")
+    _need(head[:8] == GRAPH_MAGIC, "not a graph file")
+    version, resolution, n, e, *offsets = _unpack("<IIqq8q", head, 8)
     _need(version == 1, f"graph version {version} is unknown")
     _need(0 <= n < 2**31 and 0 <= e < 2**31, "graph counts are out of range")
-    _need(offsets[0] == GRAPH_HEADER_BYTES and offsets == sorted(offsets) and offsets[-1] <= len(data), "graph offsets are out of order")
-    kinds = ["<i8", "<i4", "u1", "u1", "<i2", "<f4", "<u4", "<u4"]
-    ends = [*offsets[1:], len(data)]
+    _need(offsets[0] == GRAPH_HEADER_BYTES and offsets == sorted(offsets) and offsets[-1] <= size, "graph offsets are out of order")
+    ends = [*offsets[1:], size]
     spare = (ends[7] - offsets[6]) // 8
-    sizes = [n, n, n, n, e, e, spare, spare]
-    arrays = []
-    for kind, count, lo, hi in zip(kinds, sizes, offsets, ends):
-        width = np.dtype(kind).itemsize * count
-        _need(hi - lo == width, "a graph array has the wrong length")
-        arrays.append(np.frombuffer(data, kind, count, lo))
-    h3, component, node_class, degree, delta, cost, position, target = arrays
-    start = np.concatenate([[0], np.cumsum(degree, dtype=np.int64)])
-    _need(int(start[-1]) == e, "degrees do not add up to the number of edges")
-    src = np.repeat(np.arange(n, dtype=np.int64), degree)
-    dst = src + delta
-    far = np.flatnonzero(delta == DELTA_OVERFLOW)
-    _need(len(far) == len(position) and np.array_equal(far, position.astype(np.int64)), "overflow targets do not match their edges")
-    dst[far] = target
-    _need(bool(((dst >= 0) & (dst < n)).all()), "an edge leads out of the graph")
-    return {"resolution": resolution, "h3": h3, "component": component, "node_class": node_class, "degree": degree, "row_start": start, "src": src, "dst": dst, "cost": cost}
+    counts = dict(zip(ARRAYS, (n, n, n, n, e, e, spare, spare)))
+    for (name, kind), lo, hi in zip(ARRAYS.items(), offsets, ends):
+        _need(hi - lo == np.dtype(kind).itemsize * counts[name], "a graph array has the wrong length")
+    return {"nodes": n, "edges": e, "resolution": resolution, "offset": dict(zip(ARRAYS, offsets)), "count": counts}
+
+
+class Slices:
+    """An open graph file whose arrays are read by ranges."""
+
+    def __init__(self, path: str):
+        fs, place = pafs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:", path) else (pafs.LocalFileSystem(), path)
+        self.file = fs.open_input_file(place)
+        self.size = self.file.size()
+        self.layout = graph_layout(self.file.read_at(min(self.size, GRAPH_HEADER_BYTES), 0), self.size)
+
+    def __getitem__(self, key: tuple[str, int, int]) -> np.ndarray:
+        name, lo, hi = key
+        kind = np.dtype(ARRAYS[name])
+        data = self.file.read_at(kind.itemsize * (hi - lo), self.layout["offset"][name] + kind.itemsize * lo)
+        return np.frombuffer(data, kind)
+
+    def overflow_from(self, edge: int) -> int:
+        """Index of the first overflow entry at or after an edge; the entries are in edge order."""
+        return bisect.bisect_left(range(self.layout["count"]["position"]), edge, key=lambda i: int(self["position", i, i + 1][0]))
+
+    def edges(self, nodes: tuple[int, int], first: int) -> dict[str, np.ndarray]:
+        """edge_id, src, dst, cost of the edges that leave a range of nodes, the first of which is edge ``first``."""
+        degree = self["degree", *nodes].astype(np.int64)
+        last = first + int(degree.sum())
+        src = np.repeat(np.arange(*nodes, dtype=np.int64), degree)
+        delta = self["delta", first, last]
+        dst = src + delta
+        far = np.flatnonzero(delta == DELTA_OVERFLOW)
+        a, b = self.overflow_from(first), self.overflow_from(last)
+        listed = self["position", max(a - 1, 0), min(b + 1, self.layout["count"]["position"])].astype(np.int64)
+        _need(bool((np.diff(listed) > 0).all()), "overflow targets are out of order")
+        _need(np.array_equal(far + first, self["position", a, b].astype(np.int64)), "overflow targets do not match their edges")
+        dst[far] = self["target", a, b]
+        _need(bool(((dst >= 0) & (dst < self.layout["nodes"])).all()), "an edge leads out of the graph")
+        return {"edge_id": np.arange(first, last, dtype=np.int64), "src": src, "dst": dst, "cost": self["cost", first, last]}
 
 
 def encode_graph(h3, component, node_class, src, dst, cost, resolution: int = 5) -> bytes:
-    """The inverse of ``decode_graph`` for edges sorted by source."""
+    """A graph file of edges sorted by source."""
     n, e = len(h3), len(src)
     degree = np.bincount(np.asarray(src, np.int64), minlength=n)
     delta = np.asarray(dst, np.int64) - np.asarray(src, np.int64)
@@ -132,15 +165,46 @@ def _arrow(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def read_nodes(spark: SparkSession, path: str, centers: DataFrame | None = None, sha256: str | None = None) -> DataFrame:
-    """Nodes of a graph file. Their coordinates come from ``centers`` (h3_int, lat, lon), the cell centres; without it they are null."""
+def _hash_gate(spark: SparkSession, path: str, expected: str | None) -> None:
+    """A file's hash depends on its bytes in order, so one task streams it."""
+    if expected is None:
+        return
 
-    def make(data: bytes):
-        g = decode_graph(data)
-        n = len(g["h3"])
-        return [np.arange(n, dtype=np.int32), g["h3"], g["component"], g["node_class"].astype(np.int16)]
+    def run(batches):
+        for _ in batches:
+            file, total = Slices(path).file, hashlib.sha256()
+            file.seek(0)
+            while chunk := file.read(1 << 22):
+                total.update(chunk)
+            yield pa.RecordBatch.from_arrays([pa.array([total.hexdigest()])], names=["sha256"])
+
+    found = spark.range(1, numPartitions=1).mapInArrow(run, "sha256 string").first()[0]
+    _need(found == expected.strip().lower(), "file does not have the expected SHA-256")
 
-    found = _decoded(spark, path, make, "node_id int, h3_int long, component_id int, node_class short", sha256)
+
+def _ranges(spark: SparkSession, path: str, slices: int | None) -> tuple[dict, DataFrame, Callable[[int], tuple[int, int]]]:
+    """The layout, a row per slice (each a partition), and the slice's range of nodes."""
+    layout = Slices(path).layout
+    n = layout["nodes"]
+    k = max(1, min(slices or spread(spark), n))
+    return layout, spark.range(0, k, 1, k), lambda i: (n * i // k, n * (i + 1) // k)
+
+
+def read_nodes(spark: SparkSession, path: str, centers: DataFrame | None = None, sha256: str | None = None, slices: int | None = None) -> DataFrame:
+    """Nodes of a graph file, in ``slices`` tasks. Their coordinates come from ``centers`` (h3_int, lat, lon), the cell centres; without it they are null."""
+    _hash_gate(spark, path, sha256)
+    _, rows, nodes = _ranges(spark, path, slices)
+
+    def run(batches):
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                file, (lo, hi) = Slices(path), nodes(i)
+                for at in range(lo, hi, ROWS):
+                    part = at, min(at + ROWS, hi)
+                    columns = [np.arange(*part, dtype=np.int32), file["h3", *part], file["component", *part], file["node_class", *part].astype(np.int16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node_id", "h3_int", "component_id", "node_class"])
+
+    found = rows.mapInArrow(run, "node_id int, h3_int long, component_id int, node_class short")
     if centers is None:
         found = found.withColumns({"lat": F.lit(None).cast("float"), "lon": F.lit(None).cast("float")})
     else:
@@ -148,14 +212,31 @@ def read_nodes(spark: SparkSession, path: str, centers: DataFrame | None = None,
     return found.select("node_id", "h3_int", "lat", "lon", "component_id", "node_class")
 
 
-def read_edges(spark: SparkSession, path: str, sha256: str | None = None) -> DataFrame:
-    def make(data: bytes):
-        g = decode_graph(data)
-        e = len(g["src"])
-        none = [None] * e
-        return [np.arange(e, dtype=np.int32), g["src"].astype(np.int32), g["dst"].astype(np.int32), g["cost"], none, none]
+def read_edges(spark: SparkSession, path: str, sha256: str | None = None, slices: int | None = None) -> DataFrame:
+    """Edges of a graph file, in ``slices`` tasks: first each slice's degrees are summed, then each reads the edges of its nodes."""
+    _hash_gate(spark, path, sha256)
+    layout, rows, nodes = _ranges(spark, path, slices)
+
+    def total(batches):
+        for b in batches:
+            found = [int(Slices(path)["degree", *nodes(i)].sum(dtype=np.int64)) for i in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], names=["slice", "n"])
+
+    sums = sorted(rows.mapInArrow(total, "slice long, n long").collect())  # a row per slice
+    first = np.concatenate([[0], np.cumsum([n for _, n in sums])]).tolist()
+    _need(first[-1] == layout["edges"], "degrees do not add up to the number of edges")
+
+    def run(batches):
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                e = Slices(path).edges(nodes(i), first[i])
+                columns = [e["edge_id"].astype(np.int32), e["src"].astype(np.int32), e["dst"].astype(np.int32), e["cost"]]
+                for lo in range(0, len(columns[0]), ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + ROWS]) for c in columns], names=["edge_id", "src", "dst", "cost"])
 
-    return _decoded(spark, path, make, schemas.EDGES, sha256)
+    found = rows.mapInArrow(run, "edge_id int, src int, dst int, cost float")
+    kinds = spark.createDataFrame([], schemas.EDGES).schema
+    return found.select(*[F.col(f.name) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in kinds])
 
 
 # --- portals --------------------------------------------------------------------------------

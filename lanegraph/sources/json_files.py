@@ -14,24 +14,27 @@ from lanegraph.sources.binary import ArtifactError, read_bytes
 # Fixed values of the compact form.
 COMPACT_SCHEMA = "ocean_ports_runtime"
 COMPACT_VERSION = 2
+#: Sections and keys of the manifest for each side artifact, in lower case.
+SIDE_ARTIFACTS = {
+    "edge_portals": ("edgeportals", {"edge_count": "edgecount"}),
+    "corridor_hints": ("aiscorridorhints", {"hint_count": "hintcount"}),
+    "land_mask": ("landmask", {"width": "width", "height": "height"}),
+}
+
+
+def json_value(text: Column, kind: str) -> Column:
+    """A value given as JSON text as a column of type ``kind``; null if it is missing, null or of another kind."""
+    text = F.when(text != "null", text)
+    if kind == "string":
+        return F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v")
+    return F.from_json(text, kind) if kind.startswith("array") else text.try_cast(kind)
 
 
 def compact_ports(rows: DataFrame, fields: list[str]) -> DataFrame:
     """Port records from positional rows (``row`` array<string>, each value as JSON text); missing, short and null values are null."""
     place = {name: i for i, name in enumerate(fields)}
-
-    def value(name: str, kind: str) -> Column:
-        if name not in place:
-            return F.lit(None).cast(kind).alias(name)
-        text = F.get("row", F.lit(place[name]))
-        text = F.when(text != "null", text)
-        if kind == "string":
-            return F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v").alias(name)
-        if kind.startswith("array"):
-            return F.from_json(text, kind).alias(name)
-        return text.try_cast(kind).alias(name)
-
-    return rows.select(*[value(n, k) for n, k in schemas.PORT_FIELDS.items()])
+    none = F.lit(None).cast("string")
+    return rows.select(*[json_value(F.get("row", F.lit(place[n])) if n in place else none, k).alias(n) for n, k in schemas.PORT_FIELDS.items()])
 
 
 def parse_ports(spark: SparkSession, text: str) -> DataFrame:
@@ -72,12 +75,44 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return found
 
 
+def side_artifact_errors(manifest: dict, found: dict[str, dict]) -> list[str]:
+    """What a manifest (lower-case keys) says of the side artifacts and what was found differ in; what it is silent on is not compared.
+
+    ``found`` has what was read: ``edge_portals`` (sha256, edge_count), ``corridor_hints`` (sha256, hint_count), ``land_mask``
+    (sha256, width, height).
+    """
+    errors = []
+    for name, (section, fields) in SIDE_ARTIFACTS.items():
+        claimed, facts = manifest.get(section), found.get(name)
+        if not isinstance(claimed, dict) or facts is None:
+            continue
+        for field, key in {"sha256": "sha256", **fields}.items():
+            want, have = claimed.get(key), facts.get(field)
+            same = str(want).lower() == str(have).lower() if field == "sha256" else want == have
+            if want is not None and have is not None and not same:
+                errors.append(f"{name}.{field}")
+    return errors
+
+
+def require_side_artifacts(manifest: dict, found: dict[str, dict]) -> None:
+    errors = side_artifact_errors(manifest, found)
+    if errors:
+        raise ArtifactError("manifest and artifacts differ in " + ", ".join(errors))
+
+
+MANIFEST_FIELDS = ("node_count", "edge_count", "resolution", "sha256")
+
+
+def claim_errors(claimed: str = "m_", found: str = "", fields: tuple[str, ...] = MANIFEST_FIELDS) -> Column:
+    """Array of the fields in which two sets of columns, told apart by their prefixes, differ; hashes are compared without regard to case."""
+    fold = lambda c, f: F.lower(c) if f == "sha256" else F.col(c)
+    return F.array_compact(F.array(*[F.when(fold(claimed + f, f) != fold(found + f, f), F.lit(f)) for f in fields]))
+
+
 def manifest_errors(manifest: DataFrame, facts: DataFrame) -> DataFrame:
-    """One row with ``errors``: all of node_count, edge_count, resolution, sha256 in which one-row tables of what is claimed and what was found differ."""
-    both = manifest.select(*[F.col(c).alias(f"m_{c}") for c in ("node_count", "edge_count", "resolution", "sha256")]).crossJoin(F.broadcast(facts))  # one row each
-    kinds = [F.when(F.col(f"m_{c}") != F.col(c), F.lit(c)) for c in ("node_count", "edge_count", "resolution")]
-    kinds.append(F.when(F.lower("m_sha256") != F.lower("sha256"), F.lit("sha256")))
-    return both.select(F.array_compact(F.array(*kinds)).alias("errors"))
+    """One row with ``errors``: the fields in which one-row tables of what is claimed and what was found differ."""
+    both = manifest.select(*[F.col(c).alias(f"m_{c}") for c in MANIFEST_FIELDS]).crossJoin(F.broadcast(facts))  # one row each
+    return both.select(claim_errors().alias("errors"))
 
 
 def require_no_errors(errors: DataFrame) -> None:

@@ -23,8 +23,6 @@ def put(tmp_path, data, name="file.bin"):
 
 
 def test_graph(spark, tmp_path):
-    g = b.decode_graph(DIAMOND)
-    assert g["row_start"].tolist() == [0, 2, 3, 4, 4] and g["dst"].tolist() == [1, 2, 3, 3]
     path = put(tmp_path, DIAMOND)
     sha = hashlib.sha256(DIAMOND).hexdigest().upper()
     edges = b.read_edges(spark, path, sha).orderBy("edge_id").collect()
@@ -33,25 +31,60 @@ def test_graph(spark, tmp_path):
     nodes = b.read_nodes(spark, path, centers).orderBy("node_id").collect()
     assert [n["h3_int"] for n in nodes] == H3 and nodes[0]["lat"] == 0 and nodes[1]["lat"] is None
     assert b.artifact_hash(spark, path).first()["sha256"] == sha.lower()
-    with pytest.raises(Exception, match="SHA-256"):
-        b.read_edges(spark, path, "00").collect()
+    with pytest.raises(b.ArtifactError, match="SHA-256"):
+        b.read_edges(spark, path, "00")
     with pytest.raises(Exception):
         b.read_edges(spark, str(tmp_path / "none")).collect()
 
 
 @pytest.mark.parametrize("bad", [b"abc", b"\xff" + DIAMOND[1:], DIAMOND[:-1], DIAMOND + b"1234", DIAMOND[:8] + struct.pack("<I", 2) + DIAMOND[12:]])
-def test_bad_graphs(bad):
+def test_bad_graphs(spark, tmp_path, bad):
     with pytest.raises(b.ArtifactError):
-        b.decode_graph(bad)
-
-
-def test_graph_overflow():
-    far = b.encode_graph(list(range(70000)), np.zeros(70000), np.zeros(70000), [0, 0, 69999], [1, 69999, 0], [1, 2, 3])
-    assert b.decode_graph(far)["dst"].tolist() == [1, 69999, 0]
-    swapped = bytearray(far)
-    swapped[-16:-12] = struct.pack("<I", 0)
-    with pytest.raises(b.ArtifactError, match="overflow"):
-        b.decode_graph(bytes(swapped))
+        b.read_edges(spark, put(tmp_path, bad))
+
+
+def test_slices_of_a_graph(spark, tmp_path):
+    """Any number of slices gives the same rows, deltas out of range and nodes without edges included."""
+    r = np.random.default_rng(1)
+    n = 90_000
+    src = np.sort(np.concatenate([r.integers(0, n, 3000), np.full(200, 5), np.full(200, n - 1)]))
+    dst = r.integers(0, n, len(src))
+    cost = r.random(len(src)).astype(np.float32)
+    path = put(tmp_path, b.encode_graph(np.arange(n) + 7, r.integers(0, 9, n), r.integers(0, 3, n), src, dst, cost))
+    rows = lambda df, c: sorted(tuple(x) for x in df.select(*c).collect())
+    want = sorted(zip(range(len(src)), src.tolist(), dst.tolist(), cost.astype(float).tolist()))
+    nodes = rows(b.read_nodes(spark, path, slices=1), ["node_id", "h3_int", "component_id", "node_class"])
+    assert [x[:2] for x in nodes] == [(i, i + 7) for i in range(n)]
+    for slices in (1, 3, 13):
+        edges = b.read_edges(spark, path, slices=slices)
+        assert edges.rdd.getNumPartitions() == slices and rows(edges, ["edge_id", "src", "dst", "cost"]) == want
+        assert rows(b.read_nodes(spark, path, slices=slices), ["node_id", "h3_int", "component_id", "node_class"]) == nodes
+    assert b.read_edges(spark, "file://" + path, slices=2).count() == len(src)
+    whole = open(path, "rb").read()
+    spare = b.graph_layout(whole[:96], len(whole))
+    at = spare["offset"]["position"]
+    second = struct.unpack("<I", whole[at + 4 : at + 8])[0]
+    for i, value in ((0, second), (5, 1)):  # an edge twice; entries out of order
+        bad = bytearray(whole)
+        bad[at + 4 * i : at + 4 * i + 4] = struct.pack("<I", value)
+        with pytest.raises(Exception, match="overflow"):
+            b.read_edges(spark, put(tmp_path, bytes(bad), "bad.bin"), slices=4).collect()
+    bad = bytearray(whole)
+    bad[spare["offset"]["degree"]] += 1
+    with pytest.raises(b.ArtifactError, match="degrees"):
+        b.read_edges(spark, put(tmp_path, bytes(bad), "bad.bin"))
+    assert b.read_edges(spark, put(tmp_path, b.encode_graph([], [], [], [], [], []), "none.bin")).count() == 0
+
+
+def test_side_artifacts_against_manifest():
+    manifest = {"edgeportals": {"sha256": "AB", "edgecount": 4}, "aiscorridorhints": {"hintcount": 2}, "landmask": {"width": 8, "height": 5}}
+    good = {"edge_portals": {"sha256": "ab", "edge_count": 4}, "corridor_hints": {"sha256": "x", "hint_count": 2}, "land_mask": {"width": 8, "height": 5}}
+    j.require_side_artifacts(manifest, good)
+    j.require_side_artifacts({}, good)
+    bad = {"edge_portals": {"sha256": "cd", "edge_count": 4}, "corridor_hints": {"hint_count": 3}, "land_mask": {"width": 8, "height": 6}}
+    assert j.side_artifact_errors(manifest, bad) == ["edge_portals.sha256", "corridor_hints.hint_count", "land_mask.height"]
+    with pytest.raises(b.ArtifactError, match="hint_count"):
+        j.require_side_artifacts(manifest, bad)
 
 
 def test_portals(spark, tmp_path):
@@ -101,10 +134,11 @@ def test_empty_tile_is_water_and_sizes_checked():
 def test_hints(spark, tmp_path):
     rows = [(1, "AUMEL", 1, 1, 0.9, 12, [(1.0, 2.0), (3.0, 4.0)], [(10, 11)], 1.0, 2.0, 3.0, 4.0), (9, "", 2, 1, 0.8, 20, [(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)], [(3, 4), (4, 5)], 0.0, 0.0, 2.0, 2.0)]
     data = b.encode_hints(rows)
-    from lanegraph.operators.hints import hint_set
+    from lanegraph.operators.hints import port_approaches, route_windows
 
-    made = hint_set(b.read_hints(spark, put(tmp_path, data)))
-    assert made.ports["AUMEL"].spans == [(10, 11)] and [h.corridor_id for h in made.windows] == [9]
+    made = b.read_hints(spark, put(tmp_path, data))
+    assert [(r["code"], [tuple(s) for s in r["spans"]]) for r in port_approaches(made).collect()] == [("AUMEL", [(10, 11)])]
+    assert [r["corridor_id"] for r in route_windows(made).collect()] == [9]
     for bad in (data + b"x", data[:-1], b"nomagic!" + data[8:]):
         with pytest.raises(b.ArtifactError):
             b.decode_hints(bad)
