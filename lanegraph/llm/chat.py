@@ -59,7 +59,7 @@ def _by_role(template: dict, role: Column, part: str) -> Column:
 
 
 def machine(template: dict, roles: Column) -> Column:
-    """States after each turn: array of strings, one per turn."""
+    """struct<state, at, refused>: the state after the last turn, the number of turns, and the first refused one's (from 1; 0: none). One pass."""
 
     def move(state: Column, role: Column) -> Column:
         out = F.lit(ERROR)
@@ -68,10 +68,13 @@ def machine(template: dict, roles: Column) -> Column:
                 out = F.when((state == source) & (role == by), F.lit(target)).otherwise(out)
         return out
 
-    last = lambda s: F.element_at(s, -1)
-    zero = F.array(F.lit(template["start"]))
-    run = F.aggregate(roles, zero, lambda s, r: F.concat(s, F.array(move(last(s), r))))
-    return F.slice(run, F.lit(2), F.size(roles))
+    def step(s: Column, role: Column) -> Column:
+        state, at = move(s["state"], role), s["at"] + 1
+        refused = F.when(s["refused"] > 0, s["refused"]).when(state == ERROR, at).otherwise(F.lit(0))
+        return F.struct(state.alias("state"), at.alias("at"), refused.alias("refused"))
+
+    zero = F.struct(F.lit(template["start"]).alias("state"), F.lit(0).alias("at"), F.lit(0).alias("refused"))
+    return F.aggregate(roles, zero, step)
 
 
 def format_conversations(rows: DataFrame, template: dict = TEMPLATE) -> DataFrame:
@@ -87,17 +90,16 @@ def format_conversations(rows: DataFrame, template: dict = TEMPLATE) -> DataFram
             seg(_by_role(template, t["role"], "close"), F.lit(False)),
         )
 
-    states = machine(template, F.transform("turns", lambda t: t["role"]))
+    walked = machine(template, F.transform("turns", lambda t: t["role"]))
     return (
-        talks.select("conv_id", F.flatten(F.transform("turns", pieces)).alias("segments"), states.alias("states"))
+        talks.select("conv_id", F.flatten(F.transform("turns", pieces)).alias("segments"), walked.alias("walked"))
         .withColumn("formatted", F.concat_ws("", F.transform("segments", lambda s: s["text"])))
-        .withColumn("refused", F.array_position("states", ERROR))
         .select(
             "conv_id",
             "formatted",
             "segments",
-            ((F.col("refused") == 0) & F.element_at("states", -1).isin(template["final"])).alias("valid"),
-            F.when(F.col("refused") > 0, F.col("refused") - 1).alias("first_error"),
+            F.col("walked.state").isin(template["final"]).alias("valid"),  # no state leaves the error
+            F.when(F.col("walked.refused") > 0, F.col("walked.refused") - 1).alias("first_error"),
         )
     )
 

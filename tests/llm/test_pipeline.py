@@ -5,6 +5,7 @@ import pytest
 import corpus_pipeline as cp
 from lanegraph.llm import mixing, packing, quality_classifier, quality_rules, simhash
 from lanegraph.llm.queries import queries
+from tests.llm.fixtures import clashing, documents, frame
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,7 +25,7 @@ def test_stages_one_by_one(spark):
     assert ids(two) == ids(quality_classifier.score_documents(one, labels).where(f"score >= {quality_classifier.THRESHOLD}"))
     two = two.cache()
     three = cp.dedup_stage(spark, two, SF)
-    assert ids(three) == sorted({r["component_id"] for r in simhash.group_documents(two).collect()})
+    assert ids(three) == sorted({r["component_id"] for r in simhash.near_documents(two).collect()})
     three = three.cache()
     four = cp.mixing_stage(spark, three, SF)
     want = sorted(r["doc_id"] for r in mixing.mix(three, labels).collect() for _ in range(r["copies"]))
@@ -37,5 +38,18 @@ def test_stages_one_by_one(spark):
     assert key(whole) == key(five) and packing.CAPACITY == 4096
 
 
+def test_awkward_rows(spark, tmp_path):
+    """Nulls, empty texts, repeats, clashing columns and a very long text through all stages; then tables without rows."""
+    for name, docs, labels in (("some", documents(3, 40) + [(900, "word and more " * 9000, "en", "s", 1)], [(i, int(i % 4 > 0), 0) for i in range(40)] + [(3, None, None), (None, 1, 0), (3, 1, 1)]), ("none", [], [])):
+        sf = str(tmp_path / name)
+        clashing(frame(spark, docs)).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        done = cp.run(spark, sf).collect()
+        assert bool(done) == bool(docs)
+        assert all(r["offset"] + r["length"] <= packing.CAPACITY for r in done)
+        long = [r for r in done if r["doc_id"] == 900]
+        assert sum(r["length"] for r in long) == 0 or [r["start"] for r in sorted(long, key=lambda r: r["piece"])][0] == 0
+
+
 def test_ten_queries():
     assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 11))
