@@ -20,6 +20,7 @@ as often as they occur. Other columns are never read. An empty table gives an em
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from array import array
 
@@ -76,7 +77,13 @@ class WordIds:
             chars = piece[:-4] if last else piece
             if all(c in to_byte for c in chars) and not piece.startswith("<|"):
                 ranks[bytes(to_byte[c] for c in chars) + (self.END if last else b"")] = i
-        self.fast = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        coder = getattr(tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={}), "_core_bpe", None)
+        self.fast = getattr(coder, "encode_single_piece", None)
+        # The coder is not part of that package's public interface: it is used only while it agrees with ``tokenizers``.
+        known = [p[:-4] for p in vocab if p.endswith("</w>") and p[:-4].isascii() and p[:-4].isalpha()][:: max(1, len(vocab) // 400)]
+        tried = [w + x for w, v in zip(known, known[1:]) for x in ("", ".", ",|", v)]
+        if self.fast is not None and any(self.word(w.encode()) != self.exact(w) for w in tried):
+            self.fast = None
         self.memo = Memo(self.word)
 
     @staticmethod
@@ -89,13 +96,16 @@ class WordIds:
     def word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         m = self.PLAIN.fullmatch(text)
-        if not m:
-            return array("I", self.slow.encode(text, add_special_tokens=False).ids).tobytes()
+        if not m or self.fast is None:
+            return self.exact(text)
         ids = self.fast(m[1].lower().encode() + self.END)
         if m[2]:
             ids = ids + self.fast(m[2].encode() + self.END)
         return array("I", ids).tobytes()
 
+    def exact(self, text: str) -> bytes:
+        return array("I", self.slow.encode(text, add_special_tokens=False).ids).tobytes()
+
     def text(self, text: bytes) -> bytes:
         return b"".join(map(self.memo.__getitem__, text.split()))
 
@@ -180,7 +190,11 @@ def best_configuration(sizes: np.ndarray, value: np.ndarray, capacity: int, slot
 
 
 def solve_configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, slots: int, rounds: int = 600) -> list[tuple[np.ndarray, float]]:
-    """Least bins for ``demand`` of each size: the cutting-stock linear program by column generation (primal simplex)."""
+    """Least bins for ``demand`` of each size: the cutting-stock linear program by column generation (primal simplex).
+
+    ``rounds`` bounds the steps. Where it is met the plan still holds every piece, but may use more sequences than the
+    program's least; that is reported as a warning.
+    """
     m = len(sizes)
     columns = np.diag(np.minimum(capacity // sizes, slots)).astype(float)
     for _ in range(rounds):
@@ -198,6 +212,8 @@ def solve_configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, s
             break
         ratio = np.where(up, np.maximum(level, 0) / np.where(up, step, 1), np.inf)
         columns[:, int(np.argmin(ratio))] = new
+    else:
+        warnings.warn(f"column generation stopped after {rounds} steps", stacklevel=2)
     level = np.maximum(np.linalg.solve(columns, demand.astype(float)), 0)
     return [(columns[:, j].astype(np.int64), float(level[j])) for j in range(m)]
 
