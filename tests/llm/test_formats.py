@@ -3,10 +3,12 @@ import gzip
 import hashlib
 import io
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from lanegraph.llm import chat, minhash, packing, queries, warc
 from tests.llm.fixtures import DOCS, clashing, documents, frame
@@ -42,6 +44,38 @@ def test_edited_and_next(spark):
     assert minhash.compare_edited(frame(spark, [(1, "a b c d e f g", "en", "s", 0)])).first()["near_next"] == 1.0
 
 
+def brute_fingerprint(text):
+    """The 256 digits from plain bins: the smallest hash of each, empty ones filled along their probe sequence."""
+    long = lambda x, seed: xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed)
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split("[ \x09-\x0d]+", text.lower()) if w]
+    if not words:
+        return "0" * 256
+    hashes = []
+    for i in range(max(1, len(words) - 4)):
+        h = 42
+        for w in words[i : i + 5]:
+            h = long(w, h)
+        hashes.append(h)
+    order = [*range(128, 256), *range(128)]  # of signed numbers
+    least = [min((h for h in hashes if h >> 56 == b), default=None) for b in order]
+    rng = np.random.default_rng(17)
+    start, stride = rng.integers(0, 256, 256), 2 * rng.integers(0, 128, 256) + 1
+    out = ""
+    for j, x in enumerate(least):
+        t = 0
+        while x is None:
+            x = least[(int(start[j]) + t * int(stride[j])) % 256]
+            t += 1
+        out += "0123456789abcdef"[xxhash.xxh64_intdigest(j.to_bytes(4, "little"), long(x, 42)) & 15]
+    return out
+
+
+def test_fingerprint_equals_brute_force(spark):
+    rows = [r for r in documents(8, 30) if r[1] is not None]
+    for g in minhash.fingerprint(frame(spark, rows).select("text"), key="text").collect():
+        assert g["fingerprint"] == brute_fingerprint(g["text"]), g["text"]
+
+
 def test_one_bucket_or_many_give_the_same(spark):
     docs = frame(spark, documents(6))
     key = lambda g: (str(g["doc_id"]), g["edited_sha256"], g["near_next"])
