@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanegraph.functions.geo import EARTH_RADIUS_NM, haversine_nm, haversine_py
-from lanegraph.operators.network import landmarks
+from lanegraph.operators.network import landmarks, min_cost_rate
 from lanegraph.shared import materialize, remove_table, spread
 
 MAX_BROADCAST_EDGES = 20_000_000
@@ -136,13 +136,17 @@ def trail(last: dict[int, tuple[int, int]], source: int, node: int) -> tuple[lis
     return nodes[::-1], edges[::-1]
 
 
+def landmark_distances(csr: Csr, landmark: int, reverse: bool) -> np.ndarray:
+    out = all_distances(csr, landmark, reverse)
+    return np.where(out < INF, out, np.nan)  # no path: drops out of every maximum
+
+
 def add_landmarks(csr: Csr, ids: list[int], rate: float) -> Csr:
     """Distance tables from and to each landmark, in double precision, for lower bounds."""
     csr.landmark_ids, csr.rate = ids, rate
     for v in ids:
-        for reverse, tables in ((False, csr.from_landmark), (True, csr.to_landmark)):
-            out = all_distances(csr, v, reverse)
-            tables.append(np.where(out < INF, out, np.nan))  # no path: drops out of every maximum
+        csr.from_landmark.append(landmark_distances(csr, v, False))
+        csr.to_landmark.append(landmark_distances(csr, v, True))
     return csr
 
 
@@ -263,12 +267,26 @@ def fits(edges: DataFrame, limit: int = MAX_BROADCAST_EDGES) -> bool:
 
 
 def load_network(nodes: DataFrame, edges: DataFrame, with_landmarks: bool = False) -> Csr:
+    """The network to broadcast, and perhaps its landmark tables, each made by a task of its own and as long as the list of nodes."""
     csr = build_csr(nodes, edges)
-    if with_landmarks:
-        from lanegraph.operators.network import min_cost_rate
+    if not with_landmarks:
+        return csr
+    spark = nodes.sparkSession
+    ids = [r["node_id"] for r in landmarks(nodes).orderBy("place").collect()]
+    csr.landmark_ids, csr.rate = ids, min_cost_rate(edges, nodes).first()[0]
+    if not ids:
+        return csr
+    sent = spark.sparkContext.broadcast(csr)
+
+    def run(batches):
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                dist = landmark_distances(sent.value, ids[i // 2], i % 2 == 1)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([dist.tobytes()], pa.binary())], names=["i", "dist"])
 
-        ids = [r["node_id"] for r in landmarks(nodes).orderBy("place").collect()]
-        add_landmarks(csr, ids, min_cost_rate(edges, nodes).first()[0])
+    n = 2 * len(ids)
+    for row in sorted(spark.range(0, n, 1, n).mapInArrow(run, "i long, dist binary").collect()):
+        (csr.to_landmark if row["i"] % 2 else csr.from_landmark).append(np.frombuffer(row["dist"]))
     return csr
 
 
