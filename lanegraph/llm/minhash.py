@@ -16,7 +16,8 @@ minimum, or the sentinel of an empty bin.
 
 Edge cases: null text: empty. A text without words has the fingerprint of 256 zeros, likeness 1 to
 another such text and 0 to any other. Ties and repeated rows: rows of equal id are ordered by text;
-equal texts have equal fingerprints. Null ids come first in the order. Other columns are never read.
+equal texts have equal fingerprints. Null ids come first in the order; ids are
+whole numbers (others are cast, and text that is none fails the query). Other columns are never read.
 """
 
 from __future__ import annotations
