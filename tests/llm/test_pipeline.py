@@ -1,4 +1,6 @@
 import os
+import re
+import zlib
 
 import pytest
 
@@ -28,7 +30,7 @@ def test_stages_one_by_one(spark):
     assert ids(three) == sorted({r["component_id"] for r in simhash.near_documents(two).collect()})
     three = three.cache()
     four = cp.mixing_stage(spark, three, SF)
-    want = sorted(r["doc_id"] for r in mixing.mix(three, labels).collect() for _ in range(r["copies"]))
+    want = sorted(r["doc_id"] for r in mixing.mix(three, labels, cp.TARGETS).collect() for _ in range(r["copies"]))
     assert ids(four) == want
     assert all(df.columns == docs.columns for df in (one, two, three, four))
     five = cp.packing_stage(spark, four.cache(), SF)
@@ -53,3 +55,23 @@ def test_awkward_rows(spark, tmp_path):
 
 def test_ten_queries():
     assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 11))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_columns_of_the_queries(spark):
+    """What the thin queries add to their operators: marks of held-out rows, hex digits, predictions, verdicts; one row per document."""
+    made = {int(k[2:].split("_")[0]): f for k, f in queries().items()}
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    crc = {i: zlib.crc32(str(i).encode()) for i in docs}
+    rows = {n: {r["doc_id"]: r for r in made[n](spark, SF).collect()} for n in (1, 2, 3, 7, 9)}
+    assert all(set(r) == set(docs) for r in rows.values())
+    known = {r["lang"] for r in docs.values()} | {"und"}
+    for i in docs:
+        one, two, three, seven, nine = (rows[n][i] for n in (1, 2, 3, 7, 9))
+        assert one["held_out"] == (crc[i] % 4 == 2) and one["lang_pred"] in known and 0 <= one["score"] <= 1
+        assert int(two["fingerprint"], 16) >= 0 and len(two["fingerprint"]) == 16 and two["component_id"] <= i
+        assert three["n_chars"] == len(docs[i]["text"] or "") and 0 <= three["near_edited"] <= 1
+        assert seven["held_out"] == (crc[i] % 5 == 0) and seven["predicted"] == int(seven["score"] >= 0.3)
+        assert nine["n_words"] == len(re.findall("[^\\x20\\x09-\\x0D]+", docs[i]["text"] or "")) and not (nine["kept"] and nine["base_failed"])
+    held = [one["lang_pred"] == docs[i]["lang"] for i, one in rows[1].items() if one["held_out"] and one["lang_pred"] != "und"]
+    assert sum(held) > 0.9 * len(held)
