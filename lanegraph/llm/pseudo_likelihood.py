@@ -19,7 +19,8 @@ of triples (l, w, r) are kept as a table cut by ranges of hashed keys, whose num
 the number of tokens (a key is shared by chance about once in 5,000 times at any size). Only the
 network has a fixed size (3 MB) and is broadcast; its weights come from local descent on all texts of
 every partition, started from common weights and averaged by tokens: a first round on one slice in WARM,
-a second on all. So the weights depend a little on how the table is partitioned.
+a second on all, each masking and predicting one word in MASK of all texts, drawn anew. So the weights
+depend a little on how the table is partitioned.
 
 Slices of about SLICE_BYTES of text are the unit: a task sorts a slice's keys once, sends each range
 one block of distinct keys with their counts, and the range's task adds up all slices' blocks and
@@ -53,7 +54,10 @@ HIDDEN = 24
 SIDE = 16
 BLOCKS = 64
 STEP = 16_384
-WARM = 8
+PART = 2_048
+WARM = 4
+#: A round of training masks one word in so many of every text.
+MASK = 4
 PRIORS = (0.5, 2.0, 8.0, 32.0)
 SLICE_BYTES = 6_000_000
 RANGE_TOKENS = 1_000_000
@@ -126,37 +130,43 @@ def contexts(ids: np.ndarray, sizes: np.ndarray, offsets=OFFSETS, padding: int =
     return out
 
 
-def hidden(params: list[np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Input rows, hidden rows and log-probabilities of the classes."""
-    e, p, b, u, c = params[:5]
-    x = e[ctx].reshape(len(ctx), -1)
-    h = np.tanh(x @ p + b)
-    z = h @ u + c
-    z -= z.max(axis=1, keepdims=True)
-    return x, h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
 def by_class(k: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k.astype(np.int16), kind="stable")
     cuts = np.searchsorted(k[order], np.arange(CLASSES + 1))
     for c in np.flatnonzero(np.diff(cuts)).tolist():
         yield c, order[cuts[c] : cuts[c + 1]]
 
 
+def _exp(z: np.ndarray) -> np.ndarray:
+    """exp of rows of logits, in place, each row less its largest one."""
+    z -= z.max(axis=1, keepdims=True)
+    return np.exp(z, out=z)
+
+
 def log_probs(params: list[np.ndarray], cls: np.ndarray, slot: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """log p(bucket | both sides) of every word."""
+    e, p, b, u, c, v, g = params
+    placed = [e @ p[j * DIM : (j + 1) * DIM] for j in range(len(OFFSETS))]  # what a bucket adds at each place
     ctx = contexts(ids, sizes)
     out = np.empty(len(ids))
-    for lo in range(0, len(ids), STEP):
-        y = ids[lo : lo + STEP]
-        _, h, lp = hidden(params, ctx[lo : lo + STEP])
-        k = cls[y]
-        own = lp[np.arange(len(y)), k].astype(np.float64)
-        for c, rows in by_class(k):
-            z = h[rows] @ params[5][c].T + params[6][c]
+    for lo in range(0, len(ids), 2 * STEP):
+        y, near = ids[lo : lo + 2 * STEP], ctx[lo : lo + 2 * STEP]
+        k, place = cls[y], slot[y]
+        h = placed[0][near[:, 0]]
+        for j in range(1, len(OFFSETS)):
+            h += placed[j][near[:, j]]
+        h += b
+        np.tanh(h, out=h)
+        own = np.empty(len(y))
+        for at in range(0, len(y), PART):  # small enough to stay in the cache
+            z = h[at : at + PART] @ u + c
+            z -= z.max(axis=1, keepdims=True)
+            own[at : at + PART] = z[np.arange(len(z)), k[at : at + PART]] - np.log(np.exp(z).sum(axis=1))
+        for q, rows in by_class(k):
+            z = h[rows] @ v[q].T + g[q]
             z -= z.max(axis=1, keepdims=True)
-            own[rows] += z[np.arange(len(rows)), slot[y[rows]]] - np.log(np.exp(z).sum(axis=1))
-        out[lo : lo + STEP] = own
+            own[rows] += z[np.arange(len(rows)), place[rows]] - np.log(np.exp(z).sum(axis=1))
+        out[lo : lo + 2 * STEP] = own
     return out
 
 
@@ -164,20 +174,23 @@ def train_step(params: list[np.ndarray], sums: list[np.ndarray], ctx: np.ndarray
     """One Adagrad step on the mean log-loss of the buckets."""
     e, p, b, u, c, v, g = params
     n = len(y)
-    x, h, lp = hidden(params, ctx)
-    k = cls[y]
-    d = np.exp(lp)
-    d[np.arange(n), k] -= 1
-    d /= n
-    dh = d @ u.T
+    x = e[ctx].reshape(n, -1)
+    h = np.tanh(x @ p + b)
+    k, place = cls[y], slot[y]
+    dh, gu, gc = np.empty_like(h), np.zeros_like(u), np.zeros_like(c)
+    for at in range(0, n, PART):
+        part = h[at : at + PART]
+        z = _exp(part @ u + c)
+        z /= z.sum(axis=1, keepdims=True) * n
+        z[np.arange(len(z)), k[at : at + PART]] -= 1 / n
+        dh[at : at + PART] = z @ u.T
+        gu += part.T @ z
+        gc += z.sum(0)
     for j, rows in by_class(k):
         hk = h[rows]
-        z = hk @ v[j].T + g[j]
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(rows)), slot[y[rows]]] -= 1
-        z /= n
+        z = _exp(hk @ v[j].T + g[j])
+        z /= z.sum(axis=1, keepdims=True) * n
+        z[np.arange(len(rows)), place[rows]] -= 1 / n
         dh[rows] += z @ v[j]
         for q, grad in ((5, z.T @ hk), (6, z.sum(0))):
             sums[q][j] += grad * grad
@@ -186,7 +199,7 @@ def train_step(params: list[np.ndarray], sums: list[np.ndarray], ctx: np.ndarray
     dx = (dh @ p.T).reshape(n * len(OFFSETS), DIM)
     used, inv = np.unique(ctx.ravel(), return_inverse=True)
     ge = np.stack([np.bincount(inv, dx[:, i], len(used)) for i in range(DIM)], 1).astype(np.float32)
-    for q, grad in ((1, x.T @ dh), (2, dh.sum(0)), (3, h.T @ d), (4, d.sum(0))):
+    for q, grad in ((1, x.T @ dh), (2, dh.sum(0)), (3, gu), (4, gc)):
         sums[q] += grad * grad
         params[q] -= rate * grad / np.sqrt(sums[q])
     sums[0][used] += ge * ge
@@ -208,18 +221,18 @@ def token_table(docs: DataFrame) -> DataFrame:
             ids, sizes = core_ids(texts, 1 << 32)
             doc = rows.column(0)
             docs = pa.ListArray.from_arrays(pa.array([0, len(doc)], pa.int32()), doc)
-            cols = [pa.array([(task << 24) + n], pa.int64()), docs, pa.array([len(ids)], pa.int64()), pa.array([sizes.astype(np.uint32).tobytes()], pa.binary()), pa.array([ids.astype(np.uint32).tobytes()], pa.binary())]
+            cols = [pa.array([(task << 24) + n], pa.int64()), docs, pa.array([len(ids)], pa.int64()), pa.array([sizes.astype(np.uint32).tobytes()], pa.binary()), pa.array([pack_words(ids)], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["slice", "docs", "n", "sizes", "ids"])
             n += 1
 
-    return materialize(narrow.mapInArrow(run, f"slice long, docs array<{kind}>, n long, sizes binary, ids binary"), "tokens", compression="zstd")
+    return materialize(narrow.mapInArrow(run, f"slice long, docs array<{kind}>, n long, sizes binary, ids binary"), "tokens")
 
 
 def _slices(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Word hashes and sizes of each row (sizes, ids)."""
     for b in batches:
         for s, i in zip(b.column(0), b.column(1)):
-            yield np.frombuffer(i.as_buffer(), np.uint32).astype(np.int64), np.frombuffer(s.as_buffer(), np.uint32).astype(np.int64)
+            yield unpack_words(i.as_buffer()), np.frombuffer(s.as_buffer(), np.uint32).astype(np.int64)
 
 
 def gather(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +256,7 @@ def gather(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return total[:, 0], total[:, 1:]
 
 
-def train_round(tokens: DataFrame, flat: np.ndarray, cls: np.ndarray, slot: np.ndarray, rate: float) -> np.ndarray:
+def train_round(tokens: DataFrame, flat: np.ndarray, cls: np.ndarray, slot: np.ndarray, rate: float, number: int) -> np.ndarray:
     """Local descent on every partition from common weights; the average by tokens."""
     sent = tokens.sparkSession.sparkContext.broadcast((flat.astype(np.float32), cls, slot))
 
@@ -255,9 +268,9 @@ def train_round(tokens: DataFrame, flat: np.ndarray, cls: np.ndarray, slot: np.n
         for hashes, sizes in _slices(batches):
             ids = hashes % BUCKETS
             ctx = contexts(ids, sizes)
-            order = np.random.default_rng(len(ids)).permutation(len(ids))
-            steps = max(1, round(len(ids) / STEP))  # of about equal size, so that no short one counts as much as a long one
-            for i in np.array_split(order, steps):
+            masked = np.random.default_rng([len(ids), number]).permutation(len(ids))[: -(-len(ids) // MASK)]
+            steps = max(1, round(len(masked) / STEP))  # of about equal size, so that no short one counts as much as a long one
+            for i in np.array_split(masked, steps):
                 if len(i):
                     train_step(params, sums, ctx[i], ids[i], label, place, rate * min(1.0, len(i) / STEP * 2))
             seen += len(ids)
@@ -274,28 +287,66 @@ def fit(tokens: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np
     cls, slot = classes_of(sides)
     flat = pack(initial(counts, cls, slot))
     warm = tokens.where(F.pmod(F.xxhash64("slice"), F.lit(WARM)) == 0)
-    for rows, rate in ((warm, 0.1), (tokens, 0.05)):
-        flat = train_round(rows, flat, cls, slot, rate)
+    for number, (rows, rate) in enumerate(((warm, 0.1), (tokens, 0.05))):
+        flat = train_round(rows, flat, cls, slot, rate, number)
     return unpack(flat), cls, slot, counts
 
 
 # --- counts that grow with the corpus ---------------------------------------------------------
 
 
+def squeeze(planes: bytes) -> bytes:
+    """Compressed, after the length."""
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def expand(data: bytes | pa.Buffer) -> bytes:
+    view = memoryview(data)
+    return pa.decompress(view[8:], decompressed_size=int.from_bytes(view[:8], "little"), codec="zstd", asbytes=True)
+
+
 def pack_ints(a: np.ndarray) -> bytes:
-    """Unsigned integers as planes of bytes, the low ones first, so that what is small compresses well."""
+    """Unsigned integers as planes of bytes, the low ones first, compressed."""
     width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
-    return bytes([width]) + np.ascontiguousarray(a.astype(np.uint64).view(np.uint8).reshape(-1, 8).T[:width]).tobytes()
+    return squeeze(bytes([width]) + np.ascontiguousarray(a.astype(np.uint64).view(np.uint8).reshape(-1, 8).T[:width]).tobytes())
 
 
 def unpack_ints(data: bytes) -> np.ndarray:
-    width = data[0]
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    raw = expand(data)
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
+    out[:, : raw[0]] = planes.T
     return out.reshape(-1).view(np.uint64)
 
 
+def pack_words(hashes: np.ndarray) -> bytes:
+    """Word hashes as the slice's distinct ones by falling count, and each word's number among them."""
+    found, at, count = np.unique(hashes.astype(np.uint32), return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    head = squeeze(found[order].tobytes())
+    return len(head).to_bytes(8, "little") + head + pack_ints(rank[at])
+
+
+def unpack_words(data: bytes | pa.Buffer) -> np.ndarray:
+    view = memoryview(data)
+    n = 8 + int.from_bytes(view[:8], "little")
+    return np.frombuffer(expand(view[8:n]), np.uint32).astype(np.int64)[unpack_ints(view[n:]).astype(np.int64)]
+
+
+def places_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """For each key its place among the distinct ones in order. Where key and index fit one number, that is sorted (faster than an argsort)."""
+    shift = len(keys).bit_length()
+    if bits + shift > 64:
+        return np.unique(keys, return_inverse=True)[1]
+    both = np.sort((keys << np.uint64(shift)) | np.arange(len(keys), dtype=np.uint64))
+    found = both >> np.uint64(shift)
+    out = np.empty(len(keys), np.int64)
+    out[(both & np.uint64((1 << shift) - 1)).astype(np.int64)] = np.cumsum(np.concatenate([[0], found[1:] != found[:-1]])) if len(keys) else 0
+    return out
+
+
 def key_bits(tokens: int) -> int:
     """So many that a key of ``tokens`` places is shared by chance about once in 5,000 times."""
     return min(64, max(32, tokens.bit_length() + 13))
@@ -341,14 +392,14 @@ def send_keys(tokens: DataFrame, bits: int, ranges: int) -> DataFrame:
     return tokens.select("sizes", "ids", "slice").mapInArrow(run, "range int, slice long, keys binary, counts binary")
 
 
-def add_up(messages: DataFrame) -> DataFrame:
+def add_up(messages: DataFrame, bits: int) -> DataFrame:
     """slice, range, totals: the corpus's counts of each slice's keys."""
 
     def totals(rows: list[tuple]) -> pa.RecordBatch:
         keys = [np.cumsum(unpack_ints(k), dtype=np.uint64) for _, _, k, _ in rows]
         count = np.concatenate([unpack_ints(c) for _, _, _, c in rows])
-        _, inv = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inv, count)[inv].astype(np.uint64)
+        at = places_of(np.concatenate(keys), bits)
+        total = np.bincount(at, count)[at].astype(np.uint64)
         ends = np.cumsum([len(k) for k in keys])
         data = [pack_ints(total[e - len(k) : e]) for k, e in zip(keys, ends)]
         return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array(data, pa.binary())], names=["slice", "range", "totals"])
@@ -383,8 +434,7 @@ def score_slices(tokens: DataFrame, totals: DataFrame, model, bits: int) -> Data
         params, cls, slot, counts = sent.value
         n = len(hashes)
         ids = hashes % BUCKETS
-        _, inv = np.unique(keys_of(hashes, sizes, bits), return_inverse=True)
-        word, sides, triple = total[inv].reshape(3, n)
+        word, sides, triple = total[places_of(keys_of(hashes, sizes, bits), bits)].reshape(3, n)
         q = np.exp(log_probs(params, cls, slot, ids, sizes)) * np.minimum(1.0, word / np.maximum(counts[ids], 1.0))
         out = [segment_sum(np.log((triple - 1 + k * q) / (sides - 1 + k)), sizes) for k in PRIORS]
         return pa.RecordBatch.from_arrays([docs, pa.array(sizes), *(pa.array(x) for x in out)], names=names)
@@ -409,7 +459,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     tokens = token_table(docs)
     total = int(tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     bits, ranges = key_bits(total), -(-total // RANGE_TOKENS) or 1
-    totals = add_up(send_keys(tokens, bits, ranges))
+    totals = add_up(send_keys(tokens, bits, ranges), bits)
     by_prior = materialize(score_slices(tokens, totals, fit(tokens), bits), "scores")
     sums = by_prior.agg(*[F.sum(f"s{k}") for k in range(len(PRIORS))]).first()
     best = max(range(len(PRIORS)), key=lambda k: (sums[k] or 0.0, -k))

@@ -252,11 +252,17 @@ def test_packed_integers_and_keys():
     r = np.random.default_rng(2)
     for a in (np.zeros(0), r.integers(0, 200, 50), r.integers(0, 1 << 62, 9), np.array([0])):
         assert pl.unpack_ints(pl.pack_ints(a.astype(np.uint64))).tolist() == a.astype(np.uint64).tolist()
+    for a in (np.zeros(0, np.int64), r.integers(0, 1 << 32, 30)[r.integers(0, 30, 500)]):
+        assert pl.unpack_words(pl.pack_words(a)).tolist() == a.tolist()
     hashes, sizes = r.integers(0, 50, 400), np.array([100, 0, 250, 50])
     keys = pl.keys_of(hashes, sizes, 48).reshape(3, -1)
     near = pl.contexts(hashes, sizes, (-1, 1), pl.PADDING)
     for k, names in enumerate(([(w,) for w in hashes], [tuple(x) for x in near], [(w, *x) for w, x in zip(hashes, near)])):
         assert len(set(zip(names, keys[k].tolist()))) == len(set(names)) == len(set(keys[k].tolist()))
+    for bits in (40, 60):
+        k = r.integers(0, 1 << bits, 5000).astype(np.uint64)[r.integers(0, 3000, 5000)]
+        assert pl.places_of(k, bits).tolist() == np.unique(k, return_inverse=True)[1].tolist()
+    assert len(pl.places_of(np.zeros(0, np.uint64), 40)) == 0
     assert pl.key_bits(10**13) == 57 and (np.diff(pl.range_edges(7, 57).astype(float)) > 0).all()
 
 
