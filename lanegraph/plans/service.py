@@ -72,6 +72,7 @@ class RouteService:
 
     def draw(self, paths: DataFrame, timed: bool = False) -> DataFrame:
         """Geometry of paths (path_id, path_nodes, mode, from_locode, to_locode)."""
+        paths = materialize(paths, "paths")  # read for points, legs and hints
         windows = None
         if self.lines is not None and self.gates is not None:
             pulled = paths.where(F.col("mode") == "funnel")
