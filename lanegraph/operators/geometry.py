@@ -319,7 +319,7 @@ def leg_gates(first: DataFrame, portals: DataFrame) -> DataFrame:
 
 
 def hint_lines(hints: DataFrame, raster: Raster) -> DataFrame:
-    """corridor_id, backwards, line of each hint and direction that is safe throughout. They depend on the mask only, so they are drawn once."""
+    """corridor_id, backwards, line of each hint and direction that is safe throughout. They depend on the mask only, not on the path."""
     sent = hints.sparkSession.sparkContext.broadcast(raster)
 
     def run(batches):

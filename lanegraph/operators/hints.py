@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanegraph.operators.geometry import BIDIRECTIONAL, PORT_APPROACH, ROUTE_WINDOW
+from lanegraph.operators.geometry import BIDIRECTIONAL, PORT_APPROACH, ROUTE_WINDOW, hint_lines
 from lanegraph.operators.network import places
+from lanegraph.operators.raster import Raster
+from lanegraph.shared import materialize
 
 
 def is_bidirectional(flags: Column) -> Column:
@@ -75,14 +77,16 @@ def select_windows(candidates: DataFrame) -> DataFrame:
     return ordered.select("path_id", F.sort_array(fold).alias("chosen"))
 
 
-def path_windows(legs: DataFrame, ends: DataFrame, hints: DataFrame, lines: DataFrame) -> DataFrame:
+def path_windows(legs: DataFrame, ends: DataFrame, hints: DataFrame, raster: Raster) -> DataFrame:
     """path_id, kind, n, confidence, start, end, line of the hints that may shape each path: ``kind`` 2 for port approaches, 1 for others.
 
-    ``lines``: what ``geometry.hint_lines`` gives; a hint without a line shapes nothing. Of hints of one kind on the same legs
-    of a path only the most confident can be chosen (of equals the one of the lowest position), so the others are left out.
+    Each hint that lies on some path is drawn once; one without a safe line shapes nothing. Of hints of one kind on the same
+    legs of a path only the most confident can be chosen (of equals the one of the lowest position), so the others are left out.
     """
     generic = generic_windows(legs, hints).select("path_id", "corridor_id", "start", "end", "backwards", F.lit(1).alias("kind"))
     port = port_windows(legs, ends, hints).select("path_id", "corridor_id", "start", "end", (F.col("side") == "end").alias("backwards"), F.lit(2).alias("kind"))
-    drawn = generic.unionByName(port).join(lines, ["corridor_id", "backwards"]).join(hints.select("corridor_id", F.col("confidence").cast("double").alias("confidence")), "corridor_id")
+    found = materialize(generic.unionByName(port), "windows")
+    lines = hint_lines(hints.join(found.select("corridor_id").distinct(), "corridor_id", "left_semi"), raster)
+    drawn = found.join(lines, ["corridor_id", "backwards"]).join(hints.select("corridor_id", F.col("confidence").cast("double").alias("confidence")), "corridor_id")
     best = drawn.groupBy("path_id", "kind", "start", "end").agg(F.min_by(F.struct("confidence", "line"), F.struct(-F.col("confidence"), F.col("corridor_id"))).alias("b"))
     return best.select("path_id", "kind", (F.col("end") - F.col("start")).alias("n"), "b.confidence", "start", "end", "b.line")

@@ -42,7 +42,7 @@ class Csr:
         self._lists: dict[bool, tuple] = {}
 
     def _grouped(self, key, other, cost, edge_id):
-        order = np.lexsort((edge_id, key))
+        order = np.lexsort((edge_id, cost, key))  # cheap edges first, so that a search can stop within a node
         start = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=self.n))])
         return start, other[order].astype(np.int32), cost[order].astype(np.float32), edge_id[order].astype(np.int32)
 
@@ -212,6 +212,8 @@ def two_sided(csr: Csr, s: int, t: int) -> tuple[float, list[int], list[int], in
         start, to, cost, edge = side["adj"]
         for i in range(start[v], start[v + 1]):
             w, nd = to[i], dv + cost[i]
+            if nd >= best:  # nor can any dearer edge be on a better path
+                break
             if nd < dist.get(w, INF):
                 dist[w], last[w] = nd, (v, edge[i])
                 side["done"].discard(w)  # bounds that differ by node may need a node again

@@ -63,21 +63,14 @@ class RouteService:
             return None
         return self._timed("geometry", lambda: materialize(geometry.leg_gates(network.first_edges(self.edges), self.portals), "gates"))
 
-    @cached_property
-    def lines(self) -> DataFrame | None:
-        """Lines of the corridor hints, drawn once."""
-        if self.hints is None or self.raster is None:
-            return None
-        return self._timed("hints", lambda: materialize(geometry.hint_lines(self.hints, self.raster), "lines"))
-
     def draw(self, paths: DataFrame, timed: bool = False) -> DataFrame:
         """Geometry of paths (path_id, path_nodes, mode, from_locode, to_locode)."""
         paths = materialize(paths, "paths")  # read for points, legs and hints
         windows = None
-        if self.lines is not None and self.gates is not None:
+        if self.hints is not None and self.raster is not None and self.gates is not None:
             pulled = paths.where(F.col("mode") == "funnel")
             ends = pulled.select("path_id", F.size("path_nodes").alias("n_nodes"), F.col("from_locode").cast("string"), F.col("to_locode").cast("string"))
-            windows = path_windows(geometry.path_legs(pulled), ends, self.hints, self.lines)
+            windows = path_windows(geometry.path_legs(pulled), ends, self.hints, self.raster)
         return geometry.build_geometry(paths, self.nodes, self.raster, self.gates, windows, timed)
 
     def _options(self, requests: DataFrame) -> DataFrame:
@@ -164,9 +157,9 @@ class RouteService:
 
     def profile(self) -> DataFrame:
         """Times of the loading phases so far, with the counts of ``stats``."""
-        _ = self.csr, self.gates, self.lines
+        _ = self.csr, self.gates
         stats = self.stats()
-        times = [F.lit(round(self.timings.get(n, 0.0), 3)).alias(f"{n}_ms") for n in ("network", "geometry", "hints")]
+        times = [F.lit(round(self.timings.get(n, 0.0), 3)).alias(f"{n}_ms") for n in ("network", "geometry")]
         return stats.select(F.lit(round(sum(self.timings.values()), 3)).alias("startup_ms"), *times, "node_count", "edge_count", "port_count", "component_count", F.lit(self.raster is not None).alias("smoothing"))
 
     def benchmark_runs(self, pairs: DataFrame, iterations: int | None = None, default_iterations: int = 5) -> DataFrame:

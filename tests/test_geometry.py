@@ -138,7 +138,7 @@ def test_best_hint_of_a_place(spark):
     made = service(spark, rows)
     paths = spark.createDataFrame([(1, [0, 1, 2, 3], None, None)], "path_id long, path_nodes array<int>, from_locode string, to_locode string")
     ends = paths.select("path_id", F.size("path_nodes").alias("n_nodes"), "from_locode", "to_locode")
-    found = hints.path_windows(g.path_legs(paths), ends, made.hints, made.lines).collect()
+    found = hints.path_windows(g.path_legs(paths), ends, made.hints, made.raster).collect()
     assert [(w["kind"], w["n"], w["confidence"], w["start"]) for w in found] == [(1, 2, 0.9, 0)]
     two = spark.createDataFrame([hint(1, [(0, 1)], code="A", conf=0.5, cid=1), hint(1, [(0, 1)], code="a", conf=0.7, cid=2)], HINT_DDL)
     assert [r["corridor_id"] for r in hints.port_approaches(two).collect()] == [2]
