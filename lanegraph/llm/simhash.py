@@ -321,10 +321,13 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     of = materialize(_labelled(nodes, stars), "near")
     full = shared.where(F.col("n") > cell_limit)
     if full.limit(1).count():
-        reps = full.join(of.select("seq", "component_id"), "seq").groupBy("t", "cell", "component_id").agg(F.min("seq").alias("seq"))
+        reps = full.join(of.select("seq", "component_id"), "seq")
+        reps = materialize(reps.groupBy("t", "cell", "component_id").agg(F.min("seq").alias("seq")), "cell_groups")
         several = reps.groupBy("t", "cell").agg(F.count("*").alias("n"), F.min("seq").alias("least")).where("n > 1")
-        more = _verified(_in_cells(materialize(reps.join(several, ["t", "cell"]), "representatives"), cell_limit), sets, similarity)
-        of = materialize(_labelled(nodes, components(found.unionByName(more))), "near")
+        apart = materialize(join_skewed(reps, several, ["t", "cell"], reps.count()), "representatives")
+        more = materialize(_verified(_in_cells(apart, cell_limit), sets, similarity), "more_links")
+        if more.limit(1).count():
+            of = materialize(_labelled(nodes, components(stars.unionByName(more))), "near")
     return sketches.select(key, "seq"), of
 
 
