@@ -15,9 +15,10 @@ both made of random values by doubling; unequal windows are taken as equal with
 
 Spark: a level shuffles (representative, row) once and keeps what two rows share; texts are shuffled once by row,
 and one exchange serves all levels of a query. Representatives that a sample shows in more than one of ``SHARE`` rows of
-that shuffle are broadcast (at most ``SHARE`` of them), count as repeated without being shuffled, and their
-windows are reduced to the smallest id before they are shuffled, so that a passage in a third of all documents is no hot
-key. The sample only chooses the way; results are the same with any.
+that shuffle are sent to all tasks (at most ``SHARE`` of them) and count as repeated without being shuffled. The windows
+among theirs that more than one in 1,024 rows have are counted exactly, reduced to the smallest id before they meet, and
+then known to all tasks as well, so that a passage in a third of all documents is no hot key. The sample only chooses
+the way; results are the same with any.
 
 Edge cases: a null text has no words. Words are compared as bytes. A text shorter than the window loses nothing. Ids
 are whole numbers (others are cast, and text that is none fails the query). A null id is later than all others, and no
@@ -27,6 +28,8 @@ treated alike. Columns other than id and text are never read. An empty table giv
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -132,14 +135,32 @@ def _frequent(rows: DataFrame, window: int, level: int, share: int) -> tuple[np.
     return np.array(sorted(r["h"] for r in found), np.int64).view(np.uint64), total * every
 
 
-def _window_rows(rows: DataFrame, window: int, done: list[int], frequent: np.ndarray, common: bool) -> DataFrame:
-    """A row for each run of standing windows with one representative: h, key, mark, doc, start, hashes. ``common``: the frequent ones, else the others."""
+class _Hot:
+    """The few windows that a large share of the rows has, by representative and hash, with the smallest id of each."""
+
+    def __init__(self, found: list[tuple[int, int, int]]):
+        rows = np.array(found, np.int64).reshape(-1, 3)
+        key = mix(rows[:, 0].view(np.uint64), rows[:, 1].view(np.uint64))
+        order = np.argsort(key)
+        self.key, (self.h, self.a, self.least) = key[order], rows[order].T.copy()
+
+    def find(self, v: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """The place of each window among the hot ones; -1: it is none."""
+        if not len(self.key):
+            return np.full(len(v), -1)
+        at = np.minimum(np.searchsorted(self.key, mix(v, a)), len(self.key) - 1)
+        return np.where((self.h[at] == v.view(np.int64)) & (self.a[at] == a.view(np.int64)), at, -1)
+
+
+def _window_rows(rows: DataFrame, window: int, level: int, done: list[int], frequent: np.ndarray, common: bool, hot: _Hot) -> DataFrame:
+    """A row for each run of standing windows with one representative: h, key, mark, doc, start, hashes; without hot windows. ``common``: the frequent ones, else the others."""
 
     def make(batch, w, ok):
-        v = w.representatives(done[-1]) if done else w.hashes()
+        v, every = w.representatives(level), w.hashes()
         ok = ok & (np.isin(v, frequent) == common)
         at = np.flatnonzero(ok)
-        v, text, start, a = v[at], w.text[at], w.words.place[w.start[at]], w.hashes()[at]
+        at = at[hot.find(v[at], every[at]) < 0]
+        v, text, start, a = v[at], w.text[at], w.words.place[w.start[at]], every[at]
         new = np.ones(len(at), bool)
         new[1:] = (v[1:] != v[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)
         first = np.flatnonzero(new)
@@ -156,20 +177,22 @@ def _each(runs: DataFrame) -> DataFrame:
     return one.select("h", "a", "key", "mark", "doc", (F.col("start") + F.col("i")).alias("at"))
 
 
-def _covered(rows: DataFrame, window: int, done: list[int], frequent: np.ndarray, total: int) -> DataFrame:
-    """(key, places): the windows of each row that start in a document with a smaller id, as mark << 32 | place."""
-    same = Window.partitionBy("h", "a")
-    runs = _window_rows(rows, window, done, frequent, False).repartition("h")
-    found = _each(runs).withColumn("least", F.min("doc").over(same)).where(_LATER).select("key", "mark", "at")
-    if len(frequent):
-        # Dealt by row, for all three uses; the smallest id of a window is found before windows meet. Windows of more than
-        # one in 1,024 of the estimated rows (a few thousand windows at most) are broadcast.
-        many = _each(_window_rows(rows, window, done, frequent, True).repartition("key"))
-        least = many.groupBy("h", "a").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1")
-        heavy = F.broadcast(least.where(F.col("n") > max(64, total // 1024)))
-        light = many.join(F.broadcast(heavy.select("h", "a")), ["h", "a"], "left_anti").join(least, ["h", "a"])
-        common = many.join(heavy, ["h", "a"]).unionByName(light)
-        found = found.unionByName(common.where(_LATER).select("key", "mark", "at"))
+def _hot_windows(rows: DataFrame, window: int, level: int, frequent: np.ndarray, total: int) -> _Hot:
+    """Windows of more than one in 1,024 of the estimated rows: a few thousand at most. They are counted before they meet."""
+    if not len(frequent):
+        return _Hot([])
+    each = _each(_window_rows(rows, window, level, [], frequent, True, _Hot([])))
+    counts = each.groupBy("h", "a").agg(F.min("doc").alias("least"), F.count("*").alias("n"))
+    return _Hot([tuple(r) for r in counts.where((F.col("n") > max(64, total // 1024)) & F.col("least").isNotNull()).select("h", "a", "least").collect()])
+
+
+def _covered(rows: DataFrame, window: int, level: int, done: list[int], frequent: np.ndarray, hot: _Hot) -> DataFrame:
+    """(key, places): the windows of each row, hot ones aside, that start in a document with a smaller id, as mark << 32 | place."""
+    least = F.min("doc").over(Window.partitionBy("h", "a"))
+    parts = [_each(_window_rows(rows, window, level, done, frequent, False, hot).repartition("h"))]
+    if len(frequent):  # windows of a frequent representative are dealt one by one
+        parts.append(_each(_window_rows(rows, window, level, done, frequent, True, hot)))
+    found = reduce(DataFrame.unionByName, [p.withColumn("least", least).where(_LATER).select("key", "mark", "at") for p in parts])
     place = F.shiftleft(F.col("mark").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
     return found.groupBy("key").agg(F.collect_list(place).alias("places"))
 
@@ -184,7 +207,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     rows = _rows(docs, text, key)
     steps = levels(window, start)
     done: list[int] = []
-    shared, frequent, total = None, np.zeros(0, np.uint64), 0
+    shared, frequent, total, level = None, np.zeros(0, np.uint64), 0, window
     several = Window.partitionBy("h")
     for level in steps[:-1] or steps:
         often, total = _frequent(rows, window, level, share)
@@ -201,25 +224,41 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
         shared = materialize(lists if shared is None else _merged(shared, lists), "repeated")
         if not len(frequent) and not shared.limit(1).count():
             break
-    covered = _covered(_with_shared(rows, shared), window, done, frequent, total)
+    hot = _hot_windows(rows, window, level, frequent, total)
+    covered = _covered(_with_shared(rows, shared), window, level, done, frequent, hot)
 
     def run(batches):
         for batch, texts in groups(batches, "text"):
-            yield _rebuilt(batch, texts, window)
+            yield _rebuilt(batch, texts, window, level, hot)
 
     schema = "doc long, n_words long, spans array<struct<start:int,length:int>>, kept string"
     made = rows.join(covered, "key", "left").select("mark", "doc", "text", "places").mapInArrow(run, schema)
     return made.select(F.col("doc").alias(key), "n_words", "spans", "kept")
 
 
-def _rebuilt(batch: pa.RecordBatch, texts: list[bytes], window: int) -> pa.RecordBatch:
+def _hot_places(batch: pa.RecordBatch, texts: list[bytes], window: int, level: int, hot: _Hot) -> list[np.ndarray]:
+    """The places of each text's hot windows that start in a document with a smaller id."""
+    if not len(hot.key):
+        return [np.zeros(0, np.int64)] * len(texts)
+    w = _Windows(texts, window)
+    at = hot.find(w.representatives(level), w.hashes())
+    doc = batch.column(1)
+    later = pc.fill_null(doc, 0).to_numpy(zero_copy_only=False)[w.text] > hot.least[at]
+    later |= doc.is_null().to_numpy(zero_copy_only=False)[w.text]
+    chosen = np.flatnonzero((at >= 0) & later)
+    ends = np.searchsorted(w.text[chosen], np.arange(len(texts) + 1))
+    place = w.words.place[w.start[chosen]]
+    return [place[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def _rebuilt(batch: pa.RecordBatch, texts: list[bytes], window: int, level: int, hot: _Hot) -> pa.RecordBatch:
     marks = batch.column(0).to_pylist()
     counts, spans, kept = [], [], []
-    for mark, places, t in zip(marks, batch.column(3), texts):
+    for mark, places, more, t in zip(marks, batch.column(3), _hot_places(batch, texts, window, level, hot), texts):
         words = t.split()
         counts.append(len(words))
         at = np.asarray(places.values.to_numpy(zero_copy_only=False) if places.is_valid else [], np.int64)
-        at = at[(at >> 32) == mark] & 0xFFFFFFFF
+        at = np.concatenate([at[(at >> 32) == mark] & 0xFFFFFFFF, more])
         if not len(at):
             spans.append([])
             kept.append(b" ".join(words))
