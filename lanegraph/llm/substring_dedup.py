@@ -16,9 +16,9 @@ both made of random values by doubling; unequal windows are taken as equal with
 Spark: a level shuffles (representative, row) once and keeps what two rows share; texts are shuffled once by row,
 and one exchange serves all levels of a query. Representatives that a sample shows in more than one of ``SHARE`` rows of
 that shuffle are sent to all tasks (at most ``SHARE`` of them) and count as repeated without being shuffled. The windows
-among theirs that more than one in 1,024 rows have are counted exactly, reduced to the smallest id before they meet, and
-then known to all tasks as well, so that a passage in a third of all documents is no hot key. The sample only chooses
-the way; results are the same with any.
+among theirs that are as frequent in the sample are known to all tasks as well, each with the smallest id of all rows
+that it starts in, so that a passage in a third of all documents is no hot key. The sample only chooses the way;
+results are the same with any.
 
 Edge cases: a null text has no words. Words are compared as bytes. A text shorter than the window loses nothing. Ids
 are whole numbers (others are cast, and text that is none fails the query). A null id is later than all others, and no
@@ -126,13 +126,14 @@ def _with_shared(rows: DataFrame, shared: DataFrame | None) -> DataFrame:
     return rows if shared is None else rows.join(shared, "key", "left")
 
 
-def _frequent(rows: DataFrame, window: int, level: int, share: int) -> tuple[np.ndarray, int]:
-    """Representatives of more than one in ``share`` of a sample's rows of this level (so at most ``share``), and an estimate of all rows."""
+def _frequent(rows: DataFrame, window: int, level: int, share: int) -> tuple[DataFrame, np.ndarray, int]:
+    """A sample of the rows, the representatives of more than one in ``share`` of its rows of this level (so at most ``share``), and how many rows those are."""
     every = max(1, rows.count() // SAMPLE_ROWS)
-    sample = _representatives(rows.where(F.pmod("key", F.lit(every)) == 0), window, level, [], np.zeros(0, np.uint64))
-    total = sample.count()
-    found = sample.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > max(64, total // share)).select("h").collect()
-    return np.array(sorted(r["h"] for r in found), np.int64).view(np.uint64), total * every
+    sample = rows.where(F.pmod("key", F.lit(every)) == 0)
+    found = _representatives(sample, window, level, [], np.zeros(0, np.uint64))
+    least = max(64, found.count() // share)
+    often = found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > least).select("h").collect()
+    return sample, np.array(sorted(r["h"] for r in often), np.int64).view(np.uint64), least
 
 
 class _Hot:
@@ -177,13 +178,31 @@ def _each(runs: DataFrame) -> DataFrame:
     return one.select("h", "a", "key", "mark", "doc", (F.col("start") + F.col("i")).alias("at"))
 
 
-def _hot_windows(rows: DataFrame, window: int, level: int, frequent: np.ndarray, total: int) -> _Hot:
-    """Windows of more than one in 1,024 of the estimated rows: a few thousand at most. They are counted before they meet."""
+def _hot_windows(rows: DataFrame, sample: DataFrame, window: int, level: int, frequent: np.ndarray, least: int) -> _Hot:
+    """Windows of more than ``least`` rows of the sample, and the smallest id that each starts in, of all rows.
+
+    A window is no rarer than its representative's share allows, so there are a few times ``SHARE`` at most. Each task
+    finds its own smallest ids, which are then compared.
+    """
     if not len(frequent):
         return _Hot([])
-    each = _each(_window_rows(rows, window, level, [], frequent, True, _Hot([])))
-    counts = each.groupBy("h", "a").agg(F.min("doc").alias("least"), F.count("*").alias("n"))
-    return _Hot([tuple(r) for r in counts.where((F.col("n") > max(64, total // 1024)) & F.col("least").isNotNull()).select("h", "a", "least").collect()])
+    each = _each(_window_rows(sample, window, level, [], frequent, True, _Hot([])))
+    often = each.groupBy("h", "a").agg(F.count("*").alias("n")).where(F.col("n") > least).select("h", "a").collect()
+    hot = _Hot([(r["h"], r["a"], 0) for r in often])
+    none = np.iinfo(np.int64).max
+
+    def run(batches):
+        best = np.full(len(hot.key), none)
+        for batch, texts in groups(batches, "text"):
+            w = _Windows(texts, window)
+            at = hot.find(w.representatives(level), w.hashes())
+            doc = pc.fill_null(batch.column(batch.schema.get_field_index("doc")), none).to_numpy(zero_copy_only=False)
+            np.minimum.at(best, at[at >= 0], doc[w.text[at >= 0]])
+        here = np.flatnonzero(best < none)
+        yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.array(best[here])], names=["i", "least"])
+
+    ids = rows.mapInArrow(run, "i int, least long").groupBy("i").agg(F.min("least").alias("least")).collect()
+    return _Hot([(int(hot.h[r["i"]]), int(hot.a[r["i"]]), r["least"]) for r in ids])
 
 
 def _covered(rows: DataFrame, window: int, level: int, done: list[int], frequent: np.ndarray, hot: _Hot) -> DataFrame:
@@ -207,10 +226,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     rows = _rows(docs, text, key)
     steps = levels(window, start)
     done: list[int] = []
-    shared, frequent, total, level = None, np.zeros(0, np.uint64), 0, window
+    shared, frequent, level = None, np.zeros(0, np.uint64), window
     several = Window.partitionBy("h")
     for level in steps[:-1] or steps:
-        often, total = _frequent(rows, window, level, share)
+        sample, often, least = _frequent(rows, window, level, share)
         frequent = np.union1d(frequent, often)
         if level == window:
             break
@@ -224,7 +243,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
         shared = materialize(lists if shared is None else _merged(shared, lists), "repeated")
         if not len(frequent) and not shared.limit(1).count():
             break
-    hot = _hot_windows(rows, window, level, frequent, total)
+    hot = _hot_windows(rows, sample, window, level, frequent, least)
     covered = _covered(_with_shared(rows, shared), window, level, done, frequent, hot)
 
     def run(batches):
