@@ -3,10 +3,9 @@
 The network is broadcast as offset arrays while it has at most ``MAX_BROADCAST_EDGES`` edges (24 bytes
 each, and about 100 more in each worker that searches with a heap, which reads lists); requests are dealt
 over ``spread`` tasks, those of one source next to each other, so that a task searches from it once. A
-larger network stays a table, and all requests advance together, one join of the frontier with the edges
-per round. Both give the same costs, and Dijkstra's count of settled nodes; of equal paths the one with
-the smaller last edge id is kept. The rounds have one search for both algorithms: a request for
-bidirectional A* gets the same route there, and no counts by side.
+larger network stays a table, and all requests advance together towards their targets, a join of the released
+nodes with the edges per round (``frontier``). Both ways have both algorithms and give the same costs, and Dijkstra's
+count of settled nodes; of equal paths the one with the smaller last edge id is kept.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanegraph.functions.geo import EARTH_RADIUS_NM, haversine_nm, haversine_py
+from lanegraph.operators import frontier
 from lanegraph.operators.network import landmarks, min_cost_rate
 from lanegraph.shared import materialize, remove_table, spread
 
@@ -395,29 +395,61 @@ def trails(ends: DataFrame, reach: DataFrame) -> DataFrame:
     return rows.select("request_id", F.transform("r", lambda x: x["node_id"]).alias("nodes"), F.transform(F.filter("r", lambda x: x["last_edge"] >= 0), lambda x: x["last_edge"]).alias("edges"))
 
 
-def route_by_frontier(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """RESULT of every request by frontier rounds, all at once. ``visited`` is the count of nodes that Dijkstra would settle."""
+def route_by_frontier(requests: DataFrame, nodes: DataFrame, edges: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """RESULT of every request by goal-directed rounds of joins (``frontier``), all at once, both algorithms as asked.
+
+    ``table`` is a ``landmark_table`` made before; it is made here if pairs need one.
+
+    ``visited`` of Dijkstra is the count of nodes that it would settle; bidirectional A* counts the nodes released on
+    either side, a node again if its label improved later.
+    """
     known = nodes.select(F.col("node_id").alias("n"))
-    r = requests.select(F.col("request_id").cast("long"), F.col("from_node").cast("int"), F.col("to_node").cast("int"))
+    r = requests.select(F.col("request_id").cast("long"), F.col("from_node").cast("int"), F.col("to_node").cast("int"), F.coalesce(F.col("algorithm") == "bidirectional-a-star", F.lit(False)).alias("two"))
     r = r.join(known.select(F.col("n").alias("from_node"), F.lit(True).alias("has_from")), "from_node", "left")
-    r = materialize(r.join(known.select(F.col("n").alias("to_node"), F.lit(True).alias("has_to")), "to_node", "left"), "requests")
-    ok = r.where("has_from and has_to")
-    reach = frontier_distances(ok.select(F.col("from_node").alias("source")), edges)
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("distance", "node_id"))
-    ranked = materialize(reach.withColumn("rank", rank), "ranked")
-    sizes = ranked.groupBy("source").agg(F.max("rank").alias("all")).withColumnRenamed("source", "from_node")
-    end = ok.join(ranked, (F.col("source") == F.col("from_node")) & (F.col("node_id") == F.col("to_node")))
-    end = materialize(end.select("request_id", "source", "node_id", "distance", "rank"), "ends")
-    walk = trails(end, ranked)
+    r = r.join(known.select(F.col("n").alias("to_node"), F.lit(True).alias("has_to")), "to_node", "left")
+    # A tree is numbered by its source, a pair by both nodes.
+    unit = F.when(F.col("two"), (F.col("from_node") + F.lit(1)).cast("long") * F.lit(1 << 31) + F.col("to_node")).otherwise(F.col("from_node").cast("long"))
+    r = materialize(r.withColumn("unit", unit), "requests")
+    ok = r.where("has_from and has_to and from_node <> to_node")
+    units = ok.select("unit", F.col("from_node").alias("s"), F.when(F.col("two"), F.col("to_node")).alias("t")).distinct()
+    marks = None
+    if ok.where("two").limit(1).count():
+        marks = materialize(frontier.landmark_columns(nodes, table if table is not None else landmark_table(nodes, edges, 0)), "marks")
+    mean = edges.agg(F.avg("cost")).first()[0] or 0.0
+    labels, came = frontier.grow(units, ok.where("not two").select("unit", F.col("to_node").alias("node")).distinct(), edges, marks, 4.0 * mean + 1e-9)
+    # Trees: the target's own label. Pairs: the node where the two sides meet for least.
+    single = ok.where("not two").select("request_id", "unit", F.col("to_node").alias("node")).join(labels.where("f is not null"), ["unit", "node"])
+    meets = labels.where("f is not null and b is not null").groupBy("unit").agg(F.min(F.struct((F.col("f.g") + F.col("b.g")).alias("g"), "node")).alias("m"))
+    pair = ok.where("two").select("request_id", "unit").join(meets, "unit")
+    ends = single.select("request_id", "unit", "node", F.col("f.g").alias("cost")).unionByName(pair.select("request_id", "unit", F.col("m.node").alias("node"), F.col("m.g").alias("cost")))
+    same = r.where("has_from and has_to and from_node = to_node").select("request_id", F.array("from_node").alias("nodes"), F.array().cast("array<int>").alias("edges"), F.lit(0.0).alias("cost"))
+    ends = materialize(ends, "ends")
+    reach = lambda c: labels.where(f"{c} is not null").select(F.col("unit").alias("source"), F.col("node").alias("node_id"), F.col(f"{c}.edge").alias("last_edge"), F.col(f"{c}.before").alias("before"))
+    asked = ends.select("request_id", F.col("unit").alias("source"), F.col("node").alias("node_id"))
+    walk = trails(asked, reach("f"))
+    if marks is not None:
+        back = trails(asked.join(pair.select("request_id"), "request_id", "left_semi"), reach("b")).withColumnsRenamed({"nodes": "n2", "edges": "e2"})
+        walk = walk.join(back, "request_id", "left").select(
+            "request_id",
+            F.when(F.col("n2").isNull(), F.col("nodes")).otherwise(F.concat("nodes", F.slice(F.reverse("n2"), F.lit(2), F.size("n2")))).alias("nodes"),
+            F.when(F.col("e2").isNull(), F.col("edges")).otherwise(F.concat("edges", F.reverse("e2"))).alias("edges"),
+        )
+    walk = materialize(walk.join(ends.select("request_id", "cost"), "request_id").unionByName(same), "walks")
     nm = path_length(walk.select(F.col("request_id").alias("path_id"), F.col("nodes").alias("path_nodes")), nodes).select(F.col("path_id").alias("request_id"), "distance_nm")
-    done = walk.join(nm, "request_id").join(end.select("request_id", "distance", "rank"), "request_id")
-    out = r.join(done, "request_id", "left").join(sizes, "from_node", "left")
+    place = frontier.ranks(single, labels).withColumnRenamed("node", "to_node")
+    sizes = labels.where("f is not null").groupBy("unit").agg(F.count("*").cast("int").alias("all"))
+    out = r.join(walk.join(nm, "request_id"), "request_id", "left").join(place, ["unit", "to_node"], "left").join(sizes, "unit", "left").join(came.select("unit", "released_f", "released_b"), "unit", "left")
     bad = F.col("has_from").isNull() | F.col("has_to").isNull()
-    status = F.when(bad, "InvalidNode").when(F.col("nodes").isNull(), "NoPath").otherwise("Success")
-    why = F.when(F.col("has_from").isNull(), "from node is not in the network").when(bad, "to node is not in the network").when(F.col("nodes").isNull(), "no path between the nodes")
-    seen = F.when(bad | (F.col("from_node") == F.col("to_node")), 0).otherwise(F.coalesce("rank", "all"))
-    none = F.lit(None).cast("int")
-    return out.select("request_id", status.alias("status"), why.alias("failure_reason"), F.col("nodes").alias("path_nodes"), F.col("edges").alias("path_edges"), F.col("distance").alias("total_cost"), F.col("distance_nm").alias("total_distance_nm"), seen.cast("int").alias("visited"), none.alias("fwd_visited"), none.alias("rev_visited"))
+    lost = F.col("nodes").isNull()
+    status = F.when(bad, "InvalidNode").when(lost, "NoPath").otherwise("Success")
+    why = F.when(F.col("has_from").isNull(), "from node is not in the network").when(bad, "to node is not in the network").when(lost, "no path between the nodes")
+    counted = F.col("two") & ~bad & ~lost & (F.col("from_node") != F.col("to_node"))
+    side = lambda c: F.when(counted, F.col(c).cast("int")).alias
+    seen = F.when(bad | (F.col("from_node") == F.col("to_node")) | (F.col("two") & lost), 0).when(F.col("two"), F.col("released_f") + F.col("released_b")).otherwise(F.coalesce("rank", "all"))
+    return out.select(
+        "request_id", status.alias("status"), why.alias("failure_reason"), F.col("nodes").alias("path_nodes"), F.col("edges").alias("path_edges"), F.col("cost").alias("total_cost"),
+        F.col("distance_nm").alias("total_distance_nm"), seen.cast("int").alias("visited"), side("released_f")("fwd_visited"), side("released_b")("rev_visited"),
+    )
 
 
 def path_length(paths: DataFrame, nodes: DataFrame) -> DataFrame:

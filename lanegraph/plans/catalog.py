@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanegraph.functions import geo
-from lanegraph.operators import geometry, hints, network, ports, raster, search, snap
+from lanegraph.operators import geometry, hints, network, ports, raster, search, snap, tiles
 from lanegraph.plans.derived import MASK, SNAP_RADIUS_NM, Derived, with_ctes
 from lanegraph.plans.service import RouteService, average, p95, rollup
 from lanegraph.sources import json_files
@@ -337,6 +337,13 @@ def segment_land_safe(d: Derived) -> DataFrame:
     return raster.segments_safe(ends, mask_of(d))
 
 
+@query(with_ctes("ends", _WALK, recursive=True))
+def segment_land_safe_tiled(d: Derived) -> DataFrame:
+    """The same without a broadcast mask: tile rows of 16 cells, met in a join."""
+    ends = network.with_ends(d.edges, d.nodes).select(F.col("edge_id").alias("segment_id"), F.col("src_lon").alias("lon1"), F.col("src_lat").alias("lat1"), F.col("dst_lon").alias("lon2"), F.col("dst_lat").alias("lat2"))
+    return tiles.segments_safe_tiled(ends, MASK, tiles.rows_of_cells(d.mask_cells, 16), 16)
+
+
 @query(with_ctes("portals ends", """SELECT p.edge_id, round((dst_lon - src_lon) * (ay - src_lat) - (dst_lat - src_lat) * (ax - src_lon), 6) AS area, abs(ax - bx) <= 1e-12 AND abs(ay - "by") <= 1e-12 AS same FROM portals p JOIN ends e USING (edge_id)"""))
 def orientation(d: Derived) -> DataFrame:
     both = d.portals.join(network.with_ends(d.edges, d.nodes), "edge_id")

@@ -13,7 +13,7 @@ import hashlib
 import re
 import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,12 +88,17 @@ def graph_layout(head: bytes, size: int) -> dict:
     return {"nodes": n, "edges": e, "resolution": resolution, "offset": dict(zip(ARRAYS, offsets)), "count": counts}
 
 
+def open_file(path: str) -> pa.NativeFile:
+    """A file that is read by ranges: a local path, or any URI that ``pyarrow.fs`` knows."""
+    fs, place = pafs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:", path) else (pafs.LocalFileSystem(), path)
+    return fs.open_input_file(place)
+
+
 class Slices:
     """An open graph file whose arrays are read by ranges."""
 
     def __init__(self, path: str):
-        fs, place = pafs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:", path) else (pafs.LocalFileSystem(), path)
-        self.file = fs.open_input_file(place)
+        self.file = open_file(path)
         self.size = self.file.size()
         self.layout = graph_layout(self.file.read_at(min(self.size, GRAPH_HEADER_BYTES), 0), self.size)
 
@@ -342,6 +347,73 @@ def read_mask_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return spark.createDataFrame([tuple(meta[k] for k in names)], schemas.MASK_META), spark.createDataFrame(tiles, schemas.MASK_TILES)
 
 
+class MaskFile:
+    """An open mask file whose tiles are read by ranges. Version 1, one bit array, is cut into bands of rows that end at whole bytes."""
+
+    def __init__(self, path: str, band_bytes: int = 1 << 20):
+        self.file = open_file(path)
+        self.size = self.file.size()
+        head = self.file.read_at(min(self.size, 128), 0)
+        _need(head[:8] == MASK_MAGIC, "not a land mask")
+        fixed = "<III5dI"
+        version, w, h, pixel, min_x, min_y, max_x, max_y, dilation = _unpack(fixed, head, 8)
+        at = 8 + struct.calcsize(fixed)
+        _need(w > 0 and h > 0 and pixel > 0, "mask sizes must be positive")
+        _need(version in (1, 2, 3), f"mask version {version} is unknown")
+        codec = 0
+        if version == 1:
+            rows = max(8, band_bytes * 8 // w // 8 * 8)
+            tw, th, cols, down = w, min(rows, h), 1, -(-h // min(rows, h))
+        else:
+            tw, th, cols, down = _unpack("<IIII", head, at)
+            at += 16
+            _need(tw > 0 and th > 0 and cols == -(-w // tw) and down == -(-h // th), "mask tiles do not cover the mask")
+            if version == 3:
+                (codec,) = _unpack("<I", head, at)
+                at += 4
+        _need(codec in (0, 1), "mask codec is unknown")
+        (bits,) = _unpack("<Q", head, at)
+        _need(bits == w * h and (version > 1 or self.size == at + 8 + -(-bits // 8)), "mask bits have the wrong length")
+        self.version, self.directory = version, at + 8
+        self.entry = {1: "", 2: "<QII", 3: "<QIII"}[version]
+        box = {"min_x": min_x, "min_y": min_y, "max_x": max_x, "max_y": max_y}
+        self.meta = {"width": w, "height": h, "pixel_size_m": pixel, **box, "dilation_pixels": dilation, "tile_w": tw, "tile_h": th, "tile_cols": cols, "tile_rows": down, "codec": codec}
+
+    def tiles(self, lo: int, hi: int) -> Iterator[tuple[int, int, bytes]]:
+        """(tile_index, land_pixel_count, payload as stored) of a range of tiles."""
+        if self.version == 1:
+            w, h, band = self.meta["width"], self.meta["height"], self.meta["tile_h"]
+            for i in range(lo, hi):
+                cells = w * min(band, h - i * band)
+                data = self.file.read_at(-(-cells // 8), self.directory + i * band * w // 8)
+                yield i, int(np.unpackbits(np.frombuffer(data, np.uint8))[:cells].sum()), data
+            return
+        size = struct.calcsize(self.entry)
+        listed = self.file.read_at(size * (hi - lo), self.directory + size * lo)
+        for i in range(lo, hi):
+            offset, length, *rest = _unpack(self.entry, listed, size * (i - lo))
+            _need(offset + length <= self.size, "a mask tile lies outside the file")
+            data = self.file.read_at(length, offset)
+            if self.version == 3 and length and rest[0]:
+                _need(len(zlib.decompress(data) if self.meta["codec"] == 1 else data) == rest[0], "a mask tile has the wrong length")
+            yield i, rest[-1], data
+
+
+def read_mask_tiles(spark: SparkSession, path: str, slices: int | None = None, band_bytes: int = 1 << 20) -> tuple[dict, DataFrame]:
+    """Header fields, and the tiles, read by ranges in ``slices`` tasks; the driver reads the header alone. Bands of version 1 have about ``band_bytes``."""
+    meta = MaskFile(path, band_bytes).meta
+    n = meta["tile_cols"] * meta["tile_rows"]
+    k = max(1, min(slices or spread(spark), n))
+
+    def run(batches):
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                for tile in MaskFile(path, band_bytes).tiles(n * i // k, n * (i + 1) // k):
+                    yield pa.RecordBatch.from_arrays([pa.array([tile[0]], pa.int32()), pa.array([tile[1]], pa.int32()), pa.array([tile[2]], pa.binary())], names=["tile_index", "land_pixel_count", "payload"])
+
+    return meta, spark.range(0, k, 1, k).mapInArrow(run, schemas.MASK_TILES)
+
+
 def land_cells(tiles: DataFrame, meta: dict) -> DataFrame:
     """(row, col) of every land cell, decoded tile by tile on the executors."""
 
