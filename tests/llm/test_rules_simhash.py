@@ -278,3 +278,74 @@ def test_long_chain_components(spark):
     edges = spark.createDataFrame([(i, i - 1) for i in range(1, 40)] + [(100, 50)], "u long, v long")
     got = {u: v for u, v in sh.components(edges).collect()}
     assert got == {i: 0 for i in range(1, 40)} | {100: 50}
+
+
+def templated(r, similarity, texts, pairs, start):
+    """Texts of one template whose shingle sets are all ``similarity`` alike, and pairs among them planted at 0.8 to 0.95."""
+    size = 160
+    share = 2 * similarity / (1 + similarity)
+    word = lambda: f"v{r.randrange(10**6)}"
+    head = [word() for _ in range(round(share * size) + 4)]
+    rows, planted = [], []
+    for k in range(texts):
+        own = [word() for _ in range(size - len(head) + 4)]
+        rows.append((start + 2 * k, head + own))
+        if k < pairs:
+            alike = r.uniform(max(0.805, similarity + 0.01), 0.95)
+            same = round(2 * alike / (1 + alike) * size) + 5
+            rows.append((start + 2 * k + 1, (head + own)[:same] + [word() for _ in range(size + 4 - same)]))
+            planted.append((start + 2 * k, start + 2 * k + 1))
+    return [(d, " ".join(w)) for d, w in rows], planted
+
+
+def test_near_copies_within_crowds_of_one_template(spark):
+    """Crowds that are less alike than near copies are, from three templates at once: the pairs in them are found, and nothing else is joined."""
+    r = random.Random(21)
+    rows, planted = [], []
+    for i, similarity in enumerate((0.65, 0.75, 0.79)):
+        a, b = templated(r, similarity, 250, 50, 10_000 * i)
+        rows, planted = rows + a, planted + b
+    r.shuffle(rows)
+    want = dict(zip([d for d, _ in rows], brute_near(rows)))
+    assert all(want[a] == want[b] for a, b in planted)
+    got = {g["doc_id"]: g["component_id"] for g in sh.near_documents(frame(spark, [(d, t, "en", "s", 0) for d, t in rows])).collect()}
+    found = sum(got[a] == got[b] for a, b in planted)
+    assert found >= 0.98 * len(planted), found
+    assert sum(got[d] != want[d] for d in got) <= 2 * (len(planted) - found)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_of_crowds_connect_what_all_pairs_do(spark, seed):
+    """Sets that share tiers of common shingles and differ in length, with a limit of two a shingle: components as by all pairs."""
+    r = random.Random(seed)
+    sets = []
+    for i in range(90):
+        tiers = [range(40)] + [range(1000 * (1 + t), 1000 * (1 + t) + 12) for t in range(3) if r.random() < 0.4]
+        own = [10**6 + 100 * i + j for j in range(r.choice([0, 0, 1, 4, 9, 14]))]
+        sets.append((i.to_bytes(2), i, sorted({x for t in tiers for x in t if r.random() < 0.995} | set(own))))
+    find = list(range(90))
+
+    def root(x):
+        while find[x] != x:
+            x = find[x]
+        return x
+
+    for i in range(90):
+        for j in range(i):
+            a, b = set(sets[i][2]), set(sets[j][2])
+            if len(a & b) >= 0.8 * len(a | b) - 1e-9:
+                find[root(i)] = root(j)
+    links = sh.crowd_links(spark.createDataFrame(sets, "seq binary, node long, shingles array<long>"), 0.8, 2).collect()
+    for u, v in links:
+        a, b = (set(sets[int.from_bytes(x)][2]) for x in (u, v))
+        assert len(a & b) >= 0.8 * len(a | b) - 1e-9
+    made = list(range(90))
+
+    def top(x):
+        while made[x] != x:
+            x = made[x]
+        return x
+
+    for u, v in links:
+        made[top(int.from_bytes(u))] = top(int.from_bytes(v))
+    assert len({(root(i), top(i)) for i in range(90)}) == len({root(i) for i in range(90)}) == len({top(i) for i in range(90)}) > 1
