@@ -153,7 +153,7 @@ def links(points: DataFrame, cell_limit: int = CELL) -> DataFrame:
     """``points``: node, fp, with distinct fp. Links (u, v), u > v, that connect the same nodes as all pairs within two bits."""
     keyed = points.select("node", "fp", F.explode(_cells(embedding(F.col("fp")))).alias("c")).select("node", "fp", "c.*")
     sizes = keyed.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(keyed.join(sizes, ["grid", "cell"]), "cells")
+    shared = materialize(join_skewed(keyed, sizes, ["grid", "cell"], 15 * points.count()), "cells")
     compared = (
         shared.where(F.col("n") <= cell_limit)
         .groupBy("grid", "cell")
@@ -209,12 +209,12 @@ def components(edges: DataFrame, tag: str = "stars") -> DataFrame:
 def group_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, fp and component_id (smallest key that can be reached over links) of every row."""
     prints = materialize(fingerprints(docs, text, key), "prints")
-    nodes = prints.groupBy("fp").agg(F.min(key).alias("node"))
+    nodes = prints.groupBy("fp").agg(F.min(key).alias("node"), F.count("*").alias("n"))
     nodes = materialize(nodes, "nodes")
     # One id on several texts would be one node with several fingerprints; such a node joins their components.
-    stars = components(links(nodes.where("node is not null")).unionByName(_same_key(prints, nodes, key)))
-    of = nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("least")), "node", "left").select("fp", F.coalesce("least", "node").alias("component_id"))
-    return prints.join(of, "fp", "left")
+    stars = components(links(nodes.where("node is not null").drop("n")).unionByName(_same_key(prints, nodes, key)))
+    of = nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("least")), "node", "left").select("fp", "n", F.coalesce("least", "node").alias("component_id"))
+    return join_skewed(prints, of, ["fp"], prints.count()).drop("n")
 
 
 def _same_key(prints: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
