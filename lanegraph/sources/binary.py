@@ -97,8 +97,8 @@ def open_file(path: str) -> pa.NativeFile:
 class Slices:
     """An open graph file whose arrays are read by ranges."""
 
-    def __init__(self, path: str):
-        self.file = open_file(path)
+    def __init__(self, path: str, file=None):
+        self.file = file or open_file(path)
         self.size = self.file.size()
         self.layout = graph_layout(self.file.read_at(min(self.size, GRAPH_HEADER_BYTES), 0), self.size)
 
