@@ -100,13 +100,6 @@ def path_edges(paths: DataFrame, first: DataFrame) -> DataFrame:
     return path_legs(paths).join(first, ["src", "dst"], "left")
 
 
-def point_runs(points: DataFrame, by: str = "track_id", order: list[str] | None = None) -> DataFrame:
-    """Rows (track, order, lon, lat) with ``run``: the number of longitude jumps so far."""
-    w = Window.partitionBy(by).orderBy(*(order or ["seq"]))
-    jump = F.coalesce((F.abs(F.col("lon") - F.lag("lon").over(w)) > ANTIMERIDIAN_DEGREES).cast("int"), F.lit(0))
-    return points.withColumn("jump", jump).withColumn("run", F.sum("jump").over(w)).drop("jump")
-
-
 def mode_used(requested: Column, has_mask: Column, has_portals: Column) -> Column:
     """The mode that the requested one comes down to with what is loaded."""
     return F.when((requested == "raw") | ~has_mask, "raw").when((requested == "shortcut") | ~has_portals, "shortcut").otherwise("funnel")

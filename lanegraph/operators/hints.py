@@ -1,4 +1,4 @@
-"""Corridor hints as tables: selection by code, windows on paths by relational division, choice without overlap."""
+"""Corridor hints as tables: selection by code, windows on paths by the hashes of runs of edges, choice without overlap."""
 
 from __future__ import annotations
 
@@ -32,23 +32,77 @@ def route_windows(hints: DataFrame) -> DataFrame:
 
 
 def _steps(hints: DataFrame) -> DataFrame:
-    """corridor_id, n, backwards, step, src, dst: each hint's edges forwards, and backwards."""
-    base = hints.select("corridor_id", F.size("spans").alias("n"), "flags", F.posexplode("spans").alias("step", "s"))
-    ahead = base.select("corridor_id", "n", "flags", F.lit(False).alias("backwards"), "step", F.col("s.src").alias("src"), F.col("s.dst").alias("dst"))
-    back = base.select("corridor_id", "n", "flags", F.lit(True).alias("backwards"), (F.col("n") - 1 - F.col("step")).alias("step"), F.col("s.dst").alias("src"), F.col("s.src").alias("dst"))
+    """hint, corridor_id, n, flags, backwards, pos, src, dst: each hint's edges forwards, and backwards. Equal rows are one hint."""
+    rows = hints.select("corridor_id", "flags", "spans").distinct().withColumn("hint", F.xxhash64("corridor_id", "flags", "spans"))
+    base = rows.select("hint", "corridor_id", F.size("spans").alias("n"), "flags", F.posexplode("spans").alias("step", "s"))
+    ahead = base.select("hint", "corridor_id", "n", "flags", F.lit(False).alias("backwards"), F.col("step").alias("pos"), F.col("s.src").alias("src"), F.col("s.dst").alias("dst"))
+    back = base.select("hint", "corridor_id", "n", "flags", F.lit(True).alias("backwards"), (F.col("n") - 1 - F.col("step")).alias("pos"), F.col("s.dst").alias("src"), F.col("s.src").alias("dst"))
     return ahead.unionByName(back)
 
 
+def run_hashes(steps: DataFrame, by: list[str], lengths: list[int]) -> DataFrame:
+    """The steps (by, pos, src, dst) with ``run_n`` for each length n: a hash of the n edges from here on, null where they do not follow each other.
+
+    By doubling: n edges are the first and the last ceil(n / 2) of them, so a length costs one column, and all lengths take
+    as many passes along a path as the longest can be halved.
+    """
+    depth = {1: 0}
+
+    def need(n: int) -> int:
+        if n not in depth:
+            depth[n] = need((n + 1) // 2) + 1
+        return depth[n]
+
+    for n in lengths:
+        need(n)
+    along = Window.partitionBy(*by).orderBy("pos")
+    found = steps.withColumn("run_1", F.xxhash64("src", "dst"))
+    for level in range(1, max(depth.values()) + 1):
+        made = {}
+        for n in (n for n, k in depth.items() if k == level):
+            half = (n + 1) // 2
+            rest = F.lead(f"run_{half}", n - half).over(along)
+            whole = F.col(f"run_{half}").isNotNull() & rest.isNotNull() & (F.lead("pos", n - half).over(along) == F.col("pos") + (n - half))
+            made[f"run_{n}"] = F.when(whole, F.xxhash64(f"run_{half}", rest))
+        found = found.withColumns(made)
+    return found
+
+
+def _at_lengths(steps: DataFrame, by: list[str], lengths: list[int], keep: list[str]) -> DataFrame:
+    """(keep, pos, n, run) of every run of one of the lengths."""
+    hashed = run_hashes(steps, by, lengths)
+    runs = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"run_{n}").alias("run")) for n in lengths])
+    return hashed.select(*keep, "pos", F.explode(F.filter(runs, lambda r: r["run"].isNotNull())).alias("r")).select(*keep, "pos", "r.n", "r.run")
+
+
+def run_candidates(legs: DataFrame, steps: DataFrame) -> DataFrame:
+    """path_id, hint, corridor_id, flags, backwards, start, n where the hash of a hint's whole run meets that of a run on a path."""
+    lengths = sorted(r["n"] for r in steps.select("n").distinct().collect())  # no more than the longest hint has edges
+    if not lengths:
+        return steps.select(F.lit(None).cast("long").alias("path_id"), "hint", "corridor_id", "flags", "backwards", F.col("pos").alias("start"), "n").limit(0)
+    own = ["hint", "corridor_id", "flags", "backwards"]
+    wanted = _at_lengths(steps.withColumnRenamed("n", "size"), ["hint", "backwards"], lengths, [*own, "size"]).where("pos = 0 and n = size")
+    on_paths = _at_lengths(legs.select("path_id", "pos", "src", "dst"), ["path_id"], lengths, ["path_id"])
+    return on_paths.withColumnRenamed("pos", "start").join(wanted.select(*own, "n", "run"), ["n", "run"]).select("path_id", *own, "start", "n")
+
+
 def _matches(legs: DataFrame, hints: DataFrame) -> DataFrame:
-    """path_id, corridor_id, backwards, start, n where all of a hint's edges follow each other on a path (path_id, pos, src, dst)."""
-    hit = legs.join(_steps(hints), ["src", "dst"]).withColumn("start", F.col("pos") - F.col("step"))
-    return hit.groupBy("path_id", "corridor_id", "backwards", "start").agg(F.count("*").alias("hits"), F.first("n").alias("n"), F.first("flags").alias("flags")).where("hits = n")
+    """path_id, corridor_id, backwards, start, n, flags where all of a hint's edges follow each other on a path (path_id, pos, src, dst).
+
+    Candidates meet by the hash of their whole run, never edge by edge, and are then compared step by step.
+    """
+    steps = _steps(hints)
+    found = materialize(run_candidates(legs, steps), "run_candidates")
+    each = found.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("step"))
+    each = each.join(steps.select("hint", "backwards", F.col("pos").alias("step"), "src", "dst"), ["hint", "backwards", "step"])
+    met = each.withColumn("pos", F.col("start") + F.col("step")).join(legs.select("path_id", "pos", "src", "dst"), ["path_id", "pos", "src", "dst"])
+    return met.groupBy("path_id", "hint", "corridor_id", "backwards", "start", "n", "flags").agg(F.count("*").alias("hits")).where("hits = n")
 
 
 def generic_windows(legs: DataFrame, hints: DataFrame) -> DataFrame:
     """path_id, corridor_id, start, end, backwards: every offset; backwards only if the hint allows it and does not match forwards there."""
     found = _matches(legs, usable_windows(hints)).where(~F.col("backwards") | is_bidirectional(F.col("flags")))
-    once = found.groupBy("path_id", "corridor_id", "start").agg(F.min("backwards").alias("backwards"), F.first("n").alias("n"))
+    once = found.groupBy("path_id", "corridor_id", "start", "n").agg(F.min("backwards").alias("backwards"))
     return once.select("path_id", "corridor_id", "start", (F.col("start") + F.col("n")).alias("end"), "backwards")
 
 

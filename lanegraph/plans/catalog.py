@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanegraph.functions import geo
-from lanegraph.operators import geometry, hints, network, ports, raster, search, snap, tiles
+from lanegraph.operators import geometry, hints, network, ports, raster, scans, search, snap, tiles
 from lanegraph.plans.derived import MASK, SNAP_RADIUS_NM, Derived, with_ctes
 from lanegraph.plans.service import RouteService, average, p95, rollup
 from lanegraph.sources import json_files
@@ -545,12 +545,12 @@ _RUNS = "+lagged AS (SELECT *, CASE WHEN abs(lon - lag(lon) OVER w) > 180 THEN 1
 
 @query(with_ctes("tracks", _RUNS + " SELECT event_id, run FROM runs"))
 def antimeridian_split(d: Derived) -> DataFrame:
-    return geometry.point_runs(d.tracks, order=["ts", "event_id"]).select("event_id", "run")
+    return scans.track_runs(d.tracks, order=["ts", "event_id"]).select("event_id", "run")
 
 
 @query(with_ctes("tracks", _RUNS + " SELECT track_id, run, count(*) AS n_points FROM runs GROUP BY track_id, run"))
 def run_detection(d: Derived) -> DataFrame:
-    return geometry.point_runs(d.tracks, order=["ts", "event_id"]).groupBy("track_id", "run").agg(F.count("*").alias("n_points"))
+    return scans.track_runs(d.tracks, order=["ts", "event_id"]).groupBy("track_id", "run").agg(F.count("*").alias("n_points"))
 
 
 def _track_points(d: Derived) -> DataFrame:
@@ -713,6 +713,12 @@ def latency_p95(d: Derived) -> DataFrame:
     return d.table("events").groupBy("event_type").agg(p95("value").alias("p95"))
 
 
+@query(ORACLE["latency_p95"])
+def latency_p95_ranked(d: Derived) -> DataFrame:
+    """The same without a buffer of a group's values: one place in the order of all values is read off."""
+    return scans.nearest_rank(d.table("events"), ["event_type"], "value", 0.95, "p95")
+
+
 @query("""SELECT name, count(*) AS iterations, count(*) FILTER (success) AS success_count, count(*) FILTER (NOT success) AS failure_count, round(coalesce(avg(v) FILTER (success), 0.0), 6) AS avg_total_ms,
  coalesce(quantile_disc(CASE WHEN success THEN v END, 0.95), 0.0) AS p95_total_ms, arg_max(v, CASE WHEN success THEN i END) AS last_distance_nm FROM (SELECT event_type AS name, event_id AS i, value AS v, event_id % 4 <> 0 AS success FROM events) GROUP BY name""")
 def benchmark_rollup(d: Derived) -> DataFrame:
