@@ -24,6 +24,8 @@ from lanegraph.operators.network import landmarks, min_cost_rate
 from lanegraph.shared import materialize, remove_table, spread
 
 MAX_BROADCAST_EDGES = 20_000_000
+#: Of a bare request; the service has a default of its own.
+DEFAULT_ALGORITHM = "dijkstra"
 INF = float("inf")
 
 
@@ -293,7 +295,9 @@ def load_network(nodes: DataFrame, edges: DataFrame, with_landmarks: bool = Fals
 
 
 def route_requests(requests: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = MAX_BROADCAST_EDGES, csr: Csr | None = None) -> DataFrame:
-    """RESULT of every request (request_id, from_node, to_node, algorithm)."""
+    """RESULT of every request (request_id, from_node, to_node, and perhaps algorithm: ``DEFAULT_ALGORITHM`` where it is missing or null)."""
+    asked = F.col("algorithm") if "algorithm" in requests.columns else F.lit(None).cast("string")
+    requests = requests.withColumn("algorithm", F.coalesce(asked, F.lit(DEFAULT_ALGORITHM)))
     if csr is None and not fits(edges, limit):
         return route_by_frontier(requests, nodes, edges)
     if csr is None:

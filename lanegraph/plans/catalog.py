@@ -761,6 +761,32 @@ def route_by_coordinate(d: Derived) -> DataFrame:
     return service(d).route_by_coordinate(requests).select("request_id", "success", "error_code", "total_cost", "node_count", "mode_used", "geometry")
 
 
+_ENDED = "CASE WHEN n.s IS NULL OR t IS NULL THEN '{}' WHEN d IS NULL THEN 'NOPATH' END AS error_code, CASE WHEN t IS NOT NULL THEN d END AS total_cost FROM n LEFT JOIN best ON best.s = n.s AND best.node = n.t"
+_ROOTS = "SELECT DISTINCT s FROM n WHERE s IS NOT NULL AND t IS NOT NULL"
+
+
+@query(with_ctes("nodes edges ports", f"""+{_VALID}, {_HEXED}, placed AS (SELECT upper(locode) AS u, h.node_id FROM valid JOIN hexed h ON h.hx = {_CELL}),
+ n AS (SELECT p.locode AS from_locode, o.code AS to_locode, a.node_id AS s, b.node_id AS t FROM ports p CROSS JOIN (VALUES ('N0001'), ('N0006'), ('N0099')) o(code) LEFT JOIN placed a ON a.u = upper(p.locode) LEFT JOIN placed b ON b.u = o.code),
+ {_sssp('src', 'dst', _ROOTS)}, {_COSTS} SELECT from_locode, to_locode, d IS NOT NULL AS success, {_ENDED.format('PORT_NOT_FOUND')}""", recursive=True))
+def route_ports_cost(d: Derived) -> DataFrame:
+    """What routes between ports come to: found or why not, and the least cost."""
+    asked = d.ports.select("locode").crossJoin(F.broadcast(d.spark.createDataFrame([("N0001",), ("N0006",), ("N0099",)], "other string")))  # three rows
+    requests = asked.select(F.xxhash64("locode", "other").alias("request_id"), F.col("locode").alias("from_locode"), F.col("other").alias("to_locode"))
+    return service(d).route_by_locode(requests).join(requests, "request_id").select("from_locode", "to_locode", "success", "error_code", "total_cost")
+
+
+_NEAREST = "SELECT query_id, node_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY component_id < 0, distance_nm, node_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance_nm, node_id) AS k FROM {}) WHERE k <= 5) WHERE n = 1"
+
+
+@query(with_ctes("hit edges", f"""+far AS (SELECT query_id, node_id, component_id, distance_nm FROM (SELECT q.query_id, n.node_id, n.component_id, HAVERSINE(q.lat, q.lon, n.lat, n.lon) AS distance_nm FROM (SELECT query_id, -lat AS lat, -lon AS lon FROM queries) q, nodes n) WHERE distance_nm <= 1500.0),
+ a AS ({_NEAREST.format('hit')}), b AS ({_NEAREST.format('far')}), n AS (SELECT q.query_id AS request_id, a.node_id AS s, b.node_id AS t FROM queries q LEFT JOIN a USING (query_id) LEFT JOIN b USING (query_id)),
+ {_sssp('src', 'dst', _ROOTS)}, {_COSTS} SELECT request_id, d IS NOT NULL AS success, {_ENDED.format('SNAP_FAILED')}""", recursive=True))
+def route_points_cost(d: Derived) -> DataFrame:
+    """The same between snapped points."""
+    requests = d.queries.select(F.col("query_id").alias("request_id"), F.col("lat").alias("from_lat"), F.col("lon").alias("from_lon"), (-F.col("lat")).alias("to_lat"), (-F.col("lon")).alias("to_lon"))
+    return service(d).route_by_coordinate(requests).select("request_id", "success", "error_code", "total_cost")
+
+
 @query()
 def runtime_profile(d: Derived) -> DataFrame:
     return service(d).profile()

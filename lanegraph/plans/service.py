@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import resource
 import time
 from dataclasses import dataclass
 from functools import cached_property
@@ -26,6 +27,15 @@ PRESETS = [
 RESPONSE = ["request_id", "success", "error_code", "error_message", "total_distance_nm", "total_cost", "node_count", "geometry", "raw_geometry", "mode_requested", "mode_used", "diagnostics"]
 
 
+#: Loading phases: reading the artifacts, and making the network and the gates of geometry from them.
+PHASES = ("graph", "ports", "portals", "hints", "mask", "network", "geometry")
+
+
+def _working_set() -> int:
+    """The largest resident size of the driver's Python process so far."""
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
+
+
 @dataclass
 class RouteService:
     """Loaded network and side tables. Without mask, portals or hints the geometry modes step down as documented in ``geometry.mode_used``."""
@@ -156,11 +166,13 @@ class RouteService:
         return one.select(F.when(up, "ok").otherwise("unavailable").alias("status"), F.when(up, "network is loaded").otherwise("network is empty").alias("message"), "node_count", "edge_count", "port_count")
 
     def profile(self) -> DataFrame:
-        """Times of the loading phases so far, with the counts of ``stats``."""
+        """Times of the loading phases so far, each artifact's own if they were read by ``bundle.load_bundle``, the driver's memory, and the counts of ``stats``."""
         _ = self.csr, self.gates
         stats = self.stats()
-        times = [F.lit(round(self.timings.get(n, 0.0), 3)).alias(f"{n}_ms") for n in ("network", "geometry")]
-        return stats.select(F.lit(round(sum(self.timings.values()), 3)).alias("startup_ms"), *times, "node_count", "edge_count", "port_count", "component_count", F.lit(self.raster is not None).alias("smoothing"))
+        times = [F.lit(round(self.timings.get(n, 0.0), 3)).alias(f"{n}_ms") for n in PHASES]
+        runtime = self.nodes.sparkSession._jvm.java.lang.Runtime.getRuntime()
+        memory = [F.lit(runtime.totalMemory() - runtime.freeMemory()).cast("long").alias("heap_bytes"), F.lit(_working_set()).cast("long").alias("working_set_bytes")]
+        return stats.select(F.lit(round(sum(self.timings.values()), 3)).alias("startup_ms"), *times, *memory, "node_count", "edge_count", "port_count", "component_count", F.lit(self.raster is not None).alias("smoothing"))
 
     def benchmark_runs(self, pairs: DataFrame, iterations: int | None = None, default_iterations: int = 5) -> DataFrame:
         """One row per run of every pair (name, from_locode, to_locode): times of search and shaping measured in the workers, results, failures."""
