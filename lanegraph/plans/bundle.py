@@ -33,8 +33,8 @@ def _facts(spark: SparkSession, path: str) -> dict:
 def load_bundle(spark: SparkSession, bundle: Bundle, centers: DataFrame | None = None, implicit: DataFrame | None = None, **options) -> RouteService:
     """The loaded service; ``ArtifactError`` if the manifest and an artifact differ.
 
-    Tables are written once to the shared folder, so requests read them from there. ``centers`` and ``implicit`` are handed
-    on to the readers of nodes and portals, ``options`` to the service. ``RouteService.profile`` tells the times.
+    Tables are written once to the shared folder, so requests read them from there. Cell centres and implicit portals follow
+    from the cells unless ``centers`` or ``implicit`` are given; ``options`` go to the service. ``RouteService.profile`` tells the times.
     """
     took: dict[str, float] = {}
 
@@ -61,7 +61,7 @@ def load_bundle(spark: SparkSession, bundle: Bundle, centers: DataFrame | None =
     facts: dict[str, dict] = {}
     portals = hints = mask = None
     if bundle.smoothing and bundle.portals:
-        portals = timed("portals", lambda: materialize(binary.read_portals(spark, bundle.portals, layout["edges"], implicit), "portals"))
+        portals = timed("portals", lambda: materialize(binary.read_portals(spark, bundle.portals, layout["edges"], implicit if implicit is not None else binary.implicit_portals(edges, nodes)), "portals"))
         facts["edge_portals"] = {"edge_count": layout["edges"]}  # the reader has refused portals of another graph
     if bundle.smoothing and bundle.hints:
         hints = timed("hints", lambda: materialize(binary.read_hints(spark, bundle.hints), "hints"))

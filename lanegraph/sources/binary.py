@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanegraph import schemas
+from lanegraph.functions.hexagons import cell_centres, shared_edges
 from lanegraph.operators.raster import Raster
 from lanegraph.shared import spread
 
@@ -196,9 +197,10 @@ def _ranges(spark: SparkSession, path: str, slices: int | None) -> tuple[dict, D
 
 
 def read_nodes(spark: SparkSession, path: str, centers: DataFrame | None = None, sha256: str | None = None, slices: int | None = None) -> DataFrame:
-    """Nodes of a graph file, in ``slices`` tasks. Their coordinates come from ``centers`` (h3_int, lat, lon), the cell centres; without it they are null."""
+    """Nodes of a graph file, in ``slices`` tasks. Their coordinates are their cells' centres (null for a number that is no cell), or those of ``centers`` (h3_int, lat, lon)."""
     _hash_gate(spark, path, sha256)
     _, rows, nodes = _ranges(spark, path, slices)
+    own = centers is None
 
     def run(batches):
         for b in batches:
@@ -206,13 +208,13 @@ def read_nodes(spark: SparkSession, path: str, centers: DataFrame | None = None,
                 file, (lo, hi) = Slices(path), nodes(i)
                 for at in range(lo, hi, ROWS):
                     part = at, min(at + ROWS, hi)
-                    columns = [np.arange(*part, dtype=np.int32), file["h3", *part], file["component", *part], file["node_class", *part].astype(np.int16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node_id", "h3_int", "component_id", "node_class"])
+                    cells = file["h3", *part]
+                    place = [pa.array(c.astype(np.float32), mask=np.isnan(c)) for c in cell_centres(cells)] if own else []
+                    columns = [np.arange(*part, dtype=np.int32), cells, file["component", *part], file["node_class", *part].astype(np.int16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns] + place, names=["node_id", "h3_int", "component_id", "node_class", *["lat", "lon"][: len(place)]])
 
-    found = rows.mapInArrow(run, "node_id int, h3_int long, component_id int, node_class short")
-    if centers is None:
-        found = found.withColumns({"lat": F.lit(None).cast("float"), "lon": F.lit(None).cast("float")})
-    else:
+    found = rows.mapInArrow(run, "node_id int, h3_int long, component_id int, node_class short" + (", lat float, lon float" if own else ""))
+    if not own:
         found = found.join(centers.select("h3_int", F.col("lat").cast("float"), F.col("lon").cast("float")), "h3_int", "left")
     return found.select("node_id", "h3_int", "lat", "lon", "component_id", "node_class")
 
@@ -277,8 +279,23 @@ def encode_portals(has: np.ndarray, explicit: np.ndarray, index: np.ndarray, pay
     return head + a + b + np.asarray(index, "<u4").tobytes() + np.asarray(payload, "<f4").tobytes()
 
 
+def implicit_portals(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edge_id, ax, ay, bx, by: the side that the cells of an edge's two nodes share, for edges between neighbours. Both directions give the same."""
+    cell = nodes.select("node_id", F.col("h3_int"))
+    both = edges.select("edge_id", "src", "dst").join(cell.toDF("src", "a"), "src").join(cell.toDF("dst", "b"), "dst")
+
+    def run(batches):
+        for b in batches:
+            found = shared_edges(b.column(1).to_numpy(), b.column(2).to_numpy())
+            ok = np.flatnonzero(~np.isnan(found[:, 0]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), *(pa.array(found[ok, i]) for i in range(4))], names=["edge_id", "ax", "ay", "bx", "by"])
+
+    pairs = both.select(F.col("edge_id").cast("int"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.mapInArrow(run, "edge_id int, ax double, ay double, bx double, by double")
+
+
 def read_portals(spark: SparkSession, path: str, edge_count: int | None = None, implicit: DataFrame | None = None, sha256: str | None = None) -> DataFrame:
-    """Portals by edge. Implicit ones follow from cell boundaries, which ``implicit`` (edge_id, ax, ay, bx, by) must give; one that is missing fails the query."""
+    """Portals by edge. Implicit ones follow from cell boundaries, which ``implicit`` (edge_id, ax, ay, bx, by; see ``implicit_portals``) must give; one that is missing fails the query."""
 
     def make(data: bytes):
         edges, own, ends = decode_portals(data, edge_count)
