@@ -22,10 +22,12 @@ missed by all twelve in 0.2 % of cases, one at 0.9 in fewer than 0.001 %. All fi
 by segment counts; samples meet in equal cells, whole texts in the grid above. Candidates are verified
 on their shingle sets. Cells of up to ``CELL`` texts compare all pairs; in fuller ones, which texts of one template
 fill, each member is compared with the smallest. Where the members then still form several groups, all members of such
-cells are joined exactly on their sets (``crowd_links``): similar sets share one of their rarest fifth of shingles
-(prefix filtering). Shingles of up to ``CELL`` members give pairs. Sets that are alike in more frequent shingles only are
-grouped by these: within a group, links hold between members only if they hold to the shortest; the shortest of all
-groups are joined in the same way in turn, with twice the limit, and links between them are carried on to the members.
+cells are joined on their sets (``crowd_links``): similar sets share one of their rarest fifth of shingles (prefix
+filtering). Shingles of up to ``CELL`` members give pairs of members of different groups. Sets that are alike in more
+frequent shingles only are gathered by these, as texts of one template: within it, links hold between members only if they hold to
+the shortest; the shortest of all templates are joined in the same way in turn, with twice the limit, and links between
+them are carried on to the members. Left to the cells alone are pairs that share frequent shingles only, of which neither
+has the same ones as a third text.
 
 Components come from alternating large-star and small-star rounds over tables in the shared folder.
 
@@ -299,36 +301,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def crowd_links(sets: DataFrame, similarity: float, limit: int) -> DataFrame | None:
-    """Links (u, v) of ``sets`` (seq, shingles) that connect what all similar pairs would; None if there are none to try.
+    """Links (u, v) between different groups of ``sets`` (seq, shingles, component_id); None if there are none to try.
 
     A level counts the shingles of its sets and orders each set by rarity. A pair that shares no rare shingle is alike in
-    frequent ones, and those make up ``similarity`` of both: sets without so many drop out, the others meet the shortest set with the
-    same frequent shingles, which is the next level's.
+    frequent ones, and those make up ``similarity`` of both: sets without so many drop out, the others meet the shortest set with
+    the same frequent shingles. The next level's are the shortest sets of those templates that more than one set has.
     """
     by_seq = sets.select("seq", F.col("seq").alias("node"), "shingles")
-    now = sets.select("seq", F.size("shingles").alias("size"), F.col("shingles").alias("tokens"))
+    of = sets.select("seq", F.col("component_id").alias("in"))
+    now = sets.select("seq", F.size("shingles").alias("size"), F.size("shingles").alias("m"), F.explode("shingles").alias("token"))
     found: list[tuple[DataFrame, DataFrame]] = []
-    while now.limit(2).count() > 1:
-        each = now.select("seq", "size", F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
+    while now.limit(1).count():
+        each = materialize(now, "crowd_shingles")
         known = each.join(each.groupBy("token").agg(F.count("*").alias("n")), "token")
         place = F.row_number().over(Window.partitionBy("seq").orderBy("n", "token"))
         needed = F.ceil(F.lit(similarity) * F.col("size") - F.lit(1e-9))
         ranked = materialize(known.select("seq", "size", "token", "n", (place <= F.col("m") - needed + 1).alias("first")), "crowd_tokens")
-        rare = ranked.where(F.col("first") & (F.col("n") > 1) & (F.col("n") <= limit)).groupBy("token").agg(F.collect_list("seq").alias("m"))
-        pairs = rare.select("m", F.explode("m").alias("a")).select("a", F.explode(F.filter("m", lambda x: x < F.col("a"))).alias("b"))
+        rare = ranked.where(F.col("first") & (F.col("n") > 1) & (F.col("n") <= limit)).select("seq", "token")
+        # Members of one group need no more links; templates are compared whatever their groups.
+        rare = rare.join(of, "seq") if not found else rare.withColumn("in", F.col("seq"))
+        buckets = rare.groupBy("token").agg(F.collect_list(F.struct("seq", "in")).alias("m"))
+        pairs = buckets.select("m", F.explode("m").alias("x"))
+        pairs = pairs.select(F.col("x.seq").alias("a"), F.explode(F.filter("m", lambda y: (y["seq"] < F.col("x.seq")) & (y["in"] != F.col("x.in")))["seq"]).alias("b"))
         often = ranked.where(F.col("n") > limit).groupBy("seq", "size").agg(F.sort_array(F.collect_list("token")).alias("tokens")).where(F.size("tokens") >= needed)
         often = materialize(often.withColumn("sign", F.xxhash64("tokens", F.size("tokens"))), "crowd_signs")
         groups = often.groupBy("sign").agg(F.min(F.struct("size", "seq")).alias("least"), F.min_by("tokens", F.struct("size", "seq")).alias("tokens"), F.count("*").alias("n"))
-        groups = materialize(groups.select("sign", F.col("least.seq").alias("to"), F.col("least.size").alias("size"), "tokens", "n"), "crowd_groups")
+        groups = materialize(groups.where("n > 1").select("sign", F.col("least.seq").alias("to"), F.col("least.size").alias("size"), "tokens", "n"), "crowd_groups")
         members = join_skewed(often.select("seq", "sign"), groups.select("sign", "to", "n"), ["sign"], often.count()).where("seq <> to")
         members = materialize(members.select("seq", "to"), "crowd_members")
         stars = members.select(F.greatest("seq", "to").alias("a"), F.least("seq", "to").alias("b"))
         found.append((materialize(pairs.unionByName(stars).distinct(), "crowd_pairs"), members))
-        now = groups.select(F.col("to").alias("seq"), "size", "tokens")
+        now = groups.select(F.col("to").alias("seq"), "size", F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
         limit *= 2
     links = None
     for pairs, members in reversed(found):
-        if links is not None:  # links of groups' shortest sets: each with the other's members
+        if links is not None:  # links of templates' shortest sets: each with the other's members
             m = members.toDF("seq", "rep")
             wider = links.join(m, links["u"] == m["rep"]).select(F.col("seq").alias("a"), F.col("v").alias("b"))
             wider = wider.unionByName(links.join(m, links["v"] == m["rep"]).select(F.col("seq").alias("a"), F.col("u").alias("b")))
@@ -360,19 +367,25 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     sets = materialize(sets.join(wanted, ["node", "seq"]).groupBy("seq").agg(F.first("node").alias("node"), F.first("shingles").alias("shingles")), "sets")
     found = _verified(pairs, sets, similarity).unionByName(_same_key(sketches.select(key, F.col("seq").alias("fp")), nodes.select(F.col("seq").alias("fp"), "node"), key))
     stars = components(found)
-    # Full cells whose members fell into several components: an exact join of these members.
+    # Full cells whose members fell into several components: a join of these members on their sets.
     of = materialize(_labelled(nodes, stars), "near")
     full = shared.where(F.col("n") > cell_limit).select("t", "cell", "seq")
     if full.limit(1).count():
         told = full.join(of.select("seq", "component_id"), "seq")
         apart = told.groupBy("t", "cell").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a <> b")
-        crowd = materialize(sets.join(full.join(apart, ["t", "cell"]).select("seq").distinct(), "seq", "left_semi"), "crowd")
+        crowd = told.join(apart, ["t", "cell"]).select("seq", "component_id").distinct()
+        crowd = materialize(sets.join(crowd, "seq"), "crowd")
+        # The smallest members of a cell's groups are compared as well, all or with the smallest, and so are templates.
+        reps = materialize(told.groupBy("t", "cell", "component_id").agg(F.min("seq").alias("seq")), "cell_groups")
+        several = reps.groupBy("t", "cell").agg(F.count("*").alias("n"), F.min("seq").alias("least")).where("n > 1")
+        met = materialize(join_skewed(reps, several, ["t", "cell"], reps.count()), "representatives")
+        both = _verified(_in_cells(met, cell_limit), sets, similarity)
         more = crowd_links(crowd, similarity, cell_limit)
         if more is not None:
             node = crowd.select("seq", "node")
-            both = more.join(node.toDF("u", "nu"), "u").join(node.toDF("v", "nv"), "v").where("nu <> nv")
-            both = both.select(F.greatest("nu", "nv").alias("u"), F.least("nu", "nv").alias("v"))
-            of = materialize(_labelled(nodes, components(stars.unionByName(both))), "near")
+            more = more.join(node.toDF("u", "nu"), "u").join(node.toDF("v", "nv"), "v").where("nu <> nv")
+            both = both.unionByName(more.select(F.greatest("nu", "nv").alias("u"), F.least("nu", "nv").alias("v")))
+        of = materialize(_labelled(nodes, components(stars.unionByName(both))), "near")
     return sketches.select(key, "seq"), of
 
 

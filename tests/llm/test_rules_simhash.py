@@ -316,13 +316,13 @@ def test_near_copies_within_crowds_of_one_template(spark):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_links_of_crowds_connect_what_all_pairs_do(spark, seed):
-    """Sets that share tiers of common shingles and differ in length, with a limit of two a shingle: components as by all pairs."""
+    """Sets of templates with tiers of common shingles and of differing length, with a limit of two a shingle: components as by all pairs."""
     r = random.Random(seed)
     sets = []
     for i in range(90):
         tiers = [range(40)] + [range(1000 * (1 + t), 1000 * (1 + t) + 12) for t in range(3) if r.random() < 0.4]
         own = [10**6 + 100 * i + j for j in range(r.choice([0, 0, 1, 4, 9, 14]))]
-        sets.append((i.to_bytes(2), i, sorted({x for t in tiers for x in t if r.random() < 0.995} | set(own))))
+        sets.append((i.to_bytes(2), i, sorted({x for t in tiers for x in t} | set(own)), i))
     find = list(range(90))
 
     def root(x):
@@ -335,7 +335,7 @@ def test_links_of_crowds_connect_what_all_pairs_do(spark, seed):
             a, b = set(sets[i][2]), set(sets[j][2])
             if len(a & b) >= 0.8 * len(a | b) - 1e-9:
                 find[root(i)] = root(j)
-    links = sh.crowd_links(spark.createDataFrame(sets, "seq binary, node long, shingles array<long>"), 0.8, 2).collect()
+    links = sh.crowd_links(spark.createDataFrame(sets, "seq binary, node long, shingles array<long>, component_id long"), 0.8, 2).collect()
     for u, v in links:
         a, b = (set(sets[int.from_bytes(x)][2]) for x in (u, v))
         assert len(a & b) >= 0.8 * len(a | b) - 1e-9
