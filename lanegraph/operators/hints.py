@@ -15,10 +15,15 @@ def is_bidirectional(flags: Column) -> Column:
     return flags.cast("int").bitwiseAND(F.lit(BIDIRECTIONAL)) != 0
 
 
+def place_of(hints: DataFrame) -> str:
+    """What decides between equal hints: their ``position`` in the file if it is known, else their number."""
+    return "position" if "position" in hints.columns else "corridor_id"
+
+
 def port_approaches(hints: DataFrame) -> DataFrame:
-    """Per port code (upper case) the most confident approach; of equals the one of the lowest position."""
+    """Per port code (upper case) the most confident approach; of equals the one of the lowest ``place_of``."""
     rows = hints.where((F.col("kind") == PORT_APPROACH) & F.col("locode").isNotNull() & (F.trim("locode") != "")).withColumn("code", F.upper("locode"))
-    w = Window.partitionBy("code").orderBy(F.col("confidence").desc(), "corridor_id")
+    w = Window.partitionBy("code").orderBy(F.col("confidence").desc(), place_of(hints))
     return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
@@ -27,8 +32,8 @@ def usable_windows(hints: DataFrame) -> DataFrame:
 
 
 def route_windows(hints: DataFrame) -> DataFrame:
-    """Usable generic windows with ``place`` (from 1) by falling confidence, then edges."""
-    return places(usable_windows(hints), [(F.col("confidence"), True), (F.size("spans"), True), (F.col("corridor_id"), False)], "place")
+    """Usable generic windows with ``place`` (from 1) by falling confidence, then edges, then ``place_of``."""
+    return places(usable_windows(hints), [(F.col("confidence"), True), (F.size("spans"), True), (F.col(place_of(hints)), False)], "place")
 
 
 def _steps(hints: DataFrame) -> DataFrame:
@@ -135,12 +140,12 @@ def path_windows(legs: DataFrame, ends: DataFrame, hints: DataFrame, raster: Ras
     """path_id, kind, n, confidence, start, end, line of the hints that may shape each path: ``kind`` 2 for port approaches, 1 for others.
 
     Each hint that lies on some path is drawn once; one without a safe line shapes nothing. Of hints of one kind on the same
-    legs of a path only the most confident can be chosen (of equals the one of the lowest position), so the others are left out.
+    legs of a path only the most confident can be chosen (of equals the one of the lowest ``place_of``), so the others are left out.
     """
     generic = generic_windows(legs, hints).select("path_id", "corridor_id", "start", "end", "backwards", F.lit(1).alias("kind"))
     port = port_windows(legs, ends, hints).select("path_id", "corridor_id", "start", "end", (F.col("side") == "end").alias("backwards"), F.lit(2).alias("kind"))
     found = materialize(generic.unionByName(port), "windows")
     lines = hint_lines(hints.join(found.select("corridor_id").distinct(), "corridor_id", "left_semi"), raster)
-    drawn = found.join(lines, ["corridor_id", "backwards"]).join(hints.select("corridor_id", F.col("confidence").cast("double").alias("confidence")), "corridor_id")
-    best = drawn.groupBy("path_id", "kind", "start", "end").agg(F.min_by(F.struct("confidence", "line"), F.struct(-F.col("confidence"), F.col("corridor_id"))).alias("b"))
+    drawn = found.join(lines, ["corridor_id", "backwards"]).join(hints.select("corridor_id", F.col(place_of(hints)).alias("place"), F.col("confidence").cast("double").alias("confidence")), "corridor_id")
+    best = drawn.groupBy("path_id", "kind", "start", "end").agg(F.min_by(F.struct("confidence", "line"), F.struct(-F.col("confidence"), F.col("place"))).alias("b"))
     return best.select("path_id", "kind", (F.col("end") - F.col("start")).alias("n"), "b.confidence", "start", "end", "b.line")

@@ -64,7 +64,7 @@ def load_bundle(spark: SparkSession, bundle: Bundle, centers: DataFrame | None =
         portals = timed("portals", lambda: materialize(binary.read_portals(spark, bundle.portals, layout["edges"], implicit if implicit is not None else binary.implicit_portals(edges, nodes)), "portals"))
         facts["edge_portals"] = {"edge_count": layout["edges"]}  # the reader has refused portals of another graph
     if bundle.smoothing and bundle.hints:
-        hints = timed("hints", lambda: materialize(binary.read_hints(spark, bundle.hints), "hints"))
+        hints = timed("hints", lambda: materialize(binary.read_hints(spark, bundle.hints, position=True), "hints"))
         facts["corridor_hints"] = {"hint_count": hints.count()}
     if bundle.smoothing and bundle.mask:
         mask = timed("mask", lambda: binary.read_mask(spark, bundle.mask))

@@ -477,11 +477,14 @@ def encode_hints(rows: list[tuple]) -> bytes:
     return b"".join(out)
 
 
-def read_hints(spark: SparkSession, path: str, sha256: str | None = None) -> DataFrame:
+def read_hints(spark: SparkSession, path: str, sha256: str | None = None, position: bool = False) -> DataFrame:
+    """Hints of a file; ``position`` adds their place in it, which decides between equal ones."""
+
     def make(data: bytes):
         columns = [list(c) for c in zip(*decode_hints(data))] or [[] for _ in range(12)]
+        columns += [list(range(len(columns[0])))] if position else []
         columns[6] = [[{"lon": x, "lat": y} for x, y in c] for c in columns[6]]
         columns[7] = [[{"src": a, "dst": b} for a, b in s] for s in columns[7]]
         return columns
 
-    return _decoded(spark, path, make, schemas.HINTS, sha256)
+    return _decoded(spark, path, make, schemas.HINTS + (", position int" if position else ""), sha256)

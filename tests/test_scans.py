@@ -90,3 +90,12 @@ def test_an_edge_on_every_path_and_hint_makes_no_product(spark):
     table = spark.createDataFrame([(h, "", 1, 0, 0.5, [(h + 1000, 1), (1, 2), (2, h + 5000)], [(0.0, 0.0), (1.0, 1.0)]) for h in range(200)], HINT)
     met = hints.run_candidates(legs, hints._steps(table))
     assert met.count() == 200 == hints._matches(legs, table).count()
+
+
+def test_equal_hints_go_by_their_place_in_the_file(spark):
+    rows = [(9, "P", 1, 0, 0.5, [(0, 1)], [(0.0, 0.0)] * 2, 0), (2, "p", 1, 0, 0.5, [(1, 2)], [(0.0, 0.0)] * 2, 1), (7, "", 2, 0, 0.5, [(0, 1)], [(0.0, 0.0)] * 2, 2), (3, "", 2, 0, 0.5, [(0, 1)], [(0.0, 0.0)] * 2, 3)]
+    table = spark.createDataFrame(rows, HINT + ", position int")
+    assert hints.port_approaches(table).first()["corridor_id"] == 9
+    assert hints.port_approaches(table.drop("position")).first()["corridor_id"] == 2
+    assert [r["corridor_id"] for r in hints.route_windows(table).orderBy("place").collect()] == [7, 3]
+    assert [r["corridor_id"] for r in hints.route_windows(table.drop("position")).orderBy("place").collect()] == [3, 7]
