@@ -5,14 +5,17 @@ A word's emission adds up learned weights of hashed features: byte n-grams of 2
 of the training sample that lean to one language). Transitions between neighbouring words are
 learned with them, on sequences spliced from spans of different training documents, so that switches
 occur. Training maximises the conditional likelihood; its gradient and the marginals of a text come
-from forward-backward. Texts are decoded in segments of SEG words: the transfer matrices of all
-segments are made side by side, joined along each document, then the segments are filled in, which
-gives the same marginals as one pass over the document.
+from forward-backward. Texts are decoded side by side, word by word, with one vector of labels each. Of up to
+MATRIX_LABELS labels, texts of more than LONG words are decoded in segments of SEG words instead: the
+transfer matrices of all segments are made side by side, joined along each document, then the segments are
+filled in. Both give the marginals of one pass over the document, whatever the limits. Words are met in blocks of
+CELLS numbers, and only a block's forward vectors are held, so memory does not grow with the square of the labels nor
+with the length of a text.
 
 Document: the language with the largest mean marginal over its words, which is also the score.
 
-Learning reads at most about PER_LANGUAGE documents of each language (chosen by a hash of the id), and knows the
-MAX_LANGUAGES most frequent languages.
+Learning reads at most about PER_LANGUAGE documents of each language (chosen by a hash of the id). All languages are
+learned; a language adds 0.26 MB to the model that tasks receive.
 Edge cases: words without a letter are left out; a text without letters, a null one, or any text if
 nothing could be learned, is ``und`` with score 0. Ties go to the first language in alphabetical
 order. Null languages are not learned. Repeated rows are decoded row by row. Only ``doc_id`` and
@@ -24,6 +27,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +42,11 @@ WIDTH = 28
 STRIDE = WIDTH - 3
 SEG = 64
 PER_LANGUAGE = 120
-MAX_LANGUAGES = 200
+MATRIX_LABELS = 16
+LONG = 1024
+CELLS = 1 << 22
+#: Words times labels of a training batch, and word features times labels that are added up at a time.
+TRAIN_CELLS = 1 << 23
 SPAN = (3, 40)
 TRAIN_LEN = 40
 UND = "und"
@@ -100,6 +108,10 @@ def feature_ids(cores: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.hstack(out), first
 
 
+def _norm(a: np.ndarray) -> np.ndarray:
+    return a / np.maximum(a.sum(axis=-1, keepdims=True), 1e-30)
+
+
 class Crf:
     """Weights by feature and label, a lexicon with weights, start and transition scores."""
 
@@ -122,6 +134,74 @@ class Crf:
 
     def marginals(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Marginals (words, labels) of texts of ``sizes`` words laid end to end with emissions ``e``."""
+        out = np.zeros(e.shape, np.float32)
+        for rows, _, post in self._decoded(e, np.arange(len(e)), sizes):
+            out[rows] = post
+        return out
+
+    def sums(self, table: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Summed marginals (texts, labels) of texts of ``sizes`` words ``ids``, whose emissions are rows of ``table``."""
+        out = np.zeros((len(sizes), table.shape[1]))
+        for _, docs, post in self._decoded(table, ids, sizes):
+            out[docs] += post.sum(axis=0, dtype=np.float64) if len(docs) < len(post) else post
+        return out
+
+    def _decoded(self, table: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of words, the texts they are in, and their marginals, until every word was met."""
+        first = np.cumsum(sizes) - sizes
+        long = (sizes > LONG) & (table.shape[1] <= MATRIX_LABELS)
+        for d in np.flatnonzero(long).tolist():
+            rows = np.arange(first[d], first[d] + sizes[d])
+            yield rows, np.array([d]), self._by_segments(table[ids[rows]], sizes[d : d + 1])
+        yield from self._by_words(table, ids, first, np.where(long, 0, sizes))
+
+    def _by_words(self, table: np.ndarray, ids: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Forward and backward vectors of all texts side by side, in blocks of words from the last to the first.
+
+        Each block's forward vectors are made anew from the vector before it, which a first pass has kept.
+        """
+        k = table.shape[1]
+        t = np.exp(self.trans - self.trans.max())
+        docs = np.argsort(-sizes, kind="stable")[: int((sizes > 0).sum())]
+        most = max(1, CELLS // k)
+        for lo in range(0, len(docs), most):
+            own = docs[lo : lo + most]
+            start, length = first[own], sizes[own]
+            steps = int(length[0])
+            active = np.searchsorted(-length, -np.arange(steps), "left")  # texts longer than s
+            met = np.cumsum(active)
+            cuts = [0]
+            while cuts[-1] < steps:
+                before = met[cuts[-1] - 1] if cuts[-1] else 0
+                cuts.append(max(cuts[-1] + 1, int(np.searchsorted(met, before + most, "right"))))
+
+            def pot(s: int) -> np.ndarray:
+                x = table[ids[start[: active[s]] + s]]
+                return np.exp(x - x.max(axis=1, keepdims=True))
+
+            def forward(state: np.ndarray, s: int) -> np.ndarray:
+                a = active[s]
+                return _norm((state[:a] @ t if s else state[:a]) * pot(s))
+
+            kept = [np.ones((len(own), k), np.float32)]
+            for lo_s, hi_s in zip(cuts[:-2], cuts[1:-1]):
+                state = kept[-1]
+                for s in range(lo_s, hi_s):
+                    state = forward(state, s)
+                kept.append(state)
+            beta = np.ones((len(own), k), np.float32)
+            for state, lo_s, hi_s in zip(reversed(kept), reversed(cuts[:-1]), reversed(cuts[1:])):
+                alpha = []
+                for s in range(lo_s, hi_s):
+                    state = forward(state, s)
+                    alpha.append(state)
+                for s in range(hi_s - 1, lo_s - 1, -1):
+                    a = active[s]
+                    yield start[:a] + s, own[:a], _norm(alpha.pop() * beta[:a])
+                    beta[:a] = _norm((beta[:a] * pot(s)) @ t.T)
+
+    def _by_segments(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """``marginals`` by the transfer matrices of segments of SEG words."""
         n, k = e.shape
         out = np.zeros((n, k), np.float32)
         if not n:
@@ -139,7 +219,6 @@ class Crf:
         start, length, doc, nth = start[order], length[order], doc[order], nth[order]
         active = [int(np.searchsorted(-length, -s)) for s in range(SEG)]  # segments longer than s
         m = len(start)
-        norm = lambda a: a / np.maximum(a.sum(axis=-1, keepdims=True), 1e-30)
         # Transfer matrix of each segment: row i is the forward vector after it, from label i before it.
         opening = (nth == 0)[:, None, None]  # nothing precedes a text's first word
         move = np.broadcast_to(np.eye(k, dtype=np.float32), (m, k, k)).copy()
@@ -160,20 +239,20 @@ class Crf:
             d = by_count[: live[s]]
             g = at[d, s]
             into[g] = state[d]
-            state[d] = norm(np.einsum("ni,nij->nj", state[d], move[g]))
+            state[d] = _norm(np.einsum("ni,nij->nj", state[d], move[g]))
         state = np.ones((len(docs), k), np.float32) / k
         for s in reversed(range(at.shape[1])):
             d = by_count[: live[s]]
             g = at[d, s]
             back[g] = state[d]
-            state[d] = norm(np.einsum("nij,nj->ni", move[g], state[d]))
+            state[d] = _norm(np.einsum("nij,nj->ni", move[g], state[d]))
         alpha = np.empty((n, k), np.float32)
         cur = into
         for s in range(SEG):
             a = active[s]
             if not a:
                 break
-            cur = norm((cur[:a] @ t if s else np.where(opening[:, 0], cur, cur @ t)) * pot[start[:a] + s])
+            cur = _norm((cur[:a] @ t if s else np.where(opening[:, 0], cur, cur @ t)) * pot[start[:a] + s])
             alpha[start[:a] + s] = cur
         beta = back.copy()
         for s in reversed(range(SEG)):
@@ -181,8 +260,8 @@ class Crf:
             if not a:
                 continue
             i = start[:a] + s
-            out[i] = norm(alpha[i] * beta[:a])
-            beta[:a] = norm((beta[:a] * pot[i]) @ t.T)
+            out[i] = _norm(alpha[i] * beta[:a])
+            beta[:a] = _norm((beta[:a] * pot[i]) @ t.T)
         return out
 
     def fit(self, texts: list[tuple[bytes, str]], epochs: int = 14, rate: float = 0.08, decay: float = 1e-5, seed: int = 3) -> "Crf":
@@ -218,7 +297,7 @@ class Crf:
         lex = np.fromiter((self.lexicon.get(c, k) for c in cores), np.int64, len(cores))
         params = [self.w, self.lex, self.trans]
         sums = [np.full_like(p, 1e-6) for p in params]
-        batch = max(64, -(-rows // 8))
+        batch = max(64, min(-(-rows // 8), TRAIN_CELLS // (TRAIN_LEN * k)))
         for _ in range(epochs):
             order = rng.permutation(rows)
             for lo in range(0, rows, batch):
@@ -228,7 +307,9 @@ class Crf:
                 owner = np.repeat(np.arange(len(used)), pieces[used])
                 start = np.cumsum(pieces[used]) - pieces[used]
                 own = feats[first[used][owner] + np.arange(len(owner)) - start[owner]]
-                e_used = np.add.reduceat(self.w[own].sum(axis=1), start, axis=0) + self.lex[lex[used]]
+                part = max(1, TRAIN_CELLS // (own.shape[1] * k))
+                seen = np.concatenate([self.w[own[at : at + part]].sum(axis=1) for at in range(0, len(own), part)])
+                e_used = np.add.reduceat(seen, start, axis=0) + self.lex[lex[used]]
                 e = e_used[inv]
                 post, pairs = self._expected(e)
                 y = gold[r]
@@ -236,8 +317,7 @@ class Crf:
                 d[np.arange(len(r))[:, None], np.arange(TRAIN_LEN), y] += 1
                 g_word = np.stack([np.bincount(inv.ravel(), d[:, :, j].ravel(), len(used)) for j in range(k)], 1)
                 f = own.ravel()
-                spread = np.repeat(g_word[owner], feats.shape[1], axis=0)
-                g_w = np.stack([np.bincount(f, spread[:, j], D + 1) for j in range(k)], 1)
+                g_w = np.stack([np.bincount(f, np.repeat(g_word[owner, j], feats.shape[1]), D + 1) for j in range(k)], 1)
                 g_w[D] = 0
                 g_lex = np.stack([np.bincount(lex[used], g_word[:, j], k + 1) for j in range(k)], 1)
                 g_lex[k] = 0
@@ -263,19 +343,18 @@ class Crf:
         pairs = np.zeros((k, k))
         for s in range(n - 2, -1, -1):
             x = beta[:, s + 1] * pot[:, s + 1]
-            joint = alpha[:, s][:, :, None] * t * x[:, None, :]
-            pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(0)
             v = x @ t.T
+            pairs += t * ((alpha[:, s] / (alpha[:, s] * v).sum(1, keepdims=True)).T @ x)
             beta[:, s] = v / v.sum(1, keepdims=True)
         post = alpha * beta
         return post / post.sum(2, keepdims=True), pairs
 
 
-def _encode(crf: Crf, key: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Emissions of the letter words of all texts end to end, and how many each has. Words met before are looked up."""
+def _encode(crf: Crf, key: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Emissions of words, which of them the letter words of all texts are, end to end, and how many each text has. Words met before are looked up."""
     fresh_start = lambda: {"index": {}, "rows": [np.zeros((0, len(crf.labels)), np.float32)]}
     kept = live(("crf", key), fresh_start)
-    if len(kept["index"]) > 400_000:
+    if len(kept["index"]) > min(400_000, 4 * CELLS // len(crf.labels)):
         kept.update(fresh_start())
     index = kept["index"]
     words = [t.split() for t in texts]
@@ -301,7 +380,7 @@ def _encode(crf: Crf, key: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndar
     ids = np.fromiter((index[w] for ws in words for w in ws), np.int64, int(raw.sum()))
     doc = np.repeat(np.arange(len(words)), raw)
     good = ids >= 0
-    return table[ids[good]], np.bincount(doc[good], minlength=len(words)).astype(np.int64)
+    return table, ids[good], np.bincount(doc[good], minlength=len(words)).astype(np.int64)
 
 
 def predict(crf: Crf, key: str, texts: list[bytes]) -> list:
@@ -309,10 +388,8 @@ def predict(crf: Crf, key: str, texts: list[bytes]) -> list:
     names = np.array([*crf.labels, UND], object)
     if not crf.labels:
         return [pa.array([UND] * len(texts)), np.zeros(len(texts))]
-    e, sizes = _encode(crf, key, texts)
-    post = crf.marginals(e, sizes).astype(np.float64)
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    mean = np.stack([np.bincount(doc, post[:, j], len(texts)) for j in range(len(crf.labels))], 1) / np.maximum(sizes, 1)[:, None]
+    table, ids, sizes = _encode(crf, key, texts)
+    mean = crf.sums(table, ids, sizes) / np.maximum(sizes, 1)[:, None]
     best = mean.argmax(1)
     score = np.where(sizes > 0, mean[np.arange(len(texts)), best], 0.0)
     return [pa.array(names[np.where(sizes > 0, best, len(crf.labels))].tolist(), pa.string()), np.clip(score, 0, 1)]
@@ -327,10 +404,10 @@ def label_text(crf: Crf, text: str) -> list[tuple[str, str, float]]:
     return [(w.decode(), crf.labels[int(p.argmax())], float(p.max())) for w, p in zip(words, post)]
 
 
-def fit(docs: DataFrame, held_out_mod: int = 4, held_out: int = 2, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Crf:
-    """Learn from text and non-null lang of the documents that are not held out; of more languages the most frequent ``max_languages``."""
+def fit(docs: DataFrame, held_out_mod: int = 4, held_out: int = 2, per_language: int = PER_LANGUAGE) -> Crf:
+    """Learn from text and non-null lang of the documents that are not held out."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(crc_mod("doc_id", held_out_mod), F.lit(-1)) != held_out))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_languages)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = sizes.select("lang", (F.lit(float(per_language)) / F.col("n")).alias("__share"))
     chosen = rows.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(share), "lang")
     sample = chosen.where(hash_below("doc_id", "lang", F.col("__share"))).select("doc_id", "lang", "text").toArrow()

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -36,15 +37,54 @@ def test_marginals_equal_enumeration():
         at += n
 
 
-def test_segments_do_not_change_marginals(monkeypatch):
+def test_segments_and_blocks_do_not_change_marginals(monkeypatch):
     m = crf.Crf(["a", "b"])
     rng = np.random.default_rng(1)
     m.trans = rng.normal(0, 1, (2, 2)).astype(np.float32)
     sizes = rng.integers(0, 500, 20)
     e = rng.normal(0, 2, (int(sizes.sum()), 2)).astype(np.float32)
-    one = m.marginals(e, sizes)
-    monkeypatch.setattr(crf, "SEG", 1000)
-    assert np.allclose(one, m.marginals(e, sizes), atol=1e-4)
+    ways = [(-1, 64, 1 << 22), (-1, 1000, 1 << 22), (1 << 30, 64, 1 << 22), (1 << 30, 64, 60), (1 << 30, 64, 1), (200, 64, 900)]
+    found = []
+    for long, seg, cells in ways:
+        for name, value in (("LONG", long), ("SEG", seg), ("CELLS", cells)):
+            monkeypatch.setattr(crf, name, value)
+        found.append(m.marginals(e, sizes))
+        doc = np.repeat(np.arange(20), sizes)
+        want = np.stack([np.bincount(doc, found[-1][:, j], 20) for j in range(2)], 1)
+        assert np.allclose(m.sums(e, np.arange(len(e)), sizes), want, atol=1e-3)
+    assert all(np.allclose(found[0], other, atol=1e-4) for other in found[1:])
+
+
+def test_many_labels_need_no_matrices():
+    """200 labels and a text of 8,000 words beside short ones: memory follows the words, not the labels' square."""
+    k = 200
+    m = crf.Crf([f"l{i:03d}" for i in range(k)])
+    rng = np.random.default_rng(3)
+    m.trans = rng.normal(0, 1, (k, k)).astype(np.float32)
+    table = rng.normal(0, 1, (3000, k)).astype(np.float32)
+    sizes = np.concatenate([[8_000], rng.integers(0, 300, 1000)])
+    ids = rng.integers(0, 3000, int(sizes.sum()))
+    tracemalloc.start()
+    sums = m.sums(table, ids, sizes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(sums.sum(1), sizes, rtol=1e-4) and peak < 200e6
+    four = m.sums(table, ids[:4], np.array([2, 0, 2]))
+    pot, t = np.exp(table[ids[:4]].astype(float)), np.exp(m.trans.astype(float))
+    for row, (i, j) in ((0, (0, 1)), (2, (2, 3))):
+        joint = pot[i][:, None] * t * pot[j]
+        joint /= joint.sum()
+        assert np.allclose(four[row], joint.sum(0) + joint.sum(1), atol=1e-4)
+
+
+def test_training_learns_many_languages():
+    """250 languages, each with words of its own: none is left out."""
+    rng = np.random.default_rng(6)
+    words = [["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(6)] for _ in range(250)]
+    texts = [(" ".join(rng.choice(w, 12)).encode(), f"l{i:03d}") for i, w in enumerate(words) for _ in range(3)]
+    m = crf.Crf([f"l{i:03d}" for i in range(250)]).fit(texts, epochs=4)
+    found = crf.predict(m, "many", [" ".join(w).encode() for w in words])[0].to_pylist()
+    assert sum(x == y for x, y in zip(found, m.labels)) >= 245
 
 
 def test_training_gradient_is_that_of_the_likelihood():
