@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lanegraph.functions.geo import haversine_py
 from lanegraph.operators import snap
@@ -48,3 +49,25 @@ def test_stream(spark, tmp_path):
     q = snap_stream(live, nodes, 60.0).writeStream.format("memory").queryName("snapped").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r["query_id"], r["node_id"]) for r in spark.table("snapped").collect()] == [(7, 0)]
+
+
+def test_nearest_meets_few_of_the_nodes_within_the_radius(spark):
+    """400 queries have up to 4,000 nodes within 3,000 miles each; the join must not make them all, and the result is brute force's."""
+    r = random.Random(7)
+    points = [(r.uniform(-90, 90), r.uniform(-180, 180)) for _ in range(2500)] + [(20 + r.gauss(0, 0.2), 179.9 + r.gauss(0, 0.2)) for _ in range(1500)]
+    nodes = frame(spark, [(i, max(-90.0, min(90.0, a)), (b + 180.0) % 360.0 - 180.0) for i, (a, b) in enumerate(points)], "node_id").selectExpr("*", "node_id % 3 - 1 AS component_id").cache()
+    asked = points[::10] + [(89.99, 5.0), (-90.0, 0.0), (20.0, 180.0), (20.0, -180.0)]
+    queries = frame(spark, [(i, max(-90.0, min(90.0, a)), b) for i, (a, b) in enumerate(asked)], "query_id")
+    for k, radius, component in ((5, 3000.0, None), (2, 3000.0, 1), (5, 100.0, None), (7, 20000.0, None)):
+        rows = snap.nearest(queries, nodes, k, radius, component).collect()
+        got = {}
+        for x in sorted(rows, key=lambda x: (x["query_id"], x["rank"])):
+            got.setdefault(x["query_id"], []).append(x["node_id"])
+        held = [(n["node_id"], n["lat"], n["lon"]) for n in nodes.collect() if component is None or n["component_id"] == component]
+        for q in queries.collect():
+            want = sorted((haversine_py(q["lat"], q["lon"], a, b), i) for i, a, b in held)[:k]
+            assert got.get(q["query_id"], []) == [i for d, i in want if d <= radius]
+    reaches = snap._reaches(queries, nodes, 5, 3000.0).withColumn("size", F.lit(0))
+    assert snap._near(reaches, nodes, [3000.0]).count() < 60 * len(asked)
+    twice = queries.limit(1).unionByName(queries.limit(1))
+    assert snap.nearest(twice, nodes, 4, 3000.0).count() == 4
