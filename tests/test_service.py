@@ -54,6 +54,19 @@ def test_views(spark, service):
         unique_locodes(spark.createDataFrame([("a",), ("A",)], "locode string"))
 
 
+def test_benchmark_beyond_the_broadcast_bound(spark, service, monkeypatch):
+    """A network that is not broadcast is searched by joins, with the same results."""
+    pairs = spark.createDataFrame([("a", "TESTA", "TESTD"), ("b", "TESTD", "TESTA"), ("c", "NOPE", "TESTA")], "name string, from_locode string, to_locode string")
+    want = service.benchmark_runs(pairs, 2).collect()
+    large = RouteService(service.nodes, service.edges, service.ports)
+    monkeypatch.setattr("lanegraph.operators.search.fits", lambda *_: False)
+    got = large.benchmark_runs(pairs, 2).collect()
+    assert large.csr is None
+    same = ("name", "algorithm", "mode", "iteration", "success", "node_count", "distance_nm", "failure")
+    assert sorted(tuple(str(r[c]) for c in same) for r in got) == sorted(tuple(str(r[c]) for c in same) for r in want) and len(got) == 6
+    assert all(r["search_ms"] > 0 and r["total_ms"] >= r["search_ms"] for r in got)
+
+
 def test_rollup_of_failures(spark):
     from lanegraph.plans.service import RUNS
 
