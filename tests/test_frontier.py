@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lanegraph.operators import frontier, search
+from lanegraph.operators import frontier, network, search
 from tests.test_search import EDGE_DDL, NODE_DDL, ask, random_csr
 
 
@@ -71,3 +71,29 @@ def test_no_requests_and_no_edges(spark):
     assert search.route_by_frontier(ask(spark, [(0, 1)], "dijkstra").where(F.lit(False)), nodes, edges).count() == 0
     rows = search.route_by_frontier(ask(spark, [(0, 1), (2, 2)], "bidirectional-a-star"), nodes, edges.where(F.lit(False))).collect()
     assert sorted((r["request_id"], r["status"], r["visited"]) for r in rows) == [(0, "NoPath", 0), (1, "Success", 0)]
+
+
+def test_rounds_read_the_edges_in_place(spark):
+    """A join with the adjacency shuffles only its other side, and all edges are in it; pieces of a large node are separate rows."""
+    edges = spark.range(9000).selectExpr("cast(id as int) edge_id", "cast(if(id < 8500, 1, id % 50) as int) src", "cast(id % 97 as int) dst", "cast(id % 5 as float) cost")
+    for reverse in (False, True):
+        kept = network.adjacency(edges, reverse)
+        plan = spark.range(5).selectExpr("cast(id as int) at").hint("merge").join(kept, "at")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+        flat = kept.select("at", F.explode("steps").alias("x")).select(F.col("x.edge").alias("edge_id"), "at", "x.node", "x.cost")
+        want = edges.selectExpr("edge_id", *(("dst", "src") if reverse else ("src", "dst")), "cast(cost as double)")
+        assert flat.count() == 9000 and flat.exceptAll(want).count() == 0
+        assert kept.agg(F.max(F.size("steps"))).first()[0] <= network.PIECE
+
+
+def test_pairs_that_nothing_links(spark, monkeypatch):
+    """Ends in different groups of linked nodes get no search at all."""
+    links = [(i, i + 1) for i in range(0, 20)] + [(41, 40), (42, 41), (50, 50)]
+    edges = spark.createDataFrame([(i, a, b, 1.0) for i, (a, b) in enumerate(links)], EDGE_DDL)
+    found = {r["node"]: r["group"] for r in network.linked_groups(edges).collect()}
+    assert found == {**dict.fromkeys(range(21), 0), 40: 40, 41: 40, 42: 40}
+    nodes = spark.createDataFrame([(i, i, 0.0, float(i), 0, 0) for i in range(60)], NODE_DDL)
+    asked = []
+    monkeypatch.setattr(frontier, "grow", lambda units, *rest, grow=frontier.grow: asked.append(units.count()) or grow(units, *rest))
+    rows = search.route_by_frontier(ask(spark, [(0, 41), (50, 3), (58, 59)], "bidirectional-a-star"), nodes, edges, search.landmark_table(nodes, edges)).collect()
+    assert {(r["status"], r["visited"]) for r in rows} == {("NoPath", 0)} and asked == [0]
