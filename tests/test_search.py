@@ -185,3 +185,19 @@ def test_overflow_targets(spark):
 def test_empty_requests(spark, diamond):
     nodes, edges = diamond
     assert search.route_requests(ask(spark, [(0, 1)], "dijkstra").where(F.lit(False)), nodes, edges).count() == 0
+
+
+def test_blocks_of_sources_expand_like_the_join(spark, monkeypatch):
+    """Costs of many sources over one more edge: the same as by the join, with repeated edges and nodes of several blocks and strips, and no way is shuffled."""
+    r = random.Random(3)
+    edges = spark.createDataFrame([(i, r.randrange(40), r.randrange(40), float(r.randrange(9))) for i in range(500)], EDGE_DDL)
+    front = edges.selectExpr("src AS source", "dst AS at", "cast(cost AS double) AS so_far")
+    want = search.expand(front, edges).selectExpr("source", "node_id", "new.distance")
+    got = search.expand_costs(front, edges, 7).cache()
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    import pyarrow as pa
+
+    left, right = pa.table({"source": [3, 4, 5], "at": [1, 1, 2], "so_far": [1.0, 2.0, 0.0]}), pa.table({"at": [1, 2, 2], "node_id": [8, 8, 9], "cost": [1.0, 5.0, 6.0]})
+    monkeypatch.setattr(search, "STRIP_CELLS", 2)
+    rows = [x for b in search._block_costs(left, right) for x in zip(*b.to_pydict().values())]
+    assert rows == [(3, 8, 2.0), (4, 8, 3.0), (5, 8, 5.0), (5, 9, 6.0)]
