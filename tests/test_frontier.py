@@ -97,3 +97,51 @@ def test_pairs_that_nothing_links(spark, monkeypatch):
     monkeypatch.setattr(frontier, "grow", lambda units, *rest, grow=frontier.grow: asked.append(units.count()) or grow(units, *rest))
     rows = search.route_by_frontier(ask(spark, [(0, 41), (50, 3), (58, 59)], "bidirectional-a-star"), nodes, edges, search.landmark_table(nodes, edges)).collect()
     assert {(r["status"], r["visited"]) for r in rows} == {("NoPath", 0)} and asked == [0]
+
+
+@pytest.mark.parametrize("limit,joins", [(1 << 20, False), (100, True), (0, True)])
+def test_small_groups_are_searched_in_tasks(spark, monkeypatch, limit, joins):
+    """Three networks without links to each other, of which the limit lets all, the small ones or none be searched whole; no joins by rounds where all are."""
+    made = [random_csr(seed, n=n, m=m)[1:] for seed, n, m in ((2, 60, 240), (5, 20, 60), (7, 20, 60))]
+    shift = np.cumsum([0, 60, 20])
+    src, dst, cost = (np.concatenate([x[i] + (k if i < 2 else 0) for x, k in zip(made, shift)]) for i in range(3))
+    r = np.random.default_rng(3)
+    csr = search.Csr(src, dst, cost, np.arange(len(src)), 101, r.uniform(-60, 60, 101), r.uniform(-170, 170, 101))
+    nodes, edges = tables(spark, csr, src, dst, cost, 101)
+    if not joins:
+        monkeypatch.setattr(frontier, "adjacency", None)
+    monkeypatch.setattr(search, "TASK_REQUESTS", 7)
+    pairs = [(s, t) for s in (0, 13, 61, 62, 85, 100) for t in range(0, 101, 9)] + [(3, 3), (200, 1), (1, -4), (None, 2)]
+    asked = [(2 * i + k, s, t, a) for i, (s, t) in enumerate(pairs) for k, a in enumerate(("dijkstra", "bidirectional-a-star")) if joins or s != 100 or k]
+    requests = spark.createDataFrame(asked, "request_id long, from_node int, to_node int, algorithm string")
+    rows = search.route_by_groups(requests, nodes, edges, limit).collect()
+    assert sorted(x["request_id"] for x in rows) == sorted(a[0] for a in asked)
+    want = {i: search.solve(csr, s, t, a) for i, s, t, a in asked}
+    for x in rows:
+        status, why, walk, steps, total, nm, visited = want[x["request_id"]][:7]
+        assert (x["status"], x["failure_reason"]) == (status, why)
+        if status != "Success":
+            continue
+        assert x["total_cost"] == pytest.approx(total, rel=1e-9, abs=1e-9)
+        assert [(src[e], dst[e]) for e in x["path_edges"]] == list(zip(x["path_nodes"], x["path_nodes"][1:]))
+        assert (x["path_nodes"][0], x["path_nodes"][-1]) == (walk[0], walk[-1])
+
+
+def test_distances_in_small_groups(spark, monkeypatch):
+    """Landmark tables beyond the broadcast bound: no rounds of joins where the sources' groups are small."""
+    csr, src, dst, cost = random_csr(2, whole=False)
+    nodes, edges = tables(spark, csr, src, dst, cost, 60)
+    monkeypatch.setattr(search, "frontier_distances", None)
+    want, got = ({(r["landmark"], r["node_id"]): (r["from_landmark"], r["to_landmark"]) for r in search.landmark_table(nodes, edges, limit).collect()} for limit in (1 << 20, 0))
+    assert len(want) and got == want
+
+
+def test_forests_keep_the_groups():
+    r = np.random.default_rng(4)
+    a, b = r.integers(0, 400, 300), r.integers(0, 400, 300)
+    least = {v: v for v in range(400)}
+    for _ in range(400):
+        for x, y in zip(a.tolist(), b.tolist()):
+            least[x] = least[y] = min(least[x], least[y])
+    made = network._forest(a, b).to_pydict()
+    assert dict(zip(made["a"], made["b"])) == {v: m for v, m in least.items() if v != m}
