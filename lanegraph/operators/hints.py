@@ -10,6 +10,9 @@ from lanegraph.operators.network import places
 from lanegraph.operators.raster import Raster
 from lanegraph.shared import materialize
 
+#: Where the paths have this many times fewer legs than there are hints, hints are first met with the legs.
+FEW = 4
+
 
 def is_bidirectional(flags: Column) -> Column:
     return flags.cast("int").bitwiseAND(F.lit(BIDIRECTIONAL)) != 0
@@ -111,6 +114,14 @@ def generic_windows(legs: DataFrame, hints: DataFrame) -> DataFrame:
     return once.select("path_id", "corridor_id", "start", (F.col("start") + F.col("n")).alias("end"), "backwards")
 
 
+def on_legs(hints: DataFrame, legs: DataFrame) -> DataFrame:
+    """The hints whose first edge, or whose last one backwards, is a leg; no others can lie on a path."""
+    first, last = F.get("spans", F.lit(0)), F.element_at("spans", -1)
+    ends = hints.select("corridor_id", F.explode(F.array(F.struct(first["src"].alias("src"), first["dst"].alias("dst")), F.struct(last["dst"].alias("src"), last["src"].alias("dst")))).alias("e"))
+    met = ends.select("corridor_id", "e.src", "e.dst").join(legs.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
+    return hints.join(met.select("corridor_id").distinct(), "corridor_id", "left_semi")
+
+
 def port_windows(legs: DataFrame, ends: DataFrame, hints: DataFrame) -> DataFrame:
     """path_id, corridor_id, start, end, side for ``ends`` (path_id, n_nodes, from_locode, to_locode): the first port's hint forwards at 0, the last one's backwards at the tail, whatever its flag."""
     best = port_approaches(hints)
@@ -142,7 +153,12 @@ def path_windows(legs: DataFrame, ends: DataFrame, hints: DataFrame, raster: Ras
     Each hint that lies on some path is drawn once; one without a safe line shapes nothing. Of hints of one kind on the same
     legs of a path only the most confident can be chosen (of equals the one of the lowest ``place_of``), so the others are left out.
     """
-    generic = generic_windows(legs, hints).select("path_id", "corridor_id", "start", "end", "backwards", F.lit(1).alias("kind"))
+    named = ["corridor_id", "locode", "kind", "flags", "confidence", "spans", "coords", *([] if place_of(hints) == "corridor_id" else [place_of(hints)])]
+    hints = materialize(hints.select(*named), "hints")  # read for selection, runs, lines and confidence
+    usable = usable_windows(hints)
+    if FEW * legs.count() < usable.count():
+        usable = materialize(on_legs(usable, legs), "usable")
+    generic = generic_windows(legs, usable).select("path_id", "corridor_id", "start", "end", "backwards", F.lit(1).alias("kind"))
     port = port_windows(legs, ends, hints).select("path_id", "corridor_id", "start", "end", (F.col("side") == "end").alias("backwards"), F.lit(2).alias("kind"))
     found = materialize(generic.unionByName(port), "windows")
     lines = hint_lines(hints.join(found.select("corridor_id").distinct(), "corridor_id", "left_semi"), raster)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lanegraph.functions.geo import EARTH_RADIUS_M, MAX_MERCATOR_LAT, in_raster, mercator_x, mercator_y, raster_col, raster_row
 
 CORNER_TOLERANCE = 1e-12
+#: A packed mask of at most so many cells is opened to a byte a cell in each worker that walks it.
+MAX_OPEN_CELLS = 1 << 24
 
 
 class Raster:
@@ -27,6 +29,7 @@ class Raster:
         self.min_x, self.min_y, self.max_x, self.max_y = min_x, min_y, max_x, max_y
         self.bits, self.tile, self.tiles, self.codec = bits, tile, tiles or {}, codec
         self.open: dict[int, bytes] = {}
+        self.framed: np.ndarray | None = None
 
     @classmethod
     def from_cells(cls, width, height, pixel, min_x, min_y, max_x, max_y, rows: np.ndarray, cols: np.ndarray) -> "Raster":
@@ -35,7 +38,7 @@ class Raster:
         return cls(width, height, pixel, min_x, min_y, max_x, max_y, np.packbits(grid).tobytes())
 
     def __getstate__(self):
-        return {**self.__dict__, "open": {}}
+        return {**self.__dict__, "open": {}, "framed": None}
 
     def land_many(self, row: np.ndarray, col: np.ndarray) -> np.ndarray:
         """``land`` of many cells at once."""
@@ -60,6 +63,14 @@ class Raster:
                     out[inside[i]] = False
         return out
 
+    def _framed(self) -> np.ndarray:
+        """Land by cell in one row after the other, with a frame of land around the grid; made once per worker."""
+        if self.framed is None:
+            grid = np.ones((self.height + 2, self.width + 2), bool)
+            grid[1:-1, 1:-1] = np.unpackbits(np.frombuffer(self.bits, np.uint8))[: self.width * self.height].reshape(self.height, self.width)
+            self.framed = grid.ravel()
+        return self.framed
+
     def _tile(self, index: int) -> bytes:
         data = self.open.get(index)
         if data is None:
@@ -133,6 +144,9 @@ class Raster:
             every_x, every_y = np.where(right, self.pixel / np.abs(dx), np.inf), np.where(down, self.pixel / np.abs(dy), np.inf)
             at_x = np.where(right, (self.min_x + (col + (right > 0)) * self.pixel - x0) / dx, np.inf)
             at_y = np.where(down, (self.max_y - (row + (down > 0)) * self.pixel - y0) / dy, np.inf)
+        if self.bits is not None and self.width * self.height <= MAX_OPEN_CELLS:
+            across = self.width + 2
+            return self._walk_framed(out, who, (row + 1) * across + col + 1, (row1 + 1) * across + col1 + 1, right, down * across, every_x, every_y, at_x, at_y)
         land = self.land_many(row, col)
         while True:
             out[who[land]] = False
@@ -152,6 +166,34 @@ class Raster:
             at_x, at_y = np.where(go_x, at_x + every_x, at_x), np.where(go_y, at_y + every_y, at_y)
             land |= self.land_many(row, col)
 
+    def _walk_framed(self, out: np.ndarray, who, at, end, right, down, every_x, every_y, at_x, at_y) -> np.ndarray:
+        """The same walk by places in the framed mask. Segments that have ended stand still until enough have to be dropped."""
+        grid = self._framed()
+        land = grid[at]
+        while True:
+            out[who[land]] = False
+            go = ~land & (at != end)
+            left = np.count_nonzero(go)
+            if not left:
+                return out
+            if left < 0.75 * len(who):
+                who, at, end, right, down, every_x, every_y, at_x, at_y = (v[go] for v in (who, at, end, right, down, every_x, every_y, at_x, at_y))
+            elif left < len(who):
+                ended = np.flatnonzero(~go)
+                right[ended] = down[ended] = 0
+                at[ended] = end[ended]  # land beside a corner is not where they are
+            with np.errstate(invalid="ignore"):
+                corner = np.abs(at_x - at_y) <= CORNER_TOLERANCE
+            go_x, go_y = at_x < at_y, at_x >= at_y
+            beside = None
+            if corner.any():
+                beside = grid[at + right] | grid[at + down]
+                beside &= corner & ((right != 0) | (down != 0))
+                go_x, go_y = corner | go_x, corner | go_y
+            at = at + right * go_x + down * go_y
+            at_x, at_y = np.where(go_x, at_x + every_x, at_x), np.where(go_y, at_y + every_y, at_y)
+            land = grid[at] if beside is None else grid[at] | beside
+
 
 def located(points: DataFrame, meta: dict) -> DataFrame:
     """Points (lon, lat) with inside, row and col in the mask described by ``meta``."""

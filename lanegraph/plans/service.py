@@ -77,9 +77,11 @@ class RouteService:
     def draw(self, paths: DataFrame, timed: bool = False) -> DataFrame:
         """Geometry of paths (path_id, path_nodes, mode, from_locode, to_locode)."""
         paths = materialize(paths, "paths")  # read for points, legs and hints
+        pulled = paths.where(F.col("mode") == "funnel")
+        if not pulled.limit(1).count():  # gates and hints shape pulled paths only
+            return geometry.build_geometry(paths, self.nodes, self.raster, None, None, timed)
         windows = None
         if self.hints is not None and self.raster is not None and self.gates is not None:
-            pulled = paths.where(F.col("mode") == "funnel")
             ends = pulled.select("path_id", F.size("path_nodes").alias("n_nodes"), F.col("from_locode").cast("string"), F.col("to_locode").cast("string"))
             windows = path_windows(geometry.path_legs(pulled), ends, self.hints, self.raster)
         return geometry.build_geometry(paths, self.nodes, self.raster, self.gates, windows, timed)

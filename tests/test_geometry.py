@@ -11,6 +11,7 @@ from lanegraph import schemas
 from lanegraph.operators import geometry as g
 from lanegraph.operators import hints, search
 from lanegraph.operators.raster import Raster
+from lanegraph.plans.service import RouteService
 
 CHAIN = {0: (0.0, 0.0), 1: (0.01, 0.005), 2: (0.02, -0.005), 3: (0.03, 0.0)}
 POINTS = [CHAIN[i] for i in range(4)]
@@ -201,3 +202,38 @@ def test_columns(spark):
     assert twice.select(g.dedupe_points(F.col("p"))).first()[0] == [[0.0, 0.0], [1.0, 1.0], [0.0, 0.0]]
     access = arrays(spark, [(-0.02, 0), (-0.01, 0), (0, 0)]).select(g.with_port_access(F.array(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(0.03), F.lit(0.0))), F.col("p"), F.transform("p", lambda p: F.array(F.lit(0.03) - p[0], p[1])))).first()[0]
     assert len(access) == 6 and access[0] == [-0.02, 0.0] and access[-1] == [0.05, 0.0]
+
+
+def test_hints_away_from_all_paths_are_left_out(spark):
+    """Only hints whose first edge, or last one backwards, is a leg go on to be matched."""
+    kind = "corridor_id long, spans array<struct<src:int,dst:int>>"
+    asked = spark.createDataFrame([(1, [(1, 2), (2, 3)]), (2, [(7, 2), (2, 1)]), (3, [(2, 1), (9, 8)]), (4, [(5, 6)])], kind)
+    legs = spark.createDataFrame([(1, 0, 1, 2), (1, 1, 2, 3)], "path_id long, pos int, src int, dst int")
+    assert sorted(r["corridor_id"] for r in hints.on_legs(asked, legs).collect()) == [1, 2]
+
+
+def test_other_modes_need_no_gates(spark):
+    """Paths that are not pulled are drawn without reading portals or hints."""
+    nodes = spark.createDataFrame([(i, y, x) for i, (x, y) in CHAIN.items()], "node_id int, lat double, lon double")
+    paths = spark.createDataFrame([(1, [0, 1, 2, 3], "shortcut", None, None), (2, [2, 1], "raw", None, None)], "path_id long, path_nodes array<int>, mode string, from_locode string, to_locode string")
+    service = RouteService.__new__(RouteService)
+    service.nodes, service.raster, service.hints, service.portals, service.edges = nodes, mask(), "unread", "unread", "unread"
+    used = {r["path_id"]: (r["used"], r["final_count"]) for r in service.draw(paths).collect()}
+    assert used == {1: ("shortcut", 2), 2: ("raw", 2)}
+
+
+def test_framed_walk_equals_cells_of_each():
+    """Many segments of an opened mask, grid lines and corners among them, against the walk by rows and columns."""
+    from lanegraph.operators import raster
+
+    r = np.random.default_rng(8)
+    grid = (r.random((40, 50)) < 0.02).astype(np.uint8)
+    made = Flat(50, 40, 1000.0, 0.0, 0.0, 50000.0, 40000.0, bits=np.packbits(grid).tobytes())
+    a, b = (np.stack([r.uniform(-0.5, 50.5, 4000), r.uniform(-0.5, 40.5, 4000)], 1) for _ in range(2))
+    a[:1500], b[:1500] = np.round(a[:1500] * 2) / 2, np.round(b[:1500] * 2) / 2
+    got = made.safe_many(a, b)
+    limit, raster.MAX_OPEN_CELLS = raster.MAX_OPEN_CELLS, 0
+    try:
+        assert (got == made.safe_many(a, b)).all() and 0 < got.sum() < len(got)
+    finally:
+        raster.MAX_OPEN_CELLS = limit
