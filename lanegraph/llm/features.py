@@ -75,16 +75,14 @@ def unit_ids(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def core_ids(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """One id per word (its lower-cased core), and the number of words of each text."""
-    memo = live(("cores", buckets), lambda: Memo(lambda w: zlib.crc32(w.strip(MARKS).lower()) % buckets))
-    flat: list[int] = []
-    sizes = np.empty(len(texts), np.int64)
-    before = 0
-    for i, t in enumerate(texts):
-        flat.extend(map(memo.__getitem__, t.split()))
-        sizes[i] = len(flat) - before
-        before = len(flat)
-    return np.fromiter(flat, np.int64, before), sizes
+    """One id per word (its lower-cased core), and the number of words of each text. Each distinct word is looked at once."""
+    parts = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+    words = pc.list_flatten(parts)
+    full = pc.greater(pc.binary_length(words), 0)  # white space at the ends of a text makes empty parts
+    text = pc.list_parent_indices(parts).filter(full).to_numpy()
+    coded = words.filter(full).view(pa.large_binary()).dictionary_encode()
+    ids = np.fromiter((zlib.crc32(w.strip(MARKS).lower()) % buckets for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+    return ids[coded.indices.to_numpy()], np.bincount(text, minlength=len(texts))
 
 
 def map_rows(df: DataFrame, text: str, schema: str, fn: Callable[[list[bytes]], Iterable]) -> DataFrame:

@@ -130,43 +130,66 @@ def contexts(ids: np.ndarray, sizes: np.ndarray, offsets=OFFSETS, padding: int =
     return out
 
 
-def by_class(k: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(k.astype(np.int16), kind="stable")
-    cuts = np.searchsorted(k[order], np.arange(CLASSES + 1))
+def in_class_order(k: np.ndarray) -> np.ndarray:
+    return np.argsort(k.astype(np.int16), kind="stable")
+
+
+def by_class(k: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each class with its rows, of classes in order: slices, so that nothing is copied to and fro."""
+    cuts = np.searchsorted(k, np.arange(CLASSES + 1))
     for c in np.flatnonzero(np.diff(cuts)).tolist():
-        yield c, order[cuts[c] : cuts[c + 1]]
+        yield c, slice(cuts[c], cuts[c + 1])
+
+
+#: exp of logits no further from zero than this, and sums of CLASSES or MEMBERS of them, are ordinary float32 numbers.
+SAFE_LOGIT = 80.0
 
 
-def _exp(z: np.ndarray) -> np.ndarray:
-    """exp of rows of logits, in place, each row less its largest one."""
-    z -= z.max(axis=1, keepdims=True)
+def _bounded(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no logit is beyond SAFE_LOGIT: a tanh lies between -1 and 1. ``weights`` has the hidden units on its last axis."""
+    return float((np.abs(weights).sum(axis=-1) + np.abs(bias)).max()) < SAFE_LOGIT
+
+
+def _exp(z: np.ndarray, bounded: bool) -> np.ndarray:
+    """exp of rows of logits, in place; if they are not bounded each row less its largest one."""
+    if not bounded:
+        z -= z.max(axis=1, keepdims=True)
     return np.exp(z, out=z)
 
 
+def _log_softmax_at(z: np.ndarray, at: np.ndarray, bounded: bool) -> np.ndarray:
+    """For each row of logits, which are used up, the log of the share that the one at ``at`` has."""
+    if not bounded:
+        z -= z.max(axis=1, keepdims=True)
+    own = z[np.arange(len(z)), at]
+    return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
+
+
 def log_probs(params: list[np.ndarray], cls: np.ndarray, slot: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """log p(bucket | both sides) of every word."""
     e, p, b, u, c, v, g = params
     placed = [e @ p[j * DIM : (j + 1) * DIM] for j in range(len(OFFSETS))]  # what a bucket adds at each place
     ctx = contexts(ids, sizes)
     out = np.empty(len(ids))
+    ones = np.ones((2 * STEP, 1), np.float32)  # a column of ones takes the biases along
+    uc, vg = np.vstack([u, c]), np.concatenate([v, g[:, :, None]], axis=2).transpose(0, 2, 1)
+    flat, low = _bounded(u.T, c), _bounded(v, g)
     for lo in range(0, len(ids), 2 * STEP):
-        y, near = ids[lo : lo + 2 * STEP], ctx[lo : lo + 2 * STEP]
+        y = ids[lo : lo + 2 * STEP]
+        order = in_class_order(cls[y])
+        y, near = y[order], ctx[lo : lo + 2 * STEP][order]
         k, place = cls[y], slot[y]
-        h = placed[0][near[:, 0]]
+        h = placed[0].take(near[:, 0], axis=0)
         for j in range(1, len(OFFSETS)):
-            h += placed[j][near[:, j]]
+            h += placed[j].take(near[:, j], axis=0)
         h += b
-        np.tanh(h, out=h)
+        h = np.hstack([np.tanh(h, out=h), ones[: len(h)]])
         own = np.empty(len(y))
         for at in range(0, len(y), PART):  # small enough to stay in the cache
-            z = h[at : at + PART] @ u + c
-            z -= z.max(axis=1, keepdims=True)
-            own[at : at + PART] = z[np.arange(len(z)), k[at : at + PART]] - np.log(np.exp(z).sum(axis=1))
+            own[at : at + PART] = _log_softmax_at(h[at : at + PART] @ uc, k[at : at + PART], flat)
         for q, rows in by_class(k):
-            z = h[rows] @ v[q].T + g[q]
-            z -= z.max(axis=1, keepdims=True)
-            own[rows] += z[np.arange(len(rows)), place[rows]] - np.log(np.exp(z).sum(axis=1))
-        out[lo : lo + 2 * STEP] = own
+            own[rows] += _log_softmax_at(h[rows] @ vg[q], place[rows], low)
+        out[lo + order] = own
     return out
 
 
@@ -174,36 +197,41 @@ def train_step(params: list[np.ndarray], sums: list[np.ndarray], ctx: np.ndarray
     """One Adagrad step on the mean log-loss of the buckets."""
     e, p, b, u, c, v, g = params
     n = len(y)
-    x = e[ctx].reshape(n, -1)
+    order = in_class_order(cls[y])
+    ctx, y = ctx[order], y[order]
+    x = e.take(ctx, axis=0).reshape(n, -1)
     h = np.tanh(x @ p + b)
     k, place = cls[y], slot[y]
-    dh, gu, gc = np.empty_like(h), np.zeros_like(u), np.zeros_like(c)
+    dh, gu, gc, gv, gg = np.empty_like(h), *map(np.zeros_like, (u, c, v, g))
+    flat, low = _bounded(u.T, c), _bounded(v, g)
     for at in range(0, n, PART):
         part = h[at : at + PART]
-        z = _exp(part @ u + c)
-        z /= z.sum(axis=1, keepdims=True) * n
+        z = part @ u
+        z += c
+        z = _exp(z, flat)
+        z *= (1 / (z.sum(axis=1) * n))[:, None]
         z[np.arange(len(z)), k[at : at + PART]] -= 1 / n
         dh[at : at + PART] = z @ u.T
         gu += part.T @ z
         gc += z.sum(0)
     for j, rows in by_class(k):
         hk = h[rows]
-        z = _exp(hk @ v[j].T + g[j])
-        z /= z.sum(axis=1, keepdims=True) * n
-        z[np.arange(len(rows)), place[rows]] -= 1 / n
+        z = hk @ v[j].T
+        z += g[j]
+        z = _exp(z, low)
+        z *= (1 / (z.sum(axis=1) * n))[:, None]
+        z[np.arange(len(z)), place[rows]] -= 1 / n
         dh[rows] += z @ v[j]
-        for q, grad in ((5, z.T @ hk), (6, z.sum(0))):
-            sums[q][j] += grad * grad
-            params[q][j] -= rate * grad / np.sqrt(sums[q][j])
+        np.matmul(z.T, hk, out=gv[j])
+        gg[j] = z.sum(0)
     dh *= 1 - h * h
     dx = (dh @ p.T).reshape(n * len(OFFSETS), DIM)
-    used, inv = np.unique(ctx.ravel(), return_inverse=True)
-    ge = np.stack([np.bincount(inv, dx[:, i], len(used)) for i in range(DIM)], 1).astype(np.float32)
-    for q, grad in ((1, x.T @ dh), (2, dh.sum(0)), (3, gu), (4, gc)):
+    at = ctx.ravel()
+    ge = np.stack([np.bincount(at, dx[:, i], len(e)) for i in range(DIM)], 1).astype(np.float32)
+    for q, grad in enumerate((ge, x.T @ dh, dh.sum(0), gu, gc, gv, gg)):  # a gradient of zero changes nothing
         sums[q] += grad * grad
-        params[q] -= rate * grad / np.sqrt(sums[q])
-    sums[0][used] += ge * ge
-    e[used] -= rate * ge / np.sqrt(sums[0][used])
+        grad /= np.sqrt(sums[q])
+        params[q] -= rate * grad
     e[BUCKETS] = 0
 
 

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lanegraph.llm import crf, mixing
+from lanegraph.llm import crf, features, mixing
 from lanegraph.llm import pseudo_likelihood as pl
 from lanegraph.llm import quality_classifier as qc
 from lanegraph.llm.features import MARKS
@@ -288,6 +288,39 @@ def test_pseudo_likelihood_equals_brute_force(spark, monkeypatch):
     assert pl.score_documents(frame(spark, [], DOCS)).count() == 0
 
 
+def test_words_are_looked_at_once_and_none_is_kept():
+    r = np.random.default_rng(3)
+    marks = np.array(["a", "B", "é", "ß", "中", " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", ".", ",", "\x00", "İ"])
+    texts = ["".join(r.choice(marks, n)).encode() for n in r.integers(0, 40, 500)] + [b"", b" ", b"\n\n"]
+    want = [[zlib.crc32(w.strip(MARKS).lower()) for w in t.split()] for t in texts]
+    features._LIVE.clear()
+    ids, sizes = features.core_ids(texts, 1 << 32)
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+    assert not features._LIVE
+
+
+def test_logits_are_shifted_only_where_they_may_overflow(monkeypatch):
+    """Both ways give the same probabilities and the same step; weights beyond the bound do not overflow."""
+    r = np.random.default_rng(4)
+    ids, sizes = r.integers(0, pl.BUCKETS, 300), np.array([100, 0, 200])
+    cls, slot = pl.classes_of(r.normal(size=(pl.BUCKETS, 4)))
+    start = pl.initial(np.bincount(ids, minlength=pl.BUCKETS).astype(float), cls, slot)
+    ctx = pl.contexts(ids, sizes)
+
+    def made():
+        params, sums = [p.copy() for p in start], [np.full(s, 1e-6, np.float32) for s in pl.SHAPES]
+        pl.train_step(params, sums, ctx, ids, cls, slot, 0.05)
+        return pl.log_probs(start, cls, slot, ids, sizes), pl.pack(params)
+
+    plain = made()
+    monkeypatch.setattr(pl, "SAFE_LOGIT", 0.0)
+    for a, b in zip(plain, made()):
+        assert np.allclose(a, b, atol=1e-4)
+    monkeypatch.undo()
+    start[4] += 200 * r.random(pl.CLASSES).astype(np.float32)
+    assert np.isfinite(made()[0]).all() and np.isfinite(made()[1]).all()
+
+
 def test_packed_integers_and_keys():
     r = np.random.default_rng(2)
     for a in (np.zeros(0), r.integers(0, 200, 50), r.integers(0, 1 << 62, 9), np.array([0])):
