@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterable
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,11 @@ def word_units(word: bytes, buckets: int) -> tuple[int, ...]:
 _LIVE: dict = {}
 
 
+def drop_live() -> None:
+    """Called by operators that keep nothing themselves, so that they do not carry what the stage before left in the worker."""
+    _LIVE.clear()
+
+
 def live(key: tuple, make: Callable[[], object]):
     """What this worker keeps from batch to batch: one thing only. Spark reuses workers, so that of another operator is dropped first."""
     if key not in _LIVE:
@@ -61,17 +66,24 @@ def live(key: tuple, make: Callable[[], object]):
     return _LIVE[key]
 
 
+def ids_of_words(words: list[bytes], memo: Memo) -> bytes:
+    """The ids of all words end to end; ``memo`` has each word's as ``packed_ids``, a third of the memory that tuples of numbers take."""
+    return b"".join(map(memo.__getitem__, words))
+
+
+def packed_ids(ids: Iterable[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+def joined_ids(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' ids end to end, and how many each has."""
+    return np.frombuffer(b"".join(parts), np.uint32).astype(np.int64), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+
+
 def unit_ids(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the units of all texts end to end, and how many each text has."""
-    memo = live(("units", buckets), lambda: Memo(lambda w: word_units(w, buckets)))
-    flat: list[int] = []
-    sizes = np.empty(len(texts), np.int64)
-    before = 0
-    for i, t in enumerate(texts):
-        flat.extend(chain.from_iterable(map(memo.__getitem__, t.split())))
-        sizes[i] = len(flat) - before
-        before = len(flat)
-    return np.fromiter(flat, np.int64, before), sizes
+    memo = live(("units", buckets), lambda: Memo(lambda w: packed_ids(word_units(w, buckets))))
+    return joined_ids([ids_of_words(t.split(), memo) for t in texts])
 
 
 def core_ids(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,6 @@ Other columns are only carried. An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanegraph.llm.common import map_texts
-from lanegraph.llm.features import MARKS, Memo, bounded_sample, live, map_rows, word_units
+from lanegraph.llm.features import MARKS, Memo, bounded_sample, ids_of_words, joined_ids, live, map_rows, packed_ids, word_units
 from lanegraph.shared import materialize
 
 BUCKETS = 1 << 16
@@ -55,18 +54,15 @@ def domain_units(word: bytes) -> tuple[int, ...]:
 
 def unit_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, unit and count of every unit of every text, and each text's number of words."""
-    memo = live(("domain units",), lambda: Memo(domain_units))
-    flat: list[int] = []
-    sizes = np.empty(len(texts), np.int64)
+    memo = live(("domain units",), lambda: Memo(lambda w: packed_ids(domain_units(w))))
     words = np.empty(len(texts), np.int64)
-    before = 0
+    parts = []
     for i, t in enumerate(texts):
         ws = t.split()
         words[i] = len(ws)
-        flat.extend(chain.from_iterable(map(memo.__getitem__, ws)))
-        sizes[i] = len(flat) - before
-        before = len(flat)
-    key = np.repeat(np.arange(len(texts)), sizes) * BUCKETS + np.fromiter(flat, np.int64, before)
+        parts.append(ids_of_words(ws, memo))
+    ids, sizes = joined_ids(parts)
+    key = np.repeat(np.arange(len(texts)), sizes) * BUCKETS + ids
     found, count = np.unique(key, return_counts=True)
     return found // BUCKETS, found % BUCKETS, count, words
 

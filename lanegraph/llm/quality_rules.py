@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanegraph.llm.common import map_texts
-from lanegraph.llm.features import map_rows
+from lanegraph.llm.features import drop_live, map_rows
 from lanegraph.shared import materialize
 
 WHITE = b" \t\n\x0b\x0c\r"
@@ -76,6 +76,7 @@ def _repeated_words(words: list[list[bytes]]) -> np.ndarray:
 
 def count_texts(texts: list[bytes]) -> list[np.ndarray]:
     """The COUNTS of each text. Window equality is tested on 64-bit hashes."""
+    drop_live()
     words = [t.split() for t in texts]
     n = len(texts)
     of = lambda f: np.fromiter(map(f, texts), np.int64, n)

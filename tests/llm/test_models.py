@@ -9,6 +9,7 @@ import pytest
 from lanegraph.llm import crf, features, mixing
 from lanegraph.llm import pseudo_likelihood as pl
 from lanegraph.llm import quality_classifier as qc
+from lanegraph.llm import quality_rules as qr
 from lanegraph.llm.features import MARKS
 from tests.llm.fixtures import DOCS, WORDS, clashing, documents, frame, sentence
 
@@ -299,6 +300,21 @@ def test_words_are_looked_at_once_and_none_is_kept():
     assert not features._LIVE
 
 
+def test_words_are_kept_packed_and_not_carried_into_the_next_stage():
+    words = [f"word{i}x".encode() for i in range(50_000)]
+    features._LIVE.clear()
+    tracemalloc.start()
+    ids, sizes = features.unit_ids([b" ".join(words), b"", words[7] + b"."], qc.BUCKETS)
+    doc, unit, count, n = mixing.unit_counts([b" ".join(words), b"", words[7]])
+    del ids, doc, unit, count
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert sizes.tolist() == [50_000, 0, 2] and n.tolist() == [50_000, 0, 1]
+    assert held / len(words) < 200  # with numbers in tuples 257
+    qr.count_texts([b"some words"])
+    assert not features._LIVE
+
+
 def test_logits_are_shifted_only_where_they_may_overflow(monkeypatch):
     """Both ways give the same probabilities and the same step; weights beyond the bound do not overflow."""
     r = np.random.default_rng(4)
