@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -16,6 +15,7 @@ from lanegraph.llm.common import groups
 
 #: ASCII marks that are cut from both ends of a word.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_MARK = np.isin(np.arange(256), np.frombuffer(MARKS, np.uint8))
 
 
 class Memo(dict):
@@ -66,35 +66,90 @@ def live(key: tuple, make: Callable[[], object]):
     return _LIVE[key]
 
 
-def ids_of_words(words: list[bytes], memo: Memo) -> bytes:
-    """The ids of all words end to end; ``memo`` has each word's as ``packed_ids``, a third of the memory that tuples of numbers take."""
-    return b"".join(map(memo.__getitem__, words))
-
-
-def packed_ids(ids: Iterable[int]) -> bytes:
-    return array("I", ids).tobytes()
-
-
-def joined_ids(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' ids end to end, and how many each has."""
-    return np.frombuffer(b"".join(parts), np.uint32).astype(np.int64), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+def coded_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of all texts, each word's place among them, and how many words each text has."""
+    parts = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+    words = pc.list_flatten(parts)
+    full = pc.greater(pc.binary_length(words), 0)  # white space at the ends of a text makes empty parts
+    text = pc.list_parent_indices(parts).filter(full).to_numpy()
+    coded = words.filter(full).view(pa.large_binary()).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), np.bincount(text, minlength=len(texts))
+
+
+def _crc_table() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, (c >> 1) ^ np.uint32(0xEDB88320), c >> 1)
+    return c
+
+
+_CRC = _crc_table()
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: Hashes of longer ranges are taken one by one.
+SHORT = 32
+
+
+def range_crcs(data: np.ndarray, start: np.ndarray, size: np.ndarray, begin: int = 0) -> np.ndarray:
+    """``zlib.crc32(range, begin)`` of many ranges of ``data``, a byte of all of them at a time."""
+    order = np.argsort(-size, kind="stable")
+    at, left = start[order], size[order]
+    crc = np.full(len(order), begin ^ 0xFFFFFFFF, np.uint32)
+    long = int(np.searchsorted(-left, -SHORT))
+    for k in range(int(left[long]) if long < len(left) else 0):
+        x = slice(long, int(np.searchsorted(-left, -k)))
+        crc[x] = _CRC[(crc[x] ^ data[at[x] + k]) & 0xFF] ^ (crc[x] >> 8)
+    crc ^= np.uint32(0xFFFFFFFF)
+    for i in range(long):
+        crc[i] = zlib.crc32(data[at[i] : at[i] + left[i]].tobytes(), begin)
+    out = np.empty(len(order), np.int64)
+    out[order] = crc
+    return out
+
+
+def units_of_words(words: pa.Array, buckets: int, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """(words, 2 + prefixes): what ``word_units`` gives for each word, then hashes of the first bytes of longer cores; -1 where there is none."""
+    _, ends, data = words.buffers()
+    end = np.frombuffer(ends, np.int64, len(words) + 1, 8 * words.offset)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    inner = np.flatnonzero(~_MARK[data])
+    first, last = np.searchsorted(inner, end[:-1]), np.searchsorted(inner, end[1:])
+    some = last > first
+    inner = np.append(inner, 0)
+    lo, hi = np.where(some, inner[first], end[1:]), np.where(some, inner[last - 1] + 1, end[1:])
+    count = lambda a, z: (n := np.concatenate([[0], np.cumsum((data >= a) & (data <= z))]))[hi] - n[lo]
+    upper = (hi - lo > 1) & (count(65, 90) > 0) & (count(97, 122) == 0)
+    low = _LOWER[data]
+    out = np.full((len(words), 2 + len(prefixes)), -1, np.int64)
+    out[:, 0] = np.where(some, range_crcs(low, lo, hi - lo) % buckets, -1)
+    made: dict[tuple, int] = {}
+    odd = np.flatnonzero((lo > end[:-1]) | (hi < end[1:]) | upper)
+    for i, word, a, z, u in zip(odd.tolist(), words.take(pa.array(odd)).to_pylist(), (lo - end[:-1])[odd].tolist(), (hi - end[:-1])[odd].tolist(), upper[odd].tolist()):
+        key = (word[:a], word[z:], u, a == z)
+        if key not in made:
+            made[key] = word_units(word, buckets)[-1]
+        out[i, int(a < z)] = made[key]
+    for j, n in enumerate(prefixes):
+        longer = np.flatnonzero(hi - lo > n)
+        out[longer, 2 + j] = range_crcs(low, lo[longer], np.full(len(longer), n), zlib.crc32(b"\x01")) % buckets
+    return out
 
 
 def unit_ids(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the units of all texts end to end, and how many each text has."""
-    memo = live(("units", buckets), lambda: Memo(lambda w: packed_ids(word_units(w, buckets))))
-    return joined_ids([ids_of_words(t.split(), memo) for t in texts])
+    """Ids of the units of all texts end to end, and how many each text has. Each distinct word is looked at once."""
+    drop_live()
+    words, place, n = coded_words(texts)
+    own = units_of_words(words, buckets)
+    ids = own[place].ravel()
+    more = np.concatenate([[0], np.cumsum(own[place, 1] >= 0)])
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return ids[ids >= 0], n + np.diff(more[ends])
 
 
 def core_ids(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """One id per word (its lower-cased core), and the number of words of each text. Each distinct word is looked at once."""
-    parts = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
-    words = pc.list_flatten(parts)
-    full = pc.greater(pc.binary_length(words), 0)  # white space at the ends of a text makes empty parts
-    text = pc.list_parent_indices(parts).filter(full).to_numpy()
-    coded = words.filter(full).view(pa.large_binary()).dictionary_encode()
-    ids = np.fromiter((zlib.crc32(w.strip(MARKS).lower()) % buckets for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-    return ids[coded.indices.to_numpy()], np.bincount(text, minlength=len(texts))
+    words, place, n = coded_words(texts)
+    ids = np.fromiter((zlib.crc32(w.strip(MARKS).lower()) % buckets for w in words.to_pylist()), np.int64, len(words))
+    return ids[place], n
 
 
 def map_rows(df: DataFrame, text: str, schema: str, fn: Callable[[list[bytes]], Iterable]) -> DataFrame:

@@ -24,20 +24,20 @@ Other columns are only carried. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanegraph.llm.common import map_texts
-from lanegraph.llm.features import MARKS, Memo, bounded_sample, ids_of_words, joined_ids, live, map_rows, packed_ids, word_units
+from lanegraph.llm.features import bounded_sample, coded_words, drop_live, map_rows, units_of_words
 from lanegraph.shared import materialize
 
 BUCKETS = 1 << 16
 FEATURES = 1024
 PREFIXES = (4, 6)
+#: So many texts are counted at once.
+TEXTS = 512
 MAX_LABELLED = 8_000
 RIDGE = 0.005
 ROUNDS = 24
@@ -46,23 +46,18 @@ TARGETS = {"good": 0.97, "good_toxic": 0.02, "poor": 0.01, "poor_toxic": 0.0}
 NAMES = {(1, 0): "good", (1, 1): "good_toxic", (0, 0): "poor", (0, 1): "poor_toxic"}
 
 
-def domain_units(word: bytes) -> tuple[int, ...]:
-    core = word.strip(MARKS).lower()
-    units = word_units(word, BUCKETS)
-    return (*units, *(zlib.crc32(b"\x01" + core[:n]) % BUCKETS for n in PREFIXES if len(core) > n))
+def domain_units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units (-1: none) of each distinct word, each word's place among those, and each text's number of words."""
+    drop_live()
+    words, place, n = coded_words(texts)
+    return units_of_words(words, BUCKETS, PREFIXES), place, n
 
 
 def unit_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, unit and count of every unit of every text, and each text's number of words."""
-    memo = live(("domain units",), lambda: Memo(lambda w: packed_ids(domain_units(w))))
-    words = np.empty(len(texts), np.int64)
-    parts = []
-    for i, t in enumerate(texts):
-        ws = t.split()
-        words[i] = len(ws)
-        parts.append(ids_of_words(ws, memo))
-    ids, sizes = joined_ids(parts)
-    key = np.repeat(np.arange(len(texts)), sizes) * BUCKETS + ids
+    units, place, words = domain_units(texts)
+    ids = units[place]
+    key = (np.repeat(np.arange(len(texts)), words)[:, None] * BUCKETS + ids)[ids >= 0]
     found, count = np.unique(key, return_counts=True)
     return found // BUCKETS, found % BUCKETS, count, words
 
@@ -120,13 +115,20 @@ class DomainClassifier:
 
     def posteriors(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, domains) probabilities, and each text's number of words."""
-        doc, unit, count, words = unit_counts(texts)
+        units, place, words = domain_units(texts)
         z = np.tile(self.b, (len(texts), 1))
-        if len(self.w):
-            hit = self.slot[unit] >= 0
-            f, d, v = self.slot[unit[hit]], doc[hit], np.log1p(count[hit])
-            for c in range(len(self.domains)):
-                z[:, c] += np.bincount(d, self.w[f, c] * v, len(texts))
+        n = len(self.w)
+        if n:
+            slots = np.where(units >= 0, self.slot[units], -1)
+            ends = np.concatenate([[0], np.cumsum(words)])
+            for lo in range(0, len(texts), TEXTS):
+                size = words[lo : lo + TEXTS]
+                own = slots[place[ends[lo] : ends[lo + len(size)]]]
+                counts = np.bincount((np.repeat(np.arange(len(size)) * n, size)[:, None] + own)[own >= 0], minlength=len(size) * n)
+                full = np.flatnonzero(counts)
+                d, f, v = full // n, full % n, np.log1p(counts[full])
+                for c in range(len(self.domains)):
+                    z[lo : lo + len(size), c] += np.bincount(d, self.w[f, c] * v, len(size))
         return self._softmax(z), words
 
 

@@ -315,6 +315,41 @@ def test_words_are_kept_packed_and_not_carried_into_the_next_stage():
     assert not features._LIVE
 
 
+def test_units_of_distinct_words_are_made_together(monkeypatch):
+    """Odd words give what ``word_units`` gives; only each way of marks and capitals is looked at in Python."""
+    r = np.random.default_rng(5)
+    signs = np.array([b"a", b"B", b"\xc3\xa9", b" ", b"\t", b"\n", b"\x0b", b"\x1c", b".", b"-", b"!", b"\x00", b"7", b"\xff"])
+    texts = [b"".join(r.choice(signs, n).tolist()) for n in r.integers(0, 60, 400)] + [b"", b" ", b"x" * 70 + b".", b"X" * 70, b"... A AB Ab !A!"]
+    own = lambda w, n: features.word_units(w, n)
+    ids, sizes = features.unit_ids(texts, qc.BUCKETS)
+    assert ids.tolist() == [u for t in texts for w in t.split() for u in own(w, qc.BUCKETS)]
+    assert sizes.tolist() == [sum(len(own(w, qc.BUCKETS)) for w in t.split()) for t in texts]
+
+    def domain(w):
+        core = w.strip(MARKS).lower()
+        return (*own(w, mixing.BUCKETS), *(zlib.crc32(b"\x01" + core[:n]) % mixing.BUCKETS for n in mixing.PREFIXES if len(core) > n))
+
+    doc, unit, count, words = mixing.unit_counts(texts)
+    want = Counter((i, u) for i, t in enumerate(texts) for w in t.split() for u in domain(w))
+    assert dict(zip(zip(doc.tolist(), unit.tolist()), count.tolist())) == want and words.tolist() == [len(t.split()) for t in texts]
+
+    model = mixing.DomainClassifier(["good", "poor"])
+    chosen = np.unique(unit)[::3]
+    model.slot[chosen], model.w = np.arange(len(chosen)), r.normal(0, 0.1, (len(chosen), 2))
+    z = np.zeros((len(texts), 2))
+    for (i, u), n in want.items():
+        if model.slot[u] >= 0:
+            z[i] += model.w[model.slot[u]] * np.log1p(n)
+    got, words = model.posteriors(texts * 2)
+    assert np.allclose(got, np.exp(np.vstack([z, z])) / np.exp(np.vstack([z, z])).sum(1, keepdims=True)) and words.tolist() == [len(t.split()) for t in texts] * 2
+
+    calls = []
+    monkeypatch.setattr(features, "word_units", lambda w, n, f=features.word_units: calls.append(w) or f(w, n))
+    monkeypatch.setattr(mixing, "word_units", features.word_units, raising=False)
+    model.posteriors([" ".join(f"word{i}x word{i}y. Word{i}z" for i in range(5000)).encode()])
+    assert len(calls) < 10  # one by one 15,000
+
+
 def test_logits_are_shifted_only_where_they_may_overflow(monkeypatch):
     """Both ways give the same probabilities and the same step; weights beyond the bound do not overflow."""
     r = np.random.default_rng(4)
