@@ -34,6 +34,7 @@ BUCKETS = 1 << 14
 DIM = 32
 WINDOW = 2
 BLOCKS = 64
+UNITS = 1 << 16
 MAX_LABELLED = 12_000
 HIDDEN = 32
 THRESHOLD = 0.3
@@ -86,9 +87,18 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
 
 
 def pooled(texts: list[bytes], table: np.ndarray) -> np.ndarray:
-    """(texts, columns) float64 means of the units' rows; zeros for a text without units."""
+    """(texts, columns) float64 means of the units' rows; zeros for a text without units. Rows of about UNITS units at a time are looked up."""
     ids, sizes = unit_ids(texts, len(table))
-    return segment_sum(table[ids], sizes) / np.maximum(sizes, 1)[:, None]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.empty((len(texts), table.shape[1]))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + UNITS, "right")) - 1)
+        own = ids[ends[lo] : ends[hi]]
+        # One longer text: its rows times how often each is met.
+        out[lo:hi] = segment_sum(table[own], sizes[lo:hi]) if len(own) <= UNITS else np.bincount(own, minlength=len(table)) @ table.astype(np.float64)
+        lo = hi
+    return out / np.maximum(sizes, 1)[:, None]
 
 
 class Network:

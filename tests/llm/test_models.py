@@ -350,6 +350,22 @@ def test_units_of_distinct_words_are_made_together(monkeypatch):
     assert len(calls) < 10  # one by one 15,000
 
 
+def test_rows_of_units_are_looked_up_in_bounded_parts():
+    """3 MB of texts take no (units, columns) array at once; longer single texts are counted instead."""
+    r = np.random.default_rng(6)
+    table = r.normal(size=(qc.BUCKETS, 2 * qc.DIM)).astype(np.float32)
+    texts = [b" ".join(b"w%d" % i for i in r.integers(0, 3000, n)) for n in [0, 5, 2 * qc.UNITS] + [3000] * 150]
+    ids, sizes = features.unit_ids(texts, qc.BUCKETS)
+    ends = np.cumsum(sizes)
+    tracemalloc.start()
+    got = qc.pooled(texts, table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) > 500_000 and peak < 60e6  # at once 164 MB
+    want = [table[ids[e - n : e]].astype(np.float64).sum(0) / max(n, 1) for n, e in zip(sizes, ends)]
+    assert np.allclose(got, want, atol=1e-5) and not got[0].any()
+
+
 def test_logits_are_shifted_only_where_they_may_overflow(monkeypatch):
     """Both ways give the same probabilities and the same step; weights beyond the bound do not overflow."""
     r = np.random.default_rng(4)

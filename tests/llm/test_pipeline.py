@@ -2,6 +2,7 @@ import os
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as cp
@@ -53,6 +54,23 @@ def test_awkward_rows(spark, tmp_path):
         assert sum(r["length"] for r in long) == 0 or [r["start"] for r in sorted(long, key=lambda r: r["piece"])][0] == 0
 
 
+def test_stages_bound_arrow_batches(spark, tmp_path):
+    """Batches end by their bytes, so that neither executors nor workers hold thousands of long texts at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    sf = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    try:
+        for name, stage in cp.STAGES:
+            spark.conf.set(key, before)
+            stage(spark, frame(spark, documents(3, 10)), sf)
+            rows = spark.range(0, 1500, 1, 1).selectExpr("id", "repeat('word ', 2000) AS text")
+            sizes = [r["bytes"] for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"bytes": [b.nbytes]}) for b in batches), "bytes long").collect()]
+            assert len(sizes) > 4 and max(sizes) < 2.9e6, name  # by default one batch of 15 MB
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_ten_queries():
     assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 11))
 
