@@ -25,9 +25,9 @@ fill, each member is compared with the smallest. Where the members then still fo
 cells are joined on their sets (``crowd_links``): similar sets share one of their rarest fifth of shingles (prefix
 filtering). Shingles of up to ``CELL`` members give pairs of members of different groups. Sets that are alike in more
 frequent shingles only are gathered by these, as texts of one template: within it, links hold between members only if they hold to
-the shortest; the shortest of all templates are joined in the same way in turn, with twice the limit, and links between
-them are carried on to the members. Left to the cells alone are pairs that share frequent shingles only, of which neither
-has the same ones as a third text.
+the shortest. The shortest of all templates, also of those that a single text has, are compared in blocks of bounded size
+(``_all_pairs``), whatever the frequency of a shingle, and links between them are carried on to the members. So no
+link between two groups of such cells is lost.
 
 Components come from alternating large-star and small-star rounds over tables in the shared folder.
 
@@ -43,6 +43,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,6 +58,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SAMPLES = 12
 SAMPLE = 4
+#: Two blocks of about so many sets, or of so many shingles, are compared in a task.
+BLOCK_ROWS, BLOCK_TOKENS = 2048, 1 << 20
 SEGMENTS_MASK = 0x5555555555555555
 #: The 32 two-bit segments in 6 groups.
 SEGMENT_GROUPS = [range(0, 6), range(6, 12), range(12, 17), range(17, 22), range(22, 27), range(27, 32)]
@@ -300,49 +303,150 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(alike & (F.col("u_node") != F.col("v_node"))).select(F.greatest("u_node", "v_node").alias("u"), F.least("u_node", "v_node").alias("v")).distinct()
 
 
+def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Places of pairs (a, b) that connect the same of n rows as all of them do; fewer than n."""
+    at, label, kept = np.arange(len(a)), np.arange(n), [np.zeros(0, np.int64)]
+    while True:
+        x, y = label[a[at]], label[b[at]]
+        at, x, y = at[x != y], x[x != y], y[x != y]
+        if not len(at):
+            return np.concatenate(kept)
+        larger, first = np.unique(np.maximum(x, y), return_index=True)
+        kept.append(at[first])
+        to = np.arange(n)
+        to[larger] = np.minimum(x, y)[first]
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+
+
+def _common(rows: tuple[pa.ListArray, pa.ListArray]) -> np.ndarray:
+    """How many values each list on one side has in common with each on the other; no list has repeats."""
+    held = [(np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy())), x.flatten().to_numpy()) for x in rows]
+    both = np.intersect1d(np.unique(held[0][1]), np.unique(held[1][1]))
+    parts = []
+    for row, value in held:
+        known = np.isin(value, both)
+        col = np.searchsorted(both, value[known])
+        order = np.argsort(col, kind="stable")
+        parts.append((row[known][order], col[order]))
+    out = np.zeros((len(rows[0]), len(rows[1])), np.float32)
+    for lo in range(0, len(both), BLOCK_ROWS):
+        strip = []
+        for (row, col), x in zip(parts, rows):
+            i, j = np.searchsorted(col, [lo, lo + BLOCK_ROWS])
+            has = np.zeros((len(x), min(BLOCK_ROWS, len(both) - lo)), np.float32)
+            has[row[i:j], col[i:j] - lo] = 1.0
+            strip.append(has)
+        out += strip[0] @ strip[1].T
+    return out
+
+
+def _block_links(similarity: float):
+    """Links (a, b) between the sets (seq, size, tokens, in, many) of two blocks, or within one: of those without members as many as connect the same."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sides = [table.filter(pc.equal(table["side"], k)).combine_chunks() for k in (0, 1)]
+        alone = not len(sides[1])
+        sides = [sides[0], sides[0]] if alone else sides
+        first = len(sides[0])
+        common = _common(tuple(x["tokens"].combine_chunks() if isinstance(x["tokens"], pa.ChunkedArray) else x["tokens"] for x in sides)).astype(np.float64)
+        sizes, many = ([x[c].to_numpy() for x in sides] for c in ("size", "many"))
+        known: dict[str, int] = {}
+        ins = [np.array([known.setdefault(v, len(known)) for v in x["in"].to_pylist()], np.int64) for x in sides]
+        alike = common >= similarity * (sizes[0][:, None] + sizes[1][None, :] - common) - 1e-9
+        i, j = np.nonzero(alike & (ins[0][:, None] != ins[1][None, :]))
+        if alone:
+            i, j = i[i > j], j[i > j]
+        wide = many[0][i] | many[1][j]
+        place = j if alone else j + first
+        bare = np.flatnonzero(~wide)
+        kept = np.concatenate([np.flatnonzero(wide), bare[_spanning(i[bare], place[bare], first + (0 if alone else len(sides[1])))]])
+        return pa.table([sides[0]["seq"].take(pa.array(i[kept])), sides[1]["seq"].take(pa.array(j[kept]))], names=["a", "b"])
+
+    return run
+
+
+def _all_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between ``sets`` (seq, size, tokens, in, many) that are alike in their tokens and not ``in`` the same group.
+
+    All of those that a set with members (``many``) has; the others' connect the same sets as all would. Sets meet if a chain of
+    rare tokens (prefix filtering) links them, and then in blocks: a task compares two blocks of about BLOCK_ROWS sets and
+    BLOCK_TOKENS tokens, whatever the frequency of a token. Blocks of one large group are not compared with each other.
+    """
+    each = sets.select("seq", "in", "size", F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("seq").orderBy("n", "token"))
+    needed = F.ceil(F.lit(similarity) * F.col("size") - F.lit(1e-9))
+    heads = join_skewed(each, counts, ["token"], each.count()).withColumn("place", place).where(F.col("place") <= F.col("m") - needed + 1)
+    heads = materialize(heads.select("seq", "in", "token"), "crowd_heads")
+    mixed = heads.groupBy("token").agg(F.count("*").alias("n"), F.min("seq").alias("least"), F.min("in").alias("lo"), F.max("in").alias("hi")).where("lo <> hi")
+    chain = join_skewed(heads, mixed.select("token", "n", "least"), ["token"], heads.count()).where("seq > least").select(F.col("seq").alias("u"), F.col("least").alias("v"))
+    chains = components(chain.distinct(), "crowd_chains")
+    member = chains.toDF("seq", "chain").unionByName(chains.select(F.col("v").alias("seq"), F.col("v").alias("chain")).distinct())
+    rows = materialize(sets.join(member, "seq"), "crowd_rows")
+    parts = lambda n, tokens: F.ceil(F.greatest(n / BLOCK_ROWS, tokens / BLOCK_TOKENS)).cast("int")
+    sizes = rows.groupBy("chain", "in").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("tokens"))
+    sizes = materialize(sizes.withColumn("own", parts(F.col("n"), F.col("tokens"))), "crowd_sizes")
+    pools = sizes.where("own = 1").groupBy("chain").agg(parts(F.sum("n"), F.sum("tokens")).alias("pool"))
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("string")
+    dealt = rows.join(sizes.select("chain", "in", "own"), ["chain", "in"]).join(pools, "chain", "left")
+    block = F.when(F.col("own") > 1, F.concat("in", F.lit("/"), number("seq", "own"))).otherwise(F.concat(F.lit("/"), number("in", "pool")))
+    dealt = materialize(dealt.select("chain", block.alias("block"), F.when(F.col("own") > 1, F.col("in")).alias("of"), "seq", "size", "tokens", "in", "many"), "crowd_blocks")
+    blocks = dealt.select("chain", "block", "of").distinct()
+    two = blocks.toDF("chain", "x", "x_of").join(blocks.toDF("chain", "y", "y_of"), "chain").where("x <= y and (x_of is null or y_of is null or x_of <> y_of)").select("chain", "x", "y")
+    two = materialize(two, "crowd_block_pairs")
+    cols = ["chain", "x", "y", "seq", "size", "tokens", "in", "many"]
+    left = dealt.join(two, (dealt["chain"] == two["chain"]) & (dealt["block"] == two["x"])).drop(two["chain"]).select(*cols, F.lit(0).alias("side"))
+    right = dealt.join(two, (dealt["chain"] == two["chain"]) & (dealt["block"] == two["y"])).drop(two["chain"]).where("x <> y").select(*cols, F.lit(1).alias("side"))
+    return left.unionByName(right).groupBy("chain", "x", "y").applyInArrow(_block_links(similarity), "a binary, b binary")
+
+
 def crowd_links(sets: DataFrame, similarity: float, limit: int) -> DataFrame | None:
-    """Links (u, v) between different groups of ``sets`` (seq, shingles, component_id); None if there are none to try.
+    """Links (u, v) that connect all groups of ``sets`` (seq, shingles, component_id) of which two sets are alike; None if there are none to try.
 
-    A level counts the shingles of its sets and orders each set by rarity. A pair that shares no rare shingle is alike in
-    frequent ones, and those make up ``similarity`` of both: sets without so many drop out, the others meet the shortest set with
-    the same frequent shingles. The next level's are the shortest sets of those templates that more than one set has.
+    Sets are ordered by the rarity of their shingles. Alike sets that share no rare shingle are alike in frequent ones, and those
+    make up ``similarity`` of both: sets with the same frequent shingles meet the shortest of them, their template's. The
+    templates' shortest sets, also of those that one set alone has, are compared by ``_all_pairs``, and links between them
+    are carried on to the members.
     """
     by_seq = sets.select("seq", F.col("seq").alias("node"), "shingles")
-    of = sets.select("seq", F.col("component_id").alias("in"))
-    now = sets.select("seq", F.size("shingles").alias("size"), F.size("shingles").alias("m"), F.explode("shingles").alias("token"))
-    found: list[tuple[DataFrame, DataFrame]] = []
-    while now.limit(1).count():
-        each = materialize(now, "crowd_shingles")
-        known = each.join(each.groupBy("token").agg(F.count("*").alias("n")), "token")
-        place = F.row_number().over(Window.partitionBy("seq").orderBy("n", "token"))
-        needed = F.ceil(F.lit(similarity) * F.col("size") - F.lit(1e-9))
-        ranked = materialize(known.select("seq", "size", "token", "n", (place <= F.col("m") - needed + 1).alias("first")), "crowd_tokens")
-        rare = ranked.where(F.col("first") & (F.col("n") > 1) & (F.col("n") <= limit)).select("seq", "token")
-        # Members of one group need no more links; templates are compared whatever their groups.
-        rare = rare.join(of, "seq") if not found else rare.withColumn("in", F.col("seq"))
-        buckets = rare.groupBy("token").agg(F.collect_list(F.struct("seq", "in")).alias("m"))
-        pairs = buckets.select("m", F.explode("m").alias("x"))
-        pairs = pairs.select(F.col("x.seq").alias("a"), F.explode(F.filter("m", lambda y: (y["seq"] < F.col("x.seq")) & (y["in"] != F.col("x.in")))["seq"]).alias("b"))
-        often = ranked.where(F.col("n") > limit).groupBy("seq", "size").agg(F.sort_array(F.collect_list("token")).alias("tokens")).where(F.size("tokens") >= needed)
-        often = materialize(often.withColumn("sign", F.xxhash64("tokens", F.size("tokens"))), "crowd_signs")
-        groups = often.groupBy("sign").agg(F.min(F.struct("size", "seq")).alias("least"), F.min_by("tokens", F.struct("size", "seq")).alias("tokens"), F.count("*").alias("n"))
-        groups = materialize(groups.where("n > 1").select("sign", F.col("least.seq").alias("to"), F.col("least.size").alias("size"), "tokens", "n"), "crowd_groups")
-        members = join_skewed(often.select("seq", "sign"), groups.select("sign", "to", "n"), ["sign"], often.count()).where("seq <> to")
-        members = materialize(members.select("seq", "to"), "crowd_members")
-        stars = members.select(F.greatest("seq", "to").alias("a"), F.least("seq", "to").alias("b"))
-        found.append((materialize(pairs.unionByName(stars).distinct(), "crowd_pairs"), members))
-        now = groups.select(F.col("to").alias("seq"), "size", F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
-        limit *= 2
+    of = sets.select("seq", F.concat(F.lit("c"), F.col("component_id").cast("string")).alias("in"))
+    each = materialize(sets.select("seq", F.size("shingles").alias("size"), F.explode("shingles").alias("token")), "crowd_shingles")
+    if not each.limit(1).count():
+        return None
+    known = each.join(each.groupBy("token").agg(F.count("*").alias("n")), "token")
+    place = F.row_number().over(Window.partitionBy("seq").orderBy("n", "token"))
+    needed = F.ceil(F.lit(similarity) * F.col("size") - F.lit(1e-9))
+    ranked = materialize(known.select("seq", "size", "token", "n", (place <= F.col("size") - needed + 1).alias("first")), "crowd_tokens")
+    # Members of one group need no more links.
+    rare = ranked.where(F.col("first") & (F.col("n") > 1) & (F.col("n") <= limit)).select("seq", "token").join(of, "seq")
+    buckets = rare.groupBy("token").agg(F.collect_list(F.struct("seq", "in")).alias("m"))
+    pairs = buckets.select("m", F.explode("m").alias("x"))
+    pairs = pairs.select(F.col("x.seq").alias("a"), F.explode(F.filter("m", lambda y: (y["seq"] < F.col("x.seq")) & (y["in"] != F.col("x.in")))["seq"]).alias("b"))
+    often = ranked.where(F.col("n") > limit).groupBy("seq", "size").agg(F.sort_array(F.collect_list("token")).alias("tokens"), F.collect_list(F.when(F.col("first"), F.col("token"))).alias("heads"))
+    often = materialize(often.where(F.size("tokens") >= needed).join(of, "seq").withColumn("sign", F.xxhash64("tokens", F.size("tokens"))), "crowd_often")
+    # Only a set that has a shingle among its first ones in common with another group's may have a link.
+    heads = often.select("seq", "in", F.explode("heads").alias("token"))
+    mixed = heads.groupBy("token").agg(F.count("*").alias("n"), F.min("in").alias("lo"), F.max("in").alias("hi")).where("lo <> hi").select("token", "n")
+    some = join_skewed(heads, mixed, ["token"], heads.count()).select("seq").distinct()
+    often = materialize(often.join(some, "seq", "left_semi").drop("heads"), "crowd_signs")
+    groups = often.groupBy("sign").agg(F.min(F.struct("size", "seq")).alias("least"), F.min_by("tokens", F.struct("size", "seq")).alias("tokens"), F.count("*").alias("n"), F.min("in").alias("lo"), F.max("in").alias("hi"))
+    one = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.concat(F.lit("t"), F.hex("least.seq")))
+    groups = materialize(groups.select("sign", F.col("least.seq").alias("to"), F.col("least.size").alias("size"), "tokens", "n", one.alias("in")), "crowd_groups")
+    members = join_skewed(often.select("seq", "sign", F.col("in").alias("own")), groups.where("n > 1").select("sign", "to", "n"), ["sign"], often.count()).where("seq <> to")
+    members = materialize(members.select("seq", "to", "own"), "crowd_members")
+    pairs = pairs.unionByName(members.select(F.greatest("seq", "to").alias("a"), F.least("seq", "to").alias("b")))
     links = None
-    for pairs, members in reversed(found):
-        if links is not None:  # links of templates' shortest sets: each with the other's members
-            m = members.toDF("seq", "rep")
-            wider = links.join(m, links["u"] == m["rep"]).select(F.col("seq").alias("a"), F.col("v").alias("b"))
-            wider = wider.unionByName(links.join(m, links["v"] == m["rep"]).select(F.col("seq").alias("a"), F.col("u").alias("b")))
-            pairs = pairs.unionByName(wider.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-        new = _verified(pairs, by_seq, similarity)
-        links = materialize(new if links is None else new.unionByName(links), "crowd_links")
-    return links
+    if groups.limit(1).count():
+        found = materialize(_all_pairs(groups.select(F.col("to").alias("seq"), "size", "tokens", "in", (F.col("n") > 1).alias("many")), similarity), "crowd_templates")
+        links = found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        # A template's links with another's shortest set are tried for its members too.
+        ends = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).toDF("to", "other")
+        wider = members.join(ends, "to").join(groups.select(F.col("to").alias("other"), F.col("in").alias("theirs")), "other").where("own <> theirs")
+        pairs = pairs.unionByName(wider.select(F.greatest("seq", "other").alias("a"), F.least("seq", "other").alias("b")))
+    new = _verified(materialize(pairs.distinct(), "crowd_pairs"), by_seq, similarity)
+    return materialize(new if links is None else new.unionByName(links).distinct(), "crowd_links")
 
 
 def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, cell_limit: int = CELL) -> tuple[DataFrame, DataFrame]:
@@ -375,17 +479,12 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         apart = told.groupBy("t", "cell").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a <> b")
         crowd = told.join(apart, ["t", "cell"]).select("seq", "component_id").distinct()
         crowd = materialize(sets.join(crowd, "seq"), "crowd")
-        # The smallest members of a cell's groups are compared as well, all or with the smallest, and so are templates.
-        reps = materialize(told.groupBy("t", "cell", "component_id").agg(F.min("seq").alias("seq")), "cell_groups")
-        several = reps.groupBy("t", "cell").agg(F.count("*").alias("n"), F.min("seq").alias("least")).where("n > 1")
-        met = materialize(join_skewed(reps, several, ["t", "cell"], reps.count()), "representatives")
-        both = _verified(_in_cells(met, cell_limit), sets, similarity)
         more = crowd_links(crowd, similarity, cell_limit)
         if more is not None:
             node = crowd.select("seq", "node")
             more = more.join(node.toDF("u", "nu"), "u").join(node.toDF("v", "nv"), "v").where("nu <> nv")
-            both = both.unionByName(more.select(F.greatest("nu", "nv").alias("u"), F.least("nu", "nv").alias("v")))
-        of = materialize(_labelled(nodes, components(stars.unionByName(both))), "near")
+            more = more.select(F.greatest("nu", "nv").alias("u"), F.least("nu", "nv").alias("v"))
+            of = materialize(_labelled(nodes, components(stars.unionByName(more))), "near")
     return sketches.select(key, "seq"), of
 
 

@@ -349,3 +349,32 @@ def test_links_of_crowds_connect_what_all_pairs_do(spark, seed):
     for u, v in links:
         made[top(int.from_bytes(u))] = top(int.from_bytes(v))
     assert len({(root(i), top(i)) for i in range(90)}) == len({root(i) for i in range(90)}) == len({top(i) for i in range(90)}) > 1
+
+
+@pytest.mark.parametrize("rows", [7, 2048])
+def test_sets_alike_in_frequent_shingles_of_their_own_are_linked(spark, monkeypatch, rows):
+    """Every shingle is frequent and no two sets have the same ones: components as by all pairs, in one block or in many."""
+    monkeypatch.setattr(sh, "BLOCK_ROWS", rows, raising=False)
+    r = random.Random(9)
+    sets = [(i.to_bytes(2), i, sorted(r.sample(range(34), r.randrange(22, 29))), i % 50) for i in range(60)]
+    assert len({tuple(s) for _, _, s, _ in sets}) == 60
+    alike = lambda i, j: len({*sets[i][2]} & {*sets[j][2]}) >= 0.8 * len({*sets[i][2]} | {*sets[j][2]}) - 1e-9
+
+    def roots(pairs):
+        find = list(range(60))
+
+        def root(x):
+            while find[x] != x:
+                x = find[x]
+            return x
+
+        for a, b in [*pairs, *((i, i - 50) for i in range(50, 60))]:  # ten groups of two sets are known before
+            find[root(a)] = root(b)
+        return [root(i) for i in range(60)]
+
+    want = roots([(i, j) for i in range(60) for j in range(i) if alike(i, j)])
+    found = sh.crowd_links(spark.createDataFrame(sets, "seq binary, node long, shingles array<long>, component_id long"), 0.8, 2).collect()
+    pairs = [(int.from_bytes(u), int.from_bytes(v)) for u, v in found]
+    assert all(alike(i, j) for i, j in pairs)
+    got = roots(pairs)
+    assert len(set(zip(want, got))) == len(set(want)) == len(set(got)) and 1 < len(set(want)) < 50
