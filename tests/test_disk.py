@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from lanegraph.operators import search
 from lanegraph.plans.derived import LEGS, Derived
 from lanegraph.shared import shared_dir
 
@@ -44,3 +45,17 @@ def test_legs_are_those_of_the_sql(spark, tmp_path):
     assert legs.exceptAll(want).count() == 0 == want.exceptAll(legs).count()
     assert "l_extendedprice" not in legs._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset(FREED)
+
+
+def test_expanding_deals_each_side_once(spark):
+    rows = spark.range(4000).selectExpr("cast(id as int) edge_id", "cast(id % 90 as int) src", "cast(id * 7 % 83 as int) dst", "cast(id % 11 as float) cost")  # with repeats
+    front = rows.select(F.col("src").alias("source"), F.col("dst").alias("at"), F.col("cost").alias("so_far"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = search.expand_costs(front, rows, 16)
+        assert exchanges(found) <= 5  # both sides to their blocks, and the edges and the blocks' ends to their join
+        a, b = rows.toDF("e1", "source", "at", "c1"), rows.toDF("e2", "at", "node_id", "c2")
+        want = a.join(b, "at").groupBy("source", "node_id").agg(F.min(F.col("c1").cast("double") + F.col("c2").cast("double")).alias("distance"))
+        assert found.exceptAll(want).count() == 0 == want.exceptAll(found).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
