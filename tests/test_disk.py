@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from lanegraph.operators import search
+from lanegraph.plans import catalog
 from lanegraph.plans.derived import LEGS, Derived
 from lanegraph.shared import shared_dir
 
@@ -59,3 +60,16 @@ def test_expanding_deals_each_side_once(spark):
         assert found.exceptAll(want).count() == 0 == want.exceptAll(found).count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_few_paths_need_no_gates_of_all_edges(spark):
+    """Shapes are the same as with the gates of all edges, which are not made."""
+    d = Derived(spark, "/root/testdata/sf0.01")
+    paths = d.paths.where("path_id < 12").select("path_id", "path_nodes", F.lit("funnel").alias("mode"), F.lit("n0003").alias("from_locode"), F.lit("n0007").alias("to_locode"))
+    some, every = catalog.service(d), catalog.service(d)
+    assert every.gates.count() == d.edges.count()
+    got = some.draw(paths).drop("shape_ms")
+    assert "gates" not in some.__dict__
+    want = every.draw(paths).drop("shape_ms").collect()
+    assert len(want) == paths.count() > 5 and sorted(got.collect()) == sorted(want)
+    spark.conf.unset(FREED)
