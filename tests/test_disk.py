@@ -2,9 +2,10 @@
 
 import os
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lanegraph.operators import search
+from lanegraph.operators import hints, search
 from lanegraph.plans import catalog
 from lanegraph.plans.derived import LEGS, Derived
 from lanegraph.shared import shared_dir
@@ -73,3 +74,14 @@ def test_few_paths_need_no_gates_of_all_edges(spark):
     want = every.draw(paths).drop("shape_ms").collect()
     assert len(want) == paths.count() > 5 and sorted(got.collect()) == sorted(want)
     spark.conf.unset(FREED)
+
+
+def test_best_approach_without_ordering_all_hints(spark):
+    nan = float("nan")
+    rows = [(i, f"n{i % 5}", 1 + (i % 7 == 0), [0.5, nan, None, 0.9, -0.0, 0.0, 0.9][(i * 3) % 7] if i % 5 != 1 else None, [i]) for i in range(80)]
+    made = spark.createDataFrame(rows, "corridor_id long, locode string, kind int, confidence double, spans array<int>")
+    best = hints.port_approaches(made)
+    assert "Window" not in best._jdf.queryExecution().executedPlan().toString()
+    nth = F.row_number().over(Window.partitionBy("locode").orderBy(F.col("confidence").desc(), "corridor_id"))
+    want = made.where("kind = 1").withColumn("n", nth).where("n = 1").select("corridor_id", "spans", F.upper("locode").alias("code"))
+    assert sorted(best.select("corridor_id", "spans", "code").collect()) == sorted(want.collect())
